@@ -103,7 +103,7 @@ def test_top_k_equals_brute_force(spark):
 
 
 def test_fingerprints(spark):
-    body = [f"Line {i} of some text, with clauses; and number {i * i}." for i in range(40)]
+    body = [f"Line {i} of some text, with clause {i}; and number {i * i}." for i in range(40)]
     shuffled = body[:]
     random.Random(1).shuffle(shuffled)
     rows = [(5, "\n".join(body)), (9, "\n".join(shuffled)), (7, None), (8, ""), (12, "x"), (13, "ü🎉" * 9), (None, "last, really"), (20, "other words here.\n" * 30), (21, "\n".join(f"Quite another {i}." for i in range(60))), (9, "same id")]
