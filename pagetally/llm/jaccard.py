@@ -346,7 +346,7 @@ def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", n:
                     cols = [part.column(c).take(pa.array(pick)) for c in range(4)]
                     yield pa.RecordBatch.from_arrays([*cols, elements], schema=out)
 
-    text_of = docs.select("text_hash", "text").join(member, "text_hash").select("cluster", "blocks", "block", "expected", "text")
+    text_of = docs.select("text_hash", "text").join(member.hint("merge"), "text_hash").select("cluster", "blocks", "block", "expected", "text")
     sets = text_of.mapInArrow(fetch, made)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = sets.select("cluster", "block", "node", "elements", other).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "elements")
