@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +32,7 @@ U = np.uint64
 #: Memoised pre-tokens of a Python worker; beyond it the memo starts anew. It bounds memory, not results.
 MEMO = 200_000
 #: Characters whose pre-tokens are held at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -119,23 +121,29 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Merges of a pre-token: always the lowest rank, the leftmost of equals."""
-        n, pair = len(piece), self.pair
-        ids = [self.byte[b] for b in piece]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pair.get(ids[i] << 32 | ids[i + 1])) is not None]
+        n, find, pop, push = len(piece), self.pair.get, heapq.heappop, heapq.heappush
+        ids = [*map(self.byte.__getitem__, piece), -1]
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        heap, a = [], ids[0]  # rank, then position: one integer
+        for i in range(1, n):
+            b = ids[i]
+            if (r := find(a << 32 | b)) is not None:
+                heap.append(r << 32 | (i - 1))
+            a = b
         heapq.heapify(heap)
         while heap:
-            r, i, a, b = heapq.heappop(heap)
-            if ids[i] != a or (j := after[i]) >= n or ids[j] != b:
+            x = pop(heap)
+            r, i = x >> 32, x & 0xFFFFFFFF
+            j = after[i]
+            if j > n or ids[i] < 0 or find(ids[i] << 32 | ids[j]) != r:
                 continue  # one of the two has been merged meanwhile
             ids[i], ids[j] = r, -1
             k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if (x := pair.get(r << 32 | ids[k])) is not None:
-                    heapq.heappush(heap, (x, i, r, ids[k]))
-            if (p := before[i]) >= 0 and (x := pair.get(ids[p] << 32 | r)) is not None:
-                heapq.heappush(heap, (x, p, ids[p], r))
+            before[k] = i
+            if k < n and (x := find(r << 32 | ids[k])) is not None:
+                push(heap, x << 32 | i)
+            if (p := before[i]) >= 0 and (x := find(ids[p] << 32 | r)) is not None:
+                push(heap, x << 32 | p)
         return [x for x in ids if x >= 0]
 
     def learn(self, pieces: set[str]) -> None:
@@ -145,7 +153,7 @@ class Codec:
         raw = [p.encode() for p in new]
         for p, r, i in zip(new, raw, self.table.find(raw).tolist(), strict=True):
             whole = i >= 0 and self.tokens[self.known[i]] == r
-            self.memo[p] = np.array([self.known[i]] if whole else self.merge(r), np.int32).tobytes()
+            self.memo[p] = array("i", [self.known[i]] if whole else self.merge(r)).tobytes()
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= CHUNK:
@@ -212,7 +220,9 @@ def decoder(codec):
     def decode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec.value
         for a in arrays:
-            yield pa.array([None if not x.is_valid else c.decode([-1 if i is None else i for i in x.as_py()]) for x in a], pa.binary())
+            flat = pc.fill_null(a.values, -1).to_numpy()
+            at, ok = a.offsets.to_pylist(), a.is_valid().to_pylist()
+            yield pa.array([c.decode(flat[s:e].tolist()) if v else None for s, e, v in zip(at, at[1:], ok, strict=False)], pa.binary())
 
     return decode
 
