@@ -1,6 +1,33 @@
-def queries():
-    return {}
+"""All registered queries of the counting engine, and their SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators import auditing, counting, inference
+from .plans.relations import Session, duck
+from .streaming import events
+
+TEXTS = counting.FILES | counting.CELLS | counting.PAGES | auditing.OPERATORS
+FRAMES: dict[str, Callable[[Session], DataFrame]] = inference.OPERATORS | events.OPERATORS
+#: SQL of operators that are not one text for both dialects.
+SQL = inference.SQL | events.SQL
+
+
+def _text(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Session(spark, sf_dir).sql(TEXTS[name])
+
+
+def _frame(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FRAMES[name](Session(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: partial(_text, n) for n in TEXTS} | {n: partial(_frame, n) for n in FRAMES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: duck(t) for n, t in TEXTS.items()} | {n: duck(t) for n, t in SQL.items()}
