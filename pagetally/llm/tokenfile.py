@@ -48,6 +48,15 @@ class WordTokenizer:
             self._tok, self._memo = Tokenizer.from_str(self.raw), {}
         return self._tok
 
+    def _learn(self, words: list[str], raw: list[bytes]) -> None:
+        """Encodes words as one text and cuts its ids where the words do."""
+        e = self._tok.encode(" ".join(words), add_special_tokens=False)
+        ids, at = np.array(e.ids, np.int32), np.array([s for s, _ in e.offsets], np.int64)
+        first = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        cut = np.cumsum(np.bincount(np.searchsorted(first, at, "right") - 1, minlength=len(words))).tolist()
+        for w, s, t in zip(raw, [0, *cut], cut, strict=False):
+            self._memo[w] = ids[s:t].tobytes()
+
     def encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
         tok, last, out = self._open(), b"" if end is None else np.array([end], np.int32).tobytes(), []
         for s, e in chunks([len(t or "") for t in texts], CHUNK):
@@ -56,10 +65,8 @@ class WordTokenizer:
             memo = self._memo
             words = [t.encode().split() if t else [] for t in texts[s:e]]
             new = [w for w in set().union(*words) if w not in memo]
-            for a in range(0, len(new), 4096):
-                part = new[a : a + 4096]
-                for w, x in zip(part, tok.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    memo[w] = np.array(x.ids, np.int32).tobytes()
+            for a, b in chunks([len(w) for w in new], 100_000):
+                self._learn([w.decode() for w in new[a:b]], new[a:b])
             out += [b"".join(map(memo.__getitem__, w)) + last for w in words]
         return out
 
