@@ -25,7 +25,8 @@ from pyspark.sql.window import Window
 from .bpe import id_lists
 from .common import bound, chunks, n_parts
 
-MEMO = 200_000
+#: Words whose ids a worker keeps (some 200 bytes each); beyond it, new words are forgotten after their batch.
+MEMO = 1_000_000
 CHUNK = 2_000_000
 
 
@@ -60,14 +61,15 @@ class WordTokenizer:
     def encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
         tok, last, out = self._open(), b"" if end is None else np.array([end], np.int32).tobytes(), []
         for s, e in chunks([len(t or "") for t in texts], CHUNK):
-            if len(self._memo) > MEMO:
-                self._memo.clear()
             memo = self._memo
             words = [t.encode().split() if t else [] for t in texts[s:e]]
             new = [w for w in set().union(*words) if w not in memo]
             for a, b in chunks([len(w) for w in new], 100_000):
                 self._learn([w.decode() for w in new[a:b]], new[a:b])
             out += [b"".join(map(memo.__getitem__, w)) + last for w in words]
+            if len(memo) > MEMO:
+                for w in new:
+                    del memo[w]
         return out
 
 
