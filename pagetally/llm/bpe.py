@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import bound, chunks
 
 U = np.uint64
-#: Memoised pre-tokens of a Python worker; beyond it the memo starts anew. It bounds memory, not results.
-MEMO = 200_000
+#: Pre-tokens whose ids a worker keeps; beyond it, new ones are forgotten after their batch. It bounds memory, not results.
+MEMO = 300_000
 #: Characters whose pre-tokens are held at once.
 CHUNK = 1_000_000
 
@@ -146,14 +146,20 @@ class Codec:
                 push(heap, x << 32 | p)
         return [x for x in ids if x >= 0]
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: set[str]) -> list[str]:
         new = [p for p in pieces if p not in self.memo]
         if not new:
-            return
+            return new
         raw = [p.encode() for p in new]
         for p, r, i in zip(new, raw, self.table.find(raw).tolist(), strict=True):
             whole = i >= 0 and self.tokens[self.known[i]] == r
             self.memo[p] = array("i", [self.known[i]] if whole else self.merge(r)).tobytes()
+        return new
+
+    def forget(self, new: list[str]) -> None:
+        if len(self.memo) > MEMO:
+            for p in new:
+                del self.memo[p]
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= CHUNK:
@@ -167,20 +173,18 @@ class Codec:
         """Ids of each text, as 32-bit integers in the machine's order."""
         out = []
         for a, b in chunks([len(t or "") for t in texts], CHUNK):
-            if len(self.memo) > MEMO:
-                self.memo.clear()
             if b == a + 1 and len(texts[a] or "") > CHUNK:
                 own = []
                 for part in self._pieces(texts[a]):
-                    if len(self.memo) > MEMO:
-                        self.memo.clear()
-                    self.learn(set(part))
+                    new = self.learn(set(part))
                     own.append(b"".join(map(self.memo.__getitem__, part)))
+                    self.forget(new)
                 out.append(b"".join(own))
                 continue
             parts = [self.split.findall(t) if t else [] for t in texts[a:b]]
-            self.learn(set().union(*parts))
+            new = self.learn(set().union(*parts))
             out += [b"".join(map(self.memo.__getitem__, p)) for p in parts]
+            self.forget(new)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
