@@ -366,7 +366,7 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", n: int =
     that repeat that id, the one with the smallest text). Rows without an id cannot be told apart and stay."""
     found = jaccard_components(df, id, text, n, num, den).filter(F.col(id) == F.col("component_id"))
     keep = staged(found.groupBy(id).agg((F.count("*") > 1).alias("__repeated")), "jaccard-kept")
-    kept = df.join(keep, id)
+    kept = df.join(keep.hint("merge"), id)
     single = kept.filter(~F.col("__repeated")).select(df.columns)
     order = Window.partitionBy(id).orderBy(text)
     repeated = kept.filter("__repeated").withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(df.columns)
