@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound, chunks
+from .common import bound, chunks, small_batches
 
 U = np.uint64
 #: Pre-tokens whose ids a worker keeps; beyond it, new ones are forgotten after their batch. It bounds memory, not results.
@@ -232,10 +232,12 @@ def decoder(codec):
 
 
 def encode_documents(df: DataFrame, codec, text: str = "text", ids: str = "ids") -> DataFrame:
+    small_batches(df.sparkSession)
     return df.withColumn(ids, encoder(codec)(F.coalesce(df[text], F.lit(""))))
 
 
 def decode_documents(df: DataFrame, codec, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    small_batches(df.sparkSession)
     return df.withColumn(out, decoder(codec)(df[ids]))
 
 
