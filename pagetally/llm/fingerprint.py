@@ -83,7 +83,7 @@ def _ranges(df: DataFrame, key: str) -> DataFrame:
     many = 4 * n_parts(df.sparkSession)
     cuts = [i / many for i in range(1, many)]
     found = df.agg(F.percentile_approx(key, cuts, 20 * many)).first()[0] or []
-    splits = [float("-inf"), *sorted({float(x) for x in found}), float("inf")]
+    splits = [float("-inf"), *sorted({float(x) for x in found} or {0.0}), float("inf")]
     return Bucketizer(splits=splits, inputCol="__key", outputCol="bucket").transform(df.withColumn("__key", F.col(key).cast("double"))).drop("__key")
 
 
