@@ -7,14 +7,14 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import auditing, counting, inference
+from .operators import auditing, counting, inference, parsing, patching
 from .plans.relations import Session, duck
 from .streaming import events
 
-TEXTS = counting.FILES | counting.CELLS | counting.PAGES | auditing.OPERATORS
-FRAMES: dict[str, Callable[[Session], DataFrame]] = inference.OPERATORS | events.OPERATORS
+TEXTS = counting.FILES | counting.CELLS | counting.PAGES | auditing.OPERATORS | patching.OPERATORS
+FRAMES: dict[str, Callable[[Session], DataFrame]] = inference.OPERATORS | parsing.OPERATORS | events.OPERATORS
 #: SQL of operators that are not one text for both dialects.
-SQL = inference.SQL | events.SQL
+SQL = inference.SQL | parsing.SQL | events.SQL
 
 
 def _text(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

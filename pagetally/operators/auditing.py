@@ -9,7 +9,7 @@ REORG = {
         UNION ALL SELECT id, 'same_cell' FROM {ops} WHERE op_type IN ('move_file', 'extract_pages') AND src_hospital = dst_hospital AND src_sigla = dst_sigla
         UNION ALL SELECT id, 'page_range' FROM {ops} WHERE op_type IN ('extract_pages', 'rotate_pages') AND (page_from < 1 OR page_to < page_from)
         UNION ALL SELECT id, 'rotation' FROM {ops} WHERE op_type = 'rotate_pages' AND rotation NOT IN (90, 180, 270)""",
-    "f22_op_defaults": "SELECT o.id, CASE WHEN op_type = 'move_file' THEN COALESCE(c.n, 1) WHEN op_type = 'extract_pages' THEN COALESCE(o.doc_count, 1) ELSE 0 END AS documents FROM {ops} AS o LEFT JOIN (SELECT 'file' || CAST(id AS STRING) AS file, COALESCE(override, per_file, 1) AS n FROM {file_counts} WHERE id < 300) AS c ON o.file = c.file",
+    "f22_op_defaults": "SELECT o.id, CASE WHEN op_type = 'move_file' THEN COALESCE(c.n, 1) WHEN op_type = 'extract_pages' THEN COALESCE(o.doc_count, 1) ELSE 0 END AS documents FROM {ops} AS o LEFT JOIN (SELECT 'file' || CAST(id AS STRING) AS file, COALESCE(override, per_file, 1) AS n FROM {file_counts}) AS c ON o.file = c.file",
     "a15_net_deltas": "SELECT h.hospital, s.sigla, CAST(COALESCE(sum(d.n), 0) AS BIGINT) AS delta FROM {dim_hospital} AS h CROSS JOIN {dim_sigla} AS s LEFT JOIN (SELECT src_hospital AS hospital, src_sigla AS sigla, -doc_count AS n FROM {ops} WHERE status = 'pending' UNION ALL SELECT dst_hospital, dst_sigla, doc_count FROM {ops} WHERE status = 'pending') AS d ON d.hospital = h.hospital AND d.sigla = s.sigla GROUP BY h.hospital, s.sigla",
     "a37_panel": "SELECT hospital, sigla, count_if(side = 'in') AS incoming, count_if(side = 'out') AS outgoing, CAST(sum(n) AS BIGINT) AS net, min(id) AS first_id FROM (SELECT id, src_hospital AS hospital, src_sigla AS sigla, 'out' AS side, -doc_count AS n FROM {ops} WHERE status = 'pending' UNION ALL SELECT id, dst_hospital, dst_sigla, 'in', doc_count FROM {ops} WHERE status = 'pending') AS d GROUP BY hospital, sigla",
     "j04_open_suspects": "SELECT s.id, s.hospital, s.sigla, s.file FROM {suspects} AS s WHERE NOT EXISTS (SELECT 1 FROM {ops} AS o WHERE o.status = 'pending' AND o.src_hospital = s.hospital AND o.src_sigla = s.sigla AND o.file = s.file AND (o.op_type = 'move_file' OR (o.op_type = 'extract_pages' AND o.page_from <= s.page_to AND s.page_from <= o.page_to)))",
