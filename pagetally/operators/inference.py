@@ -1,27 +1,64 @@
-"""Sequence inference that has no closed form: one small pandas function per file, all files in parallel.
+"""Sequence inference that has no closed form, in plain Python over one row per file.
 
-A file's pages are bounded by the file, so a group fits a task.
+A file's pages are gathered into sorted arrays (they are bounded by the file), on the partitioning that the
+page relation already has, so no shuffle is added; files come in Arrow batches, not one call each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass, replace
+from itertools import accumulate, product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: The strongest lag must stand out by this, up to this many pages.
+#: The strongest lag must stand out by this, up to this many pages, with so many pages read.
 AUTOCORRELATION_MIN = 0.3
 MOST_LAG = 50
+LEAST_READ = 6
+#: What starts, declared totals and autocorrelation weigh for a file's period.
+PERIOD_WEIGHTS = (0.45, 0.30, 0.25)
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Pages on either side and their agreement for a local total, the cost of a clash at a gap's
+    border, the least confidence of an inferred start, and of the period and share of totals to overrule a read."""
+
+    window: int = 5
+    agreement: float = 0.85
+    clash: float = 1.5
+    least_start: float = 0.55
+    least_period: float = 0.50
+    least_share: float = 0.90
+
+
+def per_file(df: DataFrame, names: list[str], solve: Callable[..., Iterable[tuple]], ddl: str) -> DataFrame:
+    """`solve` takes a file's columns, sorted by the first, and gives rows; the file's id is put before each."""
+    made = T.StructType.fromDDL(ddl)
+    out = to_arrow_schema(made)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(pdf, *r) for pdf, *own in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in solve(*own)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
+
+    files = df.groupBy("pdf").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("p"))
+    return files.select("pdf", *(F.col(f"p.{n}").alias(n) for n in names)).mapInArrow(rows, made)
 
 
 def autocorrelation_period(curr: np.ndarray) -> tuple[int | None, float]:
     """First lag whose normalised autocorrelation is a local maximum over the minimum."""
     known = np.flatnonzero(~np.isnan(curr))
     n = len(curr)
-    if n < 4 or len(known) < 3:
+    if n < 4 or len(known) < LEAST_READ:
         return None, 0.0
     x = np.interp(np.arange(n), known, curr[known])
     x = x - x.mean()
@@ -31,96 +68,257 @@ def autocorrelation_period(curr: np.ndarray) -> tuple[int | None, float]:
     top = min(n // 2, MOST_LAG)
     r = [1.0, *(float((x[k:] * x[:-k]).sum()) / power for k in range(1, top + 1))]
     for k in range(2, top):
-        if r[k] > AUTOCORRELATION_MIN and r[k] >= r[k - 1] and r[k] >= r[k + 1]:
+        if r[k] > AUTOCORRELATION_MIN and r[k] > r[k - 1] and r[k] >= r[k + 1]:
             return k, r[k]
     return None, 0.0
 
 
-def _period(pages: pd.DataFrame) -> pd.DataFrame:
-    pages = pages.sort_values("page")
-    period, strength = autocorrelation_period(pages["curr"].to_numpy(float))
-    return pd.DataFrame({"pdf": [pages["pdf"].iloc[0]], "period": pd.array([period], "Int32"), "strength": [round(strength, 9)]})
+def _mode(values: Sequence) -> tuple[object, float]:
+    """The most frequent value, the first seen of equals, and its share."""
+    if not values:
+        return None, 0.0
+    value, n = Counter(values).most_common(1)[0]
+    return value, n / len(values)
+
+
+def _numbers(curr: Sequence[int | None]) -> np.ndarray:
+    return np.array([np.nan if c is None else c for c in curr], float)
+
+
+def file_period(curr: Sequence[int | None], total: Sequence[int | None]) -> tuple[int | None, float, int | None]:
+    """A file's period, how sure it is, and the total to expect, from three weighted votes."""
+    known = [i for i, c in enumerate(curr) if c is not None]
+    if len(curr) < 4 or len(known) < 3:
+        return None, 0.0, None
+    starts = [i for i in known if curr[i] == 1]
+    usual = _mode([total[i] for i in known if total[i] is not None])
+    votes: dict[int, float] = {}
+    for (period, share), weight in zip((_mode([b - a for a, b in zip(starts, starts[1:])]), usual, autocorrelation_period(_numbers(curr))), PERIOD_WEIGHTS, strict=True):  # noqa: B905, RUF007
+        if period is not None and share > 0.3:
+            votes[period] = votes.get(period, 0.0) + share * weight
+    if not votes:
+        return None, 0.0, usual[0]
+    best = max(votes, key=votes.get)
+    return best, min(votes[best], 1.0), usual[0] or best
+
+
+Page = tuple[int | None, int | None]  # its number and its document's total
+
+
+def _known(page: Page | None) -> bool:
+    return page is not None and None not in page
+
+
+def follows(a: Page, b: Page) -> bool:
+    """Whether b may come right after a: the same document goes on, or a ends one and b starts the next."""
+    return (a[1] == b[1] and b[0] == a[0] + 1) or (a[0] == a[1] and b[0] == 1)
+
+
+def _after(page: Page | None, usual: int) -> Page:
+    return (page[0] + 1, page[1]) if _known(page) and page[0] < page[1] else (1, usual)
+
+
+def _before(page: Page | None, usual: int) -> Page:
+    return (page[0] - 1, page[1]) if _known(page) and page[0] > 1 else (usual, usual)
+
+
+class Inference:
+    """One file's pages. `fill` solves runs of unread pages; `settle` weighs and corrects what was inferred."""
+
+    def __init__(self, curr: Sequence[int | None], total: Sequence[int | None], rules: Rules = Rules()):
+        self.rules = rules
+        self.pages: list[Page] = list(zip(curr, total, strict=True))
+        self.kinds = ["failed" if c is None else "direct" for c in curr]
+        self.sure = [0.0 if c is None else 1.0 for c in curr]
+        self.period, self.period_sure, self.expected = file_period(curr, total)
+        seen = Counter(t for t in total if t is not None)
+        self.prior = {t: n / seen.total() for t, n in seen.items()} or {2: 0.85, 3: 0.10, 1: 0.05}
+        self.usual = max(self.prior, key=self.prior.get)
+        self._local: dict[int, tuple[int, float]] = {}
+
+    def local(self, i: int) -> tuple[int, float]:
+        """The total around a page if enough reads agree, else the file's, and the agreement."""
+        if i not in self._local:
+            near = range(max(0, i - self.rules.window), min(len(self.pages), i + self.rules.window + 1))
+            total, share = _mode([self.pages[j][1] for j in near if self.kinds[j] == "direct" and self.pages[j][1] is not None])
+            self._local[i] = (total if total is not None and share >= self.rules.agreement else self.usual, share)
+        return self._local[i]
+
+    def gaps(self) -> list[tuple[int, int]]:
+        failed = [0, *(int(k == "failed") for k in self.kinds), 0]
+        return list(zip(*(np.flatnonzero(np.diff(failed) == step).tolist() for step in (1, -1)), strict=True))
+
+    def _cost(self, made: list[Page], around: list[tuple[int, float]]) -> float:
+        cost = 0.0
+        for (number, total), (usual, share) in zip(made, around, strict=True):
+            if total != usual:
+                cost += share * 0.75
+            if number == 1 and self.period and self.period_sure > 0.3 and total != self.expected:
+                cost += self.period_sure * 2.5
+        return cost
+
+    def fill(self) -> Inference:
+        """Each run is filled from the left and from the right; the cheaper one stays, on a tie the one with a start."""
+        for a, b in self.gaps():
+            around = [self.local(i) for i in range(a, b)]
+            usuals = [u for u, _ in around]
+            left, right = self.pages[a - 1] if a else None, self.pages[b] if b < len(self.pages) else None
+            onward = list(accumulate(usuals, _after, initial=left if _known(left) else (None, None)))[1:]
+            if right is not None and right[0] == 1:
+                onward[-1] = (onward[-1][0], onward[-1][0])
+            back = list(accumulate(reversed(usuals), _before, initial=right if _known(right) else (None, None)))[:0:-1]
+            costs = [self._cost(onward, around), self._cost(back, around)]
+            costs[0] += self.rules.clash * (_known(right) and not follows(onward[-1], right))
+            costs[1] += self.rules.clash * (_known(left) and not follows(left, back[0]))
+            start = [any(n == 1 for n, _ in made) for made in (onward, back)]
+            backward = costs[1] < costs[0] or (costs[1] == costs[0] and start[1] and not start[0])
+            self.pages[a:b] = back if backward else onward
+            self.kinds[a:b] = ["inferred"] * (b - a)
+            self.sure[a:b] = [0.85 if backward else 0.60 + share * 0.30 if n == 1 else 0.99 for (n, _), (_, share) in zip(self.pages[a:b], around, strict=True)]
+        return self
+
+    def _links(self, i: int) -> list[bool]:
+        """Whether a page fits each neighbour that has a number and a total."""
+        p, near = self.pages, []
+        if i and _known(p[i - 1]):
+            near.append(follows(p[i - 1], p[i]))
+        if i + 1 < len(p) and _known(p[i + 1]):
+            near.append(follows(p[i], p[i + 1]))
+        return near
+
+    def evidence(self, i: int) -> dict[Page, float]:
+        """Pages at the same place in other cycles, nearer and read ones weighing more; the weights sum to 1."""
+        found: dict[Page, float] = {}
+        for k, side in product(range(1, 8), (-1, 1)):
+            j = i + side * k * self.period
+            if 0 <= j < len(self.pages) and self.pages[j][0] is not None:
+                found[self.pages[j]] = found.get(self.pages[j], 0.0) + (1.0 if self.kinds[j] == "direct" else 0.5) / k
+        whole = sum(found.values())
+        return {page: w / whole for page, w in found.items()}
+
+    def settle(self) -> Inference:
+        inferred = [i for i, k in enumerate(self.kinds) if k == "inferred"]
+        doubtful = [i for i in inferred if self.pages[i][0] == 1 and i + 1 < len(self.pages) and self.pages[i + 1][0] == 1]
+        for i in inferred:
+            if not all(self._links(i)):
+                self.sure[i] = min(self.sure[i], 0.50)
+        if self.period is not None and self.period_sure > 0.3:
+            for i in (i for i in inferred if self.sure[i] <= 0.60):
+                support, agree = self.evidence(i).get(self.pages[i], 0.0) * self.period_sure, sum(self._links(i))
+                if support > 0.2 or agree == 2:
+                    self.sure[i] = min(self.sure[i] + min(support * 0.10 + agree * 0.10 + self.prior.get(self.pages[i][1], 0.0) * 0.07, 0.18), 0.75)
+        if self.period is not None and self.period_sure >= self.rules.least_period and self.expected is not None:
+            self._overrule(self.expected)
+        for i in doubtful:
+            if self.kinds[i] == "inferred" and self.pages[i][0] == 1 and self.sure[i] < self.rules.least_start:
+                self.kinds[i], self.pages[i] = "excluded", (None, None)
+        return self
+
+    def _overrule(self, expected: int) -> None:
+        """Where nearly all reads declare one total, the others get it, and the inferred pages after them go on from there."""
+        read = [i for i, k in enumerate(self.kinds) if k == "direct" and self.pages[i][1] is not None]
+        wrong = [i for i in read if self.pages[i][1] != expected]
+        if not read or (len(read) - len(wrong)) / len(read) < self.rules.least_share:
+            return
+        for i in wrong:
+            number = self.pages[i][0]
+            self.pages[i] = (number if number is not None and 1 <= number <= expected else 1, expected)
+            self.kinds[i], self.sure[i] = "inferred", 0.50
+        for i in wrong:
+            for j in range(i + 1, len(self.pages)):
+                last = self.pages[j - 1]
+                if self.kinds[j] != "inferred" or not _known(last) or last[0] > last[1]:
+                    break
+                self.pages[j] = _after(last, expected)
+                if last[0] == last[1]:
+                    self.sure[j] = 0.60 + self.local(j)[1] * 0.30
 
 
 def w07_autocorrelation(s) -> DataFrame:
-    return s["page_reads"].select("pdf", "page", "curr").groupBy("pdf").applyInPandas(_period, "pdf bigint, period int, strength double")
-
-
-def fill_gap(before: int | None, after: int | None, length: int, period: int) -> list[int]:
-    """Numbers for a run of unread pages: forward from the left and backward from the right; the one that meets
-    the other side with the smaller miss wins, on a tie the one that opens more documents."""
-    forward = [(before + i) % period + 1 for i in range(length)] if before is not None else None
-    backward = [(after - 2 - i) % period + 1 for i in range(length)][::-1] if after is not None else None
-    if forward is None or backward is None:
-        return forward or backward or [1] * length
-    miss = lambda made, left: (abs(made[-1] % period + 1 - after) if left else abs(before % period + 1 - made[0]))
-    a, b = miss(forward, True), miss(backward, False)
-    if a != b:
-        return forward if a < b else backward
-    return forward if forward.count(1) >= backward.count(1) else backward
-
-
-def _gaps(pages: pd.DataFrame) -> pd.DataFrame:
-    pages = pages.sort_values("page").reset_index(drop=True)
-    period = int(pages["dom"].iloc[0]) if pd.notna(pages["dom"].iloc[0]) else 1
-    curr = [None if pd.isna(c) else int(c) for c in pages["curr"]]
-    inferred, i = [False] * len(curr), 0
-    while i < len(curr):
-        if curr[i] is not None:
-            i += 1
-            continue
-        j = i
-        while j < len(curr) and curr[j] is None:
-            j += 1
-        made = fill_gap(curr[i - 1] if i else None, curr[j] if j < len(curr) else None, j - i, period)
-        curr[i:j], inferred[i:j] = made, [True] * (j - i)
-        i = j
-    return pd.DataFrame({"pdf": pages["pdf"], "page": pages["page"], "curr": pd.array(curr, "Int32"), "inferred": inferred})
+    def solve(page, curr):
+        period, strength = autocorrelation_period(_numbers(curr))
+        return [(period, round(strength, 9))]
+
+    return per_file(s["page_reads"], ["page", "curr"], solve, "pdf bigint, period int, strength double")
+
+
+def w08_file_period(s) -> DataFrame:
+    def solve(page, curr, total):
+        period, sure, expected = file_period(curr, total)
+        return [(period, round(sure, 9), expected)]
+
+    return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, period int, confidence double, expected_total int")
+
+
+def _inferred(s, finish: bool) -> DataFrame:
+    def solve(page, curr, total):
+        x = Inference(curr, total).fill()
+        if finish:
+            x.settle()
+        return [(p, *x.pages[i], x.kinds[i], round(x.sure[i], 9)) for i, p in enumerate(page)]
+
+    return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, page int, curr int, total int, method string, confidence double")
 
 
 def w11_gap_solver(s) -> DataFrame:
-    reads = s["page_reads"].join(s["dominant"], "pdf", "left").select("pdf", "page", "curr", "dom")
-    return reads.groupBy("pdf").applyInPandas(_gaps, "pdf bigint, page int, curr int, inferred boolean")
+    return _inferred(s, False)
+
+
+def w16_inference(s) -> DataFrame:
+    """All of inference: gaps, neighbours, evidence, contradictions, suppressed starts."""
+    return _inferred(s, True)
+
 
+#: Rules to replay, around the fixed ones.
+REPLAYED = [replace(Rules(), window=w, agreement=a, clash=c) for w, a, c in product((3, 5), (0.75, 0.85), (0.5, 1.5))]
 
-def _merge(docs: pd.DataFrame) -> pd.DataFrame:
+
+def w27_rule_replay(s) -> DataFrame:
+    """Documents, inferred and excluded pages of each file under each set of rules."""
+
+    def solve(page, curr, total):
+        for k, rules in enumerate(REPLAYED):
+            x = Inference(curr, total, rules).fill().settle()
+            yield k, sum(n == 1 for n, _ in x.pages), x.kinds.count("inferred"), x.kinds.count("excluded")
+
+    return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, config int, documents int, inferred int, excluded int")
+
+
+def _merge(doc, pages, inferred, total, read_start) -> Iterable[tuple]:
     """Merges the next document into a short one where it fits, declares the same total and has no read start."""
-    rows = docs.sort_values("doc").to_dict("records")
-    out = []
-    for d in rows:
-        last = out[-1] if out else None
-        n = d["pages"] + d["inferred"]
-        if last and last["found"] < last["total"] and last["found"] + n <= last["total"] and d["declared_total"] == last["total"] and not d["read_start"]:
-            last["found"] += n
-            last["merged"] += 1
-            continue
-        out.append({"pdf": d["pdf"], "doc": d["doc"], "found": n, "total": d["declared_total"], "merged": 0})
-    return pd.DataFrame(out, columns=["pdf", "doc", "found", "total", "merged"])
+    out: list[list] = []
+    for d, n, t, read in zip(doc, (a + b for a, b in zip(pages, inferred, strict=True)), total, read_start, strict=True):
+        if out and out[-1][1] < out[-1][2] and out[-1][1] + n <= out[-1][2] and t == out[-1][2] and not read:
+            out[-1][1] += n
+            out[-1][3] += 1
+        else:
+            out.append([d, n, t, 0])
+    return map(tuple, out)
 
 
 def w20_undercount_recovery(s) -> DataFrame:
     read = s["segmented"].filter("pos = 1").select("pdf", "doc", (F.col("status") == "direct").alias("read_start"))
-    docs = s["segments"].join(read, ["pdf", "doc"]).select("pdf", "doc", "pages", "inferred", "declared_total", "read_start")
-    return docs.groupBy("pdf").applyInPandas(_merge, "pdf bigint, doc bigint, found bigint, total int, merged int")
+    docs = s["segments"].join(read, ["pdf", "doc"])
+    return per_file(docs, ["doc", "pages", "inferred", "declared_total", "read_start"], _merge, "pdf bigint, doc bigint, found bigint, total int, merged int")
 
 
-def _min_gap(starts: pd.DataFrame) -> pd.DataFrame:
+def _min_gap(page, dom) -> Iterable[tuple]:
     """Of two starts closer than the gap, the one that fits the period less well goes."""
-    period, kept = int(starts["dom"].iloc[0]) if pd.notna(starts["dom"].iloc[0]) else 1, []
-    for page in sorted(starts["page"]):
-        if kept and page - kept[-1] < max(1, period // 2):
+    period, kept = dom[0] or 1, []
+    for at in page:
+        if kept and at - kept[-1] < max(1, period // 2):
             base = kept[-2] if len(kept) > 1 else None
-            if base is not None and abs(page - base - period) < abs(kept[-1] - base - period):
-                kept[-1] = page
+            if base is not None and abs(at - base - period) < abs(kept[-1] - base - period):
+                kept[-1] = at
             continue
-        kept.append(page)
-    return pd.DataFrame({"pdf": starts["pdf"].iloc[0], "page": pd.array(kept, "Int32")})
+        kept.append(at)
+    return [(at,) for at in kept]
 
 
 def w21_min_gap(s) -> DataFrame:
-    starts = s["recovered"].filter("curr = 1").join(s["dominant"], "pdf", "left").select("pdf", "page", "dom")
-    return starts.groupBy("pdf").applyInPandas(_min_gap, "pdf bigint, page int")
+    starts = s["recovered"].filter("curr = 1").join(s["dominant"], "pdf", "left")
+    return per_file(starts, ["page", "dom"], _min_gap, "pdf bigint, page int")
 
 
-OPERATORS: dict[str, Callable] = {f.__name__: f for f in (w07_autocorrelation, w11_gap_solver, w20_undercount_recovery, w21_min_gap)}
+OPERATORS: dict[str, Callable] = {f.__name__: f for f in (w07_autocorrelation, w08_file_period, w11_gap_solver, w16_inference, w20_undercount_recovery, w21_min_gap, w27_rule_replay)}
 SQL: dict[str, str] = {}

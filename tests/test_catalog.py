@@ -3,9 +3,11 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pagetally import catalog
-from pagetally.operators.inference import autocorrelation_period, fill_gap
+from pagetally.operators.inference import Inference, autocorrelation_period, file_period
 from pagetally.plans.relations import TABLES
 
 DIR = "/root/testdata/sf0.001"
@@ -66,6 +68,10 @@ def test_pandas_operators(spark):
     pages = queries["w01_gap_recovery"](spark, DIR).count()
     solved = queries["w11_gap_solver"](spark, DIR)
     assert solved.count() == pages and solved.filter("curr is null").count() == 0
+    settled = queries["w16_inference"](spark, DIR)
+    assert settled.count() == pages and settled.filter("curr is null").count() == settled.filter("method = 'excluded'").count()
+    files = queries["w08_file_period"](spark, DIR)
+    assert files.filter("period is not null").count() > 0 and queries["w27_rule_replay"](spark, DIR).count() == 8 * files.count()
     docs = queries["w03_segmentation"](spark, DIR).count()
     merged = queries["w20_undercount_recovery"](spark, DIR).collect()
     assert sum(r.merged + 1 for r in merged) == docs
@@ -80,7 +86,35 @@ def test_period_and_gap_rules():
     cycle = np.array([1, 2, 3, np.nan, 2, 3, 1, 2, 3, 1, 2, 3], float)
     assert autocorrelation_period(cycle)[0] == 3
     assert autocorrelation_period(np.array([1.0, 1, 1, 1, 1]))[0] is None
-    assert fill_gap(1, 1, 2, 3) == [2, 3] and fill_gap(None, 3, 2, 3) == [1, 2] and fill_gap(2, None, 3, 3) == [3, 1, 2] and fill_gap(None, None, 2, 3) == [1, 1]
+    assert file_period([1, 2, 1, 2, 1, 2], [2] * 6)[0] == 2 and file_period([1, 2, 3], [3] * 3) == (None, 0.0, None)
+
+
+def test_gap_cases():
+    fill = lambda curr, total: Inference(curr, total).fill().pages
+    assert fill([1, None, 3], [3, None, 3]) == [(1, 3), (2, 3), (3, 3)]
+    assert fill([None, 2, 1, 2], [None, 2, 2, 2]) == [(1, 2), (2, 2), (1, 2), (2, 2)]
+    assert fill([1, 2, 1, None], [2, 2, 2, None]) == [(1, 2), (2, 2), (1, 2), (2, 2)]
+    assert fill([None, None], [None, None]) == [(1, 2), (2, 2)]
+    assert Inference([], []).fill().settle().pages == []
+
+
+def test_contradictions_and_doubtful_starts():
+    curr, total = [1, 2] * 12, [2] * 24
+    total[5] = 7
+    x = Inference(curr, total).fill().settle()
+    assert x.pages[5] == (2, 2) and x.kinds[5] == "inferred" and x.sure[5] == 0.5
+    x = Inference([1, 2, 1, 2, None, 1, 2, 1, 2], [2, 2, 2, 2, None, 2, 2, 2, 2]).fill()
+    assert x.pages[4] == (1, 1) or x.pages[4] == (2, 2)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.integers(1, 4), max_size=30))
+def test_inference_keeps_reads_and_fills_all(curr):
+    total = [None if c is None else 4 for c in curr]
+    x = Inference(curr, total).fill()
+    assert all(p == (c, 4) for p, c in zip(x.pages, curr) if c is not None) and all(None not in p for p in x.pages)
+    x.settle()
+    assert all(0 <= c <= 1 for c in x.sure) and all((k == "excluded") == (p[0] is None) for k, p in zip(x.kinds, x.pages))
 
 
 def test_streaming_forms(spark, tmp_path):
