@@ -68,14 +68,27 @@ EVALUATION = {
 
 #: Anchors of three flavors: frequent words by language. The third needs more and knows anti-anchors.
 ANCHORS = [("en", 1, 3, "the", 0), ("en", 1, 3, "of", 0), ("en", 1, 3, "and", 0), ("en", 1, 3, "with", 0), ("de", 2, 3, "der", 0), ("de", 2, 3, "und", 0), ("de", 2, 3, "eine", 0), ("fr", 3, 4, "les", 0), ("fr", 3, 4, "des", 0), ("fr", 3, 4, "tion", 0), ("fr", 3, 4, "pour", 0), ("fr", 3, 4, "retion", 1)]
-_ANCHORS = "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {o}, {m}, '{a}', {x})" for f, o, m, a, x in ANCHORS) + ") AS t(flavor, ord, min_match, anchor, is_anti)"
+_ANCHORS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}', {o}, {m}, '{a}', {x})" for i, (f, o, m, a, x) in enumerate(ANCHORS, 1)) + ") AS t(place, flavor, ord, min_match, anchor, is_anti)"
 _FOLDED = "SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñç', 'aaaaaaeeeeiiiiooooouuuunc'), '[/_-]+', ' ' /*all*/), '[ \t\n\r]+', ' ' /*all*/)) AS text FROM {documents} WHERE text IS NOT NULL"
-_FLAVORS = f"SELECT d.doc_id, a.flavor, a.ord, a.min_match, count_if(a.is_anti = 0 AND instr(d.text, a.anchor) > 0) AS matched, count_if(a.is_anti = 0 AND instr(d.text, a.anchor) = 0) AS missing, count_if(a.is_anti = 1 AND instr(d.text, a.anchor) > 0) AS anti_hits FROM ({_FOLDED}) AS d CROSS JOIN ({_ANCHORS}) AS a GROUP BY d.doc_id, a.flavor, a.ord, a.min_match"
-_OWNED = f"SELECT doc_id, min_by(flavor, ord) AS flavor FROM ({_FLAVORS}) AS f WHERE matched >= min_match AND anti_hits = 0 GROUP BY doc_id"
+#: Each text is read once: a flag for every anchor, in order. What follows works on the flags alone, without a shuffle.
+_HITS = "SELECT doc_id, " + " || ".join(f"CASE WHEN instr(text, '{a}') > 0 THEN '1' ELSE '0' END" for *_, a, _x in ANCHORS) + f" AS hits FROM ({_FOLDED}) AS d"
+
+
+def _flags(flavor: str, anti: int) -> str:
+    """How many of a flavor's anchors, or anti-anchors, a text holds."""
+    own = [f"substr(hits, {i}, 1)" for i, (f, _, _, _, x) in enumerate(ANCHORS, 1) if (f, x) == (flavor, anti)]
+    return f"length(replace({' || '.join(own)}, '0', ''))" if own else "0"
+
+
+_KINDS = {f: (o, m) for f, o, m, _, _ in ANCHORS}
+_of = lambda anti: "CAST(CASE a.flavor " + " ".join(f"WHEN '{f}' THEN {_flags(f, anti)}" for f in _KINDS) + " END AS BIGINT)"
+_KIND_ROWS = "SELECT flavor, ord, min_match, count_if(is_anti = 0) AS anchors FROM (" + _ANCHORS + ") AS x GROUP BY flavor, ord, min_match"
+_FLAVORS = f"SELECT d.doc_id, a.flavor, a.ord, a.min_match, {_of(0)} AS matched, a.anchors - {_of(0)} AS missing, {_of(1)} AS anti_hits FROM ({_HITS}) AS d CROSS JOIN ({_KIND_ROWS}) AS a"
+_OWNED = "SELECT doc_id, flavor FROM (SELECT doc_id, CASE " + " ".join(f"WHEN {_flags(f, 0)} >= {m} AND {_flags(f, 1)} = 0 THEN '{f}'" for f, (_, m) in sorted(_KINDS.items(), key=lambda k: k[1][0])) + f" END AS flavor FROM ({_HITS}) AS h) AS w WHERE flavor IS NOT NULL"
 
 TEXT = {
     "f05_normalise_text": f"SELECT doc_id, md5(text) AS text_md5, length(text) AS n FROM ({_FOLDED}) AS d",
-    "j08_anchor_hits": f"SELECT d.doc_id, a.flavor, a.anchor FROM ({_FOLDED}) AS d CROSS JOIN ({_ANCHORS}) AS a WHERE instr(d.text, a.anchor) > 0",
+    "j08_anchor_hits": f"SELECT d.doc_id, a.flavor, a.anchor FROM ({_HITS}) AS d CROSS JOIN ({_ANCHORS}) AS a WHERE substr(d.hits, a.place, 1) = '1'",
     "m01_match_flavor": f"SELECT doc_id, flavor, matched, missing, anti_hits, matched >= min_match AND anti_hits = 0 AS passes, min_match > 1 AND matched = min_match - 1 AS near FROM ({_FLAVORS}) AS f",
     "m02_match_page": f"SELECT doc_id, flavor FROM ({_OWNED}) AS o",
     "m03_count_covers": f"SELECT a.flavor, count(o.doc_id) AS covers FROM (SELECT DISTINCT flavor FROM ({_ANCHORS}) AS x) AS a LEFT JOIN ({_OWNED}) AS o ON o.flavor = a.flavor GROUP BY a.flavor",
