@@ -1,15 +1,6 @@
 """Planned moves, suspects, history, evaluation and text matching."""
 
-#: Ids in a range that one task numbers.
-RANGE = 4096
-
-
-def _places(table: str, id: str) -> str:
-    """Each row's place by id: its place in its range of ids, after the rows of all ranges before."""
-    block = f"CAST(floor({id} / {RANGE}) AS BIGINT)"
-    before = f"SELECT block, sum(n) OVER (ORDER BY block) - n AS before FROM (SELECT {block} AS block, count(*) AS n FROM {{{table}}} GROUP BY 1) AS c"
-    return f"SELECT {id}, CAST(before + row_number() OVER (PARTITION BY b.block ORDER BY {id}) AS BIGINT) AS place FROM {{{table}}} AS r JOIN ({before}) AS b ON {block} = b.block"
-
+from ..plans.relations import places
 
 _OVER = "a.page_from <= b.page_to AND b.page_from <= a.page_to"
 
@@ -32,7 +23,7 @@ REORG = {
     "p09_all_reliable": "SELECT c.hospital, c.sigla, c.note IS NULL AND NOT EXISTS (SELECT 1 FROM {suspects} AS s WHERE s.hospital = c.hospital AND s.sigla = c.sigla AND COALESCE(s.per_file, 1) > 0) AS all_reliable FROM {cells} AS c",
     "x11_applied_ops": "SELECT o.id, CASE WHEN EXISTS (SELECT 1 FROM {suspects} AS s WHERE s.file = o.file) THEN o.status ELSE 'applied' END AS status FROM {ops} AS o",
     "s16_pending_manifest": "SELECT id, op_type, file, page_from, page_to FROM {ops} WHERE status = 'pending'",
-    "w26_op_ids": f"SELECT id, 'op_' || lpad(CAST(place AS STRING), 6, '0') AS op_id FROM ({_places('ops', 'id')}) AS o",
+    "w26_op_ids": f"SELECT id, 'op_' || lpad(CAST(place AS STRING), 6, '0') AS op_id FROM ({places('ops', 'id')}) AS o",
     "f18_range_label": "SELECT id, CASE WHEN page_to <= page_from THEN 'p. ' || CAST(page_from AS STRING) ELSE 'pp. ' || CAST(page_from AS STRING) || '-' || CAST(page_to AS STRING) END AS label FROM {ops}",
 }
 
@@ -45,7 +36,7 @@ HISTORY = {
     "a38_scaled": "SELECT year, month, hospital, sigla, (count - min(count) OVER (PARTITION BY hospital, sigla)) / CAST(greatest(max(count) OVER (PARTITION BY hospital, sigla) - min(count) OVER (PARTITION BY hospital, sigla), 1) AS DOUBLE) AS y FROM {history}",
     "w23_drop_detector": f"SELECT hospital, sigla, CASE WHEN count(*) >= 7 AND count_if(back BETWEEN 2 AND 7 AND count > 0) = 6 AND max(CASE WHEN back = 1 THEN count END) / avg(CASE WHEN back BETWEEN 2 AND 7 THEN count END) < 0.7 THEN 'warn' ELSE 'neutral' END AS tone FROM ({_SERIES}) AS s GROUP BY hospital, sigla",
     "w24_last_months": "SELECT * FROM {history} WHERE year * 12 + month > (SELECT max(year * 12 + month) FROM {history}) - 12",
-    "w25_eta": f"SELECT event_id, place AS done, CASE WHEN place = 0 OR place = total THEN NULL ELSE CAST(floor(place * 1.5 / place * (total - place)) AS BIGINT) END AS eta FROM ({_places('events', 'event_id')}) AS p CROSS JOIN (SELECT count(*) AS total FROM {{events}}) AS t",
+    "w25_eta": f"SELECT event_id, place AS done, CASE WHEN place = 0 OR place = total THEN NULL ELSE CAST(floor(place * 1.5 / place * (total - place)) AS BIGINT) END AS eta FROM ({places('events', 'event_id')}) AS p CROSS JOIN (SELECT count(*) AS total FROM {{events}}) AS t",
     "f12_session_id": "SELECT DISTINCT year, month, lpad(CAST(year AS STRING), 4, '0') || '-' || lpad(CAST(month AS STRING), 2, '0') AS session_id FROM {history}",
     "f13_month_title": "SELECT DISTINCT month, CASE month WHEN 1 THEN 'Enero' WHEN 2 THEN 'Febrero' WHEN 3 THEN 'Marzo' WHEN 4 THEN 'Abril' WHEN 5 THEN 'Mayo' WHEN 6 THEN 'Junio' WHEN 7 THEN 'Julio' WHEN 8 THEN 'Agosto' WHEN 9 THEN 'Septiembre' WHEN 10 THEN 'Octubre' WHEN 11 THEN 'Noviembre' ELSE 'Diciembre' END AS title FROM {history}",
     "f17_eta_label": "SELECT id, '~' || CAST(CAST(greatest(1, floor(pages * 350 / 60000 + 0.5)) AS INT) AS STRING) || ' min' AS label FROM {files}",

@@ -46,6 +46,17 @@ def values(rows, names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({names})"
 
 
+#: Ids in a range that one task numbers.
+RANGE = 4096
+
+
+def places(table: str, id: str) -> str:
+    """Each row's place by id: its place in its range of ids, after the rows of all ranges before."""
+    block = f"CAST(floor({id} / {RANGE}) AS BIGINT)"
+    before = f"SELECT block, sum(n) OVER (ORDER BY block) - n AS before FROM (SELECT {block} AS block, count(*) AS n FROM {{{table}}} GROUP BY 1) AS c"
+    return f"SELECT {id}, CAST(before + row_number() OVER (PARTITION BY b.block ORDER BY {id}) AS BIGINT) AS place FROM {{{table}}} AS r JOIN ({before}) AS b ON {block} = b.block"
+
+
 RELATIONS = {
     "dim_hospital": values([(h, i) for i, h in enumerate(HOSPITALS)], "hospital, hospital_ord"),
     "dim_sigla": values([(s, i, *x) for i, (s, *x) in enumerate(SIGLAS)], "sigla, ord, folder_text, expected, count_type, fixed_pages, strategy"),
@@ -87,9 +98,11 @@ RELATIONS = {
         SELECT hospital, sigla, CASE WHEN n % 5 = 0 THEN n % 7 END AS user_override, CASE WHEN n % 3 = 0 THEN n % 4 END AS ocr_count, CASE WHEN n % 2 = 0 THEN n END AS filename_count,
           n % 4 - 2 AS reorg_delta, n % 11 = 0 AS excluded, CASE WHEN n % 4 = 1 THEN 'nota' END AS note, n % 6 = 0 AS confirmed, CASE WHEN n % 3 = 1 THEN 'terminado' WHEN n % 3 = 2 THEN 'en_curso' END AS worker_status
         FROM (SELECT hospital, sigla, CAST(hospital_ord * 20 + ord AS INT) AS n FROM {dim_hospital} CROSS JOIN {dim_sigla}) AS c""",
+    "file_places": places("file_counts", "id"),
     "marks": """
         SELECT e.event_id AS id, f.hospital, f.sigla, CASE WHEN e.event_id % 17 = 0 THEN 'gone_' || f.file ELSE f.file END AS file, CAST(1 + e.event_id % 6 AS INT) AS page, CAST(e.event_id % 4 AS INT) AS count
-        FROM {events} AS e JOIN (SELECT *, row_number() OVER (ORDER BY id) - 1 AS seq, count(*) OVER () AS n FROM {file_counts}) AS f ON e.event_id % f.n = f.seq""",
+        FROM (SELECT event_id, event_id % (SELECT NULLIF(count(*), 0) FROM {file_counts}) AS seq FROM {events}) AS e
+        JOIN {file_places} AS p ON e.seq = p.place - 1 JOIN {file_counts} AS f ON f.id = p.id""",
     "ops": """
         SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'move_file' WHEN 1 THEN 'extract_pages' WHEN 2 THEN 'rotate_pages' ELSE 'bogus' END AS op_type,
           CASE o_custkey % 4 WHEN 0 THEN 'HPV' WHEN 1 THEN 'HRB' WHEN 2 THEN 'HLU' ELSE 'HLL' END AS src_hospital, CASE o_custkey % 3 WHEN 0 THEN 'odi' WHEN 1 THEN 'irl' ELSE 'art' END AS src_sigla,
