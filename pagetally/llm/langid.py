@@ -3,7 +3,9 @@
 log P(language | all) = log prior of the host + text likelihood + declared language + address suffix.
 
 * Text: byte-bigram likelihoods of lower-cased letters (bytes above 127 are letters, the rest are breaks),
-  fitted on SAMPLE labelled rows or so (a documented bound; rows are drawn by a hash of their id).
+  fitted on SAMPLE labelled rows or so (a documented bound; as many of each language, drawn by a hash of id
+  and text, and LEAST_DRAWN or all it has at least). Every label of LEAST_LABELLED texts or more in the whole
+  input is a language; the model takes 8 bytes a language and bigram seen.
   Bigrams are not independent, so the likelihood is tempered to the power TEMPER.
 * Declared language and address suffix: right with probability TRUST and SUFFIX_TRUST, else any other.
 * Host prior: by grouped aggregation over all rows, counts of (host, language) by text alone, smoothed
@@ -30,13 +32,13 @@ from .common import arrow_schema, schema, staged
 
 SAMPLE = 4000
 LEAST_LABELLED = 3
+LEAST_DRAWN = 100
 TEMPER = 0.3
 TRUST = 0.9
 SUFFIX_TRUST = 0.7
 KAPPA = 20.0
 MARGIN = 1.5
 MIN_POSTERIOR = 0.5
-MOST_LANGUAGES = 200
 #: Address suffixes and path segments whose name is not the language's own.
 SUFFIX_LANGUAGE = {"at": "de", "mx": "es", "ar": "es", "uk": "en", "us": "en"}
 _MAP = np.full(256, 32, np.uint8)
@@ -56,50 +58,65 @@ def bigrams(text: bytes) -> np.ndarray:
 
 
 class TextModel:
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], seen: np.ndarray, counts: np.ndarray):
+        """counts: of each language, the times it has each bigram of `seen`; other bigrams share a last column."""
         self.languages = languages
-        p = counts + 0.5
-        self.logp = np.log(p / p.sum(axis=1, keepdims=True)) if languages else np.empty((0, 65536))
-        share = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
-        self.usual = (share * self.logp).sum(axis=1)
+        self.place = np.full(65536, len(seen), np.int32)
+        self.place[seen] = np.arange(len(seen))
+        total = counts.sum(axis=1, keepdims=True)
+        counts = np.hstack([counts, np.zeros((len(languages), 1))])
+        self.logp = np.log((counts + 0.5) / (total + 0.5 * 65536))
+        self.usual = (counts / np.maximum(1, total) * self.logp).sum(axis=1)
 
     def score(self, text: str | None) -> tuple[np.ndarray, int]:
         """Log-likelihood of a text by language, and its bigrams."""
         total, n = np.zeros(len(self.languages)), 0
         raw = (text or "").encode()
         for at in range(0, len(raw), 1 << 20):
-            g = bigrams(raw[at : at + (1 << 20) + 1])
-            total += self.logp[:, g].sum(axis=1)
-            n += len(g)
+            times = np.bincount(self.place[bigrams(raw[at : at + (1 << 20) + 1])])
+            had = np.flatnonzero(times)
+            total += (self.logp[:, had] * times[had]).sum(axis=1)
+            n += int(times.sum())
         return total, n
 
 
 def fit_text_model(df: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """Bigram counts by language of about `sample` labelled rows; at most 65536 rows a language reach the driver."""
+    """Bigram counts by language. The languages are all labels of LEAST_LABELLED texts or more, counted over all rows;
+    of each, about sample / languages rows are drawn (LEAST_DRAWN at least, or all it has)."""
     rows = df.filter(df[text].isNotNull() & df[label].isNotNull())
-    share = min(1.0, sample / max(1, df.count()))
-    rows = rows.filter(F.pmod(F.xxhash64(rows[id]), F.lit(1 << 30)) < int(share * (1 << 30))).select(rows[label].alias("lang"), rows[text].alias("text"))
+    rows = rows.select(rows[label].alias("lang"), rows[text].alias("text"), F.pmod(F.xxhash64(rows[id], rows[text]), F.lit(1 << 30)).alias("draw"))
+    labels = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).filter(F.col("n") >= LEAST_LABELLED)
+    labels = staged(labels, "labels")
+    languages = sorted(r[0] for r in labels.select("lang").collect())
+    each = max(LEAST_DRAWN, sample / max(1, len(languages)))
+    shares = labels.select("lang", F.greatest("first", F.ceil(each / F.col("n") * (1 << 30)) - 1).alias("most"))  # one row at least
+    rows = rows.join(F.broadcast(shares), "lang").filter("draw <= most").select("lang", "text")
     out = schema("lang string, bigram int, n bigint")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[str, np.ndarray] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, own in have.items():
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], schema=arrow_schema(out))
+            have.clear()
+
         for b in batches:
             for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = have.setdefault(lang, np.zeros(65537, np.int64))
-                own[:65536] += np.bincount(bigrams(t.as_py().encode()), minlength=65536)
-                own[65536] += 1  # texts
-        for lang, own in have.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(own[at])], schema=arrow_schema(out))
-
-    found = rows.mapInArrow(count, out).groupBy("lang", "bigram").agg(F.sum("n").alias("n"))
-    found = staged(found, "bigrams")
-    named = [r[0] for r in found.filter(f"bigram = 65536 and n >= {LEAST_LABELLED}").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
-    languages = sorted(named)
-    counts = np.zeros((len(languages), 65536))
-    for lang, g, n in found.filter(F.col("lang").isin(languages) & (F.col("bigram") < 65536)).toLocalIterator():
-        counts[languages.index(lang), g] = n
-    return TextModel(languages, counts)
+                if lang not in have and len(have) == 64:
+                    yield from counted()
+                own = have.setdefault(lang, np.zeros(65536, np.int64))
+                own += np.bincount(bigrams(t.as_py().encode()), minlength=65536)
+        yield from counted()
+
+    found = staged(rows.mapInArrow(count, out).groupBy("lang", "bigram").agg(F.sum("n").alias("n")), "bigrams")
+    seen = np.array(sorted(r[0] for r in found.select("bigram").distinct().collect()), np.int64)
+    counts = np.zeros((len(languages), len(seen)))
+    row, column = ({x: i for i, x in enumerate(names)} for names in (languages, seen.tolist()))
+    for lang, g, n in found.toLocalIterator():
+        counts[row[lang], column[g]] = n
+    return TextModel(languages, seen, counts)
 
 
 def _at(names: Column, languages: list[str]) -> Column:
@@ -147,18 +164,17 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ad
             yield pa.array([int(s.argmax()) if n and L else -1 for s, n in got], pa.int32())
 
     votes = evidence.select(F.col("__host").alias("host"), F.when(dot > 0, F.expr("substring(__host, instr(__host, '.'))")).otherwise(F.lit("")).alias("parent"), by_text("__text").alias("lang")).filter("lang >= 0 and host is not null")
-    counts = votes.groupBy("host", "parent").agg(*[F.sum((F.col("lang") == i).cast("double")).alias(f"n{i}") for i in range(L)]) if L else None
     if L:
-        counts = staged(counts, "host-counts")
-        columns = [f"n{i}" for i in range(L)]
-        every = counts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns]).first()
-        base = [(every[c] + 1) / (sum(every) + L) for c in columns]
-        smooth = lambda row, above: [(F.col(f"{row}{i}") + KAPPA * a) / (sum((F.col(f"{row}{j}") for j in range(L)), F.lit(0.0)) + KAPPA) for i, a in enumerate(above)]
-        parents = counts.groupBy("parent").agg(*[F.sum(c).alias(c) for c in columns])
-        parents = parents.select("parent", *[x.alias(f"p{i}") for i, x in enumerate(smooth("n", [F.lit(b) for b in base]))])
-        priors = counts.join(parents, "parent").select(F.col("host").alias("__host"), F.array(*smooth("n", [F.col(f"p{i}") for i in range(L)])).alias("__prior"))
+        counts = staged(votes.groupBy("host", "parent", "lang").agg(F.count("*").alias("n")), "host-counts")
+        every = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
+        base = F.array(*[F.lit((every.get(i, 0) + 1) / (sum(every.values()) + L)) for i in range(L)])
+        by = (F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
+        smooth = lambda above: F.transform(above, lambda a, i: (F.coalesce(F.try_element_at("by", i), F.lit(0)) + KAPPA * a) / (F.col("all") + KAPPA))
+        parents = counts.groupBy("parent", "lang").agg(F.sum("n").alias("n")).groupBy("parent").agg(*by)
+        parents = parents.select("parent", smooth(base).alias("above"))
+        priors = counts.groupBy("host", "parent").agg(*by).join(parents, "parent").select(F.col("host").alias("__host"), smooth(F.col("above")).alias("__prior"))
         evidence = evidence.join(staged(priors, "host-priors"), "__host", "left")
-        evidence = evidence.withColumn("__prior", F.coalesce("__prior", F.array(*[F.lit(b) for b in base])))
+        evidence = evidence.withColumn("__prior", F.coalesce("__prior", base))
     else:
         evidence = evidence.withColumn("__prior", F.array().cast("array<double>"))
 

@@ -160,6 +160,26 @@ def test_language_id(spark):
     assert len(none) == len(got) and not any(r.accepted for r in none)
 
 
+def test_rare_languages_are_modelled_at_any_size(spark):
+    """A language of few texts among many of others, unlabelled ones too, stays a language, and its texts are kept."""
+    rare = "вода дом человек который"
+    rows = [(i, f"the water {i % 7} house people", "en" if i % 2 else None, "s") for i in range(6000)] + [(9000 + i, f"{rare} {i}", "ru", "s") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    model = langid.fit_text_model(df, sample=200)
+    assert model.languages == ["en", "ru"]
+    got = langid.identify(df.filter("lang = 'ru'"), model, F.col("text"), F.col("lang"), F.col("source")).collect()
+    assert len(got) == 5 and all(r.predicted == "ru" and r.accepted for r in got)
+
+
+def test_more_languages_than_200(spark):
+    rows = [(3 * k + i, " ".join(chr(0x4E00 + 40 * k + (7 * i + j) % 12) * 2 for j in range(12)), f"l{k:03}", "s") for k in range(210) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    model = langid.fit_text_model(df)
+    assert len(model.languages) == 210
+    got = langid.identify(df, model, F.col("text"), F.col("lang"), F.col("source")).collect()
+    assert len(got) == len(rows) and all(r.predicted == r.lang for r in got)
+
+
 def test_markup_evidence(spark):
     row = spark.range(1).select(
         langid.markup_language(F.lit('<!DOCTYPE html><html class="x" lang="FR-ca"><p>a')).alias("lang"), langid.markup_text(F.lit("<style>p{}</style><p>Bon <b>jour</b>")).alias("text"),
