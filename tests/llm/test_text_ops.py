@@ -171,6 +171,18 @@ def test_rare_languages_are_modelled_at_any_size(spark):
     assert len(got) == 5 and all(r.predicted == "ru" and r.accepted for r in got)
 
 
+def test_short_clean_texts_are_kept(spark):
+    df = spark.createDataFrame(lang_rows(200, 1), "doc_id bigint, text string, lang string, source string")
+    model = langid.fit_text_model(df)
+    rng = random.Random(4)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))
+    short = [(1, "Great house.", "en", "s"), (2, "Avec soin.", "fr", "s"), (3, "Eine Bitte.", "de", "s"), (4, "ÊTRE FRANÇAISE TRÈS ÉTÉ", "fr", "s"), (5, "être française très été", "fr", "s"), (6, noise, "en", "s"), (7, noise, "de", "s"), (8, noise, "fr", "s"), (9, noise, None, "s")]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(short, df.schema), model, F.col("text"), F.col("lang"), F.col("source")).collect()}
+    assert all(got[i].accepted and got[i].predicted == got[i].lang for i in range(1, 6))
+    assert (got[4].posterior, got[4].n_bigrams) == (got[5].posterior, got[5].n_bigrams)
+    assert not any(got[i].accepted for i in range(6, 10))
+
+
 def test_more_languages_than_200(spark):
     rows = [(3 * k + i, " ".join(chr(0x4E00 + 40 * k + (7 * i + j) % 12) * 2 for j in range(12)), f"l{k:03}", "s") for k in range(210) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
