@@ -73,8 +73,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(_read(spark, sf_dir, "documents")).select("doc_id", "predicted", F.round("posterior", 6).alias("posterior"), "n_bigrams", "accepted")
 
 
+def op10_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of web pages: their text, the language their markup declares, and their addresses' hosts and suffixes."""
+    model = langid.fit_text_model(_read(spark, sf_dir, "documents"))
+    found = langid.identify(_read(spark, sf_dir, "pages"), model, langid.markup_text(F.col("html")), langid.markup_language(F.col("html")), F.col("url"))
+    return found.select("page_id", "predicted", F.round("posterior", 6).alias("posterior"), "n_bigrams", "accepted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat_formatting, op2_byte_bpe, op3_top_k, op4_token_counts, op5_ngram_jaccard, op6_fingerprints, op7_mix_sources, op8_warc, op9_token_files, op10_language_id)
+    own = (op1_chat_formatting, op2_byte_bpe, op3_top_k, op4_token_counts, op5_ngram_jaccard, op6_fingerprints, op7_mix_sources, op8_warc, op9_token_files, op10_language_id, op10_page_language)
     return {f.__name__: f for f in own}
 
 

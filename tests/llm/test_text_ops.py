@@ -198,3 +198,19 @@ def test_markup_evidence(spark):
         langid.suffix_language(F.lit("https://a.example.org/de/12")).alias("path"), langid.suffix_language(F.lit("http://x.example.at/q/1")).alias("domain"), langid.host_of(F.lit("http://A.b.c:80/x")).alias("host"),
     ).first()
     assert (row.lang, row.text.split(), row["path"], row.domain, row.host) == ("fr", ["Bon", "jour"], "de", "de", "a.b.c")
+
+
+def test_pages_use_all_evidence(spark, tmp_path):
+    """Pages are judged by text, markup, address suffix, host and parent domain; each decides where the rest is silent."""
+    from pagetally.llm import entries
+
+    spark.createDataFrame(lang_rows(200, 1), "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    text = {lang: words.replace("ü", "u").replace("ß", "ss") for lang, words in WORDS.items()}
+    rows = [(i, f"http://h{i % 5}.deu.example.org/{i}", f"<html><p>{text['de']}") for i in range(40)]
+    rows += [(k + i, f"http://h{i % 5}.{lang}x.example.com/{i}", f"<html><p>{text[lang]}") for k, lang in ((200, "en"), (300, "fr")) for i in range(40)]
+    rows += [(100, "http://x.example.net/fr/12", "<html><p>zz"), (101, "http://x.example.net/12", '<html lang="fr"><p>zz'), (102, "http://new.deu.example.org/1", "<html><p>zz"), (103, "http://h0.deu.example.org/1", "<html><p>zz"), (104, "http://x.example.net/1", None), (105, None, f"<html lang='de'><p>{text['en']}")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in entries.queries()["op10_page_language"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].predicted == "de" and got[i].accepted for i in range(40))
+    assert [got[i].predicted for i in (100, 101, 102, 103, 104, 105)] == ["fr", "fr", "de", "de", None, "en"]
