@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return "file:" + tempfile.mkdtemp(prefix=f"pagetally-{application}-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary folder of our own if the driver is all
+    there is (local master); on a cluster, where executors could not see it, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:" + tempfile.mkdtemp(prefix="pagetally-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_dir(spark.sparkContext.applicationId)
     return base.rstrip("/")
 
 
@@ -51,6 +60,13 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 _TYPES = {"bigint": T.LongType, "int": T.IntegerType, "string": T.StringType, "binary": T.BinaryType, "double": T.DoubleType, "boolean": T.BooleanType}
 
 
