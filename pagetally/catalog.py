@@ -14,7 +14,7 @@ from .streaming import events
 TEXTS = counting.FILES | counting.CELLS | counting.PAGES | auditing.OPERATORS | patching.OPERATORS
 FRAMES: dict[str, Callable[[Session], DataFrame]] = inference.OPERATORS | parsing.OPERATORS | events.OPERATORS
 #: SQL of operators that are not one text for both dialects.
-SQL = inference.SQL | parsing.SQL | events.SQL
+SQL = auditing.ORACLE | inference.SQL | parsing.SQL | events.SQL
 
 
 def _text(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

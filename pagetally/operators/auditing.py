@@ -1,29 +1,36 @@
 """Planned moves, suspects, history, evaluation and text matching."""
 
+from ..plans.anchors import MOST_SHOWN, PAGE_ANCHORS
 from ..plans.relations import places
 
+_BAD = "op_type NOT IN ('move_file', 'extract_pages', 'split_in_place', 'rotate')"
 _OVER = "a.page_from <= b.page_to AND b.page_from <= a.page_to"
 
 REORG = {
-    "p11_range_overlap": f"SELECT a.id AS a, b.id AS b, {_OVER} AS overlap FROM {{suspects}} AS a JOIN {{suspects}} AS b ON a.hospital = b.hospital AND a.file = b.file AND a.id < b.id",
-    "p12_op_errors": """
-        SELECT id, 'op_type' AS error FROM {ops} WHERE op_type NOT IN ('move_file', 'extract_pages', 'rotate_pages')
-        UNION ALL SELECT id, 'same_cell' FROM {ops} WHERE op_type IN ('move_file', 'extract_pages') AND src_hospital = dst_hospital AND src_sigla = dst_sigla
-        UNION ALL SELECT id, 'page_range' FROM {ops} WHERE op_type IN ('extract_pages', 'rotate_pages') AND (page_from < 1 OR page_to < page_from)
-        UNION ALL SELECT id, 'rotation' FROM {ops} WHERE op_type = 'rotate_pages' AND rotation NOT IN (90, 180, 270)""",
-    "f22_op_defaults": "SELECT o.id, CASE WHEN op_type = 'move_file' THEN COALESCE(c.n, 1) WHEN op_type = 'extract_pages' THEN COALESCE(o.doc_count, 1) ELSE 0 END AS documents FROM {ops} AS o LEFT JOIN (SELECT 'file' || CAST(id AS STRING) AS file, COALESCE(override, per_file, 1) AS n FROM {file_counts}) AS c ON o.file = c.file",
-    "a15_net_deltas": "SELECT h.hospital, s.sigla, CAST(COALESCE(sum(d.n), 0) AS BIGINT) AS delta FROM {dim_hospital} AS h CROSS JOIN {dim_sigla} AS s LEFT JOIN (SELECT src_hospital AS hospital, src_sigla AS sigla, -doc_count AS n FROM {ops} WHERE status = 'pending' UNION ALL SELECT dst_hospital, dst_sigla, doc_count FROM {ops} WHERE status = 'pending') AS d ON d.hospital = h.hospital AND d.sigla = s.sigla GROUP BY h.hospital, s.sigla",
-    "a37_panel": "SELECT hospital, sigla, count_if(side = 'in') AS incoming, count_if(side = 'out') AS outgoing, CAST(sum(n) AS BIGINT) AS net, min(id) AS first_id FROM (SELECT id, src_hospital AS hospital, src_sigla AS sigla, 'out' AS side, -doc_count AS n FROM {ops} WHERE status = 'pending' UNION ALL SELECT id, dst_hospital, dst_sigla, 'in', doc_count FROM {ops} WHERE status = 'pending') AS d GROUP BY hospital, sigla",
-    "j04_open_suspects": "SELECT s.id, s.hospital, s.sigla, s.file FROM {suspects} AS s WHERE NOT EXISTS (SELECT 1 FROM {ops} AS o WHERE o.status = 'pending' AND o.src_hospital = s.hospital AND o.src_sigla = s.sigla AND o.file = s.file AND (o.op_type = 'move_file' OR (o.op_type = 'extract_pages' AND o.page_from <= s.page_to AND s.page_from <= o.page_to)))",
-    "j05_refreshed_suspects": "SELECT id, file FROM {suspects} AS s WHERE s.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM {suspects} AS r WHERE r.id % 2 = 1 AND r.file = s.file AND r.hospital = s.hospital) UNION ALL SELECT id, file FROM {suspects} WHERE id % 2 = 1",
+    "p11_range_overlap": f"SELECT a.hospital, a.sigla, a.file, a.suspect_id AS a, b.suspect_id AS b FROM {{suspects}} AS a JOIN {{suspects}} AS b ON a.hospital = b.hospital AND a.sigla = b.sigla AND a.file = b.file AND a.suspect_id < b.suspect_id AND {_OVER}",
+    "p12_op_errors": f"""
+        SELECT id, 'op_type' AS error FROM {{ops}} WHERE {_BAD}
+        UNION ALL SELECT o.id, e.error FROM (SELECT o.*, f.file IS NOT NULL AS there, COALESCE(f.pages, 0) AS pages, CASE WHEN f.file IS NOT NULL THEN COALESCE(f.override, f.per_file, 1) END AS contribution
+            FROM {{ops}} AS o LEFT JOIN {{file_counts}} AS f ON f.hospital = o.src_hospital AND f.sigla = o.src_sigla AND f.file = o.file WHERE NOT ({_BAD})) AS o
+          JOIN (VALUES ('same_cell'), ('missing_file'), ('move_with_range'), ('no_range'), ('out_of_bounds'), ('rotation'), ('no_rotation'), ('negative_count'), ('count_over_range'), ('count_over_file')) AS e(error)
+          ON CASE e.error WHEN 'same_cell' THEN op_type IN ('move_file', 'extract_pages') AND src_hospital = dst_hospital AND src_sigla = dst_sigla WHEN 'missing_file' THEN NOT there
+            WHEN 'move_with_range' THEN op_type = 'move_file' AND page_from IS NOT NULL WHEN 'no_range' THEN op_type = 'extract_pages' AND page_from IS NULL
+            WHEN 'out_of_bounds' THEN op_type = 'extract_pages' AND NOT (1 <= page_from AND page_from <= page_to AND page_to <= pages) WHEN 'rotation' THEN rotation NOT IN (0, 90, 180, 270) WHEN 'no_rotation' THEN op_type = 'rotate' AND rotation = 0
+            WHEN 'negative_count' THEN doc_count < 0 WHEN 'count_over_range' THEN op_type = 'extract_pages' AND doc_count >= 0 AND doc_count > page_to - page_from + 1 ELSE op_type = 'move_file' AND doc_count >= 0 AND doc_count > contribution END
+        UNION ALL SELECT o.id, 'overlap' FROM {{ops}} AS o WHERE o.op_type = 'extract_pages' AND EXISTS (SELECT 1 FROM {{ops}} AS x WHERE x.file = o.file AND x.id < o.id AND x.op_type = 'extract_pages' AND x.status = 'pending' AND x.page_from <= o.page_to AND o.page_from <= x.page_to)""",
+    "f22_op_defaults": "SELECT id, documents, workers FROM {resolved_ops}",
+    "a15_net_deltas": "SELECT h.hospital, s.sigla, CAST(COALESCE(sum(d.documents), 0) AS BIGINT) AS delta, CAST(COALESCE(sum(d.workers), 0) AS BIGINT) AS worker_delta FROM {dim_hospital} AS h CROSS JOIN {dim_sigla} AS s LEFT JOIN {op_sides} AS d ON d.hospital = h.hospital AND d.sigla = s.sigla GROUP BY h.hospital, s.sigla",
+    "a37_panel": "SELECT hospital, sigla, count_if(side = 'in') AS incoming, count_if(side = 'out') AS outgoing, CAST(sum(documents) AS BIGINT) AS net, min(id) AS first_id FROM {op_sides} GROUP BY hospital, sigla",
+    "j04_open_suspects": "SELECT suspect_id, kind, hospital, sigla, file FROM {open_suspects}",
+    "j05_refreshed_suspects": "SELECT suspect_id, kind, hospital, sigla, file, page_from, page_to FROM {suspects}",
     "j09_overlapping_extracts": "SELECT a.id AS a, b.id AS b FROM {ops} AS a JOIN {ops} AS b ON a.file = b.file AND a.src_hospital = b.src_hospital AND a.src_sigla = b.src_sigla AND a.id < b.id AND a.page_from <= b.page_to AND b.page_from <= a.page_to WHERE a.op_type = 'extract_pages' AND b.op_type = 'extract_pages' AND a.status = 'pending' AND b.status = 'pending'",
-    "f07_suspect_id": "SELECT id, 'cs_' || substr(sha1(kind || '|' || file || '|(' || CAST(page_from AS STRING) || ', ' || CAST(page_to AS STRING) || ')'), 1, 10) AS suspect_id FROM {suspects}",
-    "r07_counted": "SELECT s.id, COALESCE(s.per_file, 1) > 0 AS counted FROM {suspects} AS s",
-    "r08_blocked_cells": "SELECT hospital, sigla, bool_or(COALESCE(per_file, 1) > 0) AS blocked FROM {suspects} GROUP BY hospital, sigla",
-    "p09_all_reliable": "SELECT c.hospital, c.sigla, c.note IS NULL AND NOT EXISTS (SELECT 1 FROM {suspects} AS s WHERE s.hospital = c.hospital AND s.sigla = c.sigla AND COALESCE(s.per_file, 1) > 0) AS all_reliable FROM {cells} AS c",
-    "x11_applied_ops": "SELECT o.id, CASE WHEN EXISTS (SELECT 1 FROM {suspects} AS s WHERE s.file = o.file) THEN o.status ELSE 'applied' END AS status FROM {ops} AS o",
+    "f07_suspect_id": "SELECT kind, hospital, sigla, file, page_from, page_to, suggested, suspect_id FROM {stored_suspects}",
+    "r07_counted": "SELECT suspect_id, hospital, sigla, file, counted FROM {suspects}",
+    "r08_blocked_cells": "SELECT hospital, sigla, bool_or(counted) AS blocked FROM {open_suspects} GROUP BY hospital, sigla",
+    "p09_all_reliable": "SELECT hospital, sigla, all_reliable FROM {reliable_cells}",
+    "x11_applied_ops": "SELECT id, now AS status FROM {current_ops}",
     "s16_pending_manifest": "SELECT id, op_type, file, page_from, page_to FROM {ops} WHERE status = 'pending'",
-    "w26_op_ids": f"SELECT id, 'op_' || lpad(CAST(place AS STRING), 6, '0') AS op_id FROM ({places('ops', 'id')}) AS o",
+    "w26_op_ids": f"SELECT id, 'op_' || CASE WHEN place < 1000 THEN lpad(CAST(place AS STRING), 3, '0') ELSE CAST(place AS STRING) END AS op_id FROM ({places('ops', 'id')}) AS o",
     "f18_range_label": "SELECT id, CASE WHEN page_to <= page_from THEN 'p. ' || CAST(page_from AS STRING) ELSE 'pp. ' || CAST(page_from AS STRING) || '-' || CAST(page_to AS STRING) END AS label FROM {ops}",
 }
 
@@ -68,35 +75,40 @@ EVALUATION = {
     "u06_intersection": "SELECT code FROM {page_reads} WHERE suppkey % 2 = 0 AND code IS NOT NULL INTERSECT SELECT code FROM {page_reads} WHERE suppkey % 2 = 1",
 }
 
-#: Anchors of three flavors: frequent words by language. The third needs more and knows anti-anchors.
-ANCHORS = [("en", 1, 3, "the", 0), ("en", 1, 3, "of", 0), ("en", 1, 3, "and", 0), ("en", 1, 3, "with", 0), ("de", 2, 3, "der", 0), ("de", 2, 3, "und", 0), ("de", 2, 3, "eine", 0), ("fr", 3, 4, "les", 0), ("fr", 3, 4, "des", 0), ("fr", 3, 4, "tion", 0), ("fr", 3, 4, "pour", 0), ("fr", 3, 4, "retion", 1)]
-_ANCHORS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}', {o}, {m}, '{a}', {x})" for i, (f, o, m, a, x) in enumerate(ANCHORS, 1)) + ") AS t(place, flavor, ord, min_match, anchor, is_anti)"
-_FOLDED = "SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñç', 'aaaaaaeeeeiiiiooooouuuunc'), '[/_-]+', ' ' /*all*/), '[ \t\n\r]+', ' ' /*all*/)) AS text FROM {documents} WHERE text IS NOT NULL"
-#: Each text is read once: a flag for every anchor, in order. What follows works on the flags alone, without a shuffle.
-_HITS = "SELECT doc_id, " + " || ".join(f"CASE WHEN instr(text, '{a}') > 0 THEN '1' ELSE '0' END" for *_, a, _x in ANCHORS) + f" AS hits FROM ({_FOLDED}) AS d"
-
-
-def _flags(flavor: str, anti: int) -> str:
-    """How many of a flavor's anchors, or anti-anchors, a text holds."""
-    own = [f"substr(hits, {i}, 1)" for i, (f, _, _, _, x) in enumerate(ANCHORS, 1) if (f, x) == (flavor, anti)]
-    return f"length(replace({' || '.join(own)}, '0', ''))" if own else "0"
-
-
-_KINDS = {f: (o, m) for f, o, m, _, _ in ANCHORS}
-_of = lambda anti: "CAST(CASE a.flavor " + " ".join(f"WHEN '{f}' THEN {_flags(f, anti)}" for f in _KINDS) + " END AS BIGINT)"
-_KIND_ROWS = "SELECT flavor, ord, min_match, count_if(is_anti = 0) AS anchors FROM (" + _ANCHORS + ") AS x GROUP BY flavor, ord, min_match"
-_FLAVORS = f"SELECT d.doc_id, a.flavor, a.ord, a.min_match, {_of(0)} AS matched, a.anchors - {_of(0)} AS missing, {_of(1)} AS anti_hits FROM ({_HITS}) AS d CROSS JOIN ({_KIND_ROWS}) AS a"
-_OWNED = "SELECT doc_id, flavor FROM (SELECT doc_id, CASE " + " ".join(f"WHEN {_flags(f, 0)} >= {m} AND {_flags(f, 1)} = 0 THEN '{f}'" for f, (_, m) in sorted(_KINDS.items(), key=lambda k: k[1][0])) + f" END AS flavor FROM ({_HITS}) AS h) AS w WHERE flavor IS NOT NULL"
-
 TEXT = {
-    "f05_normalise_text": f"SELECT doc_id, md5(text) AS text_md5, length(text) AS n FROM ({_FOLDED}) AS d",
-    "j08_anchor_hits": f"SELECT d.doc_id, a.flavor, a.anchor FROM ({_HITS}) AS d CROSS JOIN ({_ANCHORS}) AS a WHERE substr(d.hits, a.place, 1) = '1'",
-    "m01_match_flavor": f"SELECT doc_id, flavor, matched, missing, anti_hits, matched >= min_match AND anti_hits = 0 AS passes, min_match > 1 AND matched = min_match - 1 AS near FROM ({_FLAVORS}) AS f",
-    "m02_match_page": f"SELECT doc_id, flavor FROM ({_OWNED}) AS o",
-    "m03_count_covers": f"SELECT a.flavor, count(o.doc_id) AS covers FROM (SELECT DISTINCT flavor FROM ({_ANCHORS}) AS x) AS a LEFT JOIN ({_OWNED}) AS o ON o.flavor = a.flavor GROUP BY a.flavor",
-    "t02_near_matches": f"SELECT f.doc_id, min_by(f.flavor, f.ord) AS near_flavor FROM ({_FLAVORS}) AS f WHERE min_match > 1 AND matched = min_match - 1 AND NOT EXISTS (SELECT 1 FROM ({_OWNED}) AS o WHERE o.doc_id = f.doc_id) GROUP BY f.doc_id",
-    "t06_first_anchors": f"SELECT flavor, anchor FROM (SELECT *, row_number() OVER (PARTITION BY flavor ORDER BY anchor) AS n FROM ({_ANCHORS}) AS a WHERE is_anti = 0) AS r WHERE n <= 3",
+    "f05_normalise_text": "SELECT doc_id, md5(text) AS text_md5, length(text) AS n FROM {folded_documents}",
+    "j08_anchor_hits": "SELECT pdf, page, sigla, flavor, explode(matched) AS anchor FROM {raw_flavors}",
+    "m01_match_flavor": "SELECT pdf, page, sigla, flavor, size(matched) AS matched, size(missing) AS missing, anti_hits, size(matched) >= min_match AND anti_hits = 0 AS passes, anti_hits = 0 AND min_match > 1 AND size(matched) = min_match - 1 AS near FROM {raw_flavors}",
+    "m02_match_page": "SELECT pdf, page, raw_owner AS flavor, raw_near AS near_flavor FROM {cover_pages}",
+    "m03_count_covers": "SELECT pdf, sigla, count(owner) AS covers, count(*) AS pages, count(near) AS near_matches FROM {cover_pages} GROUP BY pdf, sigla",
+    "m04_two_pass": "SELECT pdf, page, owner, near, CASE WHEN raw_owner IS NOT NULL THEN 1 WHEN owner IS NOT NULL THEN 2 END AS found_in FROM {cover_pages}",
+    "m05_anchors": "SELECT sigla, flavor, ord, min_match, place, anchor, is_anti FROM {dim_anchor}",
+    "a14_flavor_counts": "SELECT f.sigla, f.flavor, COALESCE(c.covers, 0) AS covers FROM (SELECT DISTINCT sigla, flavor FROM {dim_anchor}) AS f LEFT JOIN (SELECT sigla, owner, count(*) AS covers FROM {cover_pages} WHERE owner IS NOT NULL GROUP BY sigla, owner) AS c ON c.sigla = f.sigla AND c.owner = f.flavor",
+    "t02_near_matches": "SELECT pdf, page, near AS near_flavor FROM {cover_pages} WHERE near IS NOT NULL",
+    # categories that are scanned by anchors show three different ones, but none that says a page's number
+    "t06_first_anchors": f"""
+        SELECT sigla, anchor, n AS place FROM (SELECT sigla, anchor, row_number() OVER (PARTITION BY sigla ORDER BY ord, place) AS n
+          FROM (SELECT a.sigla, a.anchor, a.ord, a.place, row_number() OVER (PARTITION BY a.sigla, a.anchor ORDER BY a.ord, a.place) AS again FROM {{dim_anchor}} AS a JOIN {{dim_sigla}} AS s ON s.sigla = a.sigla AND s.strategy = 'anchors'
+            WHERE a.is_anti = 0 AND {" AND ".join(f"a.anchor NOT LIKE '{p}%'" for p in PAGE_ANCHORS)}) AS d WHERE again = 1) AS r WHERE n <= {MOST_SHOWN}""",
+    # a page that nearly matches, as a flavor to be added
+    "f19_flavor_stub": """
+        SELECT pdf, page, flavor, concat('# from file ', CAST(pdf AS STRING), ' p.', CAST(page AS STRING), ' (', flavor, ')\\nanchors: ', array_join(matched, ', '), '\\nmissing: ', array_join(missing, ', '), '\\nmin_match: ', CAST(greatest(3, size(matched)) AS STRING)) AS stub
+        FROM {raw_flavors} WHERE anti_hits = 0 AND min_match > 1 AND size(matched) = min_match - 1""",
+    # what a reader's result and its near matches look like in an event
+    "p23_event_payload": """
+        SELECT hospital, sigla, CAST(sum(COALESCE(per_file, 0)) AS BIGINT) AS ocr_count, CASE WHEN bool_or(pages = 0) THEN 'low' ELSE 'high' END AS confidence, count_if(pages = 0) AS errors, max(CASE WHEN method IS NULL THEN '' ELSE method END) AS method
+        FROM {file_counts} WHERE method <> 'filename_glob' GROUP BY hospital, sigla""",
+    "f04_digit_confusion": "SELECT pdf, page, translate(text, 'OolI|ZSB', '00111258') AS for_pages, translate(text, 'OoIilLzZ|tT''‘’`´', '0011112201111111') AS for_numbers FROM {page_text} WHERE text <> ''",
+    "f06_token_hits": "SELECT id, token, sigla FROM (SELECT n.id, n.token, d.sigla FROM {name_tokens} AS n JOIN {dim_token} AS d ON d.token = n.token) AS t",
     "f11_slash_parse": "SELECT id, CAST(regexp_extract(t, '^([0-9]+)/([0-9]+)$', 1) AS INT) AS curr, CAST(regexp_extract(t, '^([0-9]+)/([0-9]+)$', 2) AS INT) AS total FROM (SELECT id, CAST(pages AS STRING) || '/' || CAST(pages + 2 AS STRING) AS t FROM {files}) AS f",
 }
 
+#: Texts for the oracle where they are not those of the operators.
+ORACLE = {
+    "j08_anchor_hits": "SELECT pdf, page, sigla, flavor, unnest(matched) AS anchor FROM {raw_flavors}",
+    "m01_match_flavor": "SELECT pdf, page, sigla, flavor, COALESCE(len(matched), 0) AS matched, COALESCE(len(missing), 0) AS missing, anti_hits, COALESCE(len(matched), 0) >= min_match AND anti_hits = 0 AS passes, anti_hits = 0 AND min_match > 1 AND COALESCE(len(matched), 0) = min_match - 1 AS near FROM {raw_flavors}",
+    "f19_flavor_stub": "SELECT pdf, page, flavor, '# from file ' || pdf || ' p.' || page || ' (' || flavor || ')' || chr(10) || 'anchors: ' || array_to_string(matched, ', ') || chr(10) || 'missing: ' || array_to_string(missing, ', ') || chr(10) || 'min_match: ' || greatest(3, len(matched)) AS stub FROM {raw_flavors} WHERE anti_hits = 0 AND min_match > 1 AND len(matched) = min_match - 1",
+    "f06_token_hits": "SELECT f.id, d.token, d.sigla FROM {files} AS f JOIN {dim_token} AS d ON lower(f.name) LIKE '%.pdf' AND regexp_matches(substr(lower(f.name), 1, length(f.name) - 4), '(^|[_.-])(' || d.token || ')($|[_.-])')",
+}
+
 OPERATORS = REORG | HISTORY | EVALUATION | TEXT

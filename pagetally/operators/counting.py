@@ -12,31 +12,32 @@ FILES = {
     "p03_belongs_to_cell": "SELECT id, CASE WHEN host = 'chps' THEN lower(name) LIKE '%.pdf' ELSE COALESCE(sigla = host, false) END AS belongs FROM {file_sigla}",
     "p04_only_skip": "SELECT f.id, f.file FROM {file_counts} AS f WHERE f.hospital = 'HPV' AND NOT EXISTS (SELECT 1 FROM {file_counts} AS r WHERE r.id = f.id AND (r.method NOT IN ('', 'filename_glob') OR r.override IS NOT NULL))",
     "p05_skip_set": "SELECT DISTINCT hospital, sigla, file FROM (SELECT hospital, sigla, file FROM {file_counts} WHERE method IS NOT NULL AND method NOT IN ('', 'filename_glob') UNION ALL SELECT hospital, sigla, file FROM {file_counts} WHERE override IS NOT NULL) AS s",
-    "p07_file_origin": "SELECT id, CASE WHEN override IS NOT NULL THEN 'Manual' WHEN pages = 0 THEN 'Error' WHEN method IN ('pagination', 'header_band_anchors') THEN CASE WHEN per_file = 0 THEN 'Revisar' ELSE 'OCR' END WHEN method = 'ratio_n' THEN 'RN' WHEN method = 'page_count_pure' THEN 'R1' WHEN method = 'filename_glob' THEN CASE WHEN pages = 1 THEN 'R1' ELSE 'Pendiente' END ELSE 'R1' END AS origin FROM {file_counts}",
-    "p08_settled": "SELECT c.hospital, c.sigla, c.note IS NULL AND COALESCE(o.n > 0 AND o.reliable, false) AS settled FROM {cells} AS c LEFT JOIN (SELECT hospital, sigla, count(*) AS n, bool_and(override IS NOT NULL OR (pages > 0 AND (method = 'ratio_n' OR method = 'page_count_pure' OR (method IN ('pagination', 'header_band_anchors') AND NOT COALESCE(per_file = 0, false))))) AS reliable FROM {file_counts} GROUP BY hospital, sigla) AS o ON c.hospital = o.hospital AND c.sigla = o.sigla",
+    "p07_file_origin": "SELECT id, origin FROM {file_origin}",
+    "p08_settled": "SELECT hospital, sigla, settled FROM {settled_cells}",
     "p14_file_search": "SELECT id, name FROM {files} WHERE instr(lower(name), 'irl') > 0 AND host IN ('irl', 'odi')",
     "p15_differs_from_pages": "SELECT id, COALESCE(override, per_file, 1) AS shown, pages FROM {file_counts} WHERE sigla <> 'maquinaria' AND pages > 0 AND COALESCE(override, per_file, 1) <> pages",
-    "p17_pending_cells": "SELECT hospital, sigla FROM {cells} WHERE NOT confirmed AND user_override IS NULL AND note IS NULL AND NOT excluded",
-    "p18_grid_fill": "SELECT h.hospital, s.sigla, CAST(COALESCE(c.user_override, c.ocr_count, c.filename_count, 0) AS INT) AS value FROM {dim_hospital} AS h CROSS JOIN {dim_sigla} AS s LEFT JOIN {cells} AS c ON c.hospital = h.hospital AND c.sigla = s.sigla AND c.hospital <> 'HLL' WHERE s.sigla <> 'revdocmaq' AND NOT COALESCE(c.excluded, false)",
-    "p20_history_method": "SELECT hospital, sigla, file, CASE WHEN override IS NOT NULL THEN 'override' WHEN method IS NOT NULL AND method <> 'filename_glob' THEN method ELSE 'filename_glob' END AS method FROM {file_counts}",
-    "p22_excluded_value": "SELECT hospital, sigla, CASE WHEN NOT excluded THEN COALESCE(user_override, ocr_count, filename_count, 0) END AS value FROM {cells}",
-    "p13_count_cap": "SELECT f.id, f.override > 10000 OR (s.count_type <> 'checks' AND f.pages > 0 AND f.override > f.pages) AS rejected FROM {file_counts} AS f JOIN {dim_sigla} AS s ON f.sigla = s.sigla WHERE f.override IS NOT NULL",
+    "p17_pending_cells": "SELECT hospital, sigla FROM {ready_cells} WHERE NOT ready",
+    "p18_grid_fill": "SELECT h.hospital, s.sigla, COALESCE(v.count, 0) AS value FROM {dim_hospital} AS h CROSS JOIN {dim_sigla} AS s LEFT JOIN (SELECT n.*, c.excluded FROM {cell_count} AS n JOIN {cells} AS c ON c.hospital = n.hospital AND c.sigla = n.sigla) AS v ON v.hospital = h.hospital AND v.sigla = s.sigla WHERE s.sigla <> 'chps' AND NOT COALESCE(v.excluded, false)",
+    "p20_history_method": "SELECT hospital, sigla, CASE WHEN user_override IS NOT NULL THEN 'override' WHEN ocr_count IS NOT NULL THEN COALESCE(method, 'filename_glob') ELSE 'filename_glob' END AS method FROM {cells}",
+    "p22_excluded_value": "SELECT c.hospital, c.sigla, CASE WHEN NOT c.excluded THEN n.count END AS value FROM {cells} AS c JOIN {cell_count} AS n ON n.hospital = c.hospital AND n.sigla = c.sigla",
+    "p13_count_cap": "SELECT c.hospital, c.sigla, c.user_override > 10000 OR (s.count_type <> 'checks' AND COALESCE(f.pages, 0) > 0 AND c.user_override > f.pages) AS rejected FROM {cells} AS c JOIN {dim_sigla} AS s ON c.sigla = s.sigla LEFT JOIN {cell_files} AS f ON f.hospital = c.hospital AND f.sigla = c.sigla WHERE c.user_override IS NOT NULL",
+    "p13_file_count_cap": "SELECT f.id, f.override > 10000 OR (s.count_type <> 'checks' AND f.pages > 0 AND f.override > f.pages) AS rejected FROM {file_counts} AS f JOIN {dim_sigla} AS s ON f.sigla = s.sigla WHERE f.override IS NOT NULL",
     "j07_name_patterns": "SELECT id, sigla, CAST(pos AS INT) AS pos, CAST(len AS INT) AS len FROM {name_hits}",
     "t01_extract_sigla": "SELECT id, name, sigla FROM {file_sigla}",
-    "u04_foreign_names": "SELECT host, name, CASE WHEN n = 1 THEN least_sigla END AS suggested FROM (SELECT host, name, count(DISTINCT sigla) AS n, min(sigla) AS least_sigla, count_if(sigla = host) AS own FROM {name_hits} GROUP BY host, name) AS s WHERE own = 0",
+    "u04_foreign_names": "SELECT host, hospital, name, suggested FROM {foreign_names}",
     "u03_suggested_siglas": "SELECT DISTINCT name, sigla FROM {name_hits}",
     "a01_count_matching": "SELECT host, count(*) AS files_scanned, count_if(COALESCE(sigla = host, false)) AS matched, count_if(COALESCE(sigla = host, false)) = 0 AS no_matching, count_if(sigla IS NULL) > 0 AS some_unrecognized FROM {file_sigla} GROUP BY host",
     "a02_subfolders": "SELECT host, folder, count(*) AS n, count_if(lower(name) LIKE '%.pdf') AS pdfs FROM {files_dup} GROUP BY host, folder",
     "a03_duplicate_names": "SELECT host, name, count(*) AS n FROM {files_dup} GROUP BY host, name HAVING count(*) >= 2",
     "a04_compilation_suspect": "SELECT f.hospital, f.host, COALESCE(max(CASE WHEN pages > 0 THEN pages END) > 3 * max(COALESCE(expected, 5)) OR (count_if(pages > 0) >= 3 AND avg(CASE WHEN pages > 0 THEN pages END) > 2 * max(COALESCE(expected, 5))), false) AS suspect FROM {files} AS f LEFT JOIN {dim_sigla} AS s ON f.host = s.sigla GROUP BY f.hospital, f.host",
     "a05_fixed_pages": "SELECT f.hospital, f.host, CAST(sum(f.pages) AS BIGINT) AS documents, f.host IN ('caliente', 'herramientas_elec', 'exc') AS inferred FROM {files} AS f JOIN {dim_sigla} AS s ON f.host = s.sigla WHERE s.fixed_pages IS NOT NULL GROUP BY f.hospital, f.host",
-    "a06_variable_count": "SELECT h.hospital, s.sigla, count(f.id) AS documents, CASE WHEN COALESCE(bool_and(f.pages = 1), true) THEN 'high' ELSE 'low' END AS confidence FROM {dim_hospital} AS h CROSS JOIN {dim_sigla} AS s LEFT JOIN {file_sigla} AS f ON f.hospital = h.hospital AND f.host = s.sigla AND f.sigla = s.sigla GROUP BY h.hospital, s.sigla",
+    "a06_variable_count": "SELECT h.hospital, s.sigla, count(f.id) AS documents, CASE WHEN COALESCE(bool_and(f.pages = 1), true) THEN 'high' ELSE 'low' END AS confidence FROM {dim_hospital} AS h CROSS JOIN {dim_sigla} AS s LEFT JOIN (SELECT * FROM {file_sigla} WHERE sigla = host) AS f ON f.hospital = h.hospital AND f.host = s.sigla GROUP BY h.hospital, s.sigla",
     "a39_page_total": "SELECT hospital, host, CAST(sum(pages) AS BIGINT) AS pages FROM {files} GROUP BY hospital, host",
     "a30_progress_total": "SELECT f.hospital, count(*) AS n FROM {file_counts} AS f WHERE NOT (f.method IS NOT NULL AND f.method NOT IN ('', 'filename_glob')) AND f.override IS NULL GROUP BY f.hospital",
     "f09_ratio_count": "SELECT id, CAST(greatest(1, bround(pages / 2, 0)) AS INT) AS documents FROM {files}",
     "f20_effective_count": "SELECT id, COALESCE(override, per_file, 1) AS effective, pages >= 10 AS suspect FROM {file_counts}",
     "f21_contribution": "SELECT hospital, sigla, CAST(sum(COALESCE(override, per_file, 1)) AS BIGINT) AS documents FROM {file_counts} GROUP BY hospital, sigla",
-    "t11_largest_file": "SELECT hospital, host, max_by(name, pages * 10000000 - id) AS name, max(pages) AS pages FROM {files} GROUP BY hospital, host",
+    "t11_largest_file": "SELECT hospital, host, max_by(name, struct(pages, -id)) AS name, max(pages) AS pages FROM {files} GROUP BY hospital, host",
     "t12_list_window": "SELECT id, name FROM {files} ORDER BY id LIMIT 40 OFFSET 20",
 }
 
@@ -47,27 +48,42 @@ CELLS = {
     "j06_orphan_marks": "SELECT m.hospital, m.sigla, m.file, count(*) AS n FROM {marks} AS m WHERE NOT EXISTS (SELECT 1 FROM {file_counts} AS f WHERE f.file = m.file AND f.hospital = m.hospital AND f.sigla = m.sigla) GROUP BY m.hospital, m.sigla, m.file",
     "j14_discrepancy": "SELECT f.host, f.n AS counted, r.n AS listed, f.n <> r.n AS differs FROM (SELECT host, count(*) AS n FROM {file_sigla} WHERE sigla = host GROUP BY host) AS f LEFT JOIN (SELECT host, count(*) AS n FROM {files} GROUP BY host) AS r ON f.host = r.host",
     "j16_seed_missing": "SELECT h.hospital, s.sigla FROM {dim_hospital} AS h CROSS JOIN {dim_sigla} AS s WHERE NOT EXISTS (SELECT 1 FROM {files} AS f WHERE f.hospital = h.hospital AND f.host = s.sigla)",
-    "j15_unknown_ranges": "SELECT c.hospital || '_' || c.sigla || '_count' AS range_name FROM {cells} AS c WHERE NOT EXISTS (SELECT 1 FROM {dim_sigla} AS s WHERE s.sigla = c.sigla AND s.sigla <> 'revdocmaq')",
-    "a07_cell_count": """
-        SELECT c.hospital, c.sigla, CAST(greatest(0, COALESCE(c.user_override, CASE WHEN s.count_type = 'checks' THEN COALESCE(m.n, 0) END, f.n, c.ocr_count, c.filename_count, 0) + COALESCE(c.reorg_delta, 0)) AS BIGINT) AS count
-        FROM {cells} AS c JOIN {dim_sigla} AS s ON c.sigla = s.sigla
-        LEFT JOIN (SELECT hospital, sigla, sum(COALESCE(override, per_file, 0)) AS n FROM {file_counts} WHERE override IS NOT NULL OR per_file IS NOT NULL GROUP BY hospital, sigla) AS f ON f.hospital = c.hospital AND f.sigla = c.sigla
-        LEFT JOIN (SELECT hospital, sigla, sum(count) AS n FROM {marks} AS m WHERE EXISTS (SELECT 1 FROM {file_counts} AS x WHERE x.file = m.file) GROUP BY hospital, sigla) AS m ON m.hospital = c.hospital AND m.sigla = c.sigla""",
-    "a08_marks_tally": "SELECT m.hospital, m.sigla, CAST(sum(m.count) AS BIGINT) AS workers FROM {marks} AS m WHERE EXISTS (SELECT 1 FROM {file_counts} AS f WHERE f.file = m.file) GROUP BY m.hospital, m.sigla",
-    "a09_cell_rollup": "SELECT hospital, sigla, CAST(sum(COALESCE(per_file, 0)) AS BIGINT) AS documents, count_if(pages = 0) AS errors, CASE WHEN bool_or(pages = 0 OR per_file = 0) THEN 'low' ELSE 'high' END AS confidence FROM {file_counts} GROUP BY hospital, sigla",
-    "a16_hospital_totals": "SELECT COALESCE(hospital, 'all') AS hospital, CAST(sum(COALESCE(user_override, ocr_count, filename_count, 0)) AS BIGINT) AS total FROM {cells} GROUP BY ROLLUP (hospital)",
-    "a17_worker_status": "SELECT hospital, CASE WHEN count(*) = 0 THEN NULL WHEN count_if(worker_status = 'terminado') = count(*) THEN 'listo' WHEN count(worker_status) = 0 THEN 'pendiente' ELSE 'en_proceso' END AS status FROM {cells} GROUP BY hospital",
-    "a31_session_dump": "SELECT c.hospital, c.sigla, COALESCE(c.user_override, c.ocr_count, c.filename_count, 0) AS effective, CAST(COALESCE(m.n, 0) AS BIGINT) AS workers FROM {cells} AS c LEFT JOIN (SELECT hospital, sigla, sum(count) AS n FROM {marks} GROUP BY hospital, sigla) AS m ON m.hospital = c.hospital AND m.sigla = c.sigla",
-    "p06_has_work": "SELECT c.hospital, c.sigla, c.ocr_count IS NOT NULL OR c.user_override IS NOT NULL OR c.confirmed OR COALESCE(f.w, false) AS has_work FROM {cells} AS c LEFT JOIN (SELECT hospital, sigla, bool_or(override IS NOT NULL OR COALESCE(method <> 'filename_glob', false)) AS w FROM {file_counts} GROUP BY hospital, sigla) AS f ON f.hospital = c.hospital AND f.sigla = c.sigla",
-    "p16_cell_tone": "SELECT hospital, sigla, CASE WHEN note IS NOT NULL THEN 'warn' WHEN confirmed OR user_override IS NOT NULL THEN 'ok' WHEN ocr_count IS NOT NULL THEN 'partial' ELSE 'pending' END AS tone FROM {cells}",
+    "j15_unknown_ranges": "SELECT c.hospital || '_' || c.sigla || '_count' AS range_name FROM {cells} AS c WHERE NOT EXISTS (SELECT 1 FROM {dim_sigla} AS s WHERE s.sigla = c.sigla AND s.sigla <> 'chps')",
+    "a07_cell_count": "SELECT hospital, sigla, count FROM {cell_count}",
+    "a08_marks_tally": "SELECT n.hospital, n.sigla, n.workers FROM {cell_count} AS n JOIN {marked_cells} AS m ON m.hospital = n.hospital AND m.sigla = n.sigla",
+    "a09_cell_rollup": "SELECT hospital, sigla, CAST(sum(COALESCE(per_file, 0)) AS BIGINT) AS documents, count(*) AS files_scanned, count_if(pages = 0) AS errors, bool_or(pages = 1) AS a7_one_page_locked, bool_or(pages > 1 AND COALESCE(per_file, 0) = 0) AS some_low_trust, CASE WHEN bool_or(pages = 0 OR (pages > 1 AND COALESCE(per_file, 0) = 0)) THEN 'low' ELSE 'high' END AS confidence FROM {file_counts} GROUP BY hospital, sigla",
+    "a16_hospital_totals": "SELECT COALESCE(hospital, 'all') AS hospital, CAST(sum(count) AS BIGINT) AS total FROM {cell_count} GROUP BY ROLLUP (hospital)",
+    "a17_worker_status": """
+        SELECT h.hospital, CASE WHEN count(w.sigla) = 0 THEN NULL WHEN count_if(w.worker_status = 'terminado') = count(w.sigla) THEN 'listo' WHEN count_if(w.started) = 0 THEN 'pendiente' ELSE 'en_proceso' END AS status
+        FROM {dim_hospital} AS h LEFT JOIN (SELECT c.hospital, c.sigla, c.worker_status, c.worker_status IS NOT NULL OR m.sigla IS NOT NULL AS started
+          FROM {cells} AS c JOIN {dim_sigla} AS s ON s.sigla = c.sigla AND s.count_type IN ('documents_workers', 'checks')
+          LEFT JOIN {cell_files} AS f ON f.hospital = c.hospital AND f.sigla = c.sigla LEFT JOIN {marked_cells} AS m ON m.hospital = c.hospital AND m.sigla = c.sigla
+          WHERE COALESCE(f.scanned, 0) > 0 OR COALESCE(c.user_override, c.ocr_count, c.filename_count, 0) > 0) AS w ON w.hospital = h.hospital GROUP BY h.hospital""",
+    "a31_session_dump": "SELECT hospital, sigla, count AS effective, workers FROM {cell_count}",
+    "p21_enriched_cells": """
+        SELECT n.hospital, n.sigla, CASE WHEN n.count_type = 'documents_workers' THEN n.workers END AS worker_count, CASE WHEN n.count_type = 'checks' THEN n.workers END AS checks_count, COALESCE(o.n, 0) AS open_suspects, COALESCE(o.counted, 0) AS counted_suspects, o.first_id
+        FROM {cell_count} AS n LEFT JOIN (SELECT hospital, sigla, count(*) AS n, count_if(counted) AS counted, min(suspect_id) AS first_id FROM {open_suspects} GROUP BY hospital, sigla) AS o ON o.hospital = n.hospital AND o.sigla = n.sigla""",
+    "p06_has_work": "SELECT hospital, sigla, has_work FROM {worked_cells}",
+    "p16_cell_tone": "SELECT h.hospital, s.sigla, CASE WHEN r.errors > 0 THEN 'state-error' WHEN r.sigla IS NULL THEN 'neutral' WHEN r.ready THEN 'confidence-high' ELSE 'confidence-low' END AS tone FROM {dim_hospital} AS h CROSS JOIN {dim_sigla} AS s LEFT JOIN {ready_cells} AS r ON r.hospital = h.hospital AND r.sigla = s.sigla",
     "p10_valid_cells": "SELECT f.id FROM {file_counts} AS f WHERE EXISTS (SELECT 1 FROM {dim_hospital} AS h WHERE h.hospital = f.hospital) AND EXISTS (SELECT 1 FROM {dim_sigla} AS s WHERE s.sigla = f.sigla)",
-    "p19_worker_warnings": "SELECT c.hospital, c.sigla, c.worker_status FROM {cells} AS c JOIN {dim_sigla} AS s ON c.sigla = s.sigla WHERE s.count_type = 'documents_workers' AND COALESCE(c.worker_status, '') <> 'terminado'",
+    "p19_worker_warnings": "SELECT c.hospital, c.sigla FROM {cells} AS c JOIN {cell_files} AS f ON f.hospital = c.hospital AND f.sigla = c.sigla WHERE f.scanned > 0 AND (c.sigla IN ('charla', 'chintegral') OR (c.sigla = 'dif_pts' AND c.hospital = 'HPV')) AND COALESCE(c.worker_status, '') <> 'terminado'",
+    "p19_worker_values": """
+        SELECT c.hospital || '_workers_' || CASE c.sigla WHEN 'charla' THEN 'chgen' ELSE c.sigla END AS range_name, n.workers AS value FROM {cells} AS c JOIN {cell_count} AS n ON n.hospital = c.hospital AND n.sigla = c.sigla LEFT JOIN {marked_cells} AS m ON m.hospital = c.hospital AND m.sigla = c.sigla
+        WHERE c.sigla IN ('charla', 'chintegral') AND (m.sigla IS NOT NULL OR c.worker_status IS NOT NULL)
+        UNION ALL SELECT hospital || '_workers_difpts', workers FROM {cell_count} WHERE hospital = 'HPV' AND sigla = 'dif_pts'""",
     "f16_range_key": "SELECT hospital || '_' || sigla || '_count' AS range_name, COALESCE(user_override, 0) AS value FROM {cells}",
     "g01_rename_count": "SELECT hospital, sigla, COALESCE(filename_count, 0) AS filename_count, COALESCE(confirmed, false) AS confirmed FROM {cells}",
     "g02_note_status": "SELECT hospital, sigla, note, CASE WHEN note IS NOT NULL THEN 'por_resolver' END AS note_status FROM {cells}",
-    "g04_clobber_guard": "SELECT c.hospital, c.sigla, CASE WHEN c.user_override IS NOT NULL OR c.ocr_count IS NOT NULL OR c.confirmed THEN c.filename_count ELSE COALESCE(n.n, c.filename_count) END AS filename_count FROM {cells} AS c LEFT JOIN (SELECT hospital, host, count(*) AS n FROM {files} GROUP BY hospital, host) AS n ON n.hospital = c.hospital AND n.host = c.sigla",
-    "g09_history_export": "SELECT c.hospital, c.sigla, COALESCE(c.user_override, c.ocr_count, c.filename_count, 0) AS count, CASE WHEN c.user_override IS NOT NULL THEN 'high' ELSE 'low' END AS confidence FROM {cells} AS c JOIN {dim_sigla} AS s ON c.sigla = s.sigla WHERE NOT c.excluded",
-    "g10_replace_mark": "SELECT id, hospital, sigla, file, page, CASE WHEN page = 3 THEN 9 ELSE count END AS count FROM {marks} WHERE NOT (page = 5)",
+    "g04_clobber_guard": """
+        SELECT c.hospital, c.sigla, COALESCE(n.n, 0) AS filename_count, CASE WHEN w.has_work THEN c.confidence ELSE CASE WHEN COALESCE(n.most, 0) <= 1 THEN 'high' ELSE 'low' END END AS confidence,
+          CASE WHEN w.has_work THEN r.all_reliable AND NOT COALESCE(b.blocked, false) ELSE COALESCE(n.most <= 1, false) AND NOT COALESCE(b.blocked, false) END AS all_reliable
+        FROM {cells} AS c JOIN {worked_cells} AS w ON w.hospital = c.hospital AND w.sigla = c.sigla JOIN {reliable_cells} AS r ON r.hospital = c.hospital AND r.sigla = c.sigla
+        LEFT JOIN (SELECT hospital, host, count(*) AS n, max(pages) AS most FROM {file_sigla} WHERE sigla = host GROUP BY hospital, host) AS n ON n.hospital = c.hospital AND n.host = c.sigla
+        LEFT JOIN (SELECT hospital, sigla, bool_or(counted) AS blocked FROM {open_suspects} GROUP BY hospital, sigla) AS b ON b.hospital = c.hospital AND b.sigla = c.sigla""",
+    "g09_history_export": "SELECT n.hospital, n.sigla, n.count, COALESCE(c.confidence, 'low') AS confidence, CASE WHEN c.user_override IS NOT NULL THEN 'override' WHEN c.ocr_count IS NOT NULL THEN COALESCE(c.method, 'filename_glob') ELSE 'filename_glob' END AS method FROM {cell_count} AS n JOIN {cells} AS c ON c.hospital = n.hospital AND c.sigla = n.sigla JOIN {dim_hospital} AS h ON h.hospital = n.hospital WHERE NOT c.excluded",
+    "g10_replace_mark": """
+        SELECT hospital, sigla, file, page, count FROM {marks} AS m WHERE NOT EXISTS (SELECT 1 FROM {mark_patches} AS p WHERE p.hospital = m.hospital AND p.sigla = m.sigla AND p.file = m.file AND p.page = m.page)
+        UNION ALL SELECT hospital, sigla, file, page, count FROM {mark_patches} WHERE count > 0""",
 }
 
 PAGES = {
@@ -76,7 +92,7 @@ PAGES = {
         FROM (SELECT pdf, count(*) AS pages, greatest(1, count_if(curr = 1)) AS documents, count_if(status = 'direct') AS direct, count_if(status = 'recovered') AS recovered,
           count_if(status = 'failed') AS failed, count_if(curr = 1 AND status = 'recovered') AS recovered_starts FROM {recovered} GROUP BY pdf) AS s""",
     "a10_dominant_total": "SELECT pdf, dom FROM {dominant}",
-    "a11_first_seen_mode": "SELECT pdf, min_by(total, first_page - 100000 * n) AS total FROM (SELECT pdf, total, count(*) AS n, min(page) AS first_page FROM {page_reads} WHERE total IS NOT NULL GROUP BY pdf, total) AS t GROUP BY pdf",
+    "a11_first_seen_mode": "SELECT pdf, min_by(total, struct(-n, first_page)) AS total FROM (SELECT pdf, total, count(*) AS n, min(page) AS first_page FROM {page_reads} WHERE total IS NOT NULL GROUP BY pdf, total) AS t GROUP BY pdf",
     "a12_code_histogram": "SELECT pdf, code, count(*) AS n FROM {page_reads} WHERE code IS NOT NULL GROUP BY pdf, code",
     "a13_status_counters": "SELECT pdf, count_if(status = 'direct') AS direct, count_if(status = 'recovered') AS recovered, count_if(status = 'failed') AS failed, count_if(curr = 1 AND status = 'recovered') AS recovered_starts, count_if(curr = 1) AS starts, count_if(curr = 1 AND COALESCE(instr(upper(code), 'F-CRS-IRL-01') > 0, false)) AS cover_starts FROM {recovered} GROUP BY pdf",
     "a28_reliability": "SELECT pdf, doc, CASE WHEN pages + inferred < declared_total THEN 'incomplete' WHEN inferred = 0 THEN 'direct' WHEN pages >= inferred THEN 'inferred_hi' ELSE 'inferred_lo' END AS class FROM {segments}",
@@ -90,7 +106,7 @@ PAGES = {
     "w03_orphans": "SELECT pdf, count(*) AS orphans FROM {segmented} WHERE doc = 0 GROUP BY pdf",
     "w04_issues": "SELECT pdf, page, CASE WHEN doc = 0 THEN 'huerfana' WHEN status = 'direct' AND pos > 1 AND total <> declared THEN 'boundary' WHEN status = 'direct' AND pos > 1 AND curr <> pos THEN 'sequence' END AS issue FROM {segmented} WHERE doc = 0 OR (status = 'direct' AND pos > 1 AND (total <> declared OR curr <> pos))",
     "w05_broken_groups": "SELECT pdf, curr, pos AS expected, count(*) AS n, CAST(min(page) AS INT) AS first_page FROM {segmented} WHERE doc > 0 AND status = 'direct' AND curr <> pos GROUP BY pdf, curr, pos",
-    "w06_start_gap_period": "SELECT pdf, min_by(gap, first_page - 100000 * n) AS period FROM (SELECT pdf, gap, count(*) AS n, min(page) AS first_page FROM (SELECT pdf, page, page - lag(page) OVER (PARTITION BY pdf ORDER BY page) AS gap FROM {page_reads} WHERE curr = 1) AS g WHERE gap IS NOT NULL GROUP BY pdf, gap) AS t GROUP BY pdf",
+    "w06_start_gap_period": "SELECT pdf, min_by(gap, struct(-n, first_page)) AS period FROM (SELECT pdf, gap, count(*) AS n, min(page) AS first_page FROM (SELECT pdf, page, page - lag(page) OVER (PARTITION BY pdf ORDER BY page) AS gap FROM {page_reads} WHERE curr = 1) AS g WHERE gap IS NOT NULL GROUP BY pdf, gap) AS t GROUP BY pdf",
     "w10_failed_runs": "SELECT pdf, CAST(min(page) AS INT) AS start_page, CAST(max(page) + 1 AS INT) AS end_page FROM (SELECT pdf, page, page - row_number() OVER (PARTITION BY pdf ORDER BY page) AS island FROM {page_reads} WHERE method = 'failed') AS f GROUP BY pdf, island",
     "w12_orphan_candidates": "SELECT pdf, page FROM (SELECT pdf, page, curr, status, lead(curr) OVER (PARTITION BY pdf ORDER BY page) AS next_curr FROM {recovered}) AS r WHERE status = 'recovered' AND curr = 1 AND next_curr = 1",
     "w13_cross_validation": "SELECT pdf, page, CAST(CASE WHEN status <> 'recovered' THEN 1.0 WHEN COALESCE(pc + 1 = curr OR curr = 1, false) AND COALESCE(nc = curr + 1 OR nc = 1, false) THEN 0.6 ELSE 0.5 END AS DOUBLE) AS confidence FROM (SELECT *, lag(curr) OVER (PARTITION BY pdf ORDER BY page) AS pc, lead(curr) OVER (PARTITION BY pdf ORDER BY page) AS nc FROM {recovered}) AS r WHERE curr IS NOT NULL",

@@ -316,7 +316,7 @@ def _min_gap(page, dom) -> Iterable[tuple]:
 
 
 def w21_min_gap(s) -> DataFrame:
-    starts = s["recovered"].filter("curr = 1").join(s["dominant"], "pdf", "left")
+    starts = s["recovered"].filter("curr = 1")
     return per_file(starts, ["page", "dom"], _min_gap, "pdf bigint, page int")
 
 

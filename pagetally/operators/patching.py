@@ -12,12 +12,12 @@ STATE = {
     # an orphan's marks join those of the file it was renamed to, kept as they are; or go
     "g06_marks_migrate": f"SELECT id, hospital, sigla, CASE WHEN {_PRESENT} THEN file ELSE replace(file, 'gone_', '') END AS file, page, count FROM {{marks}} AS m",
     "g06_marks_discard": f"SELECT id, hospital, sigla, file, page, count FROM {{marks}} AS m WHERE {_PRESENT}",
-    "g07_dismiss_suspects": "SELECT s.id, s.hospital, s.sigla, s.file FROM {suspects} AS s WHERE NOT EXISTS (SELECT 1 FROM {ops} AS o WHERE o.status = 'applied' AND o.src_hospital = s.hospital AND o.src_sigla = s.sigla AND o.file = s.file)",
+    "g07_dismiss_suspects": "SELECT s.suspect_id, s.hospital, s.sigla, s.file FROM {suspects} AS s WHERE NOT EXISTS (SELECT 1 FROM {dismissals} AS d WHERE d.hospital = s.hospital AND d.sigla = s.sigla AND d.suspect_id = s.suspect_id)",
     # deltas after applied operations are deleted and every other one's status is set
-    "g08_recomputed_deltas": "SELECT hospital, sigla, CAST(sum(n) AS BIGINT) AS delta FROM (SELECT src_hospital AS hospital, src_sigla AS sigla, -doc_count AS n FROM {ops} WHERE status = 'pending' AND op_type IN ('move_file', 'extract_pages') UNION ALL SELECT dst_hospital, dst_sigla, doc_count FROM {ops} WHERE status = 'pending' AND op_type IN ('move_file', 'extract_pages')) AS d GROUP BY hospital, sigla",
+    "g08_recomputed_deltas": "SELECT hospital, sigla, CAST(sum(documents) AS BIGINT) AS delta, CAST(sum(workers) AS BIGINT) AS worker_delta FROM {op_sides} GROUP BY hospital, sigla",
     "s04_month_folders": f"SELECT f.name, f.year, m.number AS month FROM (SELECT DISTINCT title || ' ' || CAST(year AS STRING) AS name, title, year FROM (SELECT year, CASE WHEN month = 5 THEN 'Otros' ELSE title END AS title FROM {{history}} JOIN {_MONTHS} ON number = month) AS t) AS f JOIN {_MONTHS} ON m.title = upper(f.title)",
     "s05_month_inventory": "SELECT h.hospital, count(DISTINCT f.host) AS categories, count(f.id) AS pdfs FROM {dim_hospital} AS h LEFT JOIN {files} AS f ON f.hospital = h.hospital AND lower(f.name) LIKE '%.pdf' GROUP BY h.hospital",
-    "s14_range_values": "SELECT hospital || '_' || sigla || '_count' AS range_name, CAST(COALESCE(user_override, ocr_count, filename_count, 0) AS INT) AS value FROM {cells} WHERE NOT excluded AND sigla <> 'revdocmaq'",
+    "s14_range_values": "SELECT n.hospital || '_' || n.sigla || '_count' AS range_name, n.count AS value FROM {cell_count} AS n JOIN {cells} AS c ON c.hospital = n.hospital AND c.sigla = n.sigla WHERE NOT c.excluded AND n.sigla <> 'chps'",
     "s22_create_if_absent": "SELECT year, month, 'stored' AS origin FROM {history} WHERE count > 3 GROUP BY year, month UNION ALL SELECT r.year, r.month, 'created' FROM (SELECT DISTINCT year, month FROM {history}) AS r WHERE NOT EXISTS (SELECT 1 FROM {history} AS s WHERE s.count > 3 AND s.year = r.year AND s.month = r.month)",
     "x14_live_leases": "SELECT user_id, max(ts) AS last_seen, max_by(event_type, event_id) AS focus FROM {events} GROUP BY user_id HAVING max(ts) > (SELECT max(ts) FROM {events}) - INTERVAL '6' HOUR",
 }
