@@ -7,14 +7,14 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import auditing, counting, inference, parsing, patching
+from .operators import auditing, counting, inference, parsing, patching, storage
 from .plans.relations import Session, duck
 from .streaming import events
 
 TEXTS = counting.FILES | counting.CELLS | counting.PAGES | auditing.OPERATORS | patching.OPERATORS
-FRAMES: dict[str, Callable[[Session], DataFrame]] = inference.OPERATORS | parsing.OPERATORS | events.OPERATORS
+FRAMES: dict[str, Callable[[Session], DataFrame]] = inference.OPERATORS | parsing.OPERATORS | storage.OPERATORS | events.OPERATORS
 #: SQL of operators that are not one text for both dialects.
-SQL = auditing.ORACLE | inference.SQL | parsing.SQL | events.SQL
+SQL = auditing.ORACLE | patching.ORACLE | inference.SQL | parsing.SQL | storage.SQL | events.SQL
 
 
 def _text(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def _text(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frame(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FRAMES[name](Session(spark, sf_dir))
+    return FRAMES[name](Session(spark, sf_dir, inference.FRAMES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,6 +29,15 @@ REORG = {
     "r08_blocked_cells": "SELECT hospital, sigla, bool_or(counted) AS blocked FROM {open_suspects} GROUP BY hospital, sigla",
     "p09_all_reliable": "SELECT hospital, sigla, all_reliable FROM {reliable_cells}",
     "x11_applied_ops": "SELECT id, now AS status FROM {current_ops}",
+    "x15_single_file_rescan": "SELECT f.id, f.hospital, f.sigla, f.file, CASE WHEN r.id IS NOT NULL AND l.sigla IS NULL THEN r.count ELSE f.per_file END AS per_file, CASE WHEN r.id IS NOT NULL AND l.sigla IS NULL THEN 'pagination' ELSE f.method END AS method, CASE WHEN r.id IS NULL THEN 'untouched' WHEN f.pages = 0 THEN 'error' WHEN l.sigla IS NOT NULL THEN 'locked' ELSE 'done' END AS outcome FROM {file_counts} AS f LEFT JOIN {rescans} AS r ON r.id = f.id LEFT JOIN {locked_cells} AS l ON l.hospital = f.hospital AND l.sigla = f.sigla",
+    "x10_suspect_lifecycle": """
+        SELECT c.hospital, c.sigla, COALESCE(b.n, 0) AS before, COALESCE(a.n, 0) AS after, COALESCE(o.n, 0) AS open, CASE WHEN COALESCE(o.counted, 0) > 0 THEN false WHEN w.has_work THEN r.all_reliable ELSE COALESCE(g.high, false) END AS all_reliable
+        FROM {cells} AS c JOIN {worked_cells} AS w ON w.hospital = c.hospital AND w.sigla = c.sigla JOIN {reliable_cells} AS r ON r.hospital = c.hospital AND r.sigla = c.sigla
+        LEFT JOIN (SELECT hospital, sigla, count(*) AS n FROM {stored_suspects} GROUP BY hospital, sigla) AS b ON b.hospital = c.hospital AND b.sigla = c.sigla
+        LEFT JOIN (SELECT hospital, sigla, count(*) AS n FROM {suspects} GROUP BY hospital, sigla) AS a ON a.hospital = c.hospital AND a.sigla = c.sigla
+        LEFT JOIN (SELECT hospital, sigla, count(*) AS n, count_if(counted) AS counted FROM {open_suspects} GROUP BY hospital, sigla) AS o ON o.hospital = c.hospital AND o.sigla = c.sigla
+        LEFT JOIN (SELECT hospital, host AS sigla, max(pages) <= 1 AS high FROM {file_sigla} WHERE sigla = host GROUP BY hospital, host) AS g ON g.hospital = c.hospital AND g.sigla = c.sigla""",
+    "x02_event_order": "SELECT hospital, sigla, kind, file, row_number() OVER (PARTITION BY hospital, sigla ORDER BY last, file) AS seq FROM (SELECT hospital, sigla, 'file_result' AS kind, file, 0 AS last FROM {file_counts} UNION ALL SELECT DISTINCT hospital, sigla, 'cell_done', '', 1 FROM {file_counts}) AS e",
     "s16_pending_manifest": "SELECT id, op_type, file, page_from, page_to FROM {ops} WHERE status = 'pending'",
     "w26_op_ids": f"SELECT id, 'op_' || CASE WHEN place < 1000 THEN lpad(CAST(place AS STRING), 3, '0') ELSE CAST(place AS STRING) END AS op_id FROM ({places('ops', 'id')}) AS o",
     "f18_range_label": "SELECT id, CASE WHEN page_to <= page_from THEN 'p. ' || CAST(page_from AS STRING) ELSE 'pp. ' || CAST(page_from AS STRING) || '-' || CAST(page_to AS STRING) END AS label FROM {ops}",
@@ -39,11 +48,11 @@ HISTORY = {
     "s19_upsert": "SELECT year, month, hospital, sigla, count FROM (SELECT *, row_number() OVER (PARTITION BY year, month, hospital, sigla ORDER BY seq DESC) AS n FROM (SELECT *, 1 AS seq FROM {history} UNION ALL SELECT year, month, hospital, sigla, count + 1, 2 FROM {history} WHERE month = 3) AS u) AS r WHERE n = 1",
     "s24_sessions": "SELECT DISTINCT lpad(CAST(year AS STRING), 4, '0') || '-' || lpad(CAST(month AS STRING), 2, '0') AS session_id FROM {history} ORDER BY 1",
     "a18_series_stats": f"SELECT hospital, sigla, max(CASE WHEN back = 1 THEN count END) AS last, CAST(floor(avg(count) + 0.5) AS BIGINT) AS mean, min(count) AS least, max(count) AS most FROM ({_SERIES}) AS s GROUP BY hospital, sigla",
-    "a19_series": "SELECT hospital || '|' || sigla AS cell, year, month, count FROM {history}",
+    "a19_series": "SELECT concat(hospital, '|', sigla) AS cell, array_join(transform(sort_array(collect_list(struct(year, month, count))), x -> concat(CAST(x.year AS STRING), '-', CAST(x.month AS STRING), ':', CAST(x.count AS STRING))), ' ') AS series FROM {history} GROUP BY hospital, sigla",
     "a38_scaled": "SELECT year, month, hospital, sigla, (count - min(count) OVER (PARTITION BY hospital, sigla)) / CAST(greatest(max(count) OVER (PARTITION BY hospital, sigla) - min(count) OVER (PARTITION BY hospital, sigla), 1) AS DOUBLE) AS y FROM {history}",
     "w23_drop_detector": f"SELECT hospital, sigla, CASE WHEN count(*) >= 7 AND count_if(back BETWEEN 2 AND 7 AND count > 0) = 6 AND max(CASE WHEN back = 1 THEN count END) / avg(CASE WHEN back BETWEEN 2 AND 7 THEN count END) < 0.7 THEN 'warn' ELSE 'neutral' END AS tone FROM ({_SERIES}) AS s GROUP BY hospital, sigla",
     "w24_last_months": "SELECT * FROM {history} WHERE year * 12 + month > (SELECT max(year * 12 + month) FROM {history}) - 12",
-    "w25_eta": f"SELECT event_id, place AS done, CASE WHEN place = 0 OR place = total THEN NULL ELSE CAST(floor(place * 1.5 / place * (total - place)) AS BIGINT) END AS eta FROM ({places('events', 'event_id')}) AS p CROSS JOIN (SELECT count(*) AS total FROM {{events}}) AS t",
+    "w25_eta": "SELECT event_id, done, CASE WHEN done = 0 OR done = total THEN NULL ELSE CAST(floor(elapsed / done * (total - done)) AS BIGINT) END AS eta FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS done, count(*) OVER (PARTITION BY user_id) AS total, (unix_micros(ts) - min(unix_micros(ts)) OVER (PARTITION BY user_id)) / 1000000.0D AS elapsed FROM (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts FROM {events}) AS e) AS p",
     "f12_session_id": "SELECT DISTINCT year, month, lpad(CAST(year AS STRING), 4, '0') || '-' || lpad(CAST(month AS STRING), 2, '0') AS session_id FROM {history}",
     "f13_month_title": "SELECT DISTINCT month, CASE month WHEN 1 THEN 'Enero' WHEN 2 THEN 'Febrero' WHEN 3 THEN 'Marzo' WHEN 4 THEN 'Abril' WHEN 5 THEN 'Mayo' WHEN 6 THEN 'Junio' WHEN 7 THEN 'Julio' WHEN 8 THEN 'Agosto' WHEN 9 THEN 'Septiembre' WHEN 10 THEN 'Octubre' WHEN 11 THEN 'Noviembre' ELSE 'Diciembre' END AS title FROM {history}",
     "f17_eta_label": "SELECT id, '~' || CAST(CAST(greatest(1, floor(pages * 350 / 60000 + 0.5)) AS INT) AS STRING) || ' min' AS label FROM {files}",
@@ -54,18 +63,37 @@ HISTORY = {
 }
 
 EVALUATION = {
-    "j11_predictions_truth": "SELECT r.pdf, r.page, r.curr AS predicted, CAST((r.page - 1) % (1 + r.pdf % 4) + 1 AS INT) AS truth, COALESCE(r.curr = (r.page - 1) % (1 + r.pdf % 4) + 1, false) AS exact FROM {recovered} AS r",
-    "j12_truth_priority": "SELECT doc_id, min_by(value, prio) AS value FROM (SELECT doc_id, quality AS value, 1 AS prio FROM {labels} WHERE quality = 1 UNION ALL SELECT doc_id, toxic, 2 FROM {labels}) AS u GROUP BY doc_id",
+    "j11_predictions_truth": "SELECT pdf, page, curr AS predicted, true_curr AS truth, COALESCE(curr = true_curr, false) AS exact FROM {recovered}",
+    "j12_truth_priority": "SELECT pdf, page, curr, 'index' AS origin FROM {variant_reads} WHERE variant = 'raw' AND curr IS NOT NULL UNION ALL SELECT r.pdf, r.page, r.curr, 'fixture' FROM {page_reads} AS r WHERE r.curr IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {variant_reads} AS v WHERE v.variant = 'raw' AND v.curr IS NOT NULL AND v.pdf = r.pdf AND v.page = r.page)",
     "j13_code_collisions": "SELECT a.supp AS a, b.supp AS b, count(*) AS codes FROM (SELECT DISTINCT suppkey % 7 AS supp, code FROM {page_reads} WHERE code IS NOT NULL) AS a JOIN (SELECT DISTINCT suppkey % 7 AS supp, code FROM {page_reads} WHERE code IS NOT NULL) AS b ON a.code = b.code AND a.supp < b.supp GROUP BY a.supp, b.supp",
     "a20_nearest_rank": "SELECT host, max(CASE WHEN n = 1 + CAST(bround(0.25 * (c - 1), 0) AS BIGINT) THEN pages END) AS p25, max(CASE WHEN n = 1 + CAST(bround(0.5 * (c - 1), 0) AS BIGINT) THEN pages END) AS median, max(CASE WHEN n = 1 + CAST(bround(0.75 * (c - 1), 0) AS BIGINT) THEN pages END) AS p75, min(pages) AS least, max(pages) AS most, count(*) AS n FROM (SELECT host, pages, row_number() OVER (PARTITION BY host ORDER BY pages) AS n, count(*) OVER (PARTITION BY host) AS c FROM {files} WHERE pages > 0) AS r GROUP BY host",
     "a21_code_survey": "SELECT cell, code, count(*) AS n FROM (SELECT pdf % 5 AS cell, code, row_number() OVER (PARTITION BY pdf ORDER BY page) AS k FROM {page_reads} WHERE code IS NOT NULL) AS r WHERE k <= 6 GROUP BY cell, code HAVING count(*) >= 2",
-    "a22_pattern_metrics": "SELECT v.variant, count_if(r.hit) AS matches, count_if(r.hit AND r.total >= r.curr) AS correct, count_if(r.hit AND r.total < r.curr) AS false_positives FROM (SELECT * FROM (VALUES (1), (2), (3)) AS t(variant)) AS v CROSS JOIN (SELECT curr, total, curr IS NOT NULL AS hit, partkey FROM {page_reads}) AS r WHERE r.partkey % v.variant = 0 GROUP BY v.variant",
-    "a23_reader_metrics": "SELECT host, count_if(per_file = pages) / CAST(count(per_file) AS DOUBLE) AS exact, count(per_file) / CAST(count(*) AS DOUBLE) AS parse_rate, max(CASE WHEN n = 1 + CAST(floor(c * 0.95) AS BIGINT) THEN pages END) AS p95 FROM (SELECT sigla AS host, per_file, pages, row_number() OVER (PARTITION BY sigla ORDER BY pages) AS n, count(*) OVER (PARTITION BY sigla) AS c FROM {file_counts}) AS r GROUP BY host",
-    "a24_rescue_counts": "SELECT rescued, regressed, maintained, still_failed, rescued - 3 * regressed AS net, round(rescued / CAST(n AS DOUBLE), 4) AS rescue_rate FROM (SELECT count(*) AS n, count_if(r.method = 'failed' AND x.curr IS NOT NULL) AS rescued, count_if(r.method = 'direct' AND x.curr <> (r.page - 1) % r.period + 1) AS regressed, count_if(r.method = 'direct') AS maintained, count_if(x.curr IS NULL) AS still_failed FROM {page_reads} AS r JOIN {recovered} AS x ON r.pdf = x.pdf AND r.page = x.page) AS s",
-    "a25_composite_score": "SELECT kind, 5 * count_if(d = 0) + 2 * count_if(abs(d) = 1) - 3 * count_if(abs(d) > 1) AS score FROM (SELECT s.pdf, s.pdf % 3 AS kind, s.n - t.n AS d FROM (SELECT pdf, count(*) AS n FROM {segments} GROUP BY pdf) AS s JOIN (SELECT pdf, count_if((page - 1) % period = 0) AS n FROM {page_reads} GROUP BY pdf) AS t ON s.pdf = t.pdf) AS r GROUP BY kind",
+    "a22_pattern_metrics": """
+        SELECT variant, count(*) AS n, count(total) AS matches, count_if(total = period) AS correct, count_if(total <> period) AS false_positives, round(count(total) / CAST(count(*) AS DOUBLE), 4) AS match_rate, round(count_if(total <> period) / CAST(NULLIF(count(total), 0) AS DOUBLE), 4) AS fp_rate, count(DISTINCT total) AS totals
+        FROM {pattern_reads} GROUP BY variant""",
+    "a23_reader_metrics": """
+        SELECT host, count_if(curr = true_curr) / CAST(NULLIF(count(true_curr), 0) AS DOUBLE) AS exact, count(curr) / CAST(count(*) AS DOUBLE) AS parse_rate, avg(CASE WHEN ms > 0 THEN ms END) AS mean_ms, max(CASE WHEN n = 1 + CAST(floor(c * 0.95) AS BIGINT) THEN ms END) AS p95_ms
+        FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ms, pdf, page) AS n, count(*) OVER (PARTITION BY host) AS c FROM (SELECT pdf % 5 AS host, pdf, page, curr, CASE WHEN partkey % 4 > 0 THEN true_curr END AS true_curr, CAST(partkey % 1000 AS INT) AS ms FROM {page_reads}) AS q) AS r GROUP BY host""",
+    "a24_rescue_counts": "SELECT rescued, regressed, maintained, still_failed, rescued - 3 * regressed AS net, round(rescued / CAST(n AS DOUBLE), 4) AS rescue_rate FROM (SELECT count(*) AS n, count_if(method = 'failed' AND curr = true_curr) AS rescued, count_if(method = 'direct' AND curr <> true_curr) AS regressed, count_if(method = 'direct' AND curr = true_curr) AS maintained, count_if(curr IS NULL) AS still_failed FROM {recovered}) AS s",
+    "a25_composite_score": """
+        SELECT config, doc_exact + complete_exact - 3 * real_delta - real_complete_delta - synthetic_delta - inferred_delta - 5 * regressions AS composite, doc_exact, complete_exact, real_delta, real_complete_delta, synthetic_delta, inferred_delta, regressions
+        FROM (SELECT config, sum(CASE WHEN d = 0 THEN CASE WHEN real THEN 5 ELSE 3 END ELSE 0 END) AS doc_exact, sum(CASE WHEN (real AND complete >= true_complete) OR (NOT real AND d = 0 AND complete = true_complete) THEN 2 ELSE 0 END) AS complete_exact,
+            sum(CASE WHEN real THEN d ELSE 0 END) AS real_delta, sum(CASE WHEN real AND complete < true_complete THEN true_complete - complete ELSE 0 END) AS real_complete_delta, sum(CASE WHEN NOT real THEN d ELSE 0 END) AS synthetic_delta,
+            sum(CASE WHEN NOT real THEN abs(n_inferred - true_inferred) ELSE 0 END) AS inferred_delta, count_if(passed_before AND NOT passed) AS regressions
+          FROM (SELECT *, CASE WHEN real THEN d = 0 ELSE d = 0 AND complete = true_complete END AS passed, max(CASE WHEN config = 'direct' AND CASE WHEN real THEN d = 0 ELSE d = 0 AND complete = true_complete END THEN 1 ELSE 0 END) OVER (PARTITION BY pdf) = 1 AS passed_before
+            FROM (SELECT c.*, t.documents AS true_documents, t.complete AS true_complete, t.failed AS true_inferred, abs(c.documents - t.documents) AS d, c.pdf % 3 = 0 AS real FROM {config_counts} AS c JOIN {true_counts} AS t ON t.pdf = c.pdf) AS x) AS y GROUP BY config) AS z""",
     "a26_engine_verdict": "SELECT sigla, CAST(sum(abs(COALESCE(per_file, 0) - pages)) AS BIGINT) AS pagination, CAST(sum(abs(COALESCE(override, 0) - pages)) AS BIGINT) AS current_engine, CASE WHEN sum(abs(COALESCE(per_file, 0) - pages)) <= sum(abs(COALESCE(override, 0) - pages)) THEN 'MIGRATE' ELSE 'KEEP' END AS verdict FROM {file_counts} GROUP BY sigla",
-    "a33_variant_scores": "SELECT variant, failed, correct, wrong, row_number() OVER (ORDER BY correct DESC, wrong, variant) AS place FROM (SELECT v.variant, count_if(r.curr IS NULL) AS failed, count_if(r.curr = (r.page - 1) % r.period + 1 AND (r.partkey + v.variant) % 3 > 0) AS correct, count_if(r.curr IS NOT NULL AND (r.partkey + v.variant) % 3 = 0) AS wrong FROM {page_reads} AS r CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3)) AS t(variant)) AS v GROUP BY v.variant) AS s",
-    "a34_signed_deltas": "SELECT s.pdf, s.n - t.n AS delta_recovered, d.n - t.n AS delta_direct FROM (SELECT pdf, count_if(curr = 1) AS n FROM {recovered} GROUP BY pdf) AS s JOIN (SELECT pdf, count_if(curr = 1) AS n FROM {page_reads} GROUP BY pdf) AS d ON s.pdf = d.pdf JOIN (SELECT pdf, count_if((page - 1) % period = 0) AS n FROM {page_reads} GROUP BY pdf) AS t ON s.pdf = t.pdf",
+    "a33_variant_scores": """
+        SELECT variant, failed, correct, wrong, correct - max(CASE WHEN variant = 'raw' THEN correct END) OVER (PARTITION BY 1) AS delta, row_number() OVER (ORDER BY correct DESC, wrong, variant) AS place
+        FROM (SELECT variant, count_if(curr IS NULL) AS failed, count_if(curr = true_curr) AS correct, count_if(curr <> true_curr) AS wrong FROM {variant_reads} GROUP BY variant) AS s""",
+    "a40_phase_winners": """
+        SELECT phase, label, net_gain, winner FROM (SELECT phase, label, net_gain, row_number() OVER (PARTITION BY phase ORDER BY net_gain DESC, label) = 1 AS winner FROM {technique_gains}) AS w
+        UNION ALL SELECT 'combo', label, net_gain, row_number() OVER (ORDER BY net_gain DESC, label) = 1 FROM {combo_gains}""",
+    "t13_prescreened": """
+        SELECT v.variant, s.rescued AS screened, count_if(p.method = 'failed' AND v.curr = v.true_curr) AS rescued, count_if(p.method = 'direct' AND COALESCE(v.curr <> v.true_curr, true)) AS regressed
+        FROM {variant_reads} AS v JOIN {page_reads} AS p ON p.pdf = v.pdf AND p.page = v.page
+        JOIN (SELECT variant, rescued FROM (SELECT v.variant, count_if(v.curr = v.true_curr) AS rescued, row_number() OVER (ORDER BY count_if(v.curr = v.true_curr) DESC, v.variant) AS place FROM {variant_reads} AS v JOIN {screen_pages} AS c ON c.pdf = v.pdf AND c.page = v.page GROUP BY v.variant) AS r WHERE place <= 3) AS s ON s.variant = v.variant GROUP BY v.variant, s.rescued""",
+    "a34_signed_deltas": "SELECT c.pdf, max(CASE WHEN c.config = 'recovered' THEN c.documents END) - max(t.documents) AS delta_recovered, max(CASE WHEN c.config = 'direct' THEN c.documents END) - max(t.documents) AS delta_direct FROM {config_counts} AS c JOIN {true_counts} AS t ON t.pdf = c.pdf GROUP BY c.pdf",
     "t03_top_configs": "SELECT p_partkey AS config, CAST(p_retailprice AS DOUBLE) AS composite FROM {part} ORDER BY p_retailprice DESC, p_size, p_partkey LIMIT 10",
     "t05_ranked": "SELECT sigla, rescued, failed FROM (SELECT sigla, count_if(per_file > 0) AS rescued, count_if(per_file IS NULL) AS failed FROM {file_counts} GROUP BY sigla) AS s ORDER BY rescued DESC, failed, sigla LIMIT 10",
     "t09_neighbour_configs": "SELECT DISTINCT a + CASE WHEN p = 1 THEN step ELSE 0 END AS a, b + CASE WHEN p = 2 THEN step ELSE 0 END AS b FROM (SELECT * FROM (VALUES (0, 2), (1, 1), (3, 0)) AS t(a, b)) AS c CROSS JOIN (SELECT * FROM (VALUES (1), (2)) AS t(p)) AS p CROSS JOIN (SELECT * FROM (VALUES (-1), (1)) AS t(step)) AS s WHERE a + CASE WHEN p = 1 THEN step ELSE 0 END BETWEEN 0 AND 3 AND b + CASE WHEN p = 2 THEN step ELSE 0 END BETWEEN 0 AND 3",
@@ -105,6 +133,8 @@ TEXT = {
 
 #: Texts for the oracle where they are not those of the operators.
 ORACLE = {
+    "a19_series": "SELECT hospital || '|' || sigla AS cell, string_agg(year || '-' || month || ':' || count, ' ' ORDER BY year, month, count) AS series FROM {history} GROUP BY hospital, sigla",
+    "w25_eta": "SELECT event_id, done, CASE WHEN done = 0 OR done = total THEN NULL ELSE CAST(floor(elapsed / done * (total - done)) AS BIGINT) END AS eta FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS done, count(*) OVER (PARTITION BY user_id) AS total, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1000000.0::DOUBLE AS elapsed FROM {events}) AS p",
     "j08_anchor_hits": "SELECT pdf, page, sigla, flavor, unnest(matched) AS anchor FROM {raw_flavors}",
     "m01_match_flavor": "SELECT pdf, page, sigla, flavor, COALESCE(len(matched), 0) AS matched, COALESCE(len(missing), 0) AS missing, anti_hits, COALESCE(len(matched), 0) >= min_match AND anti_hits = 0 AS passes, anti_hits = 0 AND min_match > 1 AND COALESCE(len(matched), 0) = min_match - 1 AS near FROM {raw_flavors}",
     "f19_flavor_stub": "SELECT pdf, page, flavor, '# from file ' || pdf || ' p.' || page || ' (' || flavor || ')' || chr(10) || 'anchors: ' || array_to_string(matched, ', ') || chr(10) || 'missing: ' || array_to_string(missing, ', ') || chr(10) || 'min_match: ' || greatest(3, len(matched)) AS stub FROM {raw_flavors} WHERE anti_hits = 0 AND min_match > 1 AND len(matched) = min_match - 1",

@@ -5,7 +5,7 @@ FILES = {
     "s03_folder_resolution": "SELECT d.n_name AS dir, min_by(s.sigla, s.ord) AS sigla FROM (SELECT n_name, CASE n_nationkey % 4 WHEN 0 THEN '7.-ART' WHEN 1 THEN ' 12 . Senaleticas 0' WHEN 2 THEN '3.-ODI Visitas TOTAL' ELSE n_name END AS raw FROM {nation}) AS d LEFT JOIN {dim_sigla} AS s ON trim(regexp_replace(d.raw, '^[ ]*[0-9]+[ ]*[.][ ]*-?[ ]*', '')) = s.folder_text OR trim(regexp_replace(d.raw, '^[ ]*[0-9]+[ ]*[.][ ]*-?[ ]*', '')) LIKE s.folder_text || ' %' GROUP BY d.n_name",
     "s20_month_point": "SELECT * FROM {history} WHERE year = 1997 AND month = 5",
     "s21_month_range": "SELECT * FROM {history} WHERE year BETWEEN 1996 AND 1997 AND year * 12 + month BETWEEN 1996 * 12 + 11 AND 1997 * 12 + 3 ORDER BY year, month, hospital, sigla",
-    "s10_two_tier_read": "SELECT pdf, page, COALESCE(CASE WHEN partkey % 3 = 0 THEN curr END, curr) AS curr, CASE WHEN curr IS NULL THEN 'failed' WHEN partkey % 3 = 0 THEN 'direct' ELSE 'upscaled' END AS tier FROM {page_reads}",
+    "s10_two_tier_read": "SELECT pdf, page, COALESCE(CASE WHEN low_curr IS NOT NULL THEN low_curr END, high_curr) AS curr, CASE WHEN low_curr IS NOT NULL THEN 'direct' WHEN high_curr IS NOT NULL THEN 'super_resolution' ELSE 'failed' END AS method FROM (SELECT a.pdf, a.page, a.curr AS low_curr, b.curr AS high_curr FROM (SELECT * FROM {variant_reads} WHERE variant = 'raw') AS a JOIN (SELECT * FROM {variant_reads} WHERE variant = 'digits') AS b ON b.pdf = a.pdf AND b.page = a.page) AS t",
     "s26_page_slice": "SELECT pdf, page, curr, total FROM {page_reads} WHERE page - 1 >= 3 AND page - 1 < 9",
     "p01_folder_text": "SELECT sigla, trim(regexp_replace(CAST(ord + 1 AS STRING) || ' .- ' || folder_text, '^[ ]*[0-9]+[ ]*[.][ ]*-?[ ]*', '')) AS text FROM {dim_sigla}",
     "p02_folder_sigla": "SELECT d.text, min_by(s.sigla, s.ord) AS sigla FROM (SELECT folder_text || ' 0' AS text FROM {dim_sigla} UNION ALL SELECT folder_text || 'x' FROM {dim_sigla}) AS d LEFT JOIN {dim_sigla} AS s ON d.text = s.folder_text OR d.text LIKE s.folder_text || ' %' GROUP BY d.text",
@@ -95,12 +95,14 @@ PAGES = {
     "a11_first_seen_mode": "SELECT pdf, min_by(total, struct(-n, first_page)) AS total FROM (SELECT pdf, total, count(*) AS n, min(page) AS first_page FROM {page_reads} WHERE total IS NOT NULL GROUP BY pdf, total) AS t GROUP BY pdf",
     "a12_code_histogram": "SELECT pdf, code, count(*) AS n FROM {page_reads} WHERE code IS NOT NULL GROUP BY pdf, code",
     "a13_status_counters": "SELECT pdf, count_if(status = 'direct') AS direct, count_if(status = 'recovered') AS recovered, count_if(status = 'failed') AS failed, count_if(curr = 1 AND status = 'recovered') AS recovered_starts, count_if(curr = 1) AS starts, count_if(curr = 1 AND COALESCE(instr(upper(code), 'F-CRS-IRL-01') > 0, false)) AS cover_starts FROM {recovered} GROUP BY pdf",
-    "a28_reliability": "SELECT pdf, doc, CASE WHEN pages + inferred < declared_total THEN 'incomplete' WHEN inferred = 0 THEN 'direct' WHEN pages >= inferred THEN 'inferred_hi' ELSE 'inferred_lo' END AS class FROM {segments}",
     "a29_priors": "SELECT total, n / CAST(sum(n) OVER () AS DOUBLE) AS p FROM (SELECT total, count(*) AS n FROM {page_reads} WHERE total IS NOT NULL GROUP BY total) AS t",
     "a35_document_properties": "SELECT pdf, doc, pages + inferred AS found_total, pages + inferred = declared_total AND sequence_ok AS is_complete FROM {segments}",
     "a36_inference_rollup": "SELECT pdf, count_if(curr = 1) AS documents, count_if(status = 'direct') AS direct, count_if(status = 'recovered') AS inferred, count_if(status = 'failed') AS failed FROM {recovered} GROUP BY pdf",
-    "a27_telemetry": "SELECT declared_total, count(*) AS documents, count_if(sequence_ok) AS ok, CAST(sum(pages + inferred) AS BIGINT) AS pages FROM {segments} GROUP BY declared_total",
-    "a32_region_diagnostics": "SELECT COALESCE(region, 'total') AS region, count(*) AS reads, count_if(curr IS NULL) AS failed, round(100.0 * count_if(curr IS NULL) / count(*), 2) AS failed_pct FROM (SELECT curr, CASE WHEN page <= 10 THEN 'r1' WHEN page <= 20 THEN 'r2' ELSE 'r3' END AS region FROM {page_reads}) AS r GROUP BY ROLLUP (region)",
+    "a32_region_diagnostics": """
+        SELECT COALESCE(region, 'total') AS region, count(*) AS reads, count_if(method = 'failed') AS failed, round(100.0 * count_if(method = 'failed') / count(*), 2) AS failed_pct, count_if(curr = 1) AS documents, count_if(curr = 1 AND complete) AS complete, count_if(curr = 1) - count_if(true_curr = 1) AS delta
+        FROM (SELECT r.*, CASE WHEN r.page <= 10 THEN 'r1' WHEN r.page <= 20 THEN 'r2' ELSE 'r3' END AS region, COALESCE(g.pages + g.inferred = g.declared_total AND g.sequence_ok, false) AS complete FROM {recovered} AS r LEFT JOIN {segments} AS g ON g.pdf = r.pdf AND g.start_page = r.page AND r.curr = 1) AS x GROUP BY ROLLUP (region)""",
+    "a32_top_totals": "SELECT total, n FROM (SELECT total, count(*) AS n FROM {page_reads} WHERE total IS NOT NULL GROUP BY total) AS t ORDER BY n DESC, total LIMIT 5",
+    "a32_incomplete_documents": "SELECT pdf, doc, start_page, declared_total, pages + inferred AS found FROM {segments} WHERE NOT (pages + inferred = declared_total AND sequence_ok)",
     "w01_gap_recovery": "SELECT pdf, page, curr, total, status FROM {recovered}",
     "w03_segmentation": "SELECT pdf, doc, start_page, declared_total, pages, inferred, sequence_ok FROM {segments}",
     "w03_orphans": "SELECT pdf, count(*) AS orphans FROM {segmented} WHERE doc = 0 GROUP BY pdf",
@@ -108,12 +110,6 @@ PAGES = {
     "w05_broken_groups": "SELECT pdf, curr, pos AS expected, count(*) AS n, CAST(min(page) AS INT) AS first_page FROM {segmented} WHERE doc > 0 AND status = 'direct' AND curr <> pos GROUP BY pdf, curr, pos",
     "w06_start_gap_period": "SELECT pdf, min_by(gap, struct(-n, first_page)) AS period FROM (SELECT pdf, gap, count(*) AS n, min(page) AS first_page FROM (SELECT pdf, page, page - lag(page) OVER (PARTITION BY pdf ORDER BY page) AS gap FROM {page_reads} WHERE curr = 1) AS g WHERE gap IS NOT NULL GROUP BY pdf, gap) AS t GROUP BY pdf",
     "w10_failed_runs": "SELECT pdf, CAST(min(page) AS INT) AS start_page, CAST(max(page) + 1 AS INT) AS end_page FROM (SELECT pdf, page, page - row_number() OVER (PARTITION BY pdf ORDER BY page) AS island FROM {page_reads} WHERE method = 'failed') AS f GROUP BY pdf, island",
-    "w12_orphan_candidates": "SELECT pdf, page FROM (SELECT pdf, page, curr, status, lead(curr) OVER (PARTITION BY pdf ORDER BY page) AS next_curr FROM {recovered}) AS r WHERE status = 'recovered' AND curr = 1 AND next_curr = 1",
-    "w13_cross_validation": "SELECT pdf, page, CAST(CASE WHEN status <> 'recovered' THEN 1.0 WHEN COALESCE(pc + 1 = curr OR curr = 1, false) AND COALESCE(nc = curr + 1 OR nc = 1, false) THEN 0.6 ELSE 0.5 END AS DOUBLE) AS confidence FROM (SELECT *, lag(curr) OVER (PARTITION BY pdf ORDER BY page) AS pc, lead(curr) OVER (PARTITION BY pdf ORDER BY page) AS nc FROM {recovered}) AS r WHERE curr IS NOT NULL",
-    "w14_fallback_fill": "SELECT r.pdf, r.page, COALESCE(r.curr, 1) AS curr, COALESCE(r.total, d.dom) AS total, CAST(CASE WHEN r.curr IS NULL THEN 0.15 ELSE 1 END AS DOUBLE) AS confidence FROM {recovered} AS r LEFT JOIN {dominant} AS d ON r.pdf = d.pdf",
-    "w15_period_evidence": "SELECT a.pdf, a.page, b.total, round(sum(CAST(1 AS DOUBLE) / k.k) / sum(sum(CAST(1 AS DOUBLE) / k.k)) OVER (PARTITION BY a.pdf, a.page), 9) AS weight FROM (SELECT pdf, page FROM {page_reads} WHERE curr IS NULL) AS a JOIN {dominant} AS d ON a.pdf = d.pdf CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3), (4), (5), (6), (7)) AS t(k)) AS k JOIN {page_reads} AS b ON b.pdf = a.pdf AND b.total IS NOT NULL AND (b.page = a.page + k.k * d.dom OR b.page = a.page - k.k * d.dom) GROUP BY a.pdf, a.page, b.total",
-    "w17_contradictions": "SELECT r.pdf, r.page, r.total, CASE WHEN s.share >= 0.90 AND r.total <> s.top THEN s.top ELSE r.total END AS fixed FROM {page_reads} AS r JOIN (SELECT t.pdf, min_by(total, total - 1000 * n) AS top, max(n) / CAST(sum(n) AS DOUBLE) AS share FROM (SELECT pdf, total, count(*) AS n FROM {page_reads} WHERE total IS NOT NULL GROUP BY pdf, total) AS t GROUP BY t.pdf) AS s ON r.pdf = s.pdf WHERE r.total IS NOT NULL",
-    "w18_orphan_suppression": "SELECT pdf, page, CASE WHEN curr = 1 AND next_curr = 1 AND status = 'recovered' THEN 'excluded' ELSE status END AS status FROM (SELECT *, lead(curr) OVER (PARTITION BY pdf ORDER BY page) AS next_curr FROM {recovered}) AS r",
     "r01_one_page_lock": "SELECT id, CASE WHEN pages = 1 THEN 1 END AS documents, pages = 1 AS a7_one_page_locked FROM {files} WHERE lower(name) LIKE '%.pdf'",
     "r03_low_trust": "SELECT pdf, failed > 0 OR recovered / n > 0.30 OR recovered_starts > 0 AS low_trust, recovered > 0 OR failed > 0 AS low_trust_cover FROM (SELECT pdf, CAST(count(*) AS DOUBLE) AS n, count_if(status = 'recovered') AS recovered, count_if(status = 'failed') AS failed, count_if(curr = 1 AND status = 'recovered') AS recovered_starts FROM {recovered} GROUP BY pdf) AS r",
     "r06_cell_high": "SELECT hospital, sigla, NOT bool_or(pages = 0 OR COALESCE(per_file, 0) = 0) AS high FROM {file_counts} GROUP BY hospital, sigla",

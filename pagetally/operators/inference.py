@@ -28,15 +28,47 @@ PERIOD_WEIGHTS = (0.45, 0.30, 0.25)
 
 @dataclass(frozen=True)
 class Rules:
-    """Pages on either side and their agreement for a local total, the cost of a clash at a gap's
-    border, the least confidence of an inferred start, and of the period and share of totals to overrule a read."""
+    """What inference weighs. `PRODUCTION` and the values to try are those of the parameter sweeps."""
 
+    #: pages on either side of a page, and their agreement for a local total
     window: int = 5
     agreement: float = 0.85
+    #: a gap's cost: a total unlike those around, a start unlike the file's, a clash at its border (more in long gaps)
+    off_total: float = 0.75
+    off_period: float = 2.5
     clash: float = 1.5
-    least_start: float = 0.55
+    zone: int = 0
+    zone_scale: float = 1.0
+    #: how sure a page is that goes on forwards, starts a document (and what the agreement around adds), or goes backwards
+    forward: float = 0.99
+    start: float = 0.60
+    start_agreement: float = 0.30
+    backward: float = 0.85
+    #: the most for a page that fits no neighbour; what other cycles, neighbours and usual totals add, and the most of it
+    unfit: float = 0.50
+    by_period: float = 0.10
+    by_neighbour: float = 0.10
+    by_prior: float = 0.07
+    most_added: float = 0.18
+    #: the least period and share of totals to overrule a read, and the least of an inferred start
     least_period: float = 0.50
     least_share: float = 0.90
+    least_start: float = 0.55
+    #: where over 0: reads of a one-page total in a file of longer ones that come below it are dropped; how sure a last resort is
+    dropout: float = 0.0
+    last_resort: float = 0.0
+    #: starts closer than this cannot both stand (1: any may)
+    least_gap: int = 1
+
+
+#: The rules that a sweep settled on, and what it tried for each.
+PRODUCTION = Rules(window=9, agreement=0.80, off_total=1.5, off_period=3.0, clash=1.0, zone=10, zone_scale=3.0, forward=1.0, start=0.60, start_agreement=0.28, backward=0.85, unfit=0.40, by_period=0.10, by_neighbour=0.08, by_prior=0.05, most_added=0.18, least_period=0.65, least_share=0.90, least_start=0.55, dropout=0.10, last_resort=0.10, least_gap=2)
+SPACE = {
+    "forward": (0.97, 0.99, 1.00), "start": (0.60, 0.65, 0.68, 0.70), "start_agreement": (0.25, 0.28, 0.30, 0.33), "backward": (0.85, 0.88, 0.90), "unfit": (0.40, 0.43, 0.45, 0.48, 0.50),
+    "by_period": (0.10, 0.12, 0.14), "by_neighbour": (0.08, 0.10, 0.12), "by_prior": (0.05, 0.07, 0.09), "most_added": (0.18, 0.20, 0.22), "least_period": (0.50, 0.55, 0.60, 0.65), "least_share": (0.90, 0.93, 0.95),
+    "least_start": (0.55, 0.60, 0.65, 0.70), "dropout": (0.0, 0.10, 0.20, 0.30), "off_total": (0.75, 1.0, 1.5, 2.0), "off_period": (1.5, 2.0, 2.5, 3.0), "last_resort": (0.0, 0.10, 0.15), "clash": (1.0, 1.5, 2.0, 3.0),
+    "zone_scale": (1.0, 1.5, 2.0, 3.0), "zone": (5, 10, 20, 50), "window": (5, 7, 9), "agreement": (0.80, 0.83, 0.85), "least_gap": (1, 2),
+}
 
 
 def per_file(df: DataFrame, names: list[str], solve: Callable[..., Iterable[tuple]], ddl: str) -> DataFrame:
@@ -122,14 +154,19 @@ def _before(page: Page | None, usual: int) -> Page:
     return (page[0] - 1, page[1]) if _known(page) and page[0] > 1 else (usual, usual)
 
 
+#: Kinds of pages whose numbers are known.
+READ = ("direct", "manual")
+
+
 class Inference:
     """One file's pages. `fill` solves runs of unread pages; `settle` weighs and corrects what was inferred."""
 
-    def __init__(self, curr: Sequence[int | None], total: Sequence[int | None], rules: Rules = Rules()):
+    def __init__(self, curr: Sequence[int | None], total: Sequence[int | None], rules: Rules = Rules(), kinds: Sequence[str] | None = None):
+        """kinds: of each page `direct` or `manual` (as sure as can be), `failed` or `excluded`; by default as read or not."""
         self.rules = rules
         self.pages: list[Page] = list(zip(curr, total, strict=True))
-        self.kinds = ["failed" if c is None else "direct" for c in curr]
-        self.sure = [0.0 if c is None else 1.0 for c in curr]
+        self.kinds = list(kinds) if kinds else ["failed" if c is None else "direct" for c in curr]
+        self.sure = [0.0 if k == "failed" else 1.0 for k in self.kinds]
         self.period, self.period_sure, self.expected = file_period(curr, total)
         seen = Counter(t for t in total if t is not None)
         self.prior = {t: n / seen.total() for t, n in seen.items()} or {2: 0.85, 3: 0.10, 1: 0.05}
@@ -140,7 +177,7 @@ class Inference:
         """The total around a page if enough reads agree, else the file's, and the agreement."""
         if i not in self._local:
             near = range(max(0, i - self.rules.window), min(len(self.pages), i + self.rules.window + 1))
-            total, share = _mode([self.pages[j][1] for j in near if self.kinds[j] == "direct" and self.pages[j][1] is not None])
+            total, share = _mode([self.pages[j][1] for j in near if self.kinds[j] in READ and self.pages[j][1] is not None])
             self._local[i] = (total if total is not None and share >= self.rules.agreement else self.usual, share)
         return self._local[i]
 
@@ -152,9 +189,9 @@ class Inference:
         cost = 0.0
         for (number, total), (usual, share) in zip(made, around, strict=True):
             if total != usual:
-                cost += share * 0.75
+                cost += share * self.rules.off_total
             if number == 1 and self.period and self.period_sure > 0.3 and total != self.expected:
-                cost += self.period_sure * 2.5
+                cost += self.period_sure * self.rules.off_period
         return cost
 
     def fill(self) -> Inference:
@@ -168,15 +205,66 @@ class Inference:
                 onward[-1] = (onward[-1][0], onward[-1][0])
             back = list(accumulate(reversed(usuals), _before, initial=right if _known(right) else (None, None)))[:0:-1]
             costs = [self._cost(onward, around), self._cost(back, around)]
-            costs[0] += self.rules.clash * (_known(right) and not follows(onward[-1], right))
-            costs[1] += self.rules.clash * (_known(left) and not follows(left, back[0]))
+            clash = self.rules.clash * (self.rules.zone_scale if b - a >= self.rules.zone else 1.0)
+            costs[0] += clash * (_known(right) and not follows(onward[-1], right))
+            costs[1] += clash * (_known(left) and not follows(left, back[0]))
             start = [any(n == 1 for n, _ in made) for made in (onward, back)]
             backward = costs[1] < costs[0] or (costs[1] == costs[0] and start[1] and not start[0])
             self.pages[a:b] = back if backward else onward
             self.kinds[a:b] = ["inferred"] * (b - a)
-            self.sure[a:b] = [0.85 if backward else 0.60 + share * 0.30 if n == 1 else 0.99 for (n, _), (_, share) in zip(self.pages[a:b], around, strict=True)]
+            self.sure[a:b] = [self.rules.backward if backward else self._start(share) if n == 1 else self.rules.forward for (n, _), (_, share) in zip(self.pages[a:b], around, strict=True)]
+        return self
+
+    def _start(self, share: float) -> float:
+        return self.rules.start + share * self.rules.start_agreement
+
+    def drop_odd(self) -> Inference:
+        """Where the rules ask for it: reads that declare one page among longer documents lose what the pages around
+        agree by, and are unread if too little is left."""
+        if self.rules.dropout > 0:
+            for i, (_, total) in enumerate(self.pages):
+                if self.kinds[i] in READ and total == 1:
+                    usual, share = self.local(i)
+                    if share >= self.rules.agreement and usual > 1:
+                        self.sure[i] -= share
+                        if self.sure[i] < self.rules.dropout:
+                            self.kinds[i], self.pages[i] = "failed", (None, None)
+            self._local.clear()
         return self
 
+    def last_resort(self) -> Inference:
+        """Where the rules ask for it: pages that are still unread start a document of the usual total."""
+        if self.rules.last_resort > 0:
+            for i, k in enumerate(self.kinds):
+                if k == "failed":
+                    self.pages[i], self.kinds[i], self.sure[i] = (1, self.local(i)[0]), "inferred", self.rules.last_resort
+        return self
+
+    def part_starts(self) -> Inference:
+        """Where the rules ask for it, and the file's period is clear and long enough: of two starts that are too close
+        the earlier goes, or the later if it fits the period less well, counted from the start before them."""
+        gap, period = self.rules.least_gap, self.period
+        if gap <= 1 or period is None or period < 2 * gap or self.period_sure < 0.4:
+            return self
+        off = lambda x, base: min((x - base) % period, -(x - base) % period)
+        kept: list[int] = []
+        at = None  # the last start, which may still go
+        for i in (i for i, (n, _) in enumerate(self.pages) if n == 1):
+            if at is not None and i - at < gap:
+                if kept and off(at, kept[-1]) < off(i, kept[-1]):
+                    self._exclude(i)
+                    kept.append(at)
+                    at = None
+                    continue
+                self._exclude(at)
+            elif at is not None:
+                kept.append(at)
+            at = i
+        return self
+
+    def _exclude(self, i: int) -> None:
+        self.kinds[i], self.pages[i] = "excluded", (None, None)
+
     def _links(self, i: int) -> list[bool]:
         """Whether a page fits each neighbour that has a number and a total."""
         p, near = self.pages, []
@@ -192,31 +280,41 @@ class Inference:
         for k, side in product(range(1, 8), (-1, 1)):
             j = i + side * k * self.period
             if 0 <= j < len(self.pages) and self.pages[j][0] is not None:
-                found[self.pages[j]] = found.get(self.pages[j], 0.0) + (1.0 if self.kinds[j] == "direct" else 0.5) / k
+                found[self.pages[j]] = found.get(self.pages[j], 0.0) + (1.0 if self.kinds[j] in READ else 0.5) / k
         whole = sum(found.values())
         return {page: w / whole for page, w in found.items()}
 
+    def doubtful(self) -> list[int]:
+        """Inferred starts that another start follows at once."""
+        return [i for i, k in enumerate(self.kinds[:-1]) if k == "inferred" and self.pages[i][0] == 1 and self.pages[i + 1][0] == 1]
+
+    def cap(self) -> Inference:
+        """Inferred pages that do not fit a neighbour are less sure."""
+        for i, k in enumerate(self.kinds):
+            if k == "inferred" and not all(self._links(i)):
+                self.sure[i] = min(self.sure[i], self.rules.unfit)
+        return self
+
     def settle(self) -> Inference:
+        doubtful = self.doubtful()
+        self.cap().last_resort()
         inferred = [i for i, k in enumerate(self.kinds) if k == "inferred"]
-        doubtful = [i for i in inferred if self.pages[i][0] == 1 and i + 1 < len(self.pages) and self.pages[i + 1][0] == 1]
-        for i in inferred:
-            if not all(self._links(i)):
-                self.sure[i] = min(self.sure[i], 0.50)
         if self.period is not None and self.period_sure > 0.3:
             for i in (i for i in inferred if self.sure[i] <= 0.60):
                 support, agree = self.evidence(i).get(self.pages[i], 0.0) * self.period_sure, sum(self._links(i))
                 if support > 0.2 or agree == 2:
-                    self.sure[i] = min(self.sure[i] + min(support * 0.10 + agree * 0.10 + self.prior.get(self.pages[i][1], 0.0) * 0.07, 0.18), 0.75)
+                    added = support * self.rules.by_period + agree * self.rules.by_neighbour + self.prior.get(self.pages[i][1], 0.0) * self.rules.by_prior
+                    self.sure[i] = min(self.sure[i] + min(added, self.rules.most_added), 0.75)
         if self.period is not None and self.period_sure >= self.rules.least_period and self.expected is not None:
             self._overrule(self.expected)
         for i in doubtful:
             if self.kinds[i] == "inferred" and self.pages[i][0] == 1 and self.sure[i] < self.rules.least_start:
-                self.kinds[i], self.pages[i] = "excluded", (None, None)
+                self._exclude(i)
         return self
 
     def _overrule(self, expected: int) -> None:
         """Where nearly all reads declare one total, the others get it, and the inferred pages after them go on from there."""
-        read = [i for i, k in enumerate(self.kinds) if k == "direct" and self.pages[i][1] is not None]
+        read = [i for i, k in enumerate(self.kinds) if k in READ and self.pages[i][1] is not None]
         wrong = [i for i in read if self.pages[i][1] != expected]
         if not read or (len(read) - len(wrong)) / len(read) < self.rules.least_share:
             return
@@ -231,7 +329,7 @@ class Inference:
                     break
                 self.pages[j] = _after(last, expected)
                 if last[0] == last[1]:
-                    self.sure[j] = 0.60 + self.local(j)[1] * 0.30
+                    self.sure[j] = self._start(self.local(j)[1])
 
 
 def w07_autocorrelation(s) -> DataFrame:
@@ -250,38 +348,148 @@ def w08_file_period(s) -> DataFrame:
     return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, period int, confidence double, expected_total int")
 
 
-def _inferred(s, finish: bool) -> DataFrame:
-    def solve(page, curr, total):
-        x = Inference(curr, total).fill()
-        if finish:
-            x.settle()
-        return [(p, *x.pages[i], x.kinds[i], round(x.sure[i], 9)) for i, p in enumerate(page)]
+_PAGES = "pdf bigint, page int, curr int, total int, method string, confidence double"
+
+
+def _paged(x: Inference, page: Sequence[int]) -> list[tuple]:
+    return [(p, *x.pages[i], x.kinds[i], round(x.sure[i], 9)) for i, p in enumerate(page)]
+
+
+def filled(s) -> DataFrame:
+    """Every page, with the runs of unread ones solved."""
+    return per_file(s["page_reads"], ["page", "curr", "total"], lambda page, curr, total: _paged(Inference(curr, total).fill(), page), _PAGES)
 
-    return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, page int, curr int, total int, method string, confidence double")
+
+def inferred(s) -> DataFrame:
+    """Every page after all of inference: gaps, neighbours, evidence, contradictions, suppressed starts."""
+    return per_file(s["page_reads"], ["page", "curr", "total"], lambda page, curr, total: _paged(Inference(curr, total).fill().settle(), page), _PAGES)
 
 
 def w11_gap_solver(s) -> DataFrame:
-    return _inferred(s, False)
+    return s["filled"]
 
 
 def w16_inference(s) -> DataFrame:
-    """All of inference: gaps, neighbours, evidence, contradictions, suppressed starts."""
-    return _inferred(s, True)
+    return s["inferred"]
+
+
+def w12_orphan_candidates(s) -> DataFrame:
+    return s.sql("SELECT pdf, page FROM (SELECT *, lead(curr) OVER (PARTITION BY pdf ORDER BY page) AS next_curr FROM {filled}) AS f WHERE method = 'inferred' AND curr = 1 AND next_curr = 1")
+
 
+def w13_cross_validation(s) -> DataFrame:
+    """Inferred pages that do not follow the page before, or do not lead to the next, are at most half sure."""
+    fits = "(({a}_total = {b}_total AND {b}_curr = {a}_curr + 1) OR ({a}_curr = {a}_total AND {b}_curr = 1))"
+    left, right = fits.format(a="prev", b="own"), fits.format(a="own", b="next")
+    near = ", ".join(f"{f}({c}) OVER (PARTITION BY pdf ORDER BY page) AS {n}_{c}" for f, n in (("lag", "prev"), ("lead", "next")) for c in ("curr", "total"))
+    return s.sql(f"SELECT pdf, page, CASE WHEN method = 'inferred' AND NOT (COALESCE({left}, true) AND COALESCE({right}, true)) THEN least(confidence, 0.5D) ELSE confidence END AS confidence FROM (SELECT *, curr AS own_curr, total AS own_total, {near} FROM {{filled}}) AS f")
 
-#: Rules to replay, around the fixed ones.
-REPLAYED = [replace(Rules(), window=w, agreement=a, clash=c) for w, a, c in product((3, 5), (0.75, 0.85), (0.5, 1.5))]
 
+def w14_fallback_fill(s) -> DataFrame:
+    """Unread pages as starts of a document of the local total, hardly sure."""
+    solve = lambda page, curr, total: _paged(Inference(curr, total, Rules(last_resort=0.15)).last_resort(), page)
+    return per_file(s["page_reads"], ["page", "curr", "total"], solve, _PAGES)
 
-def w27_rule_replay(s) -> DataFrame:
-    """Documents, inferred and excluded pages of each file under each set of rules."""
+
+def w15_period_evidence(s) -> DataFrame:
+    """For every inferred page of a file with a period: the pages at its place in other cycles, and their weights."""
 
     def solve(page, curr, total):
-        for k, rules in enumerate(REPLAYED):
-            x = Inference(curr, total, rules).fill().settle()
-            yield k, sum(n == 1 for n, _ in x.pages), x.kinds.count("inferred"), x.kinds.count("excluded")
+        x = Inference(curr, total).fill()
+        for i, k in enumerate(x.kinds):
+            if k == "inferred" and x.period:
+                for (number, whole), weight in sorted(x.evidence(i).items(), key=repr):
+                    yield page[i], number, whole, round(weight, 9)
+
+    return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, page int, curr int, total int, weight double")
+
+
+def w17_contradictions(s) -> DataFrame:
+    """Pages that are changed because nearly all reads of the file declare another total, and the inferred ones after them."""
+
+    def solve(page, curr, total):
+        x = Inference(curr, total).fill()
+        before = list(x.pages)
+        if x.period is not None and x.period_sure >= x.rules.least_period and x.expected is not None:
+            x._overrule(x.expected)
+        return [(p, *was, *now) for p, was, now in zip(page, before, x.pages, strict=True) if was != now]
+
+    return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, page int, curr int, total int, fixed_curr int, fixed_total int")
+
+
+def w18_orphan_suppression(s) -> DataFrame:
+    return s.sql("SELECT pdf, page, method FROM {inferred} WHERE method = 'excluded' OR (method = 'inferred' AND curr = 1)")
+
+
+def w19_anomaly_dropout(s) -> DataFrame:
+    """Pages whose read is dropped for declaring one page among longer documents."""
+
+    def solve(page, curr, total):
+        x = Inference(curr, total, Rules(dropout=0.30, agreement=0.60)).drop_odd()
+        return [(p, round(x.sure[i], 9), x.kinds[i]) for i, p in enumerate(page) if total[i] == 1]
+
+    return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, page int, confidence double, method string")
+
+
+def reinferred(page: Sequence[int], x: Inference, corrections: dict[int, Page], exclusions: set[int]) -> Inference:
+    """Inference once more, after a person has corrected or excluded pages: what was inferred is forgotten first."""
+    curr, total, kinds = [], [], []
+    for p, own, kind in zip(page, x.pages, x.kinds, strict=True):
+        if p in exclusions:
+            own, kind = (None, None), "excluded"
+        elif p in corrections:
+            own, kind = corrections[p], "manual"
+        elif kind == "inferred":
+            own, kind = (None, None), "failed"
+        curr.append(own[0])
+        total.append(own[1])
+        kinds.append(kind)
+    return Inference(curr, total, x.rules, kinds).fill().settle()
+
+
+def w22_reinference(s) -> DataFrame:
+    """All pages after corrections (in the data: the true number of a page in 101) and exclusions (a page in 97)."""
+
+    def solve(page, curr, total, partkey, true_curr, period):
+        corrections = {p: (c, t) for p, k, c, t in zip(page, partkey, true_curr, period, strict=True) if k % 101 == 0}
+        exclusions = {p for p, k in zip(page, partkey, strict=True) if k % 97 == 1}
+        return _paged(reinferred(page, Inference(curr, total).fill().settle(), corrections, exclusions), page)
+
+    return per_file(s["page_reads"], ["page", "curr", "total", "partkey", "true_curr", "period"], solve, _PAGES)
+
+
+def a28_reliability(s) -> DataFrame:
+    """Each document: incomplete, read, or inferred (surely or not) by its least sure page."""
+    return s.sql("""
+        SELECT pdf, doc, CASE WHEN found <> declared OR NOT in_order THEN 'incomplete' WHEN n_inferred = 0 THEN 'direct' WHEN least_sure >= 0.75 THEN 'inferred_hi' ELSE 'inferred_lo' END AS class
+        FROM (SELECT pdf, doc, count(*) AS found, min(declared) AS declared, bool_and(pos = 1 OR method = 'inferred' OR (curr = pos AND total = declared)) AS in_order, count_if(method = 'inferred') AS n_inferred, min(CASE WHEN method = 'inferred' THEN confidence END) AS least_sure
+          FROM (SELECT *, row_number() OVER (PARTITION BY pdf, doc ORDER BY page) AS pos, first_value(total) OVER (PARTITION BY pdf, doc ORDER BY page) AS declared
+            FROM (SELECT *, sum(CASE WHEN curr = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pdf ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS doc FROM {inferred} WHERE curr IS NOT NULL) AS d WHERE doc > 0) AS p GROUP BY pdf, doc) AS r""")
+
+
+def a27_telemetry(s) -> DataFrame:
+    """Each file's pages by how they were found, and inferred ones by how sure they are."""
+    return s.sql("""
+        SELECT pdf, count(*) AS pages, count_if(method = 'direct') AS direct, count_if(method = 'inferred') AS inferred, count_if(method = 'excluded') AS excluded, count_if(curr = 1) AS documents,
+          count_if(method = 'inferred' AND confidence < 0.50) AS low, count_if(method = 'inferred' AND confidence BETWEEN 0.50 AND 0.60) AS mid, count_if(method = 'inferred' AND confidence > 0.60) AS high,
+          count_if(method = 'inferred' AND confidence >= 0.90) AS consistent, count_if(method = 'inferred' AND confidence < 0.45) AS conflicting, round(avg(CASE WHEN method = 'inferred' THEN confidence END), 6) AS mean_confidence FROM {inferred} GROUP BY pdf""")
+
+
+#: Rules to replay: those a sweep settled on, and each of its other values in their place.
+REPLAYED = [PRODUCTION, *(replace(PRODUCTION, **{k: v}) for k, values in SPACE.items() for v in values if v != getattr(PRODUCTION, k))]
+
+
+def w27_rule_replay(s, rules: Sequence[Rules] = tuple(REPLAYED)) -> DataFrame:
+    """Documents, inferred and excluded pages of all files under each set of rules, and files whose documents are as many as they truly are."""
+
+    def solve(page, curr, total, true_curr):
+        truth = sum(c == 1 for c in true_curr)
+        for k, own in enumerate(rules):
+            x = Inference(curr, total, own).part_starts().drop_odd().fill().settle()
+            yield k, sum(n == 1 for n, _ in x.pages), x.kinds.count("inferred"), x.kinds.count("excluded"), int(sum(n == 1 for n, _ in x.pages) == truth)
 
-    return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, config int, documents int, inferred int, excluded int")
+    found = per_file(s["page_reads"], ["page", "curr", "total", "true_curr"], solve, "pdf bigint, config int, documents int, inferred int, excluded int, exact int")
+    return found.groupBy("config").agg(*(F.sum(c).alias(c) for c in ("documents", "inferred", "excluded", "exact")), F.count("*").alias("files"))
 
 
 def _merge(doc, pages, inferred, total, read_start) -> Iterable[tuple]:
@@ -320,5 +528,7 @@ def w21_min_gap(s) -> DataFrame:
     return per_file(starts, ["page", "dom"], _min_gap, "pdf bigint, page int")
 
 
-OPERATORS: dict[str, Callable] = {f.__name__: f for f in (w07_autocorrelation, w08_file_period, w11_gap_solver, w16_inference, w20_undercount_recovery, w21_min_gap, w27_rule_replay)}
+#: Relations that SQL may name.
+FRAMES: dict[str, Callable] = {"filled": filled, "inferred": inferred}
+OPERATORS: dict[str, Callable] = {f.__name__: f for f in (w07_autocorrelation, w08_file_period, w11_gap_solver, w12_orphan_candidates, w13_cross_validation, w14_fallback_fill, w15_period_evidence, w16_inference, w17_contradictions, w18_orphan_suppression, w19_anomaly_dropout, w20_undercount_recovery, w21_min_gap, w22_reinference, w27_rule_replay, a27_telemetry, a28_reliability)}
 SQL: dict[str, str] = {}

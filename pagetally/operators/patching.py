@@ -16,9 +16,11 @@ STATE = {
     # deltas after applied operations are deleted and every other one's status is set
     "g08_recomputed_deltas": "SELECT hospital, sigla, CAST(sum(documents) AS BIGINT) AS delta, CAST(sum(workers) AS BIGINT) AS worker_delta FROM {op_sides} GROUP BY hospital, sigla",
     "s04_month_folders": f"SELECT f.name, f.year, m.number AS month FROM (SELECT DISTINCT title || ' ' || CAST(year AS STRING) AS name, title, year FROM (SELECT year, CASE WHEN month = 5 THEN 'Otros' ELSE title END AS title FROM {{history}} JOIN {_MONTHS} ON number = month) AS t) AS f JOIN {_MONTHS} ON m.title = upper(f.title)",
-    "s05_month_inventory": "SELECT h.hospital, count(DISTINCT f.host) AS categories, count(f.id) AS pdfs FROM {dim_hospital} AS h LEFT JOIN {files} AS f ON f.hospital = h.hospital AND lower(f.name) LIKE '%.pdf' GROUP BY h.hospital",
-    "s14_range_values": "SELECT n.hospital || '_' || n.sigla || '_count' AS range_name, n.count AS value FROM {cell_count} AS n JOIN {cells} AS c ON c.hospital = n.hospital AND c.sigla = n.sigla WHERE NOT c.excluded AND n.sigla <> 'chps'",
+    "s05_month_inventory": "SELECT hospital, count(*) AS categories, CAST(sum(n) AS BIGINT) AS pdfs, array_join(transform(sort_array(collect_list(struct(host, n))), x -> concat(x.host, ':', CAST(x.n AS STRING))), ' ') AS inventory FROM (SELECT hospital, host, count(*) AS n FROM {files} WHERE lower(name) LIKE '%.pdf' GROUP BY hospital, host) AS f GROUP BY hospital",
     "s22_create_if_absent": "SELECT year, month, 'stored' AS origin FROM {history} WHERE count > 3 GROUP BY year, month UNION ALL SELECT r.year, r.month, 'created' FROM (SELECT DISTINCT year, month FROM {history}) AS r WHERE NOT EXISTS (SELECT 1 FROM {history} AS s WHERE s.count > 3 AND s.year = r.year AND s.month = r.month)",
+    "s06_page_counts": "SELECT id, CASE WHEN pages > 0 THEN pages END AS page_count, pages AS page_count_or_zero FROM {files}",
+    "s15_outputs": "SELECT session_id, modified, size, row_number() OVER (ORDER BY modified DESC, session_id) AS place FROM (SELECT CAST(year AS STRING) || '-' || lpad(CAST(month AS STRING), 2, '0') AS session_id, max(year * 12 + month) AS modified, CAST(sum(count) AS BIGINT) AS size FROM {history} GROUP BY 1) AS o",
+    "s23_session_state": "SELECT user_id AS session_id, max_by(value, event_id) AS state, count(*) AS versions, max(event_id) AS version FROM {events} GROUP BY user_id",
     "x14_live_leases": "SELECT user_id, max(ts) AS last_seen, max_by(event_type, event_id) AS focus FROM {events} GROUP BY user_id HAVING max(ts) > (SELECT max(ts) FROM {events}) - INTERVAL '6' HOUR",
 }
 
@@ -31,14 +33,25 @@ TRUST = {
 SEQUENCES = {
     # the most frequent total within five pages, the first seen of equals, if 85 in 100 agree; else the file's
     "w09_local_total": """
-        SELECT r.pdf, r.page, CAST(CASE WHEN l.most >= 0.85 * l.n THEN l.total ELSE COALESCE(g.total, 2) END AS INT) AS total, COALESCE(l.most / CAST(l.n AS DOUBLE), 0) AS homogeneity
-        FROM {page_reads} AS r
-        LEFT JOIN (SELECT pdf, page, min_by(total, first_page - 100000 * k) AS total, max(k) AS most, sum(k) AS n FROM (SELECT a.pdf, a.page, b.total, count(*) AS k, min(b.page) AS first_page FROM {page_reads} AS a JOIN {page_reads} AS b ON a.pdf = b.pdf AND b.page BETWEEN a.page - 5 AND a.page + 5 WHERE b.total IS NOT NULL GROUP BY a.pdf, a.page, b.total) AS c GROUP BY pdf, page) AS l ON l.pdf = r.pdf AND l.page = r.page
-        LEFT JOIN (SELECT pdf, min_by(total, first_page - 100000 * k) AS total FROM (SELECT pdf, total, count(*) AS k, min(page) AS first_page FROM {page_reads} WHERE total IS NOT NULL GROUP BY pdf, total) AS c GROUP BY pdf) AS g ON g.pdf = r.pdf""",
+        SELECT pdf, page, CAST(CASE WHEN near.most >= 0.85 * near.n THEN near.total ELSE COALESCE(usual, 2) END AS INT) AS total, COALESCE(near.most / CAST(near.n AS DOUBLE), 0) AS homogeneity
+        FROM (SELECT pdf, page, usual, aggregate(near, CAST(NULL AS STRUCT<most: INT, n: INT, total: INT>), (best, t) -> CASE WHEN best IS NULL OR size(filter(near, x -> x = t)) > best.most THEN named_struct('most', size(filter(near, x -> x = t)), 'n', size(near), 'total', t) ELSE best END) AS near
+          FROM (SELECT pdf, page, first_value(total) OVER (PARTITION BY pdf ORDER BY total IS NULL, n DESC, first_page ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS usual, collect_list(total) OVER (PARTITION BY pdf ORDER BY page ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near
+            FROM (SELECT *, count(total) OVER (PARTITION BY pdf, total) AS n, min(page) OVER (PARTITION BY pdf, total) AS first_page FROM {page_reads}) AS a) AS w) AS x""",
     "t04_reader_rank": "SELECT sigla, exact, found, row_number() OVER (ORDER BY exact DESC, found DESC, latency, sigla) AS place FROM (SELECT sigla, count_if(per_file = pages) AS exact, count(per_file) AS found, CAST(sum(pages) AS BIGINT) AS latency FROM {file_counts} GROUP BY sigla) AS s",
     "t07_seeded_sample": "SELECT id, name FROM {files} ORDER BY md5(CAST(id AS STRING) || ':42'), id LIMIT 50",
     "t08_sampled_configs": "SELECT config, (instr('0123456789abcdef', substr(h, 1, 1)) - 1) % 3 AS dpi, (instr('0123456789abcdef', substr(h, 2, 1)) - 1) % 4 AS scale, (instr('0123456789abcdef', substr(h, 3, 1)) - 1) % 2 AS deskew FROM (SELECT p_partkey AS config, md5(CAST(p_partkey AS STRING) || ':42') AS h FROM {part}) AS c",
     "u05_document_pages": "SELECT pdf, doc, count(*) AS found_total, CAST(min(page) AS INT) AS first_page, CAST(max(page) AS INT) AS last_page, count_if(status = 'recovered') AS inferred FROM {segmented} WHERE doc > 0 GROUP BY pdf, doc",
 }
 
+#: Texts for the oracle where they are not those of the operators.
+ORACLE = {
+    "s05_month_inventory": "SELECT hospital, count(*) AS categories, CAST(sum(n) AS BIGINT) AS pdfs, string_agg(host || ':' || n, ' ' ORDER BY host) AS inventory FROM (SELECT hospital, host, count(*) AS n FROM {files} WHERE lower(name) LIKE '%.pdf' GROUP BY hospital, host) AS f GROUP BY hospital",
+    # by a band join of pages
+    "w09_local_total": """
+        SELECT r.pdf, r.page, CAST(CASE WHEN l.most >= 0.85 * l.n THEN l.total ELSE COALESCE(g.total, 2) END AS INT) AS total, COALESCE(l.most / CAST(l.n AS DOUBLE), 0) AS homogeneity
+        FROM {page_reads} AS r
+        LEFT JOIN (SELECT pdf, page, first(total ORDER BY k DESC, first_page) AS total, max(k) AS most, sum(k) AS n FROM (SELECT a.pdf, a.page, b.total, count(*) AS k, min(b.page) AS first_page FROM {page_reads} AS a JOIN {page_reads} AS b ON a.pdf = b.pdf AND b.page BETWEEN a.page - 5 AND a.page + 5 WHERE b.total IS NOT NULL GROUP BY a.pdf, a.page, b.total) AS c GROUP BY pdf, page) AS l ON l.pdf = r.pdf AND l.page = r.page
+        LEFT JOIN (SELECT pdf, first(total ORDER BY k DESC, first_page) AS total FROM (SELECT pdf, total, count(*) AS k, min(page) AS first_page FROM {page_reads} WHERE total IS NOT NULL GROUP BY pdf, total) AS c GROUP BY pdf) AS g ON g.pdf = r.pdf""",
+}
+
 OPERATORS = STATE | TRUST | SEQUENCES

@@ -8,6 +8,7 @@ expressions. Where the two dialects differ, a query has a second text.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +82,7 @@ SITE_PARTS = 40
 _HOSTS = ("odi", "irl", "art", "ext", "chps", "maquinaria", "charla", "dif_pts")
 _OTHERS = ("irl", "art", "ext", "odi", "irl", "andamios", "art", "revdocmaq")
 _pick = lambda of, names: f"CASE {of} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(names)) + " END"
+_OF = "([0-9]{{1,3}})[ ]*de[ ]*([0-9]{{1,3}})"
 _mode = lambda value, order: f"min_by({value}, struct({order}))"
 _PRESENT = "EXISTS (SELECT 1 FROM {{file_counts}} AS f WHERE f.hospital = {t}.hospital AND f.sigla = {t}.sigla AND f.file = {t}.file)"
 _RANGE_TEXT = "CASE WHEN page_from IS NULL THEN 'None' ELSE '(' || CAST(page_from AS STRING) || ', ' || CAST(page_to AS STRING) || ')' END"
@@ -213,9 +215,38 @@ RELATIONS = {
     "worked_cells": """
         SELECT c.hospital, c.sigla, c.ocr_count IS NOT NULL OR c.user_override IS NOT NULL OR c.confirmed OR COALESCE(f.overrides > 0 OR f.methods > 0, false) OR m.sigla IS NOT NULL AS has_work
         FROM {cells} AS c LEFT JOIN {cell_files} AS f ON f.hospital = c.hospital AND f.sigla = c.sigla LEFT JOIN {marked_cells} AS m ON m.hospital = c.hospital AND m.sigla = c.sigla""",
+    "rescans": "SELECT id, CAST(1 + id % 3 AS INT) AS count FROM {file_counts} WHERE id % 25 = 0",
+    "locked_cells": "SELECT hospital, sigla FROM {cells} WHERE worker_status = 'en_curso' AND errors = 0 AND sigla < 'd'",
     "dismissals": "SELECT hospital, sigla, suspect_id FROM {suspects} WHERE page_from = 3 OR suggested = 'art'",
     # new counts for a page's mark: none takes the mark away
     "mark_patches": "SELECT DISTINCT hospital, sigla, file, page, CAST((page * 5 + length(file)) % 4 AS INT) AS count FROM {present_marks} WHERE id % 7 = 0",
+    # pages' texts after different preparations, read by the plain pattern; and by other patterns, the last by two in turn
+    "variant_reads": f"""
+        SELECT pdf, page, variant, true_curr, CASE WHEN curr > 0 AND curr <= total THEN curr END AS curr, CASE WHEN curr > 0 AND curr <= total THEN total END AS total
+        FROM (SELECT pdf, page, variant, true_curr, CAST(NULLIF(regexp_extract(x, '{_OF}', 1), '') AS INT) AS curr, CAST(NULLIF(regexp_extract(x, '{_OF}', 2), '') AS INT) AS total
+          FROM (SELECT t.pdf, t.page, v.variant, t.true_curr, CASE v.variant WHEN 'raw' THEN text WHEN 'digits' THEN translate(text, 'OolI|ZSB', '00111258') WHEN 'narrow' THEN replace(text, ' ', '') ELSE replace(translate(text, 'OolI|ZSB', '00111258'), ' ', '') END AS x
+            FROM {{noted_text}} AS t CROSS JOIN (VALUES ('raw'), ('digits'), ('narrow'), ('both')) AS v(variant)) AS y) AS z""",
+    "noted_text": """
+        SELECT t.pdf, t.page, r.true_curr, r.period, CASE r.partkey % 7 WHEN 0 THEN replace(t.text, ' de ', ' d e ') WHEN 1 THEN 'hoja 2 de 9 ' || t.text ELSE t.text END AS text FROM {page_text} AS t JOIN {page_reads} AS r ON r.pdf = t.pdf AND r.page = t.page""",
+    "pattern_reads": f"""
+        SELECT pdf, page, period, variant, CAST(NULLIF(CASE variant WHEN 'named' THEN named WHEN 'bare' THEN bare ELSE COALESCE(NULLIF(named, ''), bare) END, '') AS INT) AS total
+        FROM (SELECT pdf, page, period, regexp_extract(text, '[Pp][AaÁá][Gg][A-Za-z]*[ ]*[0-9]{{{{1,3}}}}[ ]*de[ ]*([0-9]{{{{1,3}}}})', 1) AS named, regexp_extract(text, '{_OF}', 2) AS bare FROM {{noted_text}}) AS t CROSS JOIN (VALUES ('named'), ('bare'), ('named, else bare')) AS v(variant)""",
+    # what each preparation gains over the plain one: rescued pages less three times those it spoils; and two together
+    "variant_gains": """
+        SELECT v.variant, count_if(b.curr IS NULL AND v.curr = v.true_curr) - 3 * count_if(b.curr = b.true_curr AND COALESCE(v.curr <> v.true_curr, true)) AS net_gain
+        FROM {variant_reads} AS v JOIN (SELECT * FROM {variant_reads} WHERE variant = 'raw') AS b ON b.pdf = v.pdf AND b.page = v.page GROUP BY v.variant""",
+    "technique_gains": "SELECT t.phase, t.label, COALESCE(g.net_gain, 0) AS net_gain FROM (VALUES ('digits', 'off', 'raw'), ('digits', 'on', 'digits'), ('narrow', 'off', 'raw'), ('narrow', 'on', 'narrow')) AS t(phase, label, variant) LEFT JOIN {variant_gains} AS g ON g.variant = t.variant",
+    # combinations of the techniques that gain by themselves, if there are two at least; all off is left out
+    "combo_gains": """
+        SELECT g.variant AS label, g.net_gain FROM {variant_gains} AS g WHERE g.variant <> 'raw' AND 2 = (SELECT count(*) FROM {technique_gains} WHERE label = 'on' AND net_gain > 0)""",
+    # every hundredth of the pages that the plain preparation fails on, in a fixed order
+    "screen_pages": "SELECT pdf, page FROM {variant_reads} WHERE variant = 'raw' AND curr IS NULL AND (pdf * 31 + page) % 10 = 0",
+    "true_counts": "SELECT pdf, count_if(true_curr = 1) AS documents, count_if(method = 'failed') AS failed, count_if(true_curr = period) AS complete FROM {page_reads} GROUP BY pdf",
+    # a file's documents by the reads alone, and after the cycle fill
+    "config_counts": """
+        SELECT 'recovered' AS config, r.pdf, r.documents, r.n_inferred, COALESCE(g.complete, 0) AS complete FROM (SELECT pdf, count_if(curr = 1) AS documents, count_if(status = 'recovered') AS n_inferred FROM {recovered} GROUP BY pdf) AS r
+        LEFT JOIN (SELECT pdf, count_if(pages + inferred = declared_total AND sequence_ok) AS complete FROM {segments} GROUP BY pdf) AS g ON g.pdf = r.pdf
+        UNION ALL SELECT 'direct', pdf, count_if(curr = 1), CAST(0 AS BIGINT), count_if(curr = total) FROM {page_reads} GROUP BY pdf""",
     # pages to be matched with their category's cover anchors: as read, and as read once more from a cleaned image
     "dim_anchor": values(anchors.anchor_rows(), "sigla, flavor, ord, min_match, place, anchor, is_anti"),
     "dim_flavors": anchors.flavor_arrays(),
@@ -292,12 +323,13 @@ def names_in(text: str) -> list[str]:
 class Session:
     """DataFrames of one folder of tables, each planned once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self.made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, frames: dict[str, Callable[[Session], DataFrame]] | None = None):
+        """frames: relations that are not SQL."""
+        self.spark, self.dir, self.made, self.frames = spark, sf_dir, {}, frames or {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.made:
-            self.made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet") if name in TABLES else self.sql(RELATIONS[name])
+            self.made[name] = self.frames[name](self) if name in self.frames else self.spark.read.parquet(f"{self.dir}/{name}.parquet") if name in TABLES else self.sql(RELATIONS[name])
         return self.made[name]
 
     def sql(self, text: str) -> DataFrame:

@@ -5,6 +5,11 @@ Listings read no content: `binaryFile` prunes it when only path, time and length
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +18,26 @@ TRUTH = "map<string, struct<doc_count: int, complete_count: int, inferred_count:
 INDEX = "pdf_nickname string, page_num int, tier1_parsed string, tier2_parsed string, tier1_text string, tier2_text string, tier3_text string, image_path string"
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
+@cache
+def _own_folder(application: str) -> str:
+    return "file:" + tempfile.mkdtemp(prefix=f"pagetally-{application}-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; where that is unset, in a temporary folder of our own
+    if the driver is all there is (local master), and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_folder(spark.sparkContext.applicationId)
+    return f"{base.rstrip('/')}/pagetally/{name}-{unique()}"
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """path, modified, length of every matching file at any depth; sort by path where order matters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
@@ -29,15 +54,15 @@ def page_counts(files: DataFrame, cache: DataFrame) -> DataFrame:
     return files.join(cache.select("path", "modified", "length", "pages"), ["path", "modified", "length"], "left")
 
 
-def fixture_reads(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per page read of each JSON fixture at any depth, but for those in a folder named archived."""
-    rows = spark.read.schema(FIXTURE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
+def fixture_reads(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """One row per page read of each JSON fixture (or array of them) at any depth, but for those in a folder named archived."""
+    rows = spark.read.schema(FIXTURE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder)
     return rows.filter(~F.input_file_name().contains("/archived/") & F.col("reads").isNotNull()).select("name", "source", F.explode("reads").alias("r")).select("name", "source", "r.*")
 
 
 def truth(spark: SparkSession, path: str) -> DataFrame:
-    """One row per name of a JSON map of expected counts."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", TRUTH)).alias("name", "v"))
+    """One row per name of JSON maps of expected counts."""
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.explode(F.from_json("value", TRUTH)).alias("name", "v"))
     return rows.select("name", "v.*")
 
 
@@ -70,3 +95,9 @@ def write_manifest(ops: DataFrame, path: str) -> None:
 def latest_result(spark: SparkSession, folder: str, pattern: str = "sweep_*.json") -> str | None:
     """The path of the last result by name."""
     return list_files(spark, folder, pattern).agg(F.max("path")).first()[0]
+
+
+def latest_run(spark: SparkSession, folder: str, schema: str, by: str = "run") -> DataFrame:
+    """The rows of the last run by name, of results partitioned by run: only its files are read."""
+    rows = spark.read.schema(schema).json(folder)
+    return rows.filter(F.col(by) == rows.agg(F.max(by)).first()[0])
