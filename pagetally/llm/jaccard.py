@@ -8,21 +8,26 @@ Which rows can meet. By the sizes alone, linked sets differ in at most H = S * (
 elements, S being the sum of their sizes. Elements are dealt to k > H parts by hash, so linked sets agree in
 k - H parts at least. In one order of parts that all documents share (fuller parts first), the first H + 1
 parts of two linked sets have one in common (prefix principle), and only those are emitted, as a 64-bit key.
-k depends on the set's size class (a power of two); a set that can link upwards emits for the next class too.
+k depends on the set's size class (a power of two); a set that can link upwards emits for every class in reach.
 Keys of several shingles each make rows meet far less often by chance or by a passage that many share than
 single shingles do.
 
-Blocks. Rows that share a key are chained to the key's first row; the components of these chains are the
-blocks of the product, and rows of different blocks cannot link. A block over BLOCK rows is cut up and its
-pieces are multiplied pairwise, each pair in a task of its own. In a block, overlap counts are accumulated
-over an inverted index of the columns, pairs below the bound are discarded, and a spanning forest of the
-links goes on to the components.
-
-Keys that occur again within a batch are chained there and then, so a key that a third of all rows share
-reaches the shuffle once a batch. Null and empty texts have no n-grams: size 0, component the own id. A text
-of fewer than n words is one n-gram. Repeated rows are copies of each other. Null ids are kept; a component's
-id is its smallest id that is not null. Only id and text are read, so other columns cannot clash. Two
-different sets with the same 64-bit hash would be taken for copies: 2^-64 for each pair of sets.
+Blocks. Rows that share a key are chained to the key's first row, which makes a star. The components of the
+stars are the blocks of the product: rows of different components cannot link. A component over BLOCK rows is
+multiplied star by star if that ships fewer rows (each row once a star and block) than all pairs of its blocks
+do: rows of no common star share no key. Whatever is over BLOCK rows is cut up and its pieces are multiplied
+pairwise, each pair in a task of its own. In a block, overlap counts are accumulated over an inverted index of
+the columns, pairs below the bound are discarded, and a spanning forest of the links goes on to the components.
+
+Keys that occur again within a piece of a batch are chained there and then, so a key that a third of all rows
+share reaches the shuffle once a piece (PIECE bytes of text); a text that many rows repeat is fetched once a
+partition. Memory is bounded by a batch, a piece and two blocks.
+
+Null and empty texts have no n-grams: size 0, component the own id. A text of fewer than n words is one n-gram.
+Repeated rows are copies of each other. Null ids are kept; a component's id is its smallest id that is not null.
+Only id and text are read, so other columns cannot clash. Words are named by a 64-bit polynomial of random byte
+values, words over LONG_WORD bytes (where such polynomials have regular collisions) and sets by XXH3. Two
+different sets of one name would be taken for copies.
 """
 
 from __future__ import annotations
@@ -32,19 +37,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, chunks, runs, schema, scratch, staged
+from .common import arrow_schema, chunks, release, runs, schema, staged
 from .components import connected_components
 
 U = np.uint64
 #: Rows of a block that are multiplied in one task.
 BLOCK = 512
 #: Bytes of text hashed at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Bytes of text whose keys are chained before they are written.
+PIECE = 4_000_000
+#: Bytes of a word beyond which it is hashed as a whole.
+LONG_WORD = 128
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = U(0x9E3779B97F4A7C15)
@@ -112,7 +123,10 @@ def word_hashes(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndar
     power = _powers(_BASE, len(raw) + 1)
     total = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[raw] * power[:-1])])
     back = _powers(_INVERSE, len(raw) + 1)
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(U)), per_text
+    words = mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(U))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        words[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), LONG_WORD)
+    return words, per_text
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +174,10 @@ class Bound:
     def reach(self, size: np.ndarray) -> np.ndarray:
         return self.differ(size + self.largest(size))
 
+    def classes(self) -> int:
+        """Size classes that a set's partners may be in, from its own upwards."""
+        return 1 + int(np.ceil(np.log2(self.den / self.num)))
+
     def parts(self, level: np.ndarray) -> np.ndarray:
         h = self.reach((np.int64(2) << level) - 1)
         return h + 1 + (h * 7 + 19) // 20
@@ -172,8 +190,8 @@ def part_keys(sets: np.ndarray, sizes: np.ndarray, bound: Bound) -> tuple[np.nda
     full = sizes > 0
     level[full] = np.frexp(sizes[full].astype(float))[1] - 1
     start = np.cumsum(sizes) - sizes
-    for up in (0, 1):
-        own = np.flatnonzero(full if up == 0 else full & (bound.largest(sizes) >= (np.int64(2) << level)))
+    for up in range(bound.classes()):
+        own = np.flatnonzero(full if up == 0 else full & (bound.largest(sizes) >= (np.int64(1) << (level + up))))
         if not len(own):
             continue
         n, lev = sizes[own], level[own] + up
@@ -204,56 +222,59 @@ def set_names(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(view[8 * (e - n) : 8 * e]) for e, n in zip(ends, sizes.tolist(), strict=True)], U)
 
 
+TOKENS = schema("id bigint, n bigint, text_hash bigint, node bigint, keys array<bigint>, firsts array<bigint>")
 
 
-TOKENS = schema("kind int, id bigint, n bigint, text_hash bigint, node bigint, other bigint")
-
-
-def _emit(kind: int, rows: int, **cols) -> pa.RecordBatch:
-    names = arrow_schema(TOKENS)
-    full = {"kind": np.full(rows, kind, np.int32), **cols}
-    return pa.RecordBatch.from_arrays([pa.nulls(rows, f.type) if f.name not in full else full[f.name] if isinstance(full[f.name], pa.Array) else pa.array(full[f.name], f.type) for f in names], schema=names)
-
+def _sets_of(texts: pa.Array, n: int, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    lengths = pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).to_pylist()
+    for s, e in chunks(lengths, most):
+        parts = [shingle_sets(texts.slice(s + x, y - x), n) for x, y in chunks(lengths[s:e], CHUNK)]
+        yield s, e, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-def _sets_of(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    import pyarrow.compute as pc
 
-    lengths = pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).to_pylist()
-    for s, e in chunks(lengths, CHUNK):
-        yield s, e, *shingle_sets(texts.slice(s, e - s), n)
+def _lists(row: np.ndarray, values: np.ndarray, rows: int) -> pa.ListArray:
+    """Values of each row; row need not be sorted."""
+    order = np.argsort(row, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[order]))
 
 
 def _tokens(n: int, bound: Bound):
-    """Rows of kind 0: a document's id, size, text hash and node; 1: node and key (other); 2: two nodes that share a key."""
+    """Of each row: id, set size, text hash, node, the keys no earlier row of the piece has, and the first rows (nodes) of its other keys."""
+    out = arrow_schema(TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            owners, keys = [], []
-            for s, e, sets, sizes in _sets_of(b.column(2), n):
+            for s, e, sets, sizes in _sets_of(b.column(2), n, PIECE):
                 names = set_names(sets, sizes).view(np.int64)
-                own = b.slice(s, e - s)
-                yield _emit(0, e - s, id=own.column(0), text_hash=own.column(1), n=sizes, node=pa.array(names, mask=sizes == 0))
-                fresh = np.zeros(len(sizes), bool)
+                fresh = np.zeros(e - s, bool)
                 for i, (name, size) in enumerate(zip(names.tolist(), sizes.tolist(), strict=True)):
                     if size and name not in seen:
                         seen.add(name)
                         fresh[i] = True
-                pick = np.repeat(fresh, sizes)
-                owner, key = part_keys(sets[pick], sizes[fresh], bound)
-                owners.append(names[fresh][owner])
-                keys.append(key)
-            if not owners:
-                continue
-            owner, key = np.concatenate(owners), np.concatenate(keys)
-            key, first, back = np.unique(key, return_index=True, return_inverse=True)
-            if not len(key):
-                continue
-            yield _emit(1, len(key), node=owner[first], other=key.view(np.int64))
-            pairs = np.stack([owner, owner[first][back]], 1)
-            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-            if len(pairs):
-                yield _emit(2, len(pairs), node=pairs[:, 0].copy(), other=pairs[:, 1].copy())
+                owner, key = part_keys(sets[np.repeat(fresh, sizes)], sizes[fresh], bound)
+                owner = np.flatnonzero(fresh)[owner]
+                key, first, back = np.unique(key, return_index=True, return_inverse=True)
+                pairs = owner * (e - s) + owner[first][back] if len(key) else owner
+                pairs = np.unique(pairs[pairs // (e - s) != pairs % (e - s)])
+                own = b.slice(s, e - s)
+                columns = [own.column(0), pa.array(sizes), own.column(1), pa.array(names, mask=sizes == 0), _lists(owner[first], key.view(np.int64), e - s), _lists(pairs // (e - s), names[pairs % (e - s)], e - s)]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
+        release()
+
+    return run
+
+
+def _distinct_texts(schema: pa.Schema):
+    """Rows of text_hash and text without those that an earlier row of the partition has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            pick = [i for i, x in enumerate(b.column(0).to_pylist()) if x not in seen and not seen.add(x)]
+            yield pa.RecordBatch.from_arrays((b if len(pick) == len(b) else b.take(pa.array(pick, pa.int64()))).columns, schema=schema)
+        release()
 
     return run
 
@@ -280,7 +301,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], bound: Bound, same: bool)
 
 def _product(bound: Bound, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, lo, hi), own in runs(batches, ["cluster", "lo", "hi"]):
+        for (_, _, lo, hi), own in runs(batches, ["cluster", "star", "lo", "hi"]):
             rows = {}
             for b in own:
                 for node, block, s in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("node", "block", "elements")), strict=True):
@@ -307,67 +328,102 @@ def _product(bound: Bound, schema: pa.Schema):
             if made:
                 u, v = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+        release()
 
     return run
 
 
-def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
-    """id, n_shingles and component_id of each row of df."""
-    spark, bound = df.sparkSession, Bound(num, den)
+def _blocks(rows: str, elements: str, block: int) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / block), F.ceil(F.col(elements) / (block * 4096)), F.lit(1)).cast("int")
+
+
+def _groups(member: DataFrame, keyed: DataFrame, chained: DataFrame, block: int) -> DataFrame:
+    """node and groups (star, blocks, block): the blocks of the product that each row of `member` (node, cluster, n) is in.
+
+    keyed: rows and the first rows of their keys over all pieces; chained: the same within a piece."""
+    whole = member.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("elements"))
+    whole = staged(whole.select("cluster", "rows", _blocks("rows", "elements", block).alias("blocks")), "jaccard-clusters")
+    own = member.join(whole, "cluster").select("node", "cluster", F.col("cluster").alias("star"), "blocks")
+    large = whole.filter("blocks > 1")
+    if not large.isEmpty():
+        inside = member.join(large, "cluster").select("node", "cluster", "n")
+        through = chained.select("node", F.col("other").alias("via")).join(keyed.select(F.col("node").alias("via"), F.col("other").alias("star")), "via").select("node", "star")
+        direct = keyed.unionByName(chained)
+        stars = direct.select("node", F.col("other").alias("star")).unionByName(through).unionByName(direct.select(F.col("other").alias("node"), F.col("other").alias("star"))).distinct()
+        stars = staged(stars.join(inside, "node"), "jaccard-stars")
+        parts = stars.groupBy("cluster", "star").agg(F.count("*").alias("rows"), F.sum("n").alias("elements")).select("cluster", "star", "rows", _blocks("rows", "elements", block).alias("blocks"))
+        cost = parts.groupBy("cluster").agg(F.sum(F.col("rows") * F.col("blocks")).alias("cost")).join(large, "cluster").filter("cost < rows * blocks").select("cluster")
+        cost = staged(cost, "jaccard-by-star")
+        by_star = stars.join(cost, "cluster", "left_semi").join(parts.filter("rows > 1"), ["cluster", "star"]).select("node", "cluster", "star", "blocks")
+        own = own.join(cost, "cluster", "left_anti").unionByName(by_star)
+    place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    return own.select("node", "cluster", F.struct("star", "blocks", place).alias("g")).groupBy("node", "cluster").agg(F.collect_list("g").alias("groups"))
+
+
+def _labelled(df: DataFrame, id: str, text: str, n: int, num: int, den: int, block: int) -> DataFrame:
+    """id, n, text_hash, component (a node; null for an empty set) and component_id of each row of df."""
+    bound = Bound(num, den)
     docs = df.select(df[id].cast("bigint").alias("id"), F.xxhash64(df[text]).alias("text_hash"), df[text].cast("string").alias("text"))
-    path = scratch(spark, "jaccard-tokens")
-    docs.mapInArrow(_tokens(n, bound), TOKENS).write.partitionBy("kind").parquet(path)
-    tokens = spark.read.schema(TOKENS).parquet(path)
-    rows = tokens.filter("kind = 0").select("id", "n", "text_hash", "node")
-
-    first = F.first("node").over(Window.partitionBy("other").orderBy("node"))
-    chained = tokens.filter("kind = 1").select("node", first.alias("other"))
-    edges = chained.unionByName(tokens.filter("kind = 2").select("node", "other")).filter("node <> other").distinct()
+    tokens = staged(docs.mapInArrow(_tokens(n, bound), TOKENS), "jaccard-tokens")
+    rows = tokens.select("id", "n", "text_hash", "node")
+
+    first = F.first("node").over(Window.partitionBy("key").orderBy("node"))
+    keyed = tokens.select("node", F.explode("keys").alias("key")).select("node", first.alias("other")).filter("node <> other")
+    edges = keyed.withColumn("far", F.lit(True)).unionByName(tokens.select("node", F.explode("firsts").alias("other"), F.lit(False).alias("far"))).distinct()
+    edges = staged(edges, "jaccard-stars")
     clusters = connected_components(edges, "node", "other")
 
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n"))
-    member = nodes.join(clusters, "node").select("node", "text_hash", "n", F.col("component").alias("cluster"))
-    blocks = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / (block * 4096)), F.lit(1)).cast("int").alias("blocks"))
-    member = staged(member.join(blocks, "cluster").select("cluster", "blocks", "text_hash", F.col("node").alias("expected"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "jaccard-rows")
+    member = staged(nodes.join(clusters, "node").select("node", "text_hash", "n", F.col("component").alias("cluster")), "jaccard-members")
+    groups = _groups(member.drop("text_hash"), edges.filter("far").drop("far"), edges.filter("not far").drop("far"), block)
+    member = staged(member.join(groups, ["node", "cluster"]).select("text_hash", "cluster", F.col("node").alias("expected"), "groups"), "jaccard-rows")
 
-    made = schema("cluster bigint, blocks int, block int, node bigint, elements binary")
+    made = T.StructType([member.schema["cluster"], T.StructField("node", T.LongType()), member.schema["groups"], T.StructField("elements", T.BinaryType())])
     out = arrow_schema(made)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            for s, e, sets, sizes in _sets_of(b.column(4), n):
+            for s, e, sets, sizes in _sets_of(b.column(3), n, CHUNK):
                 part = b.slice(s, e - s)
                 ends = np.cumsum(sizes).tolist()
-                expected = part.column(3).to_pylist()
+                expected = part.column(1).to_pylist()
                 pick = [i for i, (x, y) in enumerate(zip(set_names(sets, sizes).view(np.int64).tolist(), expected, strict=True)) if x == y and x not in seen and not seen.add(x)]
                 if pick:
                     elements = pa.array([sets[ends[i] - sizes[i] : ends[i]].tobytes() for i in pick], pa.binary())
-                    cols = [part.column(c).take(pa.array(pick)) for c in range(4)]
-                    yield pa.RecordBatch.from_arrays([*cols, elements], schema=out)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(pick)) for c in range(3)), elements], schema=out)
+        release()
 
-    text_of = docs.select("text_hash", "text").join(member.hint("merge"), "text_hash").select("cluster", "blocks", "block", "expected", "text")
-    sets = text_of.mapInArrow(fetch, made)
+    texts = docs.select("text_hash", "text").filter("text is not null")
+    texts = texts.mapInArrow(_distinct_texts(arrow_schema(texts.schema)), texts.schema)
+    sets = texts.join(member.hint("merge"), "text_hash").select("cluster", "expected", "groups", "text").mapInArrow(fetch, made)
+    sets = sets.select("cluster", "node", F.inline("groups"), "elements")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = sets.select("cluster", "block", "node", "elements", other).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "elements")
+    paired = sets.select("cluster", "star", "block", "node", "elements", other).select("cluster", "star", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "elements")
     link = schema("node bigint, other bigint")
-    links = paired.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node").mapInArrow(_product(bound, arrow_schema(link)), link)
+    links = paired.repartition("cluster", "star", "lo", "hi").sortWithinPartitions("cluster", "star", "lo", "hi", "node").mapInArrow(_product(bound, arrow_schema(link)), link)
     component = connected_components(links, "node", "other")
 
     named = nodes.join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    label = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return rows.join(label, "node", "left").select(
-        F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
-    )
-
-
-def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of df without near copies: of each component, the row with the smallest id stays (of rows
-    that repeat that id, the one with the smallest text). Rows without an id cannot be told apart and stay."""
-    found = jaccard_components(df, id, text, n, num, den).filter(F.col(id) == F.col("component_id"))
-    keep = staged(found.groupBy(id).agg((F.count("*") > 1).alias("__repeated")), "jaccard-kept")
-    kept = df.join(keep.hint("merge"), id)
-    single = kept.filter(~F.col("__repeated")).select(df.columns)
-    order = Window.partitionBy(id).orderBy(text)
-    repeated = kept.filter("__repeated").withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(df.columns)
-    return single.unionByName(repeated).unionByName(df.filter(F.col(id).isNull()))
+    label = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component", "component_id")
+    return rows.join(label, "node", "left").select("id", "n", "text_hash", "component", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
+    """id, n_shingles and component_id of each row of df."""
+    return _labelled(df, id, text, n, num, den, block).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
+    """The rows of df without near copies: of each component the row with the smallest id stays (a null id only if
+    all are null; of rows that repeat that id, the one with the smallest text hash; of rows equal in both, one).
+    Rows whose text has no word are linked with nothing and stay."""
+    none, key = df[id].isNull(), F.coalesce(df[id].cast("bigint"), F.lit(0))
+    found = _labelled(df, id, text, n, num, den, block).filter("component is not null")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("key"), "text_hash")).alias("best")
+    keep = staged(found.groupBy("component").agg(best).select("best.*").distinct(), "jaccard-kept")
+    words = F.coalesce(df[text].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = df.filter(words).select(F.struct(*[df[c] for c in df.columns]).alias("row"), none.alias("none"), key.alias("key"), F.xxhash64(df[text]).alias("text_hash"))
+    rows = rows.join(keep.hint("merge"), ["none", "key", "text_hash"])
+    order = Window.partitionBy("none", "key", "text_hash").orderBy("text_hash")
+    return rows.withColumn("n", F.row_number().over(order)).filter("n = 1").select("row.*").unionByName(df.filter(~words))

@@ -17,7 +17,7 @@ def shingles(text, n):
     return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def brute(rows, n, num, den):
+def brute_components(rows, n, num, den):
     sets = [shingles(t, n) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -31,11 +31,16 @@ def brute(rows, n, num, den):
             c = len(sets[i] & sets[j])
             if c and den * c >= num * (len(sets[i]) + len(sets[j]) - c):
                 up[root(i)] = root(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
+    return [root(i) for i in range(len(rows))]
+
+
+def brute(rows, n, num, den):
+    least, component = {}, brute_components(rows, n, num, den)
+    for c, (d, _) in zip(component, rows, strict=True):
         if d is not None:
-            least[root(i)] = min(d, least.get(root(i), d))
-    return sorted(((d, len(s), d if not s else least.get(root(i))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=repr)
+            least[c] = min(d, least.get(c, d))
+    sets = [shingles(t, n) for _, t in rows]
+    return sorted(((d, len(s), least.get(c) if s else d) for c, (d, _), s in zip(component, rows, sets, strict=True)), key=repr)
 
 
 def near_copies(seed, n=160):
@@ -64,13 +69,64 @@ def test_jaccard_components_equal_brute_force(spark, seed, n, num):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, n, num, 100)
 
 
+def test_low_bounds_reach_all_size_classes(spark):
+    """At 30 of 100 linked sets may be two size classes apart."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        words = [f"{i}x{rng.random():.6f}" for _ in range(33)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(rng.sample(words, 10)))]
+    got = jaccard.jaccard_components(spark.createDataFrame([(*r, 7, "s") for r in rows], DOCS), n=1, num=30)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 1, 30, 100)
+
+
+def test_chains_are_multiplied_by_star(spark, monkeypatch):
+    """A long chain of weak links is one component, but few of its blocks share a key."""
+    words = [f"w{i}" for i in range(1900)]
+    rows = [(i, " ".join(words[i * 3 : i * 3 + 24])) for i in range(600)] + [(1000 + i, words[i] + " unlike") for i in range(9)]
+    asked = []
+    real = jaccard._groups
+    monkeypatch.setattr(jaccard, "_groups", lambda *a: asked.append(real(*a)) or asked[-1])
+    got = jaccard.jaccard_components(spark.createDataFrame([(*r, 7, "s") for r in rows], DOCS), n=1, num=60, block=8)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 1, 60, 100)
+    assert asked[0].filter("exists(groups, g -> g.star <> cluster)").count() > 0
+
+
+def test_long_regular_words_have_different_names():
+    """Thue-Morse words collide under any polynomial modulo 2^64."""
+    import pyarrow as pa
+
+    bit = lambda i, flip: "ab"[(i.bit_count() + flip) % 2]
+    one, two = ("".join(bit(i, flip) for i in range(4096)) for flip in (0, 1))
+    sets, sizes = jaccard.shingle_sets(pa.array([one, two, one.upper()]), 4)
+    assert sizes.tolist() == [1, 1, 1] and sets[0] != sets[1]
+    assert sets[0] == sets[2]
+
+
+def test_one_of_each(spark):
+    """Of each component one row stays: the smallest id, a null id only if all are null; rows without words stay."""
+    rows = near_copies(5, 40) + [(None, rows_text) for rows_text in ("only nulls here", "only nulls here")] + [(None, None), (7000, "seven thousand is unlike"), (7000, "a repeated id of another text"), (7000, "a repeated id of another text")]
+    df = spark.createDataFrame([(*r, 7, "s") for r in rows], DOCS)
+    df = df.withColumn("row", F.lit(1)).withColumn("key", F.lit("k")).withColumn("none", F.lit(0)).withColumn("text_hash", F.lit(2)).withColumn("component", F.lit(3))
+    kept = jaccard.one_of_each(df, n=4, num=85)
+    assert kept.columns == df.columns
+    sets = [shingles(t, 4) for _, t in rows]
+    want = Counter()
+    component = brute_components(rows, 4, 85, 100)
+    for root in set(component):
+        own = [i for i, r in enumerate(component) if r == root]
+        if not sets[own[0]]:
+            want.update(rows[i][0] for i in own)
+        else:
+            want[min((rows[i][0] is None, rows[i][0] or 0) for i in own)[1] if any(rows[i][0] is not None for i in own) else None] += 1
+    got = kept.collect()
+    assert Counter(r.doc_id for r in got) == want
+    assert sum(r.doc_id == 7000 for r in got) == 2
+    assert jaccard.one_of_each(df.filter("false")).collect() == []
+
+
 def test_jaccard_edges(spark, monkeypatch):
     assert jaccard.jaccard_components(spark.createDataFrame([], DOCS)).collect() == []
-    rows = near_copies(5, 40)
-    kept = jaccard.one_of_each(spark.createDataFrame([(*r, 7, "s") for r in rows], DOCS), n=4, num=85)
-    assert kept.columns == ["doc_id", "text", "n_shingles", "source"]
-    want = Counter({d: 1 for d, _, c in brute(rows, 4, 85, 100) if d is not None and d == c}) + Counter({None: 1})
-    assert Counter(r.doc_id for r in kept.collect()) == want
     import pyarrow as pa
 
     text = pa.array([" ".join(f"w{i * i % 977}" for i in range(3000)), "short one"])
@@ -102,6 +158,35 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.filter("false"), F.lit(True)).collect() == []
 
 
+def test_top_k_prunes_shards(spark, monkeypatch):
+    """Vectors in far clusters: queries go to few shards; crowded and equal vectors are split; results are whole."""
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(12, 8)) * 20
+    rows = [(int(i), [float(x) for x in (middles[i % 12] + rng.normal(size=8))]) for i in range(2400)] + [(5000 + i, [1.0] * 8) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    asked = []
+    real = topk._reached
+
+    def counted(balls):
+        asked.append(sum(len(s) for s, _, _ in balls.value.values()))
+        return real(balls)
+
+    monkeypatch.setattr(topk, "_reached", counted)
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, k=10, shard=100).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert asked[0] >= 33
+    x = np.array([np.floor(1024 * np.array(np.float32(v), np.float64)) for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    for q in range(0, 5900, 100):
+        if q in ids:
+            score = x @ x[ids.tolist().index(q)]
+            best = sorted((-s, i) for s, i in zip(score.tolist(), ids.tolist(), strict=True) if i != q)[:10]
+            assert sorted(got[q]) == [(n + 1, i, int(-s)) for n, (s, i) in enumerate(best)], q
+    placed = topk._placed(df.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda c: F.floor(c * 1024).cast("bigint")).alias("v"), F.lit(True).alias("asks"), F.lit(8).alias("dim")), 100)
+    assert placed.groupBy("shard").count().agg(F.max("count")).first()[0] <= 300
+
+
 def test_fingerprints(spark):
     body = [f"Line {i} of some text, with clause {i}; and number {i * i}." for i in range(40)]
     shuffled = body[:]
@@ -132,6 +217,28 @@ def test_fingerprint_updates(spark):
     assert row.sum == row.xy and row.rest == row.x and row.x != row.xy and 0 < row.l < 1
 
 
+def test_fingerprint_counters_hold_more_than_a_million_pieces(spark):
+    """Doubling a vector counts as many pieces as a long text has; one more piece hardly changes it."""
+    v = fingerprint.fingerprint_vector
+    df = spark.createDataFrame([("a line", "another one")], "x string, y string").select(v("x").alias("one"), v("y").alias("other")).withColumn("v", F.col("one"))
+    for _ in range(24):
+        df = df.withColumn("v", fingerprint.added("v", "v"))
+        df = spark.createDataFrame(df.collect(), df.schema)
+    row = df.withColumn("more", fingerprint.added("v", "other")).select(F.col("v")[0].alias("n"), fingerprint.likeness("v", "more").alias("near"), fingerprint.likeness("v", "one").alias("far"), fingerprint.removed("more", "v").alias("rest"), "other").first()
+    assert row.n == 1 << 24 and row.near > 0.9999 and row.far < 0.01 and row.rest == row.other
+
+
+def test_fingerprint_likeness_follows_the_pieces(spark):
+    """An edit of a quarter of many pieces leaves about three quarters alike; unlike texts are not alike."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [(i, ". ".join(f"{word()} {word()}" for _ in range(rng.randint(40, 160)))) for i in range(80)] + [(900, "。".join(word() for _ in range(80)))]
+    got = fingerprint.fingerprint_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    near = sorted(r.near_edited for r in got)
+    assert 0.65 < near[len(near) // 2] < 0.85 and near[0] > 0.45
+    assert max(r.near_next for r in got) < 0.3
+
+
 def fill(sizes, weights, total, most):
     """Water-filling by repeated resharing."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -207,6 +314,33 @@ def test_warc_round_trip(spark):
     assert warc.page_records(warc.read_archives(spark, empty)).collect() == []
 
 
+def test_warc_versions_compression_and_damage(spark, tmp_path):
+    record = lambda version, body: f"WARC/1.{version}\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{len(body)}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    whole = record(0, "a") + record(1, "WARC/1.0\r\n\r\nbb") + record(0, "") + record(1, "x WARC/1.2\r\n" * 50)
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a.warc").write_bytes(whole)
+    (tmp_path / "zipped").mkdir()
+    import gzip
+
+    (tmp_path / "zipped" / "a.warc.gz").write_bytes(gzip.compress(whole[:60]) + gzip.compress(whole[60:]))
+    want = ["", "WARC/1.0\r\n\r\nbb", "a", "x WARC/1.2\r\n" * 50]
+    for folder in ("plain", "zipped"):
+        got = warc.read_archives(spark, str(tmp_path / folder)).collect()
+        assert sorted(bytes(r.payload).decode() for r in got) == want
+    for name, raw in (("cut", whole[:-9]), ("gap", record(1, "a") + b"??" + record(1, "b"))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(raw)
+        with pytest.raises(Exception, match="is damaged"):
+            warc.read_archives(spark, str(tmp_path / name)).collect()
+    assert [bytes(r.payload) for r in warc.read_archives(spark, str(tmp_path / "gap"), damaged="skip").collect()] == [b"a"]
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 40) for i in range(30)] + [(None, "u", "n"), (None, "v", "n")], "page_id bigint, url string, html string")
+    path = scratch(spark, "t8z")
+    warc.write_archives(pages, path, compression="gzip")
+    back = warc.read_archives(spark, path)
+    assert back.select("record_id").distinct().count() == 32
+    assert sorted(r.page_id for r in warc.page_records(back).filter("page_id is not null").collect()) == list(range(30))
+
+
 def test_reachable():
     offsets, lengths = np.array([0, 4, 10, 13, 30]), np.array([10, 9, 20, 17, 99])
     assert warc.reachable(offsets, lengths, 200).tolist() == [True, False, True, False, True]
