@@ -5,8 +5,9 @@ displace, built once on the driver: its size is fixed by the vocabulary). Any ot
 linked bytes; a heap of mergeable neighbours, keyed by (rank, position), yields the same merges as a
 rescan for the lowest rank would, in n log n steps.
 
-Nulls count as empty texts and give no ids. A column of the output's name is replaced; all other
-columns pass through. Texts are read in pieces, so a very long text costs memory for its ids only.
+Nulls count as empty texts and give no ids. A column of the output's name is replaced; all other columns pass
+through. Batches are cut into pieces of about CHUNK, and a very long text is read in pieces, so it costs memory
+for its ids only. An empty table gives an empty table; repeated rows are encoded alike.
 Null id lists decode to null, ids outside the vocabulary to U+FFFD.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -25,14 +26,16 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound, chunks, small_batches
+from .common import arrow_schema, bound, chunks, release
 
 U = np.uint64
-#: Pre-tokens whose ids a worker keeps; beyond it, new ones are forgotten after their batch. It bounds memory, not results.
-MEMO = 300_000
+#: Bytes of pre-tokens and their ids that a worker keeps (each takes some 200 bytes besides); beyond it, new ones are
+#: forgotten after their piece of a batch. It bounds memory, not results.
+MEMO = 14_000_000
 #: Characters whose pre-tokens are held at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -116,6 +119,7 @@ class Codec:
                         self.pair[a << 32 | b] = i
             self.split = regex.compile(self.pattern)
             self.memo: dict[str, bytes] = {}
+            self.held = 0
             self._ready = True
         return self
 
@@ -153,13 +157,14 @@ class Codec:
         raw = [p.encode() for p in new]
         for p, r, i in zip(new, raw, self.table.find(raw).tolist(), strict=True):
             whole = i >= 0 and self.tokens[self.known[i]] == r
-            self.memo[p] = array("i", [self.known[i]] if whole else self.merge(r)).tobytes()
+            ids = self.memo[p] = array("i", [self.known[i]] if whole else self.merge(r)).tobytes()
+            self.held += len(r) + len(ids)
         return new
 
     def forget(self, new: list[str]) -> None:
-        if len(self.memo) > MEMO:
+        if self.held > MEMO:
             for p in new:
-                del self.memo[p]
+                self.held -= len(p.encode()) + len(self.memo.pop(p))
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= CHUNK:
@@ -205,40 +210,53 @@ def load(spark: SparkSession, path: str, pattern: str):
     return bound(spark, Codec(read_ranks(path), pattern))
 
 
-def encoder(codec):
-    """Column function: text -> array<int>. codec: what load() returned."""
+def _ids(codec: Codec, texts: pa.Array) -> pa.Array:
+    return id_lists(codec.encode(texts.to_pylist()))
+
+
+def _decoded(codec: Codec, ids: pa.Array) -> pa.Array:
+    flat = pc.fill_null(ids.values, -1).to_numpy()
+    at, ok = ids.offsets.to_pylist(), ids.is_valid().to_pylist()
+    return pa.array([codec.decode(flat[s:e].tolist()) if v else None for s, e, v in zip(at, at[1:], ok, strict=False)], pa.binary())
 
-    @F.arrow_udf("array<int>")
-    def encode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec.value.ready()
-        for a in arrays:
-            yield id_lists(c.encode(a.to_pylist()))
 
-    return encode
+def _added(df: DataFrame, codec, source: str, sizes: Callable[[pa.Array], pa.Array], columns: dict[str, tuple[T.DataType, Callable]]) -> DataFrame:
+    """df with columns computed one from the other, the first from `source`, a piece of a batch of about CHUNK at a time."""
+    kept = [c for c in df.columns if c not in columns or c == source]
+    made = T.StructType([*(df.schema[c] for c in kept if c not in columns), *(T.StructField(c, t) for c, (t, _) in columns.items())])
+    out, from_at = arrow_schema(made), kept.index(source)
+    pass_at = [i for i, c in enumerate(kept) if c not in columns]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec.value.ready()
+        for b in batches:
+            for s, e in chunks(pc.fill_null(sizes(b.column(from_at)), 0).to_pylist(), CHUNK):
+                part = b.slice(s, e - s)
+                found = [part.column(from_at)]
+                for _, f in columns.values():
+                    found.append(f(c, found[-1]))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in pass_at), *found[1:]], schema=out)
+        release()
 
-def decoder(codec):
-    """Column function: array<int> -> binary."""
+    return df.select(*[df[c] for c in kept]).mapInArrow(run, made)
 
-    @F.arrow_udf("binary")
-    def decode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec.value
-        for a in arrays:
-            flat = pc.fill_null(a.values, -1).to_numpy()
-            at, ok = a.offsets.to_pylist(), a.is_valid().to_pylist()
-            yield pa.array([c.decode(flat[s:e].tolist()) if v else None for s, e, v in zip(at, at[1:], ok, strict=False)], pa.binary())
 
-    return decode
+_ENCODE, _DECODE = (T.ArrayType(T.IntegerType()), _ids), (T.BinaryType(), _decoded)
 
 
 def encode_documents(df: DataFrame, codec, text: str = "text", ids: str = "ids") -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.withColumn(ids, encoder(codec)(F.coalesce(df[text], F.lit(""))))
+    """df with the ids of a text column."""
+    return _added(df, codec, text, pc.binary_length, {ids: _ENCODE})
 
 
 def decode_documents(df: DataFrame, codec, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.withColumn(out, decoder(codec)(df[ids]))
+    """df with the bytes of an ids column."""
+    return _added(df, codec, ids, pc.list_value_length, {out: _DECODE})
+
+
+def round_trip_documents(df: DataFrame, codec, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with the ids of a text column and the bytes of those ids, in one pass."""
+    return _added(df, codec, text, pc.binary_length, {ids: _ENCODE, out: _DECODE})
 
 
 def ids_digest(ids: Column) -> Column:

@@ -49,13 +49,6 @@ def bound(spark: SparkSession, value: object):
     return spark.sparkContext.broadcast(value)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the rows of an Arrow batch, which Python workers hold several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
-
-
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

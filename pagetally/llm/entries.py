@@ -25,7 +25,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.load(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = bpe.decode_documents(bpe.encode_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), codec), codec)
+    rows = bpe.round_trip_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), codec)
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
