@@ -4,8 +4,8 @@ log P(language | all) = log prior of the host + text likelihood + declared langu
 
 * Text: byte-bigram likelihoods of lower-cased letters (bytes above 127 are letters, the rest are breaks),
   fitted on SAMPLE labelled rows or so (a documented bound; as many of each language, drawn by a hash of id
-  and text, and LEAST_DRAWN or all it has at least). Every label of LEAST_LABELLED texts or more in the whole
-  input is a language; the model takes 8 bytes a language and bigram seen.
+  and text, and LEAST_DRAWN or all it has at least). Every label in the whole input, in small letters, is a language;
+  the model takes 8 bytes a language and bigram seen.
   Bigrams are not independent, so the likelihood is tempered to the power TEMPER.
 * Declared language and address suffix: right with probability TRUST and SUFFIX_TRUST, else any other.
 * Host prior: by grouped aggregation over all rows, counts of (host, language) by text alone, smoothed
@@ -19,7 +19,9 @@ exceed (by 6 to 8 on the test data) and natural texts do not (3.4 at most of tho
 
 Null and empty texts are rejected (language null, posterior 0). A null host, suffix or declaration is no
 evidence. Declared names outside the fitted languages are no evidence. Ties go to the first language by name.
-An input without labelled texts rejects every row. Columns of the outputs' names are replaced, others pass.
+An input without labelled texts rejects every row, an empty table gives an empty one, and rows that repeat get equal
+answers. Texts are read a megabyte at a time, whole. Columns of the outputs' names are replaced, others pass, whatever
+their names. Rows without a host are spread over all tasks.
 """
 
 from __future__ import annotations
@@ -31,10 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, schema, staged
+from .common import arrow_schema, release, schema, staged
 
 SAMPLE = 4000
-LEAST_LABELLED = 3
 LEAST_DRAWN = 100
 TEMPER = 0.3
 TRUST = 0.9
@@ -82,7 +83,11 @@ class TextModel:
         for at in range(0, len(raw), 1 << 20):
             times += np.bincount(self.place[bigrams(raw[at : at + (1 << 20) + 1])], minlength=len(times))
         had = np.flatnonzero(times)
-        return (self.logp[:, had] * times[had]).sum(axis=1), int(times.sum()), len(had)
+        like = np.zeros(len(self.languages))
+        for at in range(0, len(had), 4096):  # a bounded part of the model is copied at a time
+            some = had[at : at + 4096]
+            like += self.logp[:, some] @ times[some]
+        return like, int(times.sum()), len(had)
 
     def usual_enough(self, at: int, like: float, n: int, differ: int, declared: int) -> bool:
         """Whether a text of n bigrams is as likely in the language as its texts are. Repeats say nothing new,
@@ -92,11 +97,11 @@ class TextModel:
 
 
 def fit_text_model(df: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """Bigram counts by language. The languages are all labels of LEAST_LABELLED texts or more, counted over all rows;
-    of each, about sample / languages rows are drawn (LEAST_DRAWN at least, or all it has)."""
+    """Bigram counts by language. The languages are all labels, counted over all rows; of each, about
+    sample / languages rows are drawn (LEAST_DRAWN at least, or all it has)."""
     rows = df.filter(df[text].isNotNull() & df[label].isNotNull())
-    rows = rows.select(rows[label].alias("lang"), rows[text].alias("text"), F.pmod(F.xxhash64(rows[id], rows[text]), F.lit(1 << 30)).alias("draw"))
-    labels = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).filter(F.col("n") >= LEAST_LABELLED)
+    rows = rows.select(F.lower(rows[label]).alias("lang"), rows[text].alias("text"), F.pmod(F.xxhash64(rows[id], rows[text]), F.lit(1 << 30)).alias("draw"))
+    labels = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first"))
     labels = staged(labels, "labels")
     languages = sorted(r[0] for r in labels.select("lang").collect())
     each = max(LEAST_DRAWN, sample / max(1, len(languages)))
@@ -162,10 +167,7 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ad
     address: a web address or the name of a source; its host part names the host."""
     spark, L = df.sparkSession, len(model.languages)
     shared = spark.sparkContext.broadcast(model)
-    dot = F.instr(host_of(address), ".")
-    evidence = df.withColumns({
-        "__text": text, "__host": host_of(address), "__declared": _at(F.lower(declared), model.languages), "__suffix": _at(suffix_language(address), model.languages),
-    })
+    evidence = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), text.alias("text"), host_of(address).alias("host"), _at(F.lower(declared), model.languages).alias("declared"), _at(suffix_language(address), model.languages).alias("suffix"))
 
     @F.arrow_udf("int")
     def by_text(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -173,8 +175,10 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ad
         for a in arrays:
             got = [m.score(t.as_py()) for t in a]
             yield pa.array([int(s.argmax()) if n and L else -1 for s, n, _ in got], pa.int32())
+        release()
 
-    votes = evidence.select(F.col("__host").alias("host"), F.when(dot > 0, F.expr("substring(__host, instr(__host, '.'))")).otherwise(F.lit("")).alias("parent"), by_text("__text").alias("lang")).filter("lang >= 0 and host is not null")
+    parent = F.expr("CASE WHEN instr(host, '.') > 0 THEN substring(host, instr(host, '.')) ELSE '' END").alias("parent")
+    votes = evidence.select("host", parent, by_text("text").alias("lang")).filter("lang >= 0 and host is not null")
     if L:
         counts = staged(votes.groupBy("host", "parent", "lang").agg(F.count("*").alias("n")), "host-counts")
         every = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
@@ -183,11 +187,12 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ad
         smooth = lambda above: F.transform(above, lambda a, i: (F.coalesce(F.try_element_at("by", i), F.lit(0)) + KAPPA * a) / (F.col("all") + KAPPA))
         parents = counts.groupBy("parent", "lang").agg(F.sum("n").alias("n")).groupBy("parent").agg(*by)
         parents = parents.select("parent", smooth(base).alias("above"))
-        priors = counts.groupBy("host", "parent").agg(*by).join(parents, "parent").select(F.col("host").alias("__host"), smooth(F.col("above")).alias("__prior"))
-        evidence = evidence.join(staged(priors, "host-priors"), "__host", "left")
-        evidence = evidence.withColumn("__prior", F.coalesce("__prior", base))
+        priors = counts.groupBy("host", "parent").agg(*by).join(parents, "parent").select(F.col("host").alias("at"), smooth(F.col("above")).alias("prior"))
+        spread = F.coalesce("host", F.concat(F.lit("\n"), F.pmod(F.xxhash64("text"), F.lit(4096)).cast("string")))  # no host has a line end
+        evidence = evidence.withColumn("at", spread).join(staged(priors, "host-priors"), "at", "left")
+        evidence = evidence.withColumn("prior", F.coalesce("prior", base))
     else:
-        evidence = evidence.withColumn("__prior", F.array().cast("array<double>"))
+        evidence = evidence.withColumn("prior", F.array().cast("array<double>"))
 
     @F.arrow_udf("struct<predicted:string,posterior:double,n_bigrams:bigint,accepted:boolean>")
     def fuse(arrays: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -214,7 +219,8 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ad
                 post.append(top)
                 ok.append(top >= MIN_POSTERIOR and m.usual_enough(best, like[best], n, differ, d))
             yield pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(post, pa.float64()), pa.array(counts, pa.int64()), pa.array(ok, pa.bool_())], ["predicted", "posterior", "n_bigrams", "accepted"])
+        release()
 
-    out = evidence.withColumn("__found", fuse("__text", "__declared", "__suffix", "__prior"))
     names = ("predicted", "posterior", "n_bigrams", "accepted")
-    return out.select(*[c for c in df.columns if c not in names], *[F.col("__found")[n].alias(n) for n in names])
+    out = evidence.select("row", fuse("text", "declared", "suffix", "prior").alias("found"))
+    return out.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in names], *[F.col("found")[n].alias(n) for n in names])

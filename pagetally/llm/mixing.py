@@ -81,11 +81,12 @@ def mix_documents(df: DataFrame, quality: DataFrame, id: str = "doc_id", text: s
 def mixed(df: DataFrame, plan: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The mix itself: rows of df as often as the plan takes them, a last copy cut to the words taken of it.
     Rows that repeat both id and text share what is taken of them evenly."""
-    plan = plan.groupBy(id, "text_hash").agg(F.sum("taken").alias("t"), F.count("*").alias("n"), F.max("size").alias("__size"))
-    plan = plan.select(F.col(id).alias("__id"), "text_hash", F.floor(F.col("t") / F.col("n")).alias("__taken"), "__size").filter("__taken > 0")
-    rows = df.withColumn("__hash", F.xxhash64(text)).alias("d").join(plan.alias("p"), F.col(f"d.{id}").eqNullSafe(F.col("p.__id")) & (F.col("__hash") == F.col("p.text_hash")))
-    copies = F.expr("sequence(1L, cast(ceil(__taken / __size) as bigint))")
-    rows = rows.select("d.*", "__taken", "__size", F.explode(copies).alias("__copy"))
-    words = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
-    return rows.withColumn(text, F.when(words < F.col("__size"), cut).otherwise(F.col(text))).select(df.columns)
+    plan = plan.groupBy(id, "text_hash").agg(F.sum("taken").alias("t"), F.count("*").alias("n"), F.max("size").alias("size"))
+    plan = plan.select(F.col(id).alias("key"), F.col("text_hash").alias("hash"), F.floor(F.col("t") / F.col("n")).alias("taken"), "size").filter("taken > 0")
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id].alias("id"), F.xxhash64(df[text]).alias("text_hash"))
+    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("key")) & (F.col("text_hash") == F.col("hash")))
+    rows = rows.select("row", "taken", "size", F.explode(F.expr("sequence(1L, cast(ceil(taken / size) as bigint))")).alias("copy"))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
+    own = F.col("row")[text]
+    cut = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
+    return rows.select(*[(F.when(words < F.col("size"), cut).otherwise(own) if c == text else F.col("row")[c]).alias(c) for c in df.columns])
