@@ -1,13 +1,16 @@
 """Homomorphic multiset fingerprints, in SQL functions only.
 
-A text is a multiset of paragraph pieces: paragraphs (lines), cut after clause marks so that an edit
-touches few of them, without surrounding blanks; empty pieces do not count. Each piece is hashed to a wide
+A text is a multiset of paragraph pieces: paragraphs (lines), cut after clause marks of several scripts so that an
+edit touches few of them, without surrounding blanks; empty pieces do not count. Each piece is hashed to a wide
 vector, and the fingerprint is the sum of the vectors, each component modulo 2^60: the order of the pieces
 does not matter, and adding or removing a piece adds or subtracts its vector. Components are
 
 * the number of pieces,
-* 40 components that each pack three 20-bit counters, one for each of 120 hash bits, and
-* 4 components of 60 hash bits each, for equality.
+* 60 components that each pack two 30-bit counters, one for each of 120 hash bits, and
+* 2 components of 60 hash bits each, for equality.
+
+A counter holds up to 2^30 - 1 pieces, more than a text can have: it takes two bytes a piece at least, and has
+less than 2^31 in all. Multisets added together beyond that would carry from one counter into the next.
 
 The counters, centred, are a random projection of the multiset, so the squared distance of two fingerprints
 estimates how many pieces differ: `likeness` is 1 - |a - b|^2 / (|a|^2 + |b|^2), within 0 to 1; 1 for equal
@@ -30,20 +33,20 @@ from pyspark.sql.window import Window
 from .common import n_parts, staged
 
 MASK = (1 << 60) - 1
-LANE = (1 << 20) - 1
-_SHIFTS = range(20)
-_LANES = 1 | 1 << 20 | 1 << 40
+LANE = (1 << 30) - 1
+_SHIFTS = range(30)
+_LANES = 1 | 1 << 30
 #: Of each component: which hash it takes (0: all ones), shifted by, masked with.
-PLAN = [(0, 0, 1), *((h, s, _LANES) for h in (1, 2) for s in _SHIFTS), *((h, 0, MASK) for h in (3, 4, 5, 6))]
+PLAN = [(0, 0, 1), *((h, s, _LANES) for h in (1, 2) for s in _SHIFTS), *((h, 0, MASK) for h in (3, 4))]
 WIDTH = len(PLAN)
 COUNTERS = 2 * len(_SHIFTS)
 _plan = "array(" + ", ".join(f"named_struct('h', {h}, 's', {s}, 'm', {m}L)" for h, s, m in PLAN) + ")"
-_PIECES = r"filter(transform(split(%s, '(?<=[.!?;:,|])\\n?|\\n'), p -> trim(BOTH ' \t\r' FROM p)), p -> p <> '')"
+_PIECES = r"filter(transform(split(%s, '(?<=[.!?;:,|。！？；：，、।؟؛،…])\\n?|\\n'), p -> trim(BOTH ' \t\r' FROM p)), p -> p <> '')"
 
 
 def fingerprint_vector(text: str) -> Column:
     """SQL for the vector of a text column (or SQL expression): array<bigint>."""
-    hashes = ", ".join(f"xxhash64({i}, p)" for i in range(1, 7))
+    hashes = ", ".join(f"xxhash64({i}, p)" for i in range(1, 5))
     return F.expr(
         f"aggregate(transform({_PIECES % text}, p -> array(-1L, {hashes})), array_repeat(0L, {WIDTH}), "
         f"(sum, h) -> zip_with(sum, {_plan}, (x, c) -> (x + (shiftright(h[c.h], c.s) & c.m)) & {MASK}L))"
@@ -65,7 +68,7 @@ def removed(a: str, b: str) -> Column:
 
 
 def _squares(lane: str) -> str:
-    return " + ".join(f"pow({lane.format(s=s)}, 2)" for s in (0, 20, 40))
+    return " + ".join(f"pow({lane.format(s=s)}, 2)" for s in (0, 30))
 
 
 def likeness(a: str, b: str) -> Column:
