@@ -11,9 +11,13 @@ candidate) keeps the reachable records; a magic inside a payload is no record's
 A second pass takes the records out, from each split's first reachable one; only records that hold a magic,
 and so came in several pieces, are put together by a shuffle.
 
+WARC/1.0 and WARC/1.1 records are read, from plain files and from gzipped ones (a gzipped file is one split).
+A file in which no record starts where the last one ends, or whose last record is cut short, is damaged: reading it
+is an error, or with damaged="skip" ends with the records before the damage.
+
 Null payloads are empty. Repeated rows give repeated records. A null id is written as `null` and read back
-as null; such a page never is what others refer to. Line ends in addresses are percent-encoded. Damaged
-bytes between records end a file's chain there. Extra columns are not read.
+as null; such a page never is what others refer to. Line ends in addresses are percent-encoded. An empty table
+gives no file. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, runs, schema, segments, staged
 
-MAGIC = b"WARC/1.1\r\n"
+#: What every record starts with; the rest of its first line is a version.
+MAGIC = b"WARC/1."
+VERSIONS = (b"0\r\n", b"1\r\n")
 END = "\r\n\r\n"
 LEAST = 1000
 DATE = "2020-01-01T00:00:00Z"
@@ -36,31 +42,31 @@ DATE = "2020-01-01T00:00:00Z"
 MOST_SPLITS = 100_000
 
 
-def write_archives(df: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST) -> None:
+def write_archives(df: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, compression: str = "none") -> None:
     pages = df.select(df[id].alias("id"), F.coalesce(df[url], F.lit("")).alias("url"), F.coalesce(df[payload], F.lit("")).alias("body"))
     pages = pages.select("*", F.octet_length("body").alias("bytes"), F.sha1("body").alias("sha1"))
     same = pages.filter(F.col("bytes") >= least).groupBy("sha1", "bytes").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
     pages = pages.join(staged(same, "warc-same"), ["sha1", "bytes"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.concat(F.lit("null:"), F.sha1(F.concat("url", F.lit("\n"), "body")))), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     pages = pages.select("*", http.alias("http"), (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))).alias("length"))
     block = F.when(revisit, F.col("http")).otherwise(F.concat("http", "body"))
     uri = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = F.concat(
-        F.lit(MAGIC.decode() + "WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
+        F.lit(MAGIC.decode() + "1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "), name(F.col("id")), F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("sha1"),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("first")))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.col("length").cast("string"), F.lit(END),
     )
-    pages.select(F.concat(head, block).alias("value")).write.option("lineSep", END).text(path)
+    pages.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
 
 
 def _length(segment: bytes) -> int:
     """Bytes of the record that starts before this segment, magic included; -1 if it is none."""
     end = segment.find(b"\r\n\r\n")
-    if end < 0:
+    if end < 0 or not segment.startswith(VERSIONS):
         return -1
     for line in segment[:end].split(b"\r\n"):
         key, _, value = line.partition(b":")
@@ -110,7 +116,14 @@ def reachable(offsets: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray
     return reach & (lengths > 0) & (offsets + lengths <= size)
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(strict: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _entries_of(batches, strict)
+
+    return run
+
+
+def _entries_of(batches: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.RecordBatch]:
     """Per file: each split's place, and the record that reaches into it from before."""
     out = arrow_schema(ENTRIES)
     for (path,), own in runs(batches, ["path"]):
@@ -123,6 +136,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(totals.sum()) - len(MAGIC)
         keep = reachable(offset[is_record], length[is_record], end)
         records, ends = offset[is_record][keep], (offset + length)[is_record][keep]
+        if strict and end > 0 and (last := int(ends.max(initial=0))) != end:
+            raise ValueError(f"{path} is damaged: no whole record starts at byte {last} of {end}")
         before = np.searchsorted(records, base - len(MAGIC)) - 1  # the last record that starts before the split's first magic
         owner = np.where(before >= 0, records[np.maximum(before, 0)] if len(records) else -1, -1)
         owner_end = np.where(before >= 0, ends[np.maximum(before, 0)] if len(records) else 0, 0)
@@ -177,11 +192,11 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
 
 
-def read_archives(spark: SparkSession, path: str, most_splits: int = MOST_SPLITS) -> DataFrame:
-    """One row per record, with its payload (null for revisits)."""
+def read_archives(spark: SparkSession, path: str, most_splits: int = MOST_SPLITS, damaged: str = "error") -> DataFrame:
+    """One row per record, with its payload (null for revisits). damaged: "error", or "skip" what follows damage."""
     raw = spark.read.option("lineSep", MAGIC.decode()).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
     found = raw.mapInArrow(_candidates, CANDIDATES)
-    entries = staged(found.repartition("path").sortWithinPartitions("path", "block", "at").mapInArrow(_entries, ENTRIES), "warc-entries")
+    entries = staged(found.repartition("path").sortWithinPartitions("path", "block", "at").mapInArrow(_entries(damaged != "skip"), ENTRIES), "warc-entries")
     few = entries.count() <= most_splits
     rows = raw.mapInArrow(_located, LOCATED).join(F.broadcast(entries) if few else entries, ["path", "block"])
     if not few:
@@ -189,7 +204,7 @@ def read_archives(spark: SparkSession, path: str, most_splits: int = MOST_SPLITS
     pieces = rows.mapInArrow(_pieces, PIECES)
     whole = pieces.filter("whole").select("path", "record", "bytes")
     parts = pieces.filter("not whole").groupBy("path", "record").agg(F.sort_array(F.collect_list(F.struct("piece", "bytes"))).alias("p"))
-    parts = parts.select("path", "record", F.expr("aggregate(p, cast('' AS binary), (t, x) -> concat(t, x.bytes))").alias("bytes"))
+    parts = parts.select("path", "record", F.expr("unhex(array_join(transform(p, x -> hex(x.bytes)), ''))").alias("bytes"))
     return whole.unionByName(parts).mapInArrow(_parsed, RECORDS)
 
 
