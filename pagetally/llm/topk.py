@@ -1,15 +1,19 @@
 """Exact top-k by inner product: ball-tree branch and bound in shards.
 
-Vectors become integers, floor(scale * x). Candidates are dealt to shards of about SHARD rows; a task builds
-a ball tree of its shard and streams the queries past it. Nodes are opened in the order of the upper bound
-q.c + |q| r of their inner products; a node whose bound is under the current kth score is not opened. Shards
-share that score: each query is first searched in one shard, and its kth score there is where all shards
-start from, so they return little else than results.
+Vectors become integers, floor(scale * x). A vector is put into the shard of the nearest of some centres (drawn by
+hash, one per SHARD vectors and at most MOST_SHARDS); a shard that would hold much more than SHARD is split by hash, so
+equal or crowded vectors do not make one large task. A task builds a ball tree of its shard and streams queries past
+it: nodes are opened in the order of the upper bound q.c + |q| r of their inner products, and a node whose bound is
+under the current kth score is not opened. Shards share that score: each query is first searched in its own shard, and
+then goes, with the kth score found there, to those other shards whose root ball may still hold a better one.
+
+What is broadcast are the centres and the shards' root balls: SHARD grows with the table so that they are at most
+MOST_SHARDS and twice that.
 
 Vectors that are null or hold null or non-finite components take no part. Vectors of different lengths are
 not compared; integers and scores stay within 64 bits (beyond, they saturate). A query's own rows, those with
 its id, are no candidates; repeated rows are candidates each, repeated queries count once. Ties go to the
-smaller id. Only id and vector are read, so other columns cannot clash.
+smaller id. An empty table has no queries. Only id and vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -23,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, schema, segments, staged
+from .common import arrow_schema, bound, n_parts, release, runs, schema, segments, staged
 
-SHARD = 32_768
+SHARD = 8192
+MOST_SHARDS = 4096
 LEAF = 128
 FOUND = schema("query_id bigint, query_key bigint, vec_id bigint, score bigint")
 _TOP, _LOW = (1 << 63) - 1, -(1 << 63)
@@ -123,31 +128,108 @@ def _search(k: int):
             made = [(q, key, -i, s) for q, x, key, least in zip(own.tolist(), v, b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True) for s, i in tree.search(q, x, k, least)]
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], schema=out)
+        release()
+
+    return run
+
+
+def _nearest(centres):
+    """Column function: the number of the centre nearest to a vector (0 if there is none of its length)."""
+
+    @F.arrow_udf("int")
+    def nearest(v: pa.Array) -> pa.Array:
+        out = np.zeros(len(v), np.int32)
+        sizes = np.diff(v.offsets.to_numpy())
+        for dim in np.unique(sizes).tolist():
+            own, at = centres.value.get(dim), np.flatnonzero(sizes == dim)
+            if own is not None and dim:
+                for s in range(0, len(at), 1024):
+                    some = at[s : s + 1024]
+                    x = _vectors(v.take(pa.array(some))).astype(np.float64)
+                    out[some] = ((own**2).sum(axis=1)[None, :] - 2 * (x @ own.T)).argmin(axis=1)
+        return pa.array(out)
+
+    return nearest
+
+
+BALLS = schema("dim int, shard bigint, centre array<double>, radius double")
+
+
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shard's root ball: the middle of its smallest box, and the distance of its farthest vector."""
+    out = arrow_schema(BALLS)
+    for (dim, shard), own in runs(batches, ["dim", "shard"]):
+        x = np.concatenate([_vectors(b.column(2)) for b in own]).astype(np.float64)
+        c = (x.min(axis=0) + x.max(axis=0)) / 2
+        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([shard]), pa.array([c]), pa.array([float(np.sqrt(((x - c) ** 2).sum(axis=1).max()))])], schema=out)
+
+
+ASKING = schema("dim int, shard bigint, kind int, id bigint, v array<bigint>, key bigint, least bigint")
+
+
+def _reached(balls):
+    """Queries with the shards, other than their own, whose root ball reaches their kth score."""
+    out = arrow_schema(ASKING)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for dim, home, q, v, key, least in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                shards, centres, radii = balls.value[dim]
+                x = np.array(v, np.float64)
+                size = np.sqrt(x @ x)
+                bounds = centres @ x + size * radii
+                bounds += 1e-9 * (np.abs(bounds) + size * (radii + np.abs(centres).max(initial=0, axis=1))) + 1
+                reach = shards != home
+                if least is not None:
+                    reach &= bounds >= least
+                rows += [(dim, shard, 1, q, v, key, least) for shard in shards[reach].tolist()]
+                if len(rows) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     return run
 
 
+def _placed(rows: DataFrame, shard: int) -> DataFrame:
+    """rows with a shard: the nearest centre's, split where it would hold too many."""
+    spark = rows.sparkSession
+    sizes = {r[0]: r[1] for r in rows.groupBy("dim").count().collect()}  # one row per length of vectors
+    shard = max(shard, -(-sum(sizes.values()) // MOST_SHARDS))
+    some = lambda dim, n: rows.filter(F.col("dim") == dim).orderBy(F.xxhash64("v"), "id").limit(-(-n // shard)).select("v").collect()
+    centres = {dim: np.array([r[0] for r in some(dim, n)], np.float64) for dim, n in sizes.items() if dim and n > shard}
+    rows = staged(rows.withColumn("centre", _nearest(bound(spark, centres))("v")), "near-vectors")
+    crowd = rows.groupBy("dim", "centre").agg(F.ceil(F.count("*") / (2 * shard)).alias("parts"))
+    part = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col("parts"))
+    return staged(rows.join(F.broadcast(crowd), ["dim", "centre"]).select("id", "v", "asks", "dim", (F.shiftleft(F.col("centre").cast("bigint"), 32) + part).alias("shard")), "vectors")
+
+
 def top_k(df: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding", scale: int = 1024, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of df where `queries` (a condition on its columns) holds, the k best others."""
-    n_shards = max(1, -(-df.count() // shard))
-    v = df[vector]
+    spark, v = df.sparkSession, df[vector]
     ok = v.isNotNull() & df[id].isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
     rows = df.filter(ok).select(df[id].cast("bigint").alias("id"), whole.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_shards)).cast("int")
-    rows = staged(rows.select("id", "v", "asks", F.size("v").alias("dim"), place.alias("shard")), "vectors")
-    asked = rows.filter("asks").select("id", "v", "dim").distinct().select("*", F.xxhash64("id", "v").alias("key"))
-    columns = ["dim", "shard", "kind", "id", "v", "key", "least"]
+    rows = _placed(staged(rows.withColumn("dim", F.size("v")), "whole-vectors"), shard)
     none = F.lit(None).cast("bigint")
     candidates = rows.select("dim", "shard", F.lit(0).alias("kind"), "id", "v", none.alias("key"), none.alias("least"))
+    parts = n_parts(spark)
 
     def search(asking: DataFrame) -> DataFrame:
-        both = candidates.unionByName(asking.select(*columns))
-        return both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(_search(k), FOUND)
-
-    home = asked.select("dim", F.pmod("key", F.lit(n_shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "id", "v", "key", none.alias("least"))
-    least = search(home).groupBy("query_key").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard")
-    asking = asked.join(least, asked["key"] == least["query_key"], "left").select("dim", everywhere, F.lit(1).alias("kind"), "id", "v", "key", "least")
+        both = candidates.unionByName(asking.select(*candidates.columns))
+        return both.repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(_search(k), FOUND)
+
+    found: dict[int, tuple] = {}
+    for r in rows.select("dim", "shard", "v").repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard").mapInArrow(_balls, BALLS).toLocalIterator():
+        for own, x in zip(found.setdefault(r.dim, ([], [], [])), (r.shard, r.centre, r.radius), strict=True):
+            own.append(x)
+    balls = bound(spark, {dim: (np.array(s), np.array(c, np.float64).reshape(len(s), dim), np.array(x)) for dim, (s, c, x) in found.items()})
+
+    asked = rows.filter("asks").groupBy("dim", "id", "v").agg(F.min("shard").alias("shard")).withColumn("key", F.xxhash64("id", "v"))
+    home = staged(search(asked.select("dim", "shard", F.lit(1).alias("kind"), "id", "v", "key", none.alias("least"))), "home-found")
+    least = home.groupBy("query_key").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    asking = asked.join(least, asked["key"] == least["query_key"], "left").select("dim", "shard", "id", "v", "key", "least").mapInArrow(_reached(balls), ASKING)
     order = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
-    return search(asking).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return home.unionByName(search(asking)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
