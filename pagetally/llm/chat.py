@@ -6,8 +6,9 @@ tokenizer as tokens of their own, so no token reaches across a mark. Inside role
 doubled and a mark gets a backslash after its first character; `unescape` undoes both.
 
 Rows are ordered by turn (then role and text, for repeated turns; a null turn comes first). Null roles and
-texts are empty; rows whose conv_id is null make one conversation. Rows are sorted by conversation within
-hash partitions and streamed: memory holds one conversation and one batch to encode.
+texts are empty; rows whose conv_id is null make one conversation; an empty table makes none. Only id, turn, role and
+text are read, so other columns cannot clash. Rows are sorted by conversation within hash partitions and streamed:
+memory holds one conversation and one batch to encode. A conversation is one text, so it is one task's, however long.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, bound, runs, schema
+from .common import arrow_schema, bound, release, runs, schema
 
 BATCH_CHARS = 1_000_000
 FORMATTED = "formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
@@ -116,12 +118,13 @@ def format_chats(df: DataFrame, tokenizer, template: ChatTemplate = ChatTemplate
         tok = _tokenizer(tokenizer.value, template)
 
         def encoded(held: list[tuple]) -> pa.RecordBatch:
-            cols = [[] for _ in out]
-            for (cid, (formatted, spans)), e in zip(held, tok.encode_batch([h[1][0] for h in held], add_special_tokens=False), strict=True):
-                off = np.array(e.offsets, np.int64).reshape(-1, 2)
-                for col, v in zip(cols, (cid, formatted, e.ids, off[:, 0], off[:, 1], span_mask(off[:, 0], off[:, 1], spans)), strict=True):
-                    col.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+            found = tok.encode_batch([h[1][0] for h in held], add_special_tokens=False)
+            offsets = [np.fromiter(chain.from_iterable(e.offsets), np.int32).reshape(-1, 2) for e in found]
+            ends = pa.array(np.cumsum([0, *map(len, offsets)]), pa.int32())
+            every = np.concatenate(offsets)
+            mask = np.concatenate([span_mask(o[:, 0], o[:, 1], spans) for o, (_, (_, spans)) in zip(offsets, held, strict=True)])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (np.concatenate([np.array(e.ids, np.int32) for e in found]), every[:, 0], every[:, 1], mask)]
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], out.field(0).type), pa.array([h[1][0] for h in held], pa.string()), *lists], schema=out)
 
         held, size = [], 0
         for (cid,), own in runs(batches, ["c"]):
@@ -133,6 +136,7 @@ def format_chats(df: DataFrame, tokenizer, template: ChatTemplate = ChatTemplate
                 held, size = [], 0
         if held:
             yield encoded(held)
+        release()
 
     return rows.repartition("c").sortWithinPartitions("c", "t", "r", "x").mapInArrow(run, columns)
 
@@ -145,12 +149,13 @@ def chat_digests(df: DataFrame, template: ChatTemplate = ChatTemplate(), conv_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for x in b.to_pylist():
-                turns = template.parse(x["formatted"])
-                starts, ends, mask = (np.array(x[k]) for k in ("token_starts", "token_ends", "loss_mask"))
-                loss = "".join(template.unescape(p) for p in masked_text(x["formatted"], starts, ends, mask.astype(bool)))
+            at = b.column(2).offsets.to_numpy()
+            starts, ends, masks = (c.values.to_numpy(zero_copy_only=False) for c in b.columns[2:])
+            for i, (conv, formatted) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                turns, own = template.parse(formatted), slice(at[i], at[i + 1])
+                loss = "".join(template.unescape(p) for p in masked_text(formatted, starts[own], ends[own], masks[own]))
                 said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                rows.append((x[conv_id], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(x["formatted"]), len(mask), int(mask.sum())))
+                rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted), int(at[i + 1] - at[i]), int(masks[own].sum())))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
 
     return df.select(conv_id, "formatted", "token_starts", "token_ends", "loss_mask").mapInArrow(run, columns)

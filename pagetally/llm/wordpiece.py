@@ -6,7 +6,8 @@ pass over its bytes, without building its pieces. Pieces that open a word and pi
 two vocabularies with two roots, as with the "##" of word-piece files.
 
 A word that cannot be cut into pieces counts as one unknown token. Words are [^\\x20\\x09-\\x0D]+. Null and
-empty texts have no words. Columns of the outputs' names are replaced; others pass through.
+empty texts have no words; an empty table gives an empty one; repeated rows get equal counts. Columns of the outputs'
+names are replaced; others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import bound, chunks
+from .common import bound, chunks, release
 
-MEMO = 200_000
-CHUNK = 4_000_000
+#: Bytes of words whose counts a worker keeps (each takes some 120 bytes besides); beyond it, it starts anew. It bounds
+#: memory, not results.
+MEMO = 4_000_000
+#: Characters whose words are held at once; a longer text is cut into words alone.
+CHUNK = 2_000_000
 
 
 class Automaton:
@@ -59,6 +63,7 @@ class Automaton:
             if z >= 0:
                 self.fail[v], self.pops[v] = self.step[z << 8 | c], popped
         self.memo: dict[bytes, int] = {}
+        self.held = 0
 
     def count(self, word: bytes) -> int:
         """Greedy longest-match pieces of a word; 1 if it cannot be cut."""
@@ -83,6 +88,7 @@ class Automaton:
         for w in set(words):
             if w not in memo:
                 memo[w] = self.count(w)
+                self.held += len(w)
         return sum(map(memo.__getitem__, words))
 
 
@@ -122,13 +128,15 @@ def count_tokens(df: DataFrame, vocabulary, text: str = "text", words: str = "n_
         for a in arrays:
             texts, n_words, n_tokens = a.to_pylist(), [], []
             for s, e in chunks([len(t or "") for t in texts], CHUNK):
-                if len(auto.memo) > MEMO:
+                if auto.held > MEMO:
                     auto.memo.clear()
+                    auto.held = 0
                 for t in texts[s:e]:
                     w = t.encode().split() if t else []
                     n_words.append(len(w))
                     n_tokens.append(auto.counts(w))
             yield pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["words", "tokens"])
+        release()
 
-    out = df.withColumn("__counts", count(F.coalesce(df[text], F.lit(""))))
-    return out.withColumns({words: F.col("__counts.words"), tokens: F.col("__counts.tokens")}).drop("__counts")
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), count(F.coalesce(df[text], F.lit(""))).alias("n"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in (words, tokens)], F.col("n.words").alias(words), F.col("n.tokens").alias(tokens))
