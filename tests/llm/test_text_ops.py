@@ -33,7 +33,7 @@ def test_bpe_equals_library_and_round_trips(spark, codec):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     df, rows = texts(spark)
-    got = bpe.decode_documents(bpe.encode_documents(df, codec), codec).withColumn("d", bpe.ids_digest(F.col("ids"))).collect()
+    got = bpe.round_trip_documents(df, codec).withColumn("d", bpe.ids_digest(F.col("ids"))).collect()
     assert len(got) == len(rows)
     for r in got:
         want = lib.encode_ordinary(r.text or "")
@@ -79,15 +79,58 @@ def test_automaton_equals_greedy_search():
             assert auto.count(w) == greedy(w, opening, going), (w, opening, going)
 
 
-def test_token_counts(spark):
+def test_token_counts(spark, monkeypatch):
     df, rows = texts(spark)
     v = wordpiece.load(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     opening, going = v.value.sets
-    for r in wordpiece.count_tokens(df, v).collect():
+    got = wordpiece.count_tokens(df.withColumn("row", F.lit("mine")), v).collect()
+    known: dict[bytes, int] = {}
+    for r in got:
         words = (r.text or "").encode().split()
-        assert r.n_words == len(words)
-        if len(words) < 100 and all(len(w) < 200 for w in words):
-            assert r.n_tokens == sum(greedy(w, opening, going) for w in words)
+        assert (r.n_words, r.row) == (len(words), "mine")
+        assert r.n_tokens == sum(known.setdefault(w, greedy(w, opening, going)) if w not in known else known[w] for w in words)
+    assert len(got) == len(rows)
+    assert wordpiece.count_tokens(df.filter("false"), v).collect() == []
+    monkeypatch.setattr(wordpiece, "MEMO", 10)
+    monkeypatch.setattr(wordpiece, "CHUNK", 50)
+    auto = wordpiece.Vocabulary(opening, going).automaton()
+    assert [auto.counts(r.text.encode().split()) for r in got if r.text] == [r.n_tokens for r in got if r.text]
+
+
+def test_memos_bound_memory_and_not_results(codec, monkeypatch):
+    """With memos of a few bytes, and pieces of a few characters, all is as with large ones."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    own = [t or "" for t in ODD] + ["".join(rng.choice("abc ,.\nÄß") for _ in range(300)) for _ in range(20)]
+    c = codec.value.ready()
+    words = tokenfile.WordTokenizer(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    ids, (flat, sizes) = c.encode(own), words.encode(pa.array(own), 1)
+    monkeypatch.setattr(bpe, "MEMO", 10)
+    monkeypatch.setattr(bpe, "CHUNK", 90)
+    monkeypatch.setattr(tokenfile, "MEMO", 10)
+    monkeypatch.setattr(tokenfile, "CHUNK", 90)
+    small = tokenfile.WordTokenizer(words.raw)
+    assert bpe.Codec(c.tokens, c.pattern).ready().encode(own) == ids
+    again, n = small.encode(pa.array(own), 1)
+    assert again.tolist() == flat.tolist() and n.tolist() == sizes.tolist() and small._held <= 10 + max(map(len, own)) * 5
+
+
+def test_words_are_looked_up_as_the_library_cuts_them():
+    """Folding, commas and full stops, combining marks, marks of other scripts: as if every text were encoded whole."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(10)
+    parts = ["A", "b", "Cd", "J", "h", "\u030c", "\u0331", "\u0307", "é", "É", "e\u0301", "İ", "ß", "Σ", ",", ".", "'S", "'t", "’", "…", "9", "۳", "東", "\x85", "\xa0", "\u2003", "\x1c", " ", "\n", "🎉", "ﬁ", "K"]
+    own = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)] + ["J\u030c,", "j\u030c.", "A,\u0301", "a.\u0301 b", "x,y.z", "x,,", "A.", "it's, It'S."]
+    flat, sizes = tokenfile.WordTokenizer(open(path, encoding="utf-8").read()).encode(pa.array(own), 1)
+    at = 0
+    for t, n in zip(own, sizes.tolist(), strict=True):
+        assert flat[at : at + n].tolist() == lib.encode(t, add_special_tokens=False).ids + [1], repr(t)
+        at += n
 
 
 def test_chat_formatting(spark):
@@ -127,6 +170,7 @@ def test_token_files(spark):
         assert (-1 if r.doc_id is None else r.doc_id) >= last
         at, last = at + len(r.ids), -1 if r.doc_id is None else r.doc_id
     assert sorted(r.doc_id for r in tokenfile.find_documents(spark, path, [3, 7]).collect()) == [3, 3, 7]
+    assert tokenfile.find_documents(spark, path, [10**9]).collect() == []
     empty = scratch(spark, "t9e")
     tokenfile.write_token_files(df.filter("false"), tokenfile.load(spark, public_tokenizers.path("word_bpe_49k.json")), empty)
     assert tokenfile.starts(tokenfile.read_token_files(spark, empty)).collect() == []
@@ -214,3 +258,22 @@ def test_pages_use_all_evidence(spark, tmp_path):
     assert len(got) == len(rows)
     assert all(got[i].predicted == "de" and got[i].accepted for i in range(40))
     assert [got[i].predicted for i in (100, 101, 102, 103, 104, 105)] == ["fr", "fr", "de", "de", None, "en"]
+
+
+def test_lookups_skip_row_groups(spark):
+    """An id between those of a file, but not among them, reads no row thanks to the Bloom filters; one that is there reads its row group."""
+    df = spark.range(0, 120_000, 2).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    path = scratch(spark, "t9p")
+    tokenfile.write_token_files(df, tokenfile.load(spark, public_tokenizers.path("word_bpe_49k.json")), path)
+
+    def read(ids):
+        found = tokenfile.find_documents(spark, path, ids)
+        n = len(found.collect())
+        plan = found._jdf.queryExecution().executedPlan()
+        while plan.children().nonEmpty():
+            plan = plan.children().head()
+        return n, plan.metrics().apply("numOutputRows").value()
+
+    assert read([60_001]) == (0, 0) and read([10**7]) == (0, 0)
+    n, rows = read([60_000])
+    assert n == 1 and 0 < rows <= 10_000
