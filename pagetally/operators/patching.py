@@ -8,13 +8,16 @@ STATE = {
     # a patch's count replaces the file's, and null takes an override away
     "g05_override_patch": "SELECT id, CASE WHEN patched THEN count ELSE override END AS override FROM (SELECT f.id, f.override, p.id IS NOT NULL AS patched, p.count FROM {file_counts} AS f LEFT JOIN (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS INT) END AS count FROM {part} WHERE p_size > 25) AS p ON p.id = f.id) AS s",
     "g05_note_patch": f"SELECT hospital, sigla, NULLIF(trim(note), '') AS note, CASE WHEN trim(note) <> '' THEN status END AS note_status FROM ({_NOTES}) AS p",
+    "g05_confirm_patch": "SELECT c.hospital, c.sigla, COALESCE(p.confirmed, c.confirmed) AS confirmed FROM {cells} AS c LEFT JOIN (SELECT src_hospital AS hospital, src_sigla AS sigla, max_by(status = 'applied', id) AS confirmed FROM {ops} GROUP BY src_hospital, src_sigla) AS p ON p.hospital = c.hospital AND p.sigla = c.sigla",
     "g03_seed_cells": "SELECT h.hospital, s.sigla, COALESCE(c.filename_count, 0) AS filename_count, c.hospital IS NULL AS seeded FROM {dim_hospital} AS h CROSS JOIN {dim_sigla} AS s LEFT JOIN (SELECT * FROM {cells} WHERE NOT excluded) AS c ON c.hospital = h.hospital AND c.sigla = s.sigla",
     # an orphan's marks join those of the file it was renamed to, kept as they are; or go
     "g06_marks_migrate": f"SELECT id, hospital, sigla, CASE WHEN {_PRESENT} THEN file ELSE replace(file, 'gone_', '') END AS file, page, count FROM {{marks}} AS m",
     "g06_marks_discard": f"SELECT id, hospital, sigla, file, page, count FROM {{marks}} AS m WHERE {_PRESENT}",
     "g07_dismiss_suspects": "SELECT s.suspect_id, s.hospital, s.sigla, s.file FROM {suspects} AS s WHERE NOT EXISTS (SELECT 1 FROM {dismissals} AS d WHERE d.hospital = s.hospital AND d.sigla = s.sigla AND d.suspect_id = s.suspect_id)",
+    "g07_near_matches_cleared": "SELECT n.pdf, n.page, n.near_flavor FROM (SELECT pdf, page, near AS near_flavor FROM {cover_pages} WHERE near IS NOT NULL) AS n WHERE NOT EXISTS (SELECT 1 FROM {near_clearings} AS c WHERE c.pdf = n.pdf AND (c.page IS NULL OR c.page = n.page))",
     # deltas after applied operations are deleted and every other one's status is set
     "g08_recomputed_deltas": "SELECT hospital, sigla, CAST(sum(documents) AS BIGINT) AS delta, CAST(sum(workers) AS BIGINT) AS worker_delta FROM {op_sides} GROUP BY hospital, sigla",
+    "g08_edited_ops": "SELECT id, op_type, documents, workers, status FROM (SELECT o.id, o.op_type, o.documents, o.workers, CASE WHEN e.action = 'apply' THEN 'applied' ELSE o.status END AS status, e.action = 'delete' AND o.status = 'pending' AS gone FROM {resolved_ops} AS o LEFT JOIN {op_edits} AS e ON e.id = o.id) AS x WHERE NOT COALESCE(gone, false)",
     "s04_month_folders": f"SELECT f.name, f.year, m.number AS month FROM (SELECT DISTINCT title || ' ' || CAST(year AS STRING) AS name, title, year FROM (SELECT year, CASE WHEN month = 5 THEN 'Otros' ELSE title END AS title FROM {{history}} JOIN {_MONTHS} ON number = month) AS t) AS f JOIN {_MONTHS} ON m.title = upper(f.title)",
     "s05_month_inventory": "SELECT hospital, count(*) AS categories, CAST(sum(n) AS BIGINT) AS pdfs, array_join(transform(sort_array(collect_list(struct(host, n))), x -> concat(x.host, ':', CAST(x.n AS STRING))), ' ') AS inventory FROM (SELECT hospital, host, count(*) AS n FROM {files} WHERE lower(name) LIKE '%.pdf' GROUP BY hospital, host) AS f GROUP BY hospital",
     "s22_create_if_absent": "SELECT year, month, 'stored' AS origin FROM {history} WHERE count > 3 GROUP BY year, month UNION ALL SELECT r.year, r.month, 'created' FROM (SELECT DISTINCT year, month FROM {history}) AS r WHERE NOT EXISTS (SELECT 1 FROM {history} AS s WHERE s.count > 3 AND s.year = r.year AND s.month = r.month)",

@@ -215,6 +215,8 @@ RELATIONS = {
     "worked_cells": """
         SELECT c.hospital, c.sigla, c.ocr_count IS NOT NULL OR c.user_override IS NOT NULL OR c.confirmed OR COALESCE(f.overrides > 0 OR f.methods > 0, false) OR m.sigla IS NOT NULL AS has_work
         FROM {cells} AS c LEFT JOIN {cell_files} AS f ON f.hospital = c.hospital AND f.sigla = c.sigla LEFT JOIN {marked_cells} AS m ON m.hospital = c.hospital AND m.sigla = c.sigla""",
+    "near_clearings": "SELECT DISTINCT pdf, CASE WHEN pdf % 3 = 0 THEN NULL ELSE page END AS page FROM {page_reads} WHERE pdf % 2 = 0 AND page % 4 = 1",
+    "op_edits": "SELECT id, CASE WHEN id % 22 = 0 THEN 'apply' ELSE 'delete' END AS action FROM {ops} WHERE id % 11 = 0",
     "rescans": "SELECT id, CAST(1 + id % 3 AS INT) AS count FROM {file_counts} WHERE id % 25 = 0",
     "locked_cells": "SELECT hospital, sigla FROM {cells} WHERE worker_status = 'en_curso' AND errors = 0 AND sigla < 'd'",
     "dismissals": "SELECT hospital, sigla, suspect_id FROM {suspects} WHERE page_from = 3 OR suggested = 'art'",
