@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -78,6 +79,13 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about `most` bytes in a column of texts or bytes."""
+    for b in batches:
+        for s, e in chunks(pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist(), most):
+            yield b.slice(s, e - s)
+
+
 def segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Slices of batches whose rows have the same keys; a group may come in several slices."""
     for b in batches:

@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, runs, schema, segments, staged
+from .common import arrow_schema, pieces, release, runs, schema, segments, staged
 
 #: What every record starts with; the rest of its first line is a version.
 MAGIC = b"WARC/1."
@@ -84,10 +85,10 @@ PIECES = schema("path string, record bigint, piece bigint, bytes binary, whole b
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds where each segment starts, counted from its split's first segment."""
     now, at, out = None, 0, arrow_schema(LOCATED)
-    for key, b in segments(batches, ["path", "block"]):
+    for key, b in segments(pieces(batches, 2), ["path", "block"]):
         if key != now:
             now, at = key, 0
-        sizes = np.array([len(x) for x in b.column(2).to_pylist()], np.int64) + len(MAGIC)
+        sizes = pc.binary_length(b.column(2)).to_numpy().astype(np.int64) + len(MAGIC)
         start = at + np.cumsum(sizes) - sizes
         at += int(sizes.sum())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start), b.column(2)], schema=out)
@@ -96,8 +97,9 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = arrow_schema(CANDIDATES)
     for b in _located(batches):
-        values = b.column(3).to_pylist()
+        values = b.column(3).to_pylist()  # a piece of a batch
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(v) for v in values], pa.int64()), pa.array([_length(v) for v in values], pa.int64())], schema=out)
+    release()
 
 
 def reachable(offsets: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
@@ -147,7 +149,7 @@ def _entries_of(batches: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Takes records out of located segments: whole ones, and pieces of those that hold a magic."""
     out, now, record, end = arrow_schema(PIECES), None, -1, 0
-    for key, b in segments(batches, ["path", "block"]):
+    for key, b in segments(pieces(batches, LOCATED.names.index("value")), ["path", "block"]):
         rows = []
         for at, value, base, owner, owner_end, file_end in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("at", "value", "base", "owner", "owner_end", "file_end")), strict=True):
             if key != now:
@@ -164,6 +166,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((key[0], record, start, MAGIC + value, start == record and start + len(MAGIC) + len(value) >= end))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
+    release()
 
 
 RECORDS = schema("path string, offset bigint, record_type string, record_id string, uri string, refers_to string, declared_digest string, declared_bytes bigint, payload binary")
@@ -176,7 +179,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = (x.partition(b":") for x in raw.split(b"\r\n"))
         return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in lines}
 
-    for b in batches:
+    for b in pieces(batches, 2):
         rows = []
         for path, offset, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
             cut = raw.index(b"\r\n\r\n")
@@ -190,6 +193,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind = head.get("warc-type")
             rows.append((path, offset, kind, head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-refers-to"), (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None, size, None if kind == "revisit" else body))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
+    release()
 
 
 def read_archives(spark: SparkSession, path: str, most_splits: int = MOST_SPLITS, damaged: str = "error") -> DataFrame:
@@ -201,9 +205,9 @@ def read_archives(spark: SparkSession, path: str, most_splits: int = MOST_SPLITS
     rows = raw.mapInArrow(_located, LOCATED).join(F.broadcast(entries) if few else entries, ["path", "block"])
     if not few:
         rows = rows.repartition("path", "block").sortWithinPartitions("path", "block", "at")
-    pieces = rows.mapInArrow(_pieces, PIECES)
-    whole = pieces.filter("whole").select("path", "record", "bytes")
-    parts = pieces.filter("not whole").groupBy("path", "record").agg(F.sort_array(F.collect_list(F.struct("piece", "bytes"))).alias("p"))
+    taken = rows.mapInArrow(_pieces, PIECES)
+    whole = taken.filter("whole").select("path", "record", "bytes")
+    parts = taken.filter("not whole").groupBy("path", "record").agg(F.sort_array(F.collect_list(F.struct("piece", "bytes"))).alias("p"))
     parts = parts.select("path", "record", F.expr("unhex(array_join(transform(p, x -> hex(x.bytes)), ''))").alias("bytes"))
     return whole.unionByName(parts).mapInArrow(_parsed, RECORDS)
 
