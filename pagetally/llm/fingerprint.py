@@ -40,17 +40,25 @@ _LANES = 1 | 1 << 30
 PLAN = [(0, 0, 1), *((h, s, _LANES) for h in (1, 2) for s in _SHIFTS), *((h, 0, MASK) for h in (3, 4))]
 WIDTH = len(PLAN)
 COUNTERS = 2 * len(_SHIFTS)
-_plan = "array(" + ", ".join(f"named_struct('h', {h}, 's', {s}, 'm', {m}L)" for h, s, m in PLAN) + ")"
+#: Pieces are summed this many at a time with three 20-bit counters a component, which hold them, and then widened.
+SOME = 1_000_000
+_NARROW = [(0, 0, 1), *((h, s, 1 | 1 << 20 | 1 << 40) for h in (1, 2) for s in range(20)), *((h, 0, MASK) for h in (3, 4))]
+_narrow = "array(" + ", ".join(f"named_struct('h', {h}, 's', {s}, 'm', {m}L)" for h, s, m in _NARROW) + ")"
+_bit = lambda h, b: (1 + 20 * (h - 1) + b % 20, 20 * (b // 20))
+_wide = "array(" + ", ".join("named_struct('a', {}, 'as', {}, 'b', {}, 'bs', {})".format(*_bit(h, s), *_bit(h, s + 30)) for h in (1, 2) for s in _SHIFTS) + ")"
 _PIECES = r"filter(transform(split(%s, '(?<=[.!?;:,|。！？；：，、।؟؛،…])\\n?|\\n'), p -> trim(BOTH ' \t\r' FROM p)), p -> p <> '')"
 
 
 def fingerprint_vector(text: str) -> Column:
     """SQL for the vector of a text column (or SQL expression): array<bigint>."""
     hashes = ", ".join(f"xxhash64({i}, p)" for i in range(1, 5))
-    return F.expr(
-        f"aggregate(transform({_PIECES % text}, p -> array(-1L, {hashes})), array_repeat(0L, {WIDTH}), "
-        f"(sum, h) -> zip_with(sum, {_plan}, (x, c) -> (x + (shiftright(h[c.h], c.s) & c.m)) & {MASK}L))"
+    narrow = (
+        f"aggregate(transform(slice(q, i * {SOME} + 1, {SOME}), p -> array(-1L, {hashes})), array_repeat(0L, {len(_NARROW)}), "
+        f"(sum, h) -> zip_with(sum, {_narrow}, (x, c) -> (x + (shiftright(h[c.h], c.s) & c.m)) & {MASK}L))"
     )
+    low = (1 << 20) - 1
+    wide = f"transform(array({narrow}), n -> concat(array(n[0]), transform({_wide}, c -> (shiftright(n[c.a], c.as) & {low}L) | shiftleft(shiftright(n[c.b], c.bs) & {low}L, 30)), array(n[41], n[42])))[0]"
+    return F.expr(f"transform(array({_PIECES % text}), q -> aggregate(sequence(0, cast((size(q) - 1) div {SOME} AS int)), array_repeat(0L, {WIDTH}), (t, i) -> zip_with(t, {wide}, (x, y) -> (x + y) & {MASK}L)))[0]")
 
 
 def fingerprint_text(vector: str) -> Column:
@@ -82,10 +90,10 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _ranges(df: DataFrame, key: str) -> DataFrame:
-    """df with a column bucket: ranges of key of about equal numbers of rows."""
-    many = 4 * n_parts(df.sparkSession)
+    """df with a column bucket: ranges of key of about equal numbers of rows, a dozen a task so that tasks are even."""
+    many = 12 * n_parts(df.sparkSession)
     cuts = [i / many for i in range(1, many)]
-    found = df.agg(F.percentile_approx(key, cuts, 20 * many)).first()[0] or []
+    found = df.agg(F.percentile_approx(key, cuts, 8 * many)).first()[0] or []
     splits = [float("-inf"), *sorted({float(x) for x in found} or {0.0}), float("inf")]
     return Bucketizer(splits=splits, inputCol="__key", outputCol="bucket").transform(df.withColumn("__key", F.col(key).cast("double"))).drop("__key")
 

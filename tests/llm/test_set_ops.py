@@ -228,6 +228,14 @@ def test_fingerprint_counters_hold_more_than_a_million_pieces(spark):
     assert row.n == 1 << 24 and row.near > 0.9999 and row.far < 0.01 and row.rest == row.other
 
 
+def test_fingerprint_of_many_pieces_is_summed_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(f"{'same. ' * 7}\n" + "".join(f"{i}, " for i in range(n)),) for n in (0, 1, 2, 3, 8)] + [("",), (None,)], "x string")
+    whole = df.select(fingerprint.fingerprint_vector("coalesce(x, '')").alias("v")).collect()
+    monkeypatch.setattr(fingerprint, "SOME", 3)
+    assert df.select(fingerprint.fingerprint_vector("coalesce(x, '')").alias("v")).collect() == whole
+    assert whole[4].v[0] == 15 and whole[5].v == [0] * fingerprint.WIDTH
+
+
 def test_fingerprint_likeness_follows_the_pieces(spark):
     """An edit of a quarter of many pieces leaves about three quarters alike; unlike texts are not alike."""
     rng = random.Random(8)
