@@ -110,6 +110,7 @@ PAGES = {
     "w05_broken_groups": "SELECT pdf, curr, pos AS expected, count(*) AS n, CAST(min(page) AS INT) AS first_page FROM {segmented} WHERE doc > 0 AND status = 'direct' AND curr <> pos GROUP BY pdf, curr, pos",
     "w06_start_gap_period": "SELECT pdf, min_by(gap, struct(-n, first_page)) AS period FROM (SELECT pdf, gap, count(*) AS n, min(page) AS first_page FROM (SELECT pdf, page, page - lag(page) OVER (PARTITION BY pdf ORDER BY page) AS gap FROM {page_reads} WHERE curr = 1) AS g WHERE gap IS NOT NULL GROUP BY pdf, gap) AS t GROUP BY pdf",
     "w10_failed_runs": "SELECT pdf, CAST(min(page) AS INT) AS start_page, CAST(max(page) + 1 AS INT) AS end_page FROM (SELECT pdf, page, page - row_number() OVER (PARTITION BY pdf ORDER BY page) AS island FROM {page_reads} WHERE method = 'failed') AS f GROUP BY pdf, island",
+    "j10_cycle_pairs": "SELECT a.pdf, a.page, b.curr, b.total, round(sum(CAST(1 AS DOUBLE) / k.k) / sum(sum(CAST(1 AS DOUBLE) / k.k)) OVER (PARTITION BY a.pdf, a.page), 9) AS weight FROM (SELECT pdf, page, dom FROM {page_modes} WHERE curr IS NULL AND dom IS NOT NULL) AS a CROSS JOIN (VALUES (-7), (-6), (-5), (-4), (-3), (-2), (-1), (1), (2), (3), (4), (5), (6), (7)) AS s(step) JOIN (SELECT pdf, page, curr, total FROM {page_reads} WHERE curr IS NOT NULL) AS b ON b.pdf = a.pdf AND b.page = a.page + s.step * a.dom JOIN (VALUES (1), (2), (3), (4), (5), (6), (7)) AS k(k) ON k.k = abs(s.step) GROUP BY a.pdf, a.page, b.curr, b.total",
     "r01_one_page_lock": "SELECT id, CASE WHEN pages = 1 THEN 1 END AS documents, pages = 1 AS a7_one_page_locked FROM {files} WHERE lower(name) LIKE '%.pdf'",
     "r03_low_trust": "SELECT pdf, failed > 0 OR recovered / n > 0.30 OR recovered_starts > 0 AS low_trust, recovered > 0 OR failed > 0 AS low_trust_cover FROM (SELECT pdf, CAST(count(*) AS DOUBLE) AS n, count_if(status = 'recovered') AS recovered, count_if(status = 'failed') AS failed, count_if(curr = 1 AND status = 'recovered') AS recovered_starts FROM {recovered} GROUP BY pdf) AS r",
     "r06_cell_high": "SELECT hospital, sigla, NOT bool_or(pages = 0 OR COALESCE(per_file, 0) = 0) AS high FROM {file_counts} GROUP BY hospital, sigla",
