@@ -1,5 +1,26 @@
-"""Operations of a training-data pipeline. Nothing else in the package imports this."""
+"""Operations of a training-data pipeline. Nothing else in the package imports this.
+
+Python workers import the module of the operator they run, so this imports none of them by itself."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame, SparkSession
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import entries
+
+    return entries.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import entries
+
+    return entries.oracle_sql()
 
-from .entries import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]

@@ -33,9 +33,9 @@ from .common import arrow_schema, bound, chunks, release
 U = np.uint64
 #: Bytes of pre-tokens and their ids that a worker keeps (each takes some 200 bytes besides); beyond it, new ones are
 #: forgotten after their piece of a batch. It bounds memory, not results.
-MEMO = 14_000_000
+MEMO = 8_000_000
 #: Characters whose pre-tokens are held at once.
-CHUNK = 500_000
+CHUNK = 250_000
 
 
 def read_ranks(path: str) -> list[bytes]:

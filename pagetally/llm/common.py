@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
@@ -31,9 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. Its owner may delete it once the results that read it are written."""
-    return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. It may be deleted once the results that read it are written: see `tidied`."""
+    _made.append(f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables made meanwhile; results that read them must have been written by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            delete(spark, path)
+        del _made[before:]
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`staged`, to a path that `tidied` leaves alone."""
+    out = staged(df, name)
+    _made.pop()
+    return out
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -25,7 +25,6 @@ and text are read, so other columns cannot clash. An empty table gives an empty
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,6 +90,8 @@ def likeness(a: str, b: str) -> Column:
 
 def _ranges(df: DataFrame, key: str) -> DataFrame:
     """df with a column bucket: ranges of key of about equal numbers of rows, a dozen a task so that tasks are even."""
+    from pyspark.ml.feature import Bucketizer  # a large import, for the driver only
+
     many = 12 * n_parts(df.sparkSession)
     cuts = [i / many for i in range(1, many)]
     found = df.agg(F.percentile_approx(key, cuts, 8 * many)).first()[0] or []

@@ -53,7 +53,7 @@ BLOCK = 512
 #: Bytes of text hashed at once.
 CHUNK = 1_000_000
 #: Bytes of text whose keys are chained before they are written.
-PIECE = 4_000_000
+PIECE = 1_500_000
 #: Bytes of a word beyond which it is hashed as a whole.
 LONG_WORD = 128
 _rng = np.random.default_rng(20240607)

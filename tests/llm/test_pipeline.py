@@ -130,6 +130,19 @@ def test_whole_pipeline(spark, docs, folder):
     assert abs(sum(len(t.split()) for _, t in texts) - sum(fill_of(now).values())) <= 4
 
 
+def test_intermediate_tables_go(spark, docs, folder):
+    import os
+
+    from pagetally.llm import common
+
+    top = common.shared_dir(spark).removeprefix("file:") + "/llm"
+    before = set(os.listdir(top))
+    with common.tidied(spark):
+        out = common.kept(STAGES["ngram_jaccard"](spark, docs, folder), "mine")
+    left = set(os.listdir(top)) - before
+    assert len(left) == 1 and left.pop().startswith("mine-") and out.count() > 0
+
+
 def fill_of(df):
     sizes = Counter()
     for r in df.collect():
