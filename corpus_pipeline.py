@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetally.llm import bpe, jaccard, mixing
-from pagetally.llm.common import staged
+from pagetally.llm.common import kept, tidied
 from pagetally.llm.entries import identified
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents. A stage's intermediate tables go once its result is written; the results stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with tidied(spark):
+            docs = kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
