@@ -79,6 +79,21 @@ def bound(spark: SparkSession, value: object):
     return spark.sparkContext.broadcast(value)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, most: str = "8m") -> Iterator[None]:
+    """What is written meanwhile passes to Python in small Arrow batches, which executors hold off their heap and keep:
+    at the usual 10,000 rows, some 300 MB of it. The session's settings are put back."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": most}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

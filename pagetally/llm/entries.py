@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprint, jaccard, langid, mixing, tokenfile, topk, warc, wordpiece
-from .common import scratch
+from .common import scratch, small_batches, staged
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,7 +26,9 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.load(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = bpe.round_trip_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), codec)
-    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    with small_batches(spark):
+        return staged(rows, "byte-bpe")
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,9 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identified(_read(spark, sf_dir, "documents")).select("doc_id", "predicted", F.round("posterior", 6).alias("posterior"), "n_bigrams", "accepted")
+    found = identified(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    with small_batches(spark):
+        return staged(found.select("doc_id", "predicted", F.round("posterior", 6).alias("posterior"), "n_bigrams", "accepted"), "languages")
 
 
 def op10_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:

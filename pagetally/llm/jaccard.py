@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, chunks, release, runs, schema, staged
+from .common import arrow_schema, chunks, release, runs, schema, small_batches, staged
 from .components import connected_components
 
 U = np.uint64
@@ -362,9 +362,10 @@ def _groups(member: DataFrame, keyed: DataFrame, chained: DataFrame, block: int)
 
 def _labelled(df: DataFrame, id: str, text: str, n: int, num: int, den: int, block: int) -> DataFrame:
     """id, n, text_hash, component (a node; null for an empty set) and component_id of each row of df."""
-    bound = Bound(num, den)
+    spark, bound = df.sparkSession, Bound(num, den)
     docs = df.select(df[id].cast("bigint").alias("id"), F.xxhash64(df[text]).alias("text_hash"), df[text].cast("string").alias("text"))
-    tokens = staged(docs.mapInArrow(_tokens(n, bound), TOKENS), "jaccard-tokens")
+    with small_batches(spark):
+        tokens = staged(docs.mapInArrow(_tokens(n, bound), TOKENS), "jaccard-tokens")
     rows = tokens.select("id", "n", "text_hash", "node")
 
     first = F.first("node").over(Window.partitionBy("key").orderBy("node"))
@@ -402,6 +403,8 @@ def _labelled(df: DataFrame, id: str, text: str, n: int, num: int, den: int, blo
     paired = sets.select("cluster", "star", "block", "node", "elements", other).select("cluster", "star", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "elements")
     link = schema("node bigint, other bigint")
     links = paired.repartition("cluster", "star", "lo", "hi").sortWithinPartitions("cluster", "star", "lo", "hi", "node").mapInArrow(_product(bound, arrow_schema(link)), link)
+    with small_batches(spark):
+        links = staged(links, "jaccard-links")
     component = connected_components(links, "node", "other")
 
     named = nodes.join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, release, schema, staged
+from .common import arrow_schema, release, schema, small_batches, staged
 
 SAMPLE = 4000
 LEAST_DRAWN = 100
@@ -126,7 +126,8 @@ def fit_text_model(df: DataFrame, id: str = "doc_id", text: str = "text", label:
                 own += np.bincount(bigrams(t.as_py().lower().encode()), minlength=65536)
         yield from counted()
 
-    found = staged(rows.mapInArrow(count, out).groupBy("lang", "bigram").agg(F.sum("n").alias("n")), "bigrams")
+    with small_batches(df.sparkSession):
+        found = staged(rows.mapInArrow(count, out).groupBy("lang", "bigram").agg(F.sum("n").alias("n")), "bigrams")
     seen = np.array(sorted(r[0] for r in found.select("bigram").distinct().collect()), np.int64)
     counts = np.zeros((len(languages), len(seen)))
     row, column = ({x: i for i, x in enumerate(names)} for names in (languages, seen.tolist()))
@@ -180,7 +181,8 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ad
     parent = F.expr("CASE WHEN instr(host, '.') > 0 THEN substring(host, instr(host, '.')) ELSE '' END").alias("parent")
     votes = evidence.select("host", parent, by_text("text").alias("lang")).filter("lang >= 0 and host is not null")
     if L:
-        counts = staged(votes.groupBy("host", "parent", "lang").agg(F.count("*").alias("n")), "host-counts")
+        with small_batches(spark):
+            counts = staged(votes.groupBy("host", "parent", "lang").agg(F.count("*").alias("n")), "host-counts")
         every = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
         base = F.array(*[F.lit((every.get(i, 0) + 1) / (sum(every.values()) + L)) for i in range(L)])
         by = (F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
