@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetally.llm import bpe, jaccard, mixing
-from pagetally.llm.common import kept, tidied
+from pagetally.llm.common import kept, small_batches, staged, tidied
 from pagetally.llm.entries import identified
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,7 +23,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; what language identification rejects goes."""
     held = docs.select("doc_id", "text", "lang", "source", F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    return identified(held).filter("accepted").select("doc.*")
+    found = identified(held).filter("accepted").select("doc.*")
+    with small_batches(spark):
+        return staged(found, "accepted")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,9 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text's bytes; a row per document that came in."""
     codec = bpe.load(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = bpe.round_trip_documents(docs, codec)
-    return rows.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", bpe.ids_digest(F.col("ids")).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"))
+    rows = rows.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", bpe.ids_digest(F.col("ids")).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"))
+    with small_batches(spark):
+        return staged(rows, "encoded")
 
 
 STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("ngram_jaccard", ngram_jaccard), ("mix_sources", mix_sources), ("byte_bpe", byte_bpe)]
