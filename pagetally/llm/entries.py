@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, jaccard, langid, mixing, tokenfile, topk, warc, wordpiece
+from . import bpe, chat, fingerprint, jaccard, langid, mixing, negatives, phrases, tokenfile, topk, toxicity, warc, wordpiece
 from .common import scratch, small_batches, staged
 
 
@@ -84,8 +84,28 @@ def op10_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "predicted", F.round("posterior", 6).alias("posterior"), "n_bigrams", "accepted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    labels = _read(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    rows = scored.select("doc_id", held_out.alias("held_out"), "score", F.col("toxic").cast("int").alias("predicted"), F.size("spans").cast("bigint").alias("n_spans"))
+    with small_batches(spark):
+        return staged(rows, "toxicity")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat_formatting, op2_byte_bpe, op3_top_k, op4_token_counts, op5_ngram_jaccard, op6_fingerprints, op7_mix_sources, op8_warc, op9_token_files, op10_language_id, op10_page_language)
+    own = (op1_chat_formatting, op2_byte_bpe, op3_top_k, op4_token_counts, op5_ngram_jaccard, op6_fingerprints, op7_mix_sources, op8_warc, op9_token_files, op10_language_id, op10_page_language, op11_hard_negatives, op12_toxicity, op13_collocations)
     return {f.__name__: f for f in own}
 
 
@@ -125,5 +145,38 @@ SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest
 """
 
 
+_NEGATIVES = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+        CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON p.place <= 5 AND s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+_PHRASES = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM i, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+u AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail FROM c),
+s AS (SELECT u.lang, u.m, u.phrase, u.a, u.k, x.n AS l, y.n AS r, t.n,
+        CAST((1000 * CAST(u.a AS HUGEINT) * t.n) // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+      FROM u JOIN f x ON x.lang = u.lang AND x.phrase = u.head JOIN f y ON y.lang = u.lang AND y.phrase = u.tail JOIN t ON t.lang = u.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM s),
+o AS (SELECT * FROM b WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM f z WHERE z.lang = b.lang AND z.m > b.m AND z.n >= b.a AND contains(' ' || z.phrase || ' ', ' ' || b.phrase || ' '))),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": _TOP_K, "op7_mix_sources": _MIX, "op8_warc": _WARC}
+    return {"op3_top_k": _TOP_K, "op7_mix_sources": _MIX, "op8_warc": _WARC, "op11_hard_negatives": _NEGATIVES, "op13_collocations": _PHRASES}
