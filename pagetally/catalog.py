@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import auditing, counting, inference, parsing, patching, storage
 from .plans.relations import Session, duck
-from .streaming import events
+from .streaming import events, locks
 
 TEXTS = counting.FILES | counting.CELLS | counting.PAGES | auditing.OPERATORS | patching.OPERATORS
-FRAMES: dict[str, Callable[[Session], DataFrame]] = inference.OPERATORS | parsing.OPERATORS | storage.OPERATORS | events.OPERATORS
+FRAMES: dict[str, Callable[[Session], DataFrame]] = inference.OPERATORS | parsing.OPERATORS | storage.OPERATORS | events.OPERATORS | locks.OPERATORS
 #: SQL of operators that are not one text for both dialects.
-SQL = auditing.ORACLE | patching.ORACLE | inference.SQL | parsing.SQL | storage.SQL | events.SQL
+SQL = auditing.ORACLE | patching.ORACLE | inference.SQL | parsing.SQL | storage.SQL | events.SQL | locks.SQL
 
 
 def _text(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,6 @@ STATE = {
     "s06_page_counts": "SELECT id, CASE WHEN pages > 0 THEN pages END AS page_count, pages AS page_count_or_zero FROM {files}",
     "s15_outputs": "SELECT session_id, modified, size, row_number() OVER (ORDER BY modified DESC, session_id) AS place FROM (SELECT CAST(year AS STRING) || '-' || lpad(CAST(month AS STRING), 2, '0') AS session_id, max(year * 12 + month) AS modified, CAST(sum(count) AS BIGINT) AS size FROM {history} GROUP BY 1) AS o",
     "s23_session_state": "SELECT user_id AS session_id, max_by(value, event_id) AS state, count(*) AS versions, max(event_id) AS version FROM {events} GROUP BY user_id",
-    "x14_live_leases": "SELECT user_id, max(ts) AS last_seen, max_by(event_type, event_id) AS focus FROM {events} GROUP BY user_id HAVING max(ts) > (SELECT max(ts) FROM {events}) - INTERVAL '6' HOUR",
 }
 
 TRUST = {

@@ -6,14 +6,11 @@ import threading
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field
 from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Seconds between two progress events of a key, and a lease's life; tries after a failure, and the wait.
 PROGRESS_SECONDS = 0.3
@@ -23,116 +20,36 @@ RETRY_SECONDS = 0.5
 Out = TypeVar("Out")
 
 
-def x05_rate_limit(s, seconds: int = 12 * 3600) -> DataFrame:
-    """Events at least so long after the last one emitted for their key; a key's last one always.
-
-    A key's times are folded in the JVM, in order: the state is the last time emitted and the events kept."""
-    rows = s["events"].select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
-    keys = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t", "event_id"))).alias("e"))
-    kept = f"aggregate(e, named_struct('last', CAST(NULL AS BIGINT), 'kept', CAST(array() AS ARRAY<BIGINT>)), (a, x) -> IF(a.last IS NULL OR x.t - a.last >= {seconds * 1_000_000}L, named_struct('last', x.t, 'kept', concat(a.kept, array(x.event_id))), a)).kept"
-    return keys.select("user_id", F.explode(F.expr(f"array_distinct(concat({kept}, array(element_at(e, -1).event_id)))")).alias("event_id"))
-
-
-@dataclass
-class Member:
-    cell: int | None = None
-    editor: bool = True
-    expires: float = 0.0
-
-
-@dataclass
-class Presence:
-    """Who edits which cell. The first to focus a free cell edits it, later ones view; who edits never is dethroned.
-    A member that sends nothing for a lease's life is gone."""
-
-    life: float = LEASE_SECONDS
-    members: dict[int, Member] = field(default_factory=dict)
-
-    def purge(self, now: float) -> None:
-        self.members = {k: m for k, m in self.members.items() if m.expires > now}
-
-    def editor_of(self, cell: int, but: int | None = None) -> int | None:
-        return next((k for k, m in self.members.items() if k != but and m.cell == cell and m.editor), None)
-
-    def focus(self, who: int, cell: int | None, now: float) -> None:
-        """A cell is claimed, or let go (none)."""
-        self.purge(now)
-        m = self.members.setdefault(who, Member())
-        m.expires = now + self.life
-        m.cell, m.editor = cell, cell is None or self.editor_of(cell, who) is None
-
-    def demote(self, who: int, cell: int) -> bool:
-        """An editor lends the cell: it views from now on."""
-        m = self.members.get(who)
-        if m is None or m.cell != cell or not m.editor:
-            return False
-        m.editor = False
-        return True
-
-    def promote(self, who: int, cell: int, now: float) -> bool:
-        """A viewer that is still there gets the cell back, unless another one edits it."""
-        self.purge(now)
-        m = self.members.get(who)
-        if m is None or m.cell != cell or m.editor or self.editor_of(cell) is not None:
-            return False
-        m.editor = True
-        return True
-
-
-#: The agent that works on a lent cell.
-AGENT = -1
-
-
-def replay(rows: list[tuple], life: float) -> Iterator[tuple]:
-    """(event_id, user, cell, role, holder) of a session's events (seconds, id, user, type, cell), in order.
-
-    A `purchase` lends the cell to the agent, if its user edits it; an `error` ends the loan; a `logout` lets the
-    user's cell go; any other event focuses its cell."""
-    state, lent = Presence(life), {}
-    for now, event, user, kind, cell in sorted(rows):
-        if kind == "logout":
-            state.focus(user, None, now)
-        else:
-            state.focus(user, cell, now)
-        if kind == "purchase" and cell not in lent and state.demote(user, cell):
-            lent[cell] = user
-            state.focus(AGENT, cell, now)
-        elif kind == "error" and cell in lent:
-            state.focus(AGENT, None, now)
-            state.promote(lent.pop(cell), cell, now)
-        m = state.members[user]
-        yield event, user, m.cell, "editor" if m.editor else "viewer", state.editor_of(cell)
-
-
-#: Events of a session; its cells.
-SESSION = 500
-CELLS = 7
-
-
-def _replayed(s, life: float) -> DataFrame:
-    """One row per event, replayed session by session (sessions are ranges of event ids, so each is bounded)."""
-    made = T.StructType.fromDDL("session bigint, event_id bigint, user_id bigint, cell bigint, role string, holder bigint")
-    out = to_arrow_schema(made)
-    rows = s["events"].select(F.floor(F.col("event_id") / SESSION).alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_id", "user_id", "event_type", (F.col("event_id") % CELLS).alias("cell"))
-    sessions = rows.groupBy("session").agg(F.collect_list(F.struct("t", "event_id", "user_id", "event_type", "cell")).alias("e"))
+def _paced(seconds: int):
+    """Rows sorted by key and time, streamed past one time a key: the last that was let through."""
+    step = seconds * 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, held = None, 0, None  # held: the key's latest event, if it was not let through
         for b in batches:
-            found = [(session, *r) for session, e in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in replay([tuple(x.values()) for x in e], life)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
-
-    return sessions.mapInArrow(run, made)
-
+            users, ids = [], []
+            for user, t, event in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held is not None and user != key:
+                    users.append(key)
+                    ids.append(held)
+                if user != key or t - last >= step:
+                    key, last, held = user, t, None
+                    users.append(user)
+                    ids.append(event)
+                else:
+                    held = event
+            yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array(ids, pa.int64())], names=["user_id", "event_id"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([held], pa.int64())], names=["user_id", "event_id"])
+
+    return run
 
-def x07_lock_claim(s, life: float = 6 * 3600.0) -> DataFrame:
-    """Who edits and who views, after every event."""
-    return _replayed(s, life).select("event_id", "user_id", "cell", "role")
 
-
-def x08_lock_lending(s, life: float = 6 * 3600.0) -> DataFrame:
-    """Cells and who holds them (-1: the agent that one was lent to), after every event that left a holder."""
-    return _replayed(s, life).select("session", "event_id", "holder").filter("holder is not null")
+def x05_rate_limit(s, seconds: int = 12 * 3600) -> DataFrame:
+    """Events at least so long after the last one emitted for their key; a key's last one always. However many events a
+    key has, a task holds one time and one event of it."""
+    rows = s["events"].select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id").filter("user_id is not null")
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInArrow(_paced(seconds), "user_id bigint, event_id bigint")
 
 
 def deduplicated(stream: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -201,7 +118,7 @@ class BatchSlot:
             self.spark.interruptTag(self.running)
 
 
-OPERATORS: dict[str, Callable] = {f.__name__: f for f in (x05_rate_limit, x07_lock_claim, x08_lock_lending)}
+OPERATORS: dict[str, Callable] = {"x05_rate_limit": x05_rate_limit}
 SQL: dict[str, str] = {
     # one step after the other
     "x05_rate_limit": """

@@ -287,26 +287,6 @@ def test_numbers_are_finite(spark):
     assert math.isclose(sum(r.p for r in rows), 1.0)
 
 
-def test_presence():
-    from pagetally.streaming.events import AGENT, Presence, replay
-
-    p = Presence(life=10)
-    p.focus(1, 7, 0)
-    p.focus(2, 7, 1)
-    assert (p.members[1].editor, p.members[2].editor, p.editor_of(7)) == (True, False, 1)
-    p.focus(2, 7, 5)
-    assert not p.members[2].editor  # who edits is not dethroned
-    p.focus(2, 7, 10)
-    assert p.members[2].editor and 1 not in p.members  # the first is gone after its life
-    assert p.demote(2, 7) and not p.demote(2, 7) and p.editor_of(7) is None
-    p.focus(AGENT, 7, 11)
-    assert p.editor_of(7) == AGENT and not p.promote(2, 7, 12)
-    p.focus(AGENT, None, 12)
-    assert p.promote(2, 7, 12) and p.editor_of(7) == 2 and not p.promote(2, 7, 12)
-    rows = [(0, 0, 5, "click", 1), (1, 1, 6, "click", 1), (2, 2, 5, "purchase", 1), (3, 3, 6, "click", 1), (4, 4, 5, "error", 1), (5, 5, 5, "logout", 1), (6, 6, 6, "click", 1)]
-    assert list(replay(rows, 100)) == [(0, 5, 1, "editor", 5), (1, 6, 1, "viewer", 5), (2, 5, 1, "viewer", AGENT), (3, 6, 1, "viewer", AGENT), (4, 5, 1, "editor", 5), (5, 5, None, "editor", None), (6, 6, 1, "editor", 6)]
-
-
 def test_retries_and_slots(spark):
     from pagetally.streaming.events import BatchSlot, Busy, retried
 
@@ -328,17 +308,3 @@ def test_retries_and_slots(spark):
     with slot.run("three"):
         assert spark.range(3).count() == 3
     assert slot.running is None
-
-
-def test_lock_operators_follow_the_replay(spark):
-    from pagetally.streaming.events import CELLS, SESSION, replay
-
-    rows = [(r.ts.timestamp(), r.event_id, r.user_id, r.event_type, r.event_id % CELLS) for r in spark.read.parquet(f"{DIR}/events.parquet").select("event_id", "user_id", "event_type", spark_ts()).collect()]
-    sessions = {}
-    for r in rows:
-        sessions.setdefault(r[1] // SESSION, []).append(r)
-    want = {r[0]: r for own in sessions.values() for r in replay(own, 6 * 3600.0)}
-    got = {r.event_id: (r.event_id, r.user_id, r.cell, r.role) for r in catalog.queries()["x07_lock_claim"](spark, DIR).collect()}
-    assert got == {k: v[:4] for k, v in want.items()}
-    held = {r.event_id: r.holder for r in catalog.queries()["x08_lock_lending"](spark, DIR).collect()}
-    assert held == {k: v[4] for k, v in want.items() if v[4] is not None}
