@@ -75,7 +75,7 @@ class Approximations:
         total = np.zeros(len(self.rows), np.complex128)
         for d in range(len(q)):
             total += table[d].take(self.cells[d])
-        return total.real - slack, total.imag + slack
+        return np.clip(total.real - slack, _LOW, _TOP), np.clip(total.imag + slack, _LOW, _TOP)
 
     def exact(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
         self.scored += len(at)
