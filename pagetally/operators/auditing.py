@@ -58,8 +58,6 @@ HISTORY = {
     "f17_eta_label": "SELECT id, '~' || CAST(CAST(greatest(1, floor(pages * 350 / 60000 + 0.5)) AS INT) AS STRING) || ' min' AS label FROM {files}",
     "x03_dedup_events": "SELECT user_id, event_type, min(event_id) AS event_id FROM {events} GROUP BY user_id, event_type",
     "x06_lease_sessions": "SELECT user_id, session, count(*) AS beats, min(ts) AS joined, max(ts) AS last_seen FROM (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL '6' HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM {events}) AS a) AS b GROUP BY user_id, session",
-    "x01_last_write": "SELECT user_id, event_type, max_by(value, event_id) AS value FROM {events} GROUP BY user_id, event_type",
-    "x09_unlocked_events": "SELECT e.event_id FROM {events} AS e WHERE NOT EXISTS (SELECT 1 FROM {customer} AS c WHERE c.c_custkey = e.user_id AND c.c_acctbal < 0)",
 }
 
 EVALUATION = {

@@ -62,21 +62,6 @@ def lease_windows(stream: DataFrame, key: str, ts: str = "ts", seconds: int = LE
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, f"{seconds} seconds").alias("lease"), key).agg(F.count("*").alias("beats"))
 
 
-def merge_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """Streaming: last write wins per key, each micro-batch appended with its number; read with `merged`."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("v"))
-        last.select(*keys, "v.*", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
-def merged(table: DataFrame, keys: list[str], order: str) -> DataFrame:
-    rest = [c for c in table.columns if c not in keys]
-    return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, "batch")).alias("v")).select(*keys, "v.*").drop("batch")
-
-
 def retried(task: Callable[[], Out], times: int = RETRIES, wait: float = RETRY_SECONDS) -> Out:
     """A task's result, tried again after failures; the last failure is raised. (Tasks on executors: spark.task.maxFailures.)"""
     for left in range(times, -1, -1):
