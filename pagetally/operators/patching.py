@@ -21,8 +21,6 @@ STATE = {
     "s04_month_folders": f"SELECT f.name, f.year, m.number AS month FROM (SELECT DISTINCT title || ' ' || CAST(year AS STRING) AS name, title, year FROM (SELECT year, CASE WHEN month = 5 THEN 'Otros' ELSE title END AS title FROM {{history}} JOIN {_MONTHS} ON number = month) AS t) AS f JOIN {_MONTHS} ON m.title = upper(f.title)",
     "s05_month_inventory": "SELECT hospital, count(*) AS categories, CAST(sum(n) AS BIGINT) AS pdfs, array_join(transform(sort_array(collect_list(struct(host, n))), x -> concat(x.host, ':', CAST(x.n AS STRING))), ' ') AS inventory FROM (SELECT hospital, host, count(*) AS n FROM {files} WHERE lower(name) LIKE '%.pdf' GROUP BY hospital, host) AS f GROUP BY hospital",
     "s22_create_if_absent": "SELECT year, month, 'stored' AS origin FROM {history} WHERE count > 3 GROUP BY year, month UNION ALL SELECT r.year, r.month, 'created' FROM (SELECT DISTINCT year, month FROM {history}) AS r WHERE NOT EXISTS (SELECT 1 FROM {history} AS s WHERE s.count > 3 AND s.year = r.year AND s.month = r.month)",
-    "s06_page_counts": "SELECT id, CASE WHEN pages > 0 THEN pages END AS page_count, pages AS page_count_or_zero FROM {files}",
-    "s15_outputs": "SELECT session_id, modified, size, row_number() OVER (ORDER BY modified DESC, session_id) AS place FROM (SELECT CAST(year AS STRING) || '-' || lpad(CAST(month AS STRING), 2, '0') AS session_id, max(year * 12 + month) AS modified, CAST(sum(count) AS BIGINT) AS size FROM {history} GROUP BY 1) AS o",
     "s23_session_state": "SELECT user_id AS session_id, max_by(value, event_id) AS state, count(*) AS versions, max(event_id) AS version FROM {events} GROUP BY user_id",
 }
 

@@ -8,15 +8,21 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .replacing import Replacing
+
 FIXTURE = "name string, source string, description string, base_fixture string, degraded_pages array<int>, reads array<struct<pdf_page: int, curr: int, total: int, method: string, confidence: double>>"
 TRUTH = "map<string, struct<doc_count: int, complete_count: int, inferred_count: int>>"
 INDEX = "pdf_nickname string, page_num int, tier1_parsed string, tier2_parsed string, tier1_text string, tier2_text string, tier3_text string, image_path string"
 
+_NUMBER = re.compile(r"([0-9]{1,3}) *de *([0-9]{1,3})")
+
 
 def unique() -> str:
     return uuid.uuid4().hex
@@ -79,9 +85,48 @@ def write_capture(rows: DataFrame, path: str) -> None:
 
 
 def write_range_values(values: DataFrame, ranges: DataFrame, path: str) -> DataFrame:
-    """Write `range_name`, `value` of known ranges as a table; return the names that no range has."""
-    values.join(ranges.select("range_name").distinct(), "range_name", "left_semi").select("range_name", "value").write.mode("overwrite").parquet(path)
-    return values.join(ranges.select("range_name").distinct(), "range_name", "left_anti").select("range_name")
+    """Write `range_name`, `value` of known ranges, replacing what was there as a whole (and keeping it as `.bak`); return
+    the names that no range has."""
+    known = ranges.select("range_name").distinct()
+    spark = values.sparkSession
+    spark.dataSource.register(Replacing)
+    values.join(known, "range_name", "left_semi").select("range_name", "value").write.format("replacing").mode("overwrite").save(path)
+    return values.join(known, "range_name", "left_anti").select("range_name")
+
+
+def page_numbers(contents: DataFrame) -> DataFrame:
+    """pdf, page, curr, total, method, error of pages' contents (pdf, page, content: bytes of text). What goes wrong with a
+    page stays with it: it is a row that failed, with its error."""
+
+    def read(content: bytes | None) -> tuple[int, int]:
+        if content is None:
+            raise ValueError("no content")
+        found = _NUMBER.search(content.decode("utf-8"))
+        if found is None:
+            raise LookupError("no number")
+        curr, total = map(int, found.groups())
+        if not 0 < curr <= total:
+            raise ValueError(f"{curr} of {total}")
+        return curr, total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for content in b.column(2).to_pylist():
+                try:
+                    rows.append((*read(content), "direct", None))
+                except (ValueError, LookupError) as e:
+                    rows.append((None, None, "failed", "bad bytes" if isinstance(e, UnicodeDecodeError) else str(e.args[0])))
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["pdf", "page", "curr", "total", "method", "error"])
+
+    return contents.select("pdf", "page", "content").mapInArrow(run, "pdf bigint, page int, curr int, total int, method string, error string")
+
+
+def set_time(spark: SparkSession, path: str, seconds: int) -> None:
+    """Sets when a file or folder was last changed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).setTimes(at, seconds * 1000, -1)
 
 
 def write_manifest(ops: DataFrame, path: str) -> None:
