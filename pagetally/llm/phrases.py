@@ -3,17 +3,19 @@
 Texts are lower-cased (A-Z only), cut into pieces at BREAKS and these into words at blanks and tabs. Every position of
 a piece is a suffix, truncated to `longest` words. Suffixes are shuffled by language and first word and sorted in
 reverse order, so that all that begin alike are neighbours, longer ones first: one stack of at most `longest` counts
-then gives the count of every prefix, that is of every phrase. Counts of a phrase's parts are joined afterwards.
+then gives the count of every prefix, that is of every phrase. (Counts within a batch are sums over runs of neighbours;
+the stack is what a batch leaves open to the next.) Counts of a phrase's parts are joined afterwards.
 
-Three things keep the shuffle small, and none changes a count:
+Three things keep the shuffle small and even, and none changes a count:
 
 * Words are counted first. A word under the least count is in no candidate, so pieces are cut there, and suffixes of one
   word are not sent, being counted already. Tasks know the frequent words by one bit each of a map of FILTER_BITS, so
   what is broadcast has a fixed size; words that share a bit by chance only send more suffixes.
 * Equal suffixes of a task travel once, with their number.
-* A first word with more than 1/HOT of all words of all languages (or half a partition's share, if that is less) is hot;
-  there are less than HOT such words. It is dealt by the suffix over as many tasks as it has such shares, and its
-  phrases are summed over these before the least count is asked for.
+* A beginning of one to `longest` - 1 words that more suffixes have than a SLICE-th of a partition, judged by every
+  SOME-th section of text, is hot; there are at most SLICE a partition of each length. Suffixes are dealt by their
+  longest hot beginning and the word after it, so only hot beginnings are in more than one task; their counts are summed
+  before the least count is asked for.
 
 A candidate inside any longer candidate of the same count is also inside one that is one word longer and has that count,
 since counts only fall as phrases grow: so it is enough to look at what each candidate leaves without its first or last
@@ -26,29 +28,33 @@ of any length are read in pieces. Only lang and text are read, so other columns
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_schema, bound, n_parts, release, schema, staged
+from .common import arrow_schema, bound, n_parts, release, schema, segments, staged
 
 FILTER_BITS = 1 << 26
-HOT = 2048
-#: Words and suffixes are counted in a task's memory up to so many before they are passed on.
+SLICE = 4
+SOME = 32
+#: Words are counted, and remembered, in a task's memory up to so many before they are passed on; suffixes likewise.
 HELD = 200_000
+HELD_SUFFIXES = 500_000
 #: Of a text, cut at the next break.
 AT_ONCE = 1 << 20
 BREAKS = re.compile(rb"[.,;:!?\n-\r]")
-COUNTS = schema("lang string, word binary, n bigint")
-SUFFIXES = schema("lang string, first binary, salt int, suffix binary, n bigint")
+#: n_words 0: a word, counted; 1 and more: a beginning, counted in some sections (the empty one: all words of these).
+COUNTS = schema("lang string, n_words int, word binary, n bigint")
+SUFFIXES = schema("lang string, dealt bigint, hot int, suffix binary, n bigint")
 PHRASES = schema("lang string, phrase binary, n_words int, n bigint, whole boolean")
 
 
@@ -71,7 +77,7 @@ def _coded(text: bytes) -> bytes:
 
 def _plain(phrase: bytes) -> bytes:
     phrase = phrase.replace(b"\0", b" ")
-    return re.sub(rb"\1([\1\2])", lambda m: b"\0" if m[1] == b"\1" else b"\1", phrase) if b"\1" in phrase else phrase
+    return re.sub(b"\1([\1\2])", lambda m: b"\0" if m[1] == b"\1" else b"\1", phrase) if b"\1" in phrase else phrase
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -89,28 +95,37 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
             yield lang[i].as_py(), text[i].as_buffer().to_pybytes() if text[i].is_valid else b""
 
 
-def _flush(held: dict[str, Counter], shape: pa.Schema, columns) -> Iterator[pa.RecordBatch]:
-    for lang, own in held.items():
-        items = list(own.items())
-        for s in range(0, len(items), 10_000):
-            some = items[s : s + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns(lang, some), shape, strict=True)], schema=shape)
-    held.clear()
+def _words(longest: int, slices: int):
+    """Words with their numbers; and from every SOME-th section, beginnings that may be hot with theirs."""
+    shape = arrow_schema(COUNTS)
 
+    def counted(held: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
+        for (lang, n_words), own in held.items():
+            least = max(2, held[lang, 1][b""] / (4 * slices)) if n_words else 0
+            items = [(w, n) for w, n in own.items() if n >= least or not w]
+            for s in range(0, len(items), 10_000):
+                some = items[s : s + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(some), f.type) if k < 2 else pa.array([i[k - 2] for i in some], f.type) for k, (x, f) in enumerate(zip((lang, n_words, 0, 0), shape, strict=True))], schema=shape)
+        held.clear()
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shape = arrow_schema(COUNTS)
-    columns = lambda lang, some: ([lang] * len(some), [w for w, _ in some], [n for _, n in some])
-    held: dict[str, Counter] = {}
-    for lang, text in _texts(batches):
-        own = held.setdefault(lang, Counter())
-        for section in _sections(text):
-            own.update(chain.from_iterable(pieces(section)))
-            if sum(map(len, held.values())) > HELD:
-                yield from _flush(held, shape, columns)
-                own = held.setdefault(lang, Counter())
-    yield from _flush(held, shape, columns)
-    release()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: defaultdict[tuple[str, int], Counter] = defaultdict(Counter)
+        sections = 0
+        for lang, text in _texts(batches):
+            for section in _sections(text):
+                found = list(pieces(section))
+                held[lang, 0].update(chain.from_iterable(found))
+                if sections % SOME == 0:
+                    held[lang, 1][b""] += sum(map(len, found))
+                    for k in range(1, longest):
+                        held[lang, k].update(b"\0".join(words[i : i + k]) for words in found for i in range(len(words) - k + 1))
+                sections += 1
+                if sum(map(len, held.values())) > HELD:
+                    yield from counted(held)
+        yield from counted(held)
+        release()
+
+    return run
 
 
 def _bit(lang: str, word: bytes) -> int:
@@ -128,82 +143,151 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 65536], pa.int64()), pa.array(own[at[s : s + 65536]].view(np.int64))], names=["at", "bits"])
 
 
+class _Codes(dict):
+    """Numbers of a task's frequent words, from 1; 0 for all others."""
+
+    def __init__(self, lang: str, frequent: np.ndarray, hot: list[tuple[bytes, ...]]):
+        """hot: hot beginnings, by length."""
+        self.lang, self.frequent, self.words, self.hashes = lang, frequent, [b""], [0]
+        #: Of each length of hot beginnings: the one without its last word (by its place, from 1) and that word, in order.
+        self.levels: list[np.ndarray] = []
+        places: dict[tuple[bytes, ...], int] = {(): 0}
+        for k in range(1, max(map(len, hot), default=0) + 1):
+            own = sorted((places[h[:-1]] << 32 | self.code(h[-1]), h) for h in hot if len(h) == k and h[:-1] in places)
+            places |= {h: i + 1 for i, (_, h) in enumerate(own)}
+            self.levels.append(np.array([x for x, _ in own], np.int64))
+
+    def code(self, word: bytes) -> int:
+        self.words.append(word)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        self[word] = len(self.words) - 1
+        return self[word]
+
+    def __missing__(self, word: bytes) -> int:
+        at = _bit(self.lang, word)
+        if int(self.frequent[at >> 6]) >> (at & 63) & 1:
+            return self.code(word)
+        self[word] = 0
+        return 0
+
+
+def _sent(codes: _Codes, sections: list[np.ndarray], longest: int, shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The different suffixes of two frequent words or more of some sections, with their numbers, and where they go."""
+    x = np.concatenate([*sections, np.zeros(longest, np.int32)])
+    at = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
+    if not len(at):
+        return
+    columns = [x[at], x[at + 1]]
+    for k in range(2, longest):
+        columns.append(np.where(columns[-1] > 0, x[np.minimum(at + k, len(x) - 1)], 0))
+    names = [f"w{k}" for k in range(longest)]
+    grouped = pa.table(dict(zip(names, map(pa.array, columns), strict=True))).group_by(names, use_threads=False).aggregate([([], "count_all")])
+    columns, n = [grouped[name].to_numpy() for name in names], grouped["count_all"].to_numpy()
+    words, hashes = pa.array(codes.words, pa.binary()), np.array(codes.hashes, np.uint64)
+    hot, place, key = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), hashes[columns[0]] + np.uint64(xxhash.xxh32_intdigest(codes.lang))
+    for k, level in enumerate(codes.levels):
+        asked = place << 32 | columns[k]
+        found = np.searchsorted(level, asked)
+        here = (hot == k) & (columns[k] > 0) & (level[np.minimum(found, max(0, len(level) - 1))] == asked if len(level) else False)
+        hot, place = np.where(here, k + 1, hot), np.where(here, found + 1, 0)
+        if k + 1 < longest:
+            key = np.where(here, key * np.uint64(0x9E3779B97F4A7C15) + hashes[columns[k + 1]], key)
+    for s in range(0, len(n), 10_000):
+        taken = [words.take(pa.array(np.where(c[s : s + 10_000] > 0, c[s : s + 10_000], 0))) if k < 2 else words.take(pa.array(c[s : s + 10_000], mask=c[s : s + 10_000] == 0)) for k, c in enumerate(columns)]
+        suffix = pc.binary_join_element_wise(*taken, pa.scalar(b"\0", pa.binary()), null_handling="skip")
+        end = s + len(suffix)
+        yield pa.RecordBatch.from_arrays([pa.array([codes.lang] * len(suffix)), pa.array(key[s:end].view(np.int64)), pa.array(hot[s:end], pa.int32()), suffix, pa.array(n[s:end], pa.int64())], schema=shape)
+
+
 def _suffixes(frequent, hot, longest: int):
     shape = arrow_schema(SUFFIXES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, hottest = frequent.value, hot.value
-        known: dict[tuple[str, bytes], bool] = {}
-
-        def columns(lang: str, some: list[tuple[bytes, int]]):
-            suffixes = [s for s, _ in some]
-            first = [s.partition(b"\0")[0] for s in suffixes]
-            salt = [1 + xxhash.xxh3_64_intdigest(s) % spread if (spread := hottest.get((lang, f), 0)) else 0 for s, f in zip(suffixes, first, strict=True)]
-            return [lang] * len(some), first, salt, suffixes, [n for _, n in some]
-
-        def passes(lang: str, word: bytes) -> bool:
-            found = known.get((lang, word))
-            if found is None:
-                if len(known) > HELD:
-                    known.clear()
-                at = _bit(lang, word)
-                found = known[lang, word] = bool(int(filter_[at >> 6]) >> (at & 63) & 1)
-            return found
-
-        held: dict[str, Counter] = {}
+        known: dict[str, _Codes] = {}
+        held: dict[str, list[np.ndarray]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang, sections in held.items():
+                yield from _sent(known[lang], sections, longest, shape)
+                if len(known[lang]) > HELD:
+                    del known[lang]
+            held.clear()
+
+        size = 0
         for lang, text in _texts(batches):
             for section in _sections(text):
-                own = held.setdefault(lang, Counter())
+                if lang not in known:
+                    known[lang] = _Codes(lang, frequent.value, hot.value.get(lang, []))
+                of, found = known[lang], []
                 for words in pieces(section):
-                    keep = [passes(lang, w) for w in words]
-                    end = len(words)
-                    for i in range(len(words) - 1, -1, -1):  # end: of the run of frequent words at i
-                        if not keep[i]:
-                            end = i
-                        elif end - i > 1:
-                            own[b"\0".join(words[i : min(end, i + longest)])] += 1
-                if sum(map(len, held.values())) > HELD:
-                    yield from _flush(held, shape, columns)
-        yield from _flush(held, shape, columns)
+                    found += [of[w] for w in words]
+                    found.append(0)
+                held.setdefault(lang, []).append(np.array(found, np.int32))
+                size += len(found)
+                if size > HELD_SUFFIXES:
+                    yield from sent()
+                    size = 0
+        yield from sent()
         release()
 
     return run
 
 
-def _count(least: int):
-    """Counts of all prefixes of two words or more, from suffixes in reverse order within language and first word."""
+def _count(least: int, longest: int):
+    """Counts of all prefixes of two words or more, from suffixes in reverse order within a language."""
     shape = arrow_schema(PHRASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, stack, counts = None, [], []  # stack: words of the prefix; counts: of each depth, not yet passed down
+        lang, stack, counts, hot = None, [], [], 0  # the words that the last suffix has left open, and their prefixes' counts
+
+        def closed(words: list[bytes], k: int, n: int, hot: int) -> None:
+            if n >= least or k <= hot:
+                out.append((lang, b"\0".join(words[:k]), k, n, k > hot))
 
         def pop(to: int) -> None:
             while len(stack) > to:
-                n = counts.pop()
-                if len(stack) > 1 and (now[1] or n >= least):
-                    out.append((now[0], b"\0".join(stack), len(stack), n, not now[1]))
+                if len(stack) > 1:
+                    closed(stack, len(stack), counts[-1], hot)
                 stack.pop()
-                if counts:
-                    counts[-1] += n
-
-        for b in batches:
-            for lang, salt, first, suffix, n in zip(*(b.column(c).to_pylist() for c in ("lang", "salt", "first", "suffix", "n")), strict=True):
-                words = suffix.split(b"\0")
-                key = (lang, salt, first)
-                if key != now:
+                counts.pop()
+
+        for whole in batches:
+            for (now,), b in segments([whole], ["lang"]):
+                if now != lang:
                     pop(0)
-                    now = key
-                same = 0
-                for x, y in zip(stack, words):
-                    if x != y:
-                        break
-                    same += 1
+                    lang = now
+                n, depth_hot = b.column(4).to_numpy(), b.column(2).to_numpy()
+                split = pc.split_pattern(b.column(3), pattern=b"\0")
+                ends, codes = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+                ends = ends - ends[0]
+                words, codes = codes.dictionary, codes.indices.to_numpy()
+                sizes = np.diff(ends)
+                table = np.full((longest, len(n)), -1, np.int64)
+                table[np.arange(len(codes)) - np.repeat(ends[:-1], sizes), np.repeat(np.arange(len(n)), sizes)] = codes
+                spelled = lambda row: words.take(pa.array(table[: sizes[row], row])).to_pylist()  # noqa: E731, B023
+                first, last = spelled(0), spelled(len(n) - 1)
+                same = next((k for k, (x, y) in enumerate(zip(stack, first)) if x != y), min(len(stack), len(first)))
                 pop(same)
-                while len(stack) < len(words):
-                    stack.append(words[len(stack)])
-                    counts.append(0)
-                counts[-1] += n
+                opened = []
+                alike = np.ones(len(n), bool)  # to the row before, so far
+                alike[0] = False
+                for k in range(1, longest + 1):
+                    there = table[k - 1] >= 0
+                    alike[1:] &= table[k - 1, 1:] == table[k - 1, :-1]
+                    starts = np.flatnonzero(there & ~alike)
+                    if not len(starts):
+                        break
+                    sums = np.add.reduceat(np.where(there, n, 0), starts)
+                    if k <= same:  # the first run goes on from the batch before
+                        sums[0] += counts[k - 1]
+                    if k <= len(last):
+                        opened.append(int(sums[-1]))
+                        starts, sums = starts[:-1], sums[:-1]
+                    if k > 1:
+                        for i in np.flatnonzero((sums >= least) | (depth_hot[starts] >= k)).tolist():
+                            closed(spelled(starts[i]), k, int(sums[i]), int(depth_hot[starts[i]]))
+                stack, counts, hot = last, opened, int(depth_hot[-1])
             while len(out) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[:10_000], strict=True), shape, strict=True)], schema=shape)
                 del out[:10_000]
@@ -220,20 +304,22 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang: str
     byte 0, n_words, n), and the number of words by language (lang, n)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text].cast("string").alias("text"))
-    words = staged(rows.mapInArrow(_words, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    slices = SLICE * n_parts(spark)
+    found = staged(rows.mapInArrow(_words(longest, slices), COUNTS).groupBy("lang", "n_words", "word").agg(F.sum("n").alias("n")), "words")
+    words, begun = found.filter("n_words = 0").drop("n_words"), found.filter("n_words > 0")
     sizes = staged(words.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     common = words.filter(F.col("n") >= least)
 
     frequent = np.zeros(FILTER_BITS // 64, np.uint64)
     for r in common.select("lang", "word").mapInArrow(_bits, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # at most FILTER_BITS / 64
         frequent[r.at] = r.bits & (1 << 64) - 1
-    share = max(HOT, 2 * n_parts(spark))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = words.filter(F.col("n") * share > total).select("lang", "word", F.ceil(F.col("n") * share / max(1, total)).alias("spread")).collect()  # less than `share`
-    hot = {(r.lang, bytes(r.word)): r.spread for r in hot}
+    total = begun.filter("length(word) = 0").agg(F.sum("n")).first()[0] or 0
+    hot: dict[str, list[tuple[bytes, ...]]] = {}
+    for r in begun.filter("length(word) > 0 and n >= 32").filter(F.col("n") * slices >= total).select("lang", "word").collect():  # at most `slices` of each length
+        hot.setdefault(r.lang, []).append(tuple(bytes(r.word).split(b"\0")))
     suffixes = rows.mapInArrow(_suffixes(bound(spark, frequent), bound(spark, hot), longest), SUFFIXES)
-    dealt = suffixes.repartition(n_parts(spark), "lang", "first", "salt").sortWithinPartitions("lang", "salt", "first", F.desc("suffix"))
-    counted = staged(dealt.mapInArrow(_count(least), PHRASES), "prefix-counts")
+    dealt = suffixes.repartition(n_parts(spark), "dealt").sortWithinPartitions("lang", F.desc("suffix"))
+    counted = staged(dealt.mapInArrow(_count(least, longest), PHRASES), "prefix-counts")
     summed = counted.filter("not whole").groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     phrases = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "n")
     return staged(phrases.unionByName(counted.filter("whole").drop("whole")).unionByName(summed), "phrases"), sizes
