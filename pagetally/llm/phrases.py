@@ -8,9 +8,10 @@ the stack is what a batch leaves open to the next.) Counts of a phrase's parts a
 
 Three things keep the shuffle small and even, and none changes a count:
 
-* Words are counted first. A word under the least count is in no candidate, so pieces are cut there, and suffixes of one
-  word are not sent, being counted already. Tasks know the frequent words by one bit each of a map of FILTER_BITS, so
-  what is broadcast has a fixed size; words that share a bit by chance only send more suffixes.
+* Words are counted first, then pairs (as suffixes of two words), then the rest. A word or pair under the least count is
+  in no candidate, so pieces are cut there, and what is counted already is not sent again. Tasks know the frequent words
+  and pairs by one bit each of a map of FILTER_BITS, so what is broadcast has a fixed size; words or pairs that share a
+  bit by chance only send more suffixes.
 * Equal suffixes of a task travel once, with their number.
 * A beginning of one to `longest` - 1 words that more suffixes have than a SLICE-th of a partition, judged by every
   SOME-th section of text, is hot; there are at most SLICE a partition of each length. Suffixes are dealt by their
@@ -43,7 +44,7 @@ from pyspark.sql.window import Window
 
 from .common import arrow_schema, bound, n_parts, release, schema, segments, staged
 
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 27
 SLICE = 4
 SOME = 32
 #: Words are counted, and remembered, in a task's memory up to so many before they are passed on; suffixes likewise.
@@ -128,21 +129,47 @@ def _words(longest: int, slices: int):
     return run
 
 
+def _seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang)
+
+
 def _bit(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, xxhash.xxh32_intdigest(lang)) % FILTER_BITS
+    return xxhash.xxh3_64_intdigest(word, _seed(lang)) % FILTER_BITS
+
+
+def _pair_bits(seed: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The bits of pairs of words, given by their language's seed and their hashes."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second + seed
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(32)).astype(np.int64) % FILTER_BITS
+
+
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) > 0
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bits of frequent words, as those 64-bit parts of the map that are not 0: place, bits."""
+    """The bits of frequent words or pairs, as those 64-bit parts of the map that are not 0: place, bits."""
     own = np.zeros(FILTER_BITS // 64, np.uint64)
     for b in batches:
-        at = np.array([_bit(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], np.int64)
+        phrases = list(zip(b.column(0).to_pylist(), (p.split(b"\0") for p in b.column(1).to_pylist()), strict=True))
+        at = [_bit(lang, words[0]) for lang, words in phrases if len(words) == 1]
+        seeds, *pair = (np.array(x, np.uint64) for x in zip(*((_seed(lang), *map(xxhash.xxh3_64_intdigest, words)) for lang, words in phrases if len(words) == 2), strict=True)) if len(at) < len(phrases) else ([], [], [])
+        at = np.concatenate([np.array(at, np.int64), _pair_bits(seeds, *pair) if len(seeds) else np.empty(0, np.int64)])
         np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
     at = np.flatnonzero(own)
     for s in range(0, len(at), 65536):
         yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 65536], pa.int64()), pa.array(own[at[s : s + 65536]].view(np.int64))], names=["at", "bits"])
 
 
+def _bit_map(phrases: DataFrame) -> np.ndarray:
+    """The map of all given words or pairs (lang, phrase)."""
+    own = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in phrases.mapInArrow(_bits, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # at most FILTER_BITS / 64
+        own[r.at] = r.bits & (1 << 64) - 1
+    return own
+
+
 class _Codes(dict):
     """Numbers of a task's frequent words, from 1; 0 for all others."""
 
@@ -171,20 +198,25 @@ class _Codes(dict):
         return 0
 
 
-def _sent(codes: _Codes, sections: list[np.ndarray], longest: int, shape: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The different suffixes of two frequent words or more of some sections, with their numbers, and where they go."""
+def _sent(codes: _Codes, sections: list[np.ndarray], longest: int, pairs: np.ndarray | None, shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The different suffixes of two frequent words of some sections, or, if the frequent pairs are given, of three words
+    and more, all of whose pairs are frequent: with their numbers, and where they go."""
     x = np.concatenate([*sections, np.zeros(longest, np.int32)])
-    at = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
+    words, hashes = pa.array(codes.words, pa.binary()), np.array(codes.hashes, np.uint64)
+    linked = (x[:-1] > 0) & (x[1:] > 0)
+    if pairs is not None:
+        both = np.flatnonzero(linked)
+        linked[both] = _is_set(pairs, _pair_bits(np.uint64(_seed(codes.lang)), hashes[x[both]], hashes[x[both + 1]]))
+    at = np.flatnonzero(linked if pairs is None else linked[:-1] & linked[1:])
     if not len(at):
         return
     columns = [x[at], x[at + 1]]
     for k in range(2, longest):
-        columns.append(np.where(columns[-1] > 0, x[np.minimum(at + k, len(x) - 1)], 0))
+        columns.append(np.where((columns[-1] > 0) & linked[at + k - 1], x[at + k], 0))
     names = [f"w{k}" for k in range(longest)]
     grouped = pa.table(dict(zip(names, map(pa.array, columns), strict=True))).group_by(names, use_threads=False).aggregate([([], "count_all")])
     columns, n = [grouped[name].to_numpy() for name in names], grouped["count_all"].to_numpy()
-    words, hashes = pa.array(codes.words, pa.binary()), np.array(codes.hashes, np.uint64)
-    hot, place, key = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), hashes[columns[0]] + np.uint64(xxhash.xxh32_intdigest(codes.lang))
+    hot, place, key = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), hashes[columns[0]] + np.uint64(_seed(codes.lang))
     for k, level in enumerate(codes.levels):
         asked = place << 32 | columns[k]
         found = np.searchsorted(level, asked)
@@ -199,7 +231,7 @@ def _sent(codes: _Codes, sections: list[np.ndarray], longest: int, shape: pa.Sch
         yield pa.RecordBatch.from_arrays([pa.array([codes.lang] * len(suffix)), pa.array(key[s:end].view(np.int64)), pa.array(hot[s:end], pa.int32()), suffix, pa.array(n[s:end], pa.int64())], schema=shape)
 
 
-def _suffixes(frequent, hot, longest: int):
+def _suffixes(frequent, hot, longest: int, pairs=None):
     shape = arrow_schema(SUFFIXES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +240,7 @@ def _suffixes(frequent, hot, longest: int):
 
         def sent() -> Iterator[pa.RecordBatch]:
             for lang, sections in held.items():
-                yield from _sent(known[lang], sections, longest, shape)
+                yield from _sent(known[lang], sections, longest, pairs and pairs.value, shape)
                 if len(known[lang]) > HELD:
                     del known[lang]
             held.clear()
@@ -217,7 +249,7 @@ def _suffixes(frequent, hot, longest: int):
         for lang, text in _texts(batches):
             for section in _sections(text):
                 if lang not in known:
-                    known[lang] = _Codes(lang, frequent.value, hot.value.get(lang, []))
+                    known[lang] = _Codes(lang, frequent.value, [h for h in hot.value.get(lang, []) if len(h) < longest])
                 of, found = known[lang], []
                 for words in pieces(section):
                     found += [of[w] for w in words]
@@ -233,8 +265,8 @@ def _suffixes(frequent, hot, longest: int):
     return run
 
 
-def _count(least: int, longest: int):
-    """Counts of all prefixes of two words or more, from suffixes in reverse order within a language."""
+def _count(least: int, longest: int, shortest: int):
+    """Counts of all prefixes of `shortest` words or more, from suffixes in reverse order within a language."""
     shape = arrow_schema(PHRASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +279,7 @@ def _count(least: int, longest: int):
 
         def pop(to: int) -> None:
             while len(stack) > to:
-                if len(stack) > 1:
+                if len(stack) >= shortest:
                     closed(stack, len(stack), counts[-1], hot)
                 stack.pop()
                 counts.pop()
@@ -284,7 +316,7 @@ def _count(least: int, longest: int):
                     if k <= len(last):
                         opened.append(int(sums[-1]))
                         starts, sums = starts[:-1], sums[:-1]
-                    if k > 1:
+                    if k >= shortest:
                         for i in np.flatnonzero((sums >= least) | (depth_hot[starts] >= k)).tolist():
                             closed(spelled(starts[i]), k, int(sums[i]), int(depth_hot[starts[i]]))
                 stack, counts, hot = last, opened, int(depth_hot[-1])
@@ -310,19 +342,26 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang: str
     sizes = staged(words.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     common = words.filter(F.col("n") >= least)
 
-    frequent = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in common.select("lang", "word").mapInArrow(_bits, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # at most FILTER_BITS / 64
-        frequent[r.at] = r.bits & (1 << 64) - 1
     total = begun.filter("length(word) = 0").agg(F.sum("n")).first()[0] or 0
     hot: dict[str, list[tuple[bytes, ...]]] = {}
     for r in begun.filter("length(word) > 0 and n >= 32").filter(F.col("n") * slices >= total).select("lang", "word").collect():  # at most `slices` of each length
         hot.setdefault(r.lang, []).append(tuple(bytes(r.word).split(b"\0")))
-    suffixes = rows.mapInArrow(_suffixes(bound(spark, frequent), bound(spark, hot), longest), SUFFIXES)
-    dealt = suffixes.repartition(n_parts(spark), "dealt").sortWithinPartitions("lang", F.desc("suffix"))
-    counted = staged(dealt.mapInArrow(_count(least, longest), PHRASES), "prefix-counts")
-    summed = counted.filter("not whole").groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    frequent, hot = bound(spark, _bit_map(common.select("lang", F.col("word").alias("phrase")))), bound(spark, hot)
+
+    def counted(most: int, shortest: int, pairs=None) -> DataFrame:
+        suffixes = rows.mapInArrow(_suffixes(frequent, hot, most, pairs), SUFFIXES)
+        dealt = suffixes.repartition(n_parts(spark), "dealt").sortWithinPartitions("lang", F.desc("suffix"))
+        found = staged(dealt.mapInArrow(_count(least, most, shortest), PHRASES), "prefix-counts")
+        summed = found.filter("not whole").groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        return found.filter("whole").drop("whole").unionByName(summed)
+
     phrases = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "n")
-    return staged(phrases.unionByName(counted.filter("whole").drop("whole")).unionByName(summed), "phrases"), sizes
+    if longest > 1:
+        pairs = counted(2, 2)
+        phrases = phrases.unionByName(pairs)
+    if longest > 2:
+        phrases = phrases.unionByName(counted(longest, 3, bound(spark, _bit_map(pairs.select("lang", "phrase")))))
+    return staged(phrases, "phrases"), sizes
 
 
 CUTS = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("first", T.BinaryType()), T.StructField("rest", T.BinaryType())]))
