@@ -18,7 +18,7 @@ SQL = auditing.ORACLE | patching.ORACLE | inference.SQL | parsing.SQL | storage.
 
 
 def _text(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Session(spark, sf_dir).sql(TEXTS[name])
+    return Session(spark, sf_dir).query(TEXTS[name])
 
 
 def _frame(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

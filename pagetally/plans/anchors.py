@@ -55,7 +55,8 @@ _quote = lambda x: "'" + x.replace("'", "''") + "'"
 def folded(text: str, unaccented: str | None = None) -> str:
     """SQL for a text in small letters without accents, its separators and white space as single spaces.
     unaccented: the text without accents, if there is a function for it."""
-    plain = unaccented or f"regexp_replace(translate({text}, '{''.join(_ACCENTED)}', '{''.join(_ACCENTED.values())}'), '[̀-ͯ]', '' /*all*/)"
+    # most texts, or their scripts, have no letter to change
+    plain = unaccented or f"CASE WHEN octet_length({text}) > length({text}) THEN regexp_replace(translate({text}, '{''.join(_ACCENTED)}', '{''.join(_ACCENTED.values())}'), '[̀-ͯ]', '' /*all*/) ELSE {text} END"
     return f"trim(regexp_replace(regexp_replace(lower({plain}), '[/_-]+', ' ' /*all*/), '[ \\t\\n\\r]+', ' ' /*all*/))"
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import scratch
 from . import anchors
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -77,6 +78,15 @@ def matches(text: str) -> str:
 _OWNS = "x -> size(x.matched) >= x.min_match AND x.anti_hits = 0"
 _NEARLY = "x -> size(x.matched) = x.min_match - 1 AND x.min_match > 1 AND x.anti_hits = 0"
 
+def counts(text: str) -> str:
+    """`matches` without the anchors' names."""
+    has = f"contains({text}, a)"
+    return f"transform(flavors, f -> struct(f.flavor AS flavor, f.least AS min_match, size(filter(f.anchors, a -> {has})) AS matched, size(filter(f.anti, a -> {has})) AS anti_hits))"
+
+
+_COUNT_OWNS = "x -> x.matched >= x.min_match AND x.anti_hits = 0"
+_COUNT_NEARLY = "x -> x.matched = x.min_match - 1 AND x.min_match > 1 AND x.anti_hits = 0"
+
 #: Parts of a site, and what a cell's files are named after: the host category of a file, and a foreign one.
 SITE_PARTS = 40
 _HOSTS = ("odi", "irl", "art", "ext", "chps", "maquinaria", "charla", "dif_pts")
@@ -183,7 +193,7 @@ RELATIONS = {
         UNION ALL SELECT id, dst_hospital, dst_sigla, 'in', documents, workers FROM {current_ops} WHERE now = 'pending' AND op_type IN ('move_file', 'extract_pages')""",
     # files whose name speaks of other categories only; one of them is suggested
     "foreign_names": """
-        SELECT host, hospital, name, CASE WHEN n = 1 THEN least_sigla END AS suggested FROM (SELECT host, hospital, name, count(DISTINCT sigla) AS n, min(sigla) AS least_sigla, count_if(sigla = host) AS own FROM {name_hits} GROUP BY host, hospital, name) AS s WHERE own = 0""",
+        SELECT host, hospital, name, CASE WHEN least_sigla = most_sigla THEN least_sigla END AS suggested FROM (SELECT host, hospital, name, min(sigla) AS least_sigla, max(sigla) AS most_sigla, count_if(sigla = host) AS own FROM {name_hits} GROUP BY host, hospital, name) AS s WHERE own = 0""",
     # suspects as stored: by name (a whole file) and by the codes on a range of pages; some files are gone meanwhile
     "stored_suspects": f"""
         SELECT id, kind, hospital, sigla, file, page_from, page_to, suggested, scanned_counted, 'cs_' || substr(sha1(kind || '|' || file || '|' || {_RANGE_TEXT} || '|' || COALESCE(suggested, 'None')), 1, 10) AS suspect_id
@@ -256,13 +266,17 @@ RELATIONS = {
     "cover_text": f"""
         SELECT r.pdf, r.page, a.sigla, a.text AS raw, b.text AS cleaned FROM {{page_reads}} AS r JOIN {{dim_cover}} AS a ON a.k = r.pdf % {len(anchors.FLAVORS)} AND a.variant = (3 * r.partkey + r.page) % {anchors.VARIANTS}
         JOIN {{dim_cover}} AS b ON b.k = a.k AND b.variant = (r.partkey + r.suppkey) % {anchors.VARIANTS}""",
+    "folded_covers": f"SELECT pdf, page, sigla, {anchors.folded('raw')} AS raw, {anchors.folded('cleaned')} AS cleaned FROM {{cover_text}}",
     # the cleaned text is matched only where the raw text has no owner; no flavor's match needs a shuffle
     "cover_matches": f"""
         SELECT pdf, page, sigla, raw, CASE WHEN NOT exists(raw, {_OWNS}) THEN {matches("cleaned")} END AS cleaned
-        FROM (SELECT t.pdf, t.page, t.sigla, f.flavors, {matches("t.raw")} AS raw, t.cleaned FROM (SELECT pdf, page, sigla, {anchors.folded("raw")} AS raw, {anchors.folded("cleaned")} AS cleaned FROM {{cover_text}}) AS t JOIN {{dim_flavors}} AS f ON f.sigla = t.sigla) AS m""",
+        FROM (SELECT t.pdf, t.page, t.sigla, f.flavors, {matches("t.raw")} AS raw, t.cleaned FROM {{folded_covers}} AS t JOIN {{dim_flavors}} AS f ON f.sigla = t.sigla) AS m""",
+    # only how many anchors a text has: of a page's flavors in order, the first that owns it and the first that nearly does
     "cover_pages": f"""
         SELECT pdf, page, sigla, raw_owner, raw_near, COALESCE(raw_owner, owner) AS owner, CASE WHEN raw_owner IS NULL AND owner IS NULL THEN near END AS near
-        FROM (SELECT pdf, page, sigla, get(filter(raw, {_OWNS}), 0).flavor AS raw_owner, CASE WHEN cleaned IS NOT NULL THEN get(filter(raw, {_NEARLY}), 0).flavor END AS raw_near, get(filter(cleaned, {_OWNS}), 0).flavor AS owner, get(filter(cleaned, {_NEARLY}), 0).flavor AS near FROM {{cover_matches}}) AS c""",
+        FROM (SELECT pdf, page, sigla, get(filter(raw, {_COUNT_OWNS}), 0).flavor AS raw_owner, CASE WHEN cleaned IS NOT NULL THEN get(filter(raw, {_COUNT_NEARLY}), 0).flavor END AS raw_near, get(filter(cleaned, {_COUNT_OWNS}), 0).flavor AS owner, get(filter(cleaned, {_COUNT_NEARLY}), 0).flavor AS near
+          FROM (SELECT pdf, page, sigla, raw, CASE WHEN NOT exists(raw, {_COUNT_OWNS}) THEN {counts("cleaned")} END AS cleaned
+            FROM (SELECT t.pdf, t.page, t.sigla, f.flavors, {counts("t.raw")} AS raw, t.cleaned FROM {{folded_covers}} AS t JOIN {{dim_flavors}} AS f ON f.sigla = t.sigla) AS m) AS n) AS c""",
     "raw_flavors": "SELECT pdf, page, sigla, inline(raw) FROM {cover_matches}",
     "folded_documents": f"SELECT doc_id, {anchors.folded('text')} AS text FROM {{documents}} WHERE text IS NOT NULL",
     "history": f"""
@@ -322,6 +336,16 @@ def names_in(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
+#: Relations that a query writes once if it reads them more than once: they cost more to make than to read. In this order,
+#: each is made of those before it.
+WRITTEN_ONCE = ("foreign_names", "suspects", "open_suspects")
+
+
+def readings(text: str, name: str) -> int:
+    """How often a query reads a relation, by itself and through others."""
+    return sum(n == name or (n not in TABLES and n in RELATIONS and readings(RELATIONS[n], name)) for n in re.findall(r"\{(\w+)\}", text))
+
+
 class Session:
     """DataFrames of one folder of tables, each planned once."""
 
@@ -334,6 +358,15 @@ class Session:
             self.made[name] = self.frames[name](self) if name in self.frames else self.spark.read.parquet(f"{self.dir}/{name}.parquet") if name in TABLES else self.sql(RELATIONS[name])
         return self.made[name]
 
+    def query(self, text: str) -> DataFrame:
+        """A registered query: what it reads more than once is written once, to the folder in spark.checkpoint.dir."""
+        for name in WRITTEN_ONCE:
+            if name not in self.made and readings(text, name) > 1:
+                path = scratch(self.spark, name)
+                self[name].write.parquet(path)
+                self.made[name] = self.spark.read.schema(self[name].schema).parquet(path)
+        return self.sql(text)
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: self[n] for n in names_in(text)})
 
