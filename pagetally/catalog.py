@@ -7,14 +7,14 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import auditing, counting, inference, parsing, patching, storage
+from .operators import auditing, counting, inference, parsing, patching, storage, sweeps
 from .plans.relations import Session, duck
 from .streaming import events, locks, scans
 
 TEXTS = counting.FILES | counting.CELLS | counting.PAGES | auditing.OPERATORS | patching.OPERATORS
-FRAMES: dict[str, Callable[[Session], DataFrame]] = inference.OPERATORS | parsing.OPERATORS | storage.OPERATORS | events.OPERATORS | locks.OPERATORS | scans.OPERATORS
+FRAMES: dict[str, Callable[[Session], DataFrame]] = inference.OPERATORS | parsing.OPERATORS | storage.OPERATORS | sweeps.OPERATORS | events.OPERATORS | locks.OPERATORS | scans.OPERATORS
 #: SQL of operators that are not one text for both dialects.
-SQL = auditing.ORACLE | patching.ORACLE | inference.SQL | parsing.SQL | storage.SQL | events.SQL | locks.SQL | scans.SQL
+SQL = auditing.ORACLE | patching.ORACLE | inference.SQL | parsing.SQL | storage.SQL | sweeps.SQL | events.SQL | locks.SQL | scans.SQL
 
 
 def _text(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

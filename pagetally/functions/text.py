@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -112,3 +117,24 @@ def evaluate(text: str | None) -> float | None:
 @F.pandas_udf(DoubleType())
 def arithmetic(text: pd.Series) -> pd.Series:
     return text.map(evaluate).astype("float64")
+
+
+@cache
+def decompositions() -> dict[int, str]:
+    """Of every code point that Unicode decomposes for compatibility, and of combining marks: what is left without marks."""
+    found = ((c, "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for c in range(0x80, sys.maxunicode + 1))
+    return {c: plain for c, plain in found if plain != chr(c)}
+
+
+def normalised(rows: DataFrame) -> DataFrame:
+    """(id, text): texts in small letters, decomposed, without marks, separators and white space as single blanks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text in b.column(1).to_pylist():
+                plain = text if text is None or text.isascii() else text.translate(decompositions())
+                texts.append(None if plain is None else re.sub(r"[ \t\n\r]+", " ", re.sub(r"[/_-]+", " ", plain.lower())).strip(" "))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=b.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)

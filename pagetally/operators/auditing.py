@@ -1,6 +1,6 @@
 """Planned moves, suspects, history, evaluation and text matching."""
 
-from ..plans.anchors import MOST_SHOWN, PAGE_ANCHORS
+from ..plans.anchors import MOST_SHOWN, PAGE_ANCHORS, folded
 from ..plans.relations import places
 
 _BAD = "op_type NOT IN ('move_file', 'extract_pages', 'split_in_place', 'rotate')"
@@ -63,15 +63,18 @@ HISTORY = {
 EVALUATION = {
     "j11_predictions_truth": "SELECT pdf, page, curr AS predicted, true_curr AS truth, COALESCE(curr = true_curr, false) AS exact FROM {recovered}",
     "j12_truth_priority": "SELECT pdf, page, curr, 'index' AS origin FROM {variant_reads} WHERE variant = 'raw' AND curr IS NOT NULL UNION ALL SELECT r.pdf, r.page, r.curr, 'fixture' FROM {page_reads} AS r WHERE r.curr IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {variant_reads} AS v WHERE v.variant = 'raw' AND v.curr IS NOT NULL AND v.pdf = r.pdf AND v.page = r.page)",
-    "j13_code_collisions": "SELECT a.supp AS a, b.supp AS b, count(*) AS codes FROM (SELECT DISTINCT suppkey % 7 AS supp, code FROM {page_reads} WHERE code IS NOT NULL) AS a JOIN (SELECT DISTINCT suppkey % 7 AS supp, code FROM {page_reads} WHERE code IS NOT NULL) AS b ON a.code = b.code AND a.supp < b.supp GROUP BY a.supp, b.supp",
-    "a20_nearest_rank": "SELECT host, max(CASE WHEN n = 1 + CAST(bround(0.25 * (c - 1), 0) AS BIGINT) THEN pages END) AS p25, max(CASE WHEN n = 1 + CAST(bround(0.5 * (c - 1), 0) AS BIGINT) THEN pages END) AS median, max(CASE WHEN n = 1 + CAST(bround(0.75 * (c - 1), 0) AS BIGINT) THEN pages END) AS p75, min(pages) AS least, max(pages) AS most, count(*) AS n FROM (SELECT host, pages, row_number() OVER (PARTITION BY host ORDER BY pages) AS n, count(*) OVER (PARTITION BY host) AS c FROM {files} WHERE pages > 0) AS r GROUP BY host",
+    "j13_code_collisions": "SELECT a.hospital, a.token AS code, a.host AS a, b.host AS b FROM (SELECT DISTINCT hospital, host, token FROM {name_tokens} WHERE length(token) > 3 AND NOT contains(token, '_') AND NOT contains(token, '-')) AS a JOIN (SELECT DISTINCT hospital, host, token FROM {name_tokens} WHERE length(token) > 3 AND NOT contains(token, '_') AND NOT contains(token, '-')) AS b ON a.hospital = b.hospital AND a.token = b.token AND a.host < b.host",
+    # quantiles from counts of values, which merge: a window has a row a value, not a row a file
+    "a20_nearest_rank": "SELECT host, min(CASE WHEN upto >= 1 + CAST(bround(0.25 * (c - 1), 0) AS BIGINT) THEN pages END) AS p25, min(CASE WHEN upto >= 1 + CAST(bround(0.5 * (c - 1), 0) AS BIGINT) THEN pages END) AS median, min(CASE WHEN upto >= 1 + CAST(bround(0.75 * (c - 1), 0) AS BIGINT) THEN pages END) AS p75, min(pages) AS least, max(pages) AS most, CAST(max(c) AS BIGINT) AS n FROM (SELECT host, pages, sum(k) OVER (PARTITION BY host ORDER BY pages) AS upto, sum(k) OVER (PARTITION BY host) AS c FROM (SELECT host, pages, count(*) AS k FROM {files} WHERE pages > 0 GROUP BY host, pages) AS h) AS r GROUP BY host",
     "a21_code_survey": "SELECT cell, code, count(*) AS n FROM (SELECT pdf % 5 AS cell, code, row_number() OVER (PARTITION BY pdf ORDER BY page) AS k FROM {page_reads} WHERE code IS NOT NULL) AS r WHERE k <= 6 GROUP BY cell, code HAVING count(*) >= 2",
     "a22_pattern_metrics": """
         SELECT variant, count(*) AS n, count(total) AS matches, count_if(total = period) AS correct, count_if(total <> period) AS false_positives, round(count(total) / CAST(count(*) AS DOUBLE), 4) AS match_rate, round(count_if(total <> period) / CAST(NULLIF(count(total), 0) AS DOUBLE), 4) AS fp_rate, count(DISTINCT total) AS totals
         FROM {pattern_reads} GROUP BY variant""",
     "a23_reader_metrics": """
-        SELECT host, count_if(curr = true_curr) / CAST(NULLIF(count(true_curr), 0) AS DOUBLE) AS exact, count(curr) / CAST(count(*) AS DOUBLE) AS parse_rate, avg(CASE WHEN ms > 0 THEN ms END) AS mean_ms, max(CASE WHEN n = 1 + CAST(floor(c * 0.95) AS BIGINT) THEN ms END) AS p95_ms
-        FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ms, pdf, page) AS n, count(*) OVER (PARTITION BY host) AS c FROM (SELECT pdf % 5 AS host, pdf, page, curr, CASE WHEN partkey % 4 > 0 THEN true_curr END AS true_curr, CAST(partkey % 1000 AS INT) AS ms FROM {page_reads}) AS q) AS r GROUP BY host""",
+        SELECT host, CAST(sum(exact) AS BIGINT) / CAST(NULLIF(sum(truths), 0) AS DOUBLE) AS exact, CAST(sum(reads) AS BIGINT) / CAST(sum(k) AS DOUBLE) AS parse_rate, CAST(sum(CASE WHEN ms > 0 THEN ms * k END) AS DOUBLE) / CAST(sum(CASE WHEN ms > 0 THEN k END) AS DOUBLE) AS mean_ms, min(CASE WHEN upto >= 1 + CAST(floor(c * 0.95) AS BIGINT) THEN ms END) AS p95_ms
+        FROM (SELECT *, sum(k) OVER (PARTITION BY host ORDER BY ms) AS upto, sum(k) OVER (PARTITION BY host) AS c
+          FROM (SELECT host, ms, count(*) AS k, count_if(curr = true_curr) AS exact, count(true_curr) AS truths, count(curr) AS reads
+            FROM (SELECT pdf % 5 AS host, curr, CASE WHEN partkey % 4 > 0 THEN true_curr END AS true_curr, CAST(partkey % 1000 AS INT) AS ms FROM {page_reads}) AS q GROUP BY host, ms) AS h) AS r GROUP BY host""",
     "a24_rescue_counts": "SELECT rescued, regressed, maintained, still_failed, rescued - 3 * regressed AS net, round(rescued / CAST(n AS DOUBLE), 4) AS rescue_rate FROM (SELECT count(*) AS n, count_if(method = 'failed' AND curr = true_curr) AS rescued, count_if(method = 'direct' AND curr <> true_curr) AS regressed, count_if(method = 'direct' AND curr = true_curr) AS maintained, count_if(curr IS NULL) AS still_failed FROM {recovered}) AS s",
     "a25_composite_score": """
         SELECT config, doc_exact + complete_exact - 3 * real_delta - real_complete_delta - synthetic_delta - inferred_delta - 5 * regressions AS composite, doc_exact, complete_exact, real_delta, real_complete_delta, synthetic_delta, inferred_delta, regressions
@@ -87,35 +90,36 @@ EVALUATION = {
     "a40_phase_winners": """
         SELECT phase, label, net_gain, winner FROM (SELECT phase, label, net_gain, row_number() OVER (PARTITION BY phase ORDER BY net_gain DESC, label) = 1 AS winner FROM {technique_gains}) AS w
         UNION ALL SELECT 'combo', label, net_gain, row_number() OVER (ORDER BY net_gain DESC, label) = 1 FROM {combo_gains}""",
+    # the three best on a sample of the failed pages, by rescued pages and then by those still failed, are tried on all pages
     "t13_prescreened": """
-        SELECT v.variant, s.rescued AS screened, count_if(p.method = 'failed' AND v.curr = v.true_curr) AS rescued, count_if(p.method = 'direct' AND COALESCE(v.curr <> v.true_curr, true)) AS regressed
+        SELECT v.variant, s.rescued AS screened, s.still_failed, count_if(p.method = 'failed' AND v.curr = v.true_curr) AS rescued, count_if(p.method = 'direct' AND COALESCE(v.curr <> v.true_curr, true)) AS regressed
         FROM {variant_reads} AS v JOIN {page_reads} AS p ON p.pdf = v.pdf AND p.page = v.page
-        JOIN (SELECT variant, rescued FROM (SELECT v.variant, count_if(v.curr = v.true_curr) AS rescued, row_number() OVER (ORDER BY count_if(v.curr = v.true_curr) DESC, v.variant) AS place FROM {variant_reads} AS v JOIN {screen_pages} AS c ON c.pdf = v.pdf AND c.page = v.page GROUP BY v.variant) AS r WHERE place <= 3) AS s ON s.variant = v.variant GROUP BY v.variant, s.rescued""",
+        JOIN (SELECT variant, rescued, still_failed FROM (SELECT variant, rescued, still_failed, row_number() OVER (ORDER BY rescued DESC, still_failed, variant) AS place
+            FROM (SELECT v.variant, count_if(v.curr = v.true_curr) AS rescued, count_if(v.curr IS NULL) AS still_failed FROM {variant_reads} AS v JOIN {screen_pages} AS c ON c.pdf = v.pdf AND c.page = v.page WHERE v.variant <> 'raw' GROUP BY v.variant) AS w) AS r WHERE place <= 3) AS s ON s.variant = v.variant
+        GROUP BY v.variant, s.rescued, s.still_failed""",
     "a34_signed_deltas": "SELECT c.pdf, max(CASE WHEN c.config = 'recovered' THEN c.documents END) - max(t.documents) AS delta_recovered, max(CASE WHEN c.config = 'direct' THEN c.documents END) - max(t.documents) AS delta_direct FROM {config_counts} AS c JOIN {true_counts} AS t ON t.pdf = c.pdf GROUP BY c.pdf",
-    "t03_top_configs": "SELECT p_partkey AS config, CAST(p_retailprice AS DOUBLE) AS composite FROM {part} ORDER BY p_retailprice DESC, p_size, p_partkey LIMIT 10",
     "t05_ranked": "SELECT sigla, rescued, failed FROM (SELECT sigla, count_if(per_file > 0) AS rescued, count_if(per_file IS NULL) AS failed FROM {file_counts} GROUP BY sigla) AS s ORDER BY rescued DESC, failed, sigla LIMIT 10",
-    "t09_neighbour_configs": "SELECT DISTINCT a + CASE WHEN p = 1 THEN step ELSE 0 END AS a, b + CASE WHEN p = 2 THEN step ELSE 0 END AS b FROM (SELECT * FROM (VALUES (0, 2), (1, 1), (3, 0)) AS t(a, b)) AS c CROSS JOIN (SELECT * FROM (VALUES (1), (2)) AS t(p)) AS p CROSS JOIN (SELECT * FROM (VALUES (-1), (1)) AS t(step)) AS s WHERE a + CASE WHEN p = 1 THEN step ELSE 0 END BETWEEN 0 AND 3 AND b + CASE WHEN p = 2 THEN step ELSE 0 END BETWEEN 0 AND 3",
-    "t10_param_grid": "SELECT DISTINCT dpi, CASE WHEN deskew = 0 THEN 0 ELSE angle END AS angle, deskew FROM (SELECT * FROM (VALUES (150), (216), (300)) AS t(dpi)) AS d CROSS JOIN (SELECT * FROM (VALUES (5), (11)) AS t(angle)) AS a CROSS JOIN (SELECT * FROM (VALUES (0), (1)) AS t(deskew)) AS s",
+    "t10_param_grid": "SELECT DISTINCT dpi, CASE WHEN deskew = 0 THEN 0 ELSE angle END AS angle, deskew FROM (SELECT DISTINCT 150 + 33 * (p_size % 5) AS dpi FROM {part}) AS d CROSS JOIN (SELECT DISTINCT 5 + p_size % 7 AS angle FROM {part}) AS a CROSS JOIN (SELECT DISTINCT p_partkey % 2 AS deskew FROM {part}) AS s",
     "u01_union_keys": "SELECT file FROM {file_counts} WHERE per_file IS NOT NULL UNION SELECT file FROM {file_counts} WHERE override IS NOT NULL",
     "u02_difference": "SELECT file FROM {file_counts} EXCEPT SELECT file FROM {marks}",
     "u06_intersection": "SELECT code FROM {page_reads} WHERE suppkey % 2 = 0 AND code IS NOT NULL INTERSECT SELECT code FROM {page_reads} WHERE suppkey % 2 = 1",
 }
 
 TEXT = {
-    "f05_normalise_text": "SELECT doc_id, md5(text) AS text_md5, length(text) AS n FROM {folded_documents}",
     "j08_anchor_hits": "SELECT pdf, page, sigla, flavor, explode(matched) AS anchor FROM {raw_flavors}",
     "m01_match_flavor": "SELECT pdf, page, sigla, flavor, size(matched) AS matched, size(missing) AS missing, anti_hits, size(matched) >= min_match AND anti_hits = 0 AS passes, anti_hits = 0 AND min_match > 1 AND size(matched) = min_match - 1 AS near FROM {raw_flavors}",
     "m02_match_page": "SELECT pdf, page, raw_owner AS flavor, raw_near AS near_flavor FROM {cover_pages}",
     "m03_count_covers": "SELECT pdf, sigla, count(owner) AS covers, count(*) AS pages, count(near) AS near_matches FROM {cover_pages} GROUP BY pdf, sigla",
     "m04_two_pass": "SELECT pdf, page, owner, near, CASE WHEN raw_owner IS NOT NULL THEN 1 WHEN owner IS NOT NULL THEN 2 END AS found_in FROM {cover_pages}",
-    "m05_anchors": "SELECT sigla, flavor, ord, min_match, place, anchor, is_anti FROM {dim_anchor}",
+    # every anchor, and how many of its category's pages have it
+    "m05_anchors": "SELECT a.sigla, a.flavor, a.ord, a.min_match, a.place, a.anchor, a.is_anti, count(t.text) AS pages FROM {dim_anchor} AS a LEFT JOIN (SELECT sigla, raw AS text FROM {folded_covers}) AS t ON t.sigla = a.sigla AND contains(t.text, a.anchor) GROUP BY a.sigla, a.flavor, a.ord, a.min_match, a.place, a.anchor, a.is_anti",
     "a14_flavor_counts": "SELECT f.sigla, f.flavor, COALESCE(c.covers, 0) AS covers FROM (SELECT DISTINCT sigla, flavor FROM {dim_anchor}) AS f LEFT JOIN (SELECT sigla, owner, count(*) AS covers FROM {cover_pages} WHERE owner IS NOT NULL GROUP BY sigla, owner) AS c ON c.sigla = f.sigla AND c.owner = f.flavor",
     "t02_near_matches": "SELECT pdf, page, near AS near_flavor FROM {cover_pages} WHERE near IS NOT NULL",
     # categories that are scanned by anchors show three different ones, but none that says a page's number
     "t06_first_anchors": f"""
-        SELECT sigla, anchor, n AS place FROM (SELECT sigla, anchor, row_number() OVER (PARTITION BY sigla ORDER BY ord, place) AS n
+        SELECT c.hospital, c.sigla, r.anchor, r.n AS place FROM {{cells}} AS c JOIN (SELECT sigla, anchor, row_number() OVER (PARTITION BY sigla ORDER BY ord, place) AS n
           FROM (SELECT a.sigla, a.anchor, a.ord, a.place, row_number() OVER (PARTITION BY a.sigla, a.anchor ORDER BY a.ord, a.place) AS again FROM {{dim_anchor}} AS a JOIN {{dim_sigla}} AS s ON s.sigla = a.sigla AND s.strategy = 'anchors'
-            WHERE a.is_anti = 0 AND {" AND ".join(f"a.anchor NOT LIKE '{p}%'" for p in PAGE_ANCHORS)}) AS d WHERE again = 1) AS r WHERE n <= {MOST_SHOWN}""",
+            WHERE a.is_anti = 0 AND {" AND ".join(f"a.anchor NOT LIKE '{p}%'" for p in PAGE_ANCHORS)}) AS d WHERE again = 1) AS r ON r.sigla = c.sigla WHERE r.n <= {MOST_SHOWN}""",
     # a page that nearly matches, as a flavor to be added
     "f19_flavor_stub": """
         SELECT pdf, page, flavor, concat('# from file ', CAST(pdf AS STRING), ' p.', CAST(page AS STRING), ' (', flavor, ')\\nanchors: ', array_join(matched, ', '), '\\nmissing: ', array_join(missing, ', '), '\\nmin_match: ', CAST(greatest(3, size(matched)) AS STRING)) AS stub
@@ -123,7 +127,7 @@ TEXT = {
     # what a reader's result and its near matches look like in an event
     "p23_event_payload": """
         SELECT hospital, sigla, CAST(sum(COALESCE(per_file, 0)) AS BIGINT) AS ocr_count, CASE WHEN bool_or(pages = 0) THEN 'low' ELSE 'high' END AS confidence, count_if(pages = 0) AS errors, max(CASE WHEN method IS NULL THEN '' ELSE method END) AS method
-        FROM {file_counts} WHERE method <> 'filename_glob' GROUP BY hospital, sigla""",
+        FROM {file_counts} WHERE COALESCE(method, '') <> 'filename_glob' GROUP BY hospital, sigla""",
     "f04_digit_confusion": "SELECT pdf, page, translate(text, 'OolI|ZSB', '00111258') AS for_pages, translate(text, 'OoIilLzZ|tT''‘’`´', '0011112201111111') AS for_numbers FROM {page_text} WHERE text <> ''",
     "f06_token_hits": "SELECT id, token, sigla FROM (SELECT n.id, n.token, d.sigla FROM {name_tokens} AS n JOIN {dim_token} AS d ON d.token = n.token) AS t",
     "f11_slash_parse": "SELECT id, CAST(regexp_extract(t, '^([0-9]+)/([0-9]+)$', 1) AS INT) AS curr, CAST(regexp_extract(t, '^([0-9]+)/([0-9]+)$', 2) AS INT) AS total FROM (SELECT id, CAST(pages AS STRING) || '/' || CAST(pages + 2 AS STRING) AS t FROM {files}) AS f",
@@ -131,6 +135,14 @@ TEXT = {
 
 #: Texts for the oracle where they are not those of the operators.
 ORACLE = {
+    "a20_nearest_rank": "SELECT host, max(CASE WHEN n = 1 + CAST(bround(0.25 * (c - 1), 0) AS BIGINT) THEN pages END) AS p25, max(CASE WHEN n = 1 + CAST(bround(0.5 * (c - 1), 0) AS BIGINT) THEN pages END) AS median, max(CASE WHEN n = 1 + CAST(bround(0.75 * (c - 1), 0) AS BIGINT) THEN pages END) AS p75, min(pages) AS least, max(pages) AS most, count(*) AS n FROM (SELECT host, pages, row_number() OVER (PARTITION BY host ORDER BY pages) AS n, count(*) OVER (PARTITION BY host) AS c FROM {files} WHERE pages > 0) AS r GROUP BY host",
+    "a23_reader_metrics": """
+        SELECT host, count_if(curr = true_curr) / CAST(NULLIF(count(true_curr), 0) AS DOUBLE) AS exact, count(curr) / CAST(count(*) AS DOUBLE) AS parse_rate, avg(CASE WHEN ms > 0 THEN ms END) AS mean_ms, max(CASE WHEN n = 1 + CAST(floor(c * 0.95) AS BIGINT) THEN ms END) AS p95_ms
+        FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ms, pdf, page) AS n, count(*) OVER (PARTITION BY host) AS c FROM (SELECT pdf % 5 AS host, pdf, page, curr, CASE WHEN partkey % 4 > 0 THEN true_curr END AS true_curr, CAST(partkey % 1000 AS INT) AS ms FROM {page_reads}) AS q) AS r GROUP BY host""",
+    "m05_anchors": f"SELECT a.sigla, a.flavor, a.ord, a.min_match, a.place, a.anchor, a.is_anti, count(t.text) AS pages FROM {{dim_anchor}} AS a LEFT JOIN (SELECT sigla, {folded('', 'strip_accents(raw)')} AS text FROM {{cover_text}}) AS t ON t.sigla = a.sigla AND contains(t.text, a.anchor) GROUP BY ALL",
+    "j13_code_collisions": """
+        WITH u AS (SELECT DISTINCT hospital, host, unnest(string_split(translate(substr(lower(name), 1, length(name) - 4), '.-', '__'), '_')) AS token FROM {files} WHERE lower(name) LIKE '%.pdf')
+        SELECT a.hospital, a.token AS code, a.host AS a, b.host AS b FROM u AS a JOIN u AS b ON a.hospital = b.hospital AND a.token = b.token AND a.host < b.host WHERE length(a.token) > 3""",
     "a19_series": "SELECT hospital || '|' || sigla AS cell, string_agg(year || '-' || month || ':' || count, ' ' ORDER BY year, month, count) AS series FROM {history} GROUP BY hospital, sigla",
     "w25_eta": "SELECT event_id, done, CASE WHEN done = 0 OR done = total THEN NULL ELSE CAST(floor(elapsed / done * (total - done)) AS BIGINT) END AS eta FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS done, count(*) OVER (PARTITION BY user_id) AS total, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1000000.0::DOUBLE AS elapsed FROM {events}) AS p",
     "j08_anchor_hits": "SELECT pdf, page, sigla, flavor, unnest(matched) AS anchor FROM {raw_flavors}",

@@ -7,8 +7,8 @@ FILES = {
     "s21_month_range": "SELECT * FROM {history} WHERE year BETWEEN 1996 AND 1997 AND year * 12 + month BETWEEN 1996 * 12 + 11 AND 1997 * 12 + 3 ORDER BY year, month, hospital, sigla",
     "s10_two_tier_read": "SELECT pdf, page, COALESCE(CASE WHEN low_curr IS NOT NULL THEN low_curr END, high_curr) AS curr, CASE WHEN low_curr IS NOT NULL THEN 'direct' WHEN high_curr IS NOT NULL THEN 'super_resolution' ELSE 'failed' END AS method FROM (SELECT a.pdf, a.page, a.curr AS low_curr, b.curr AS high_curr FROM (SELECT * FROM {variant_reads} WHERE variant = 'raw') AS a JOIN (SELECT * FROM {variant_reads} WHERE variant = 'digits') AS b ON b.pdf = a.pdf AND b.page = a.page) AS t",
     "s26_page_slice": "SELECT pdf, page, curr, total FROM {page_reads} WHERE page - 1 >= 3 AND page - 1 < 9",
-    "p01_folder_text": "SELECT sigla, trim(regexp_replace(CAST(ord + 1 AS STRING) || ' .- ' || folder_text, '^[ ]*[0-9]+[ ]*[.][ ]*-?[ ]*', '')) AS text FROM {dim_sigla}",
-    "p02_folder_sigla": "SELECT d.text, min_by(s.sigla, s.ord) AS sigla FROM (SELECT folder_text || ' 0' AS text FROM {dim_sigla} UNION ALL SELECT folder_text || 'x' FROM {dim_sigla}) AS d LEFT JOIN {dim_sigla} AS s ON d.text = s.folder_text OR d.text LIKE s.folder_text || ' %' GROUP BY d.text",
+    "p01_folder_text": "SELECT id, hospital, trim(regexp_replace(name, '^[ ]*[0-9]+[ ]*[.][ ]*-?[ ]*', '')) AS text FROM {folder_names}",
+    "p02_folder_sigla": "SELECT d.id, d.text, min_by(s.sigla, s.ord) AS sigla FROM (SELECT id, trim(regexp_replace(name, '^[ ]*[0-9]+[ ]*[.][ ]*-?[ ]*', '')) AS text FROM {folder_names}) AS d LEFT JOIN {dim_sigla} AS s ON d.text = s.folder_text OR d.text LIKE s.folder_text || ' %' GROUP BY d.id, d.text",
     "p03_belongs_to_cell": "SELECT id, CASE WHEN host = 'chps' THEN lower(name) LIKE '%.pdf' ELSE COALESCE(sigla = host, false) END AS belongs FROM {file_sigla}",
     "p04_only_skip": "SELECT f.id, f.file FROM {file_counts} AS f WHERE f.hospital = 'HPV' AND NOT EXISTS (SELECT 1 FROM {file_counts} AS r WHERE r.id = f.id AND (r.method NOT IN ('', 'filename_glob') OR r.override IS NOT NULL))",
     "p05_skip_set": "SELECT DISTINCT hospital, sigla, file FROM (SELECT hospital, sigla, file FROM {file_counts} WHERE method IS NOT NULL AND method NOT IN ('', 'filename_glob') UNION ALL SELECT hospital, sigla, file FROM {file_counts} WHERE override IS NOT NULL) AS s",
@@ -59,7 +59,7 @@ CELLS = {
           FROM {cells} AS c JOIN {dim_sigla} AS s ON s.sigla = c.sigla AND s.count_type IN ('documents_workers', 'checks')
           LEFT JOIN {cell_files} AS f ON f.hospital = c.hospital AND f.sigla = c.sigla LEFT JOIN {marked_cells} AS m ON m.hospital = c.hospital AND m.sigla = c.sigla
           WHERE COALESCE(f.scanned, 0) > 0 OR COALESCE(c.user_override, c.ocr_count, c.filename_count, 0) > 0) AS w ON w.hospital = h.hospital GROUP BY h.hospital""",
-    "a31_session_dump": "SELECT hospital, sigla, count AS effective, workers FROM {cell_count}",
+    "a31_session_dump": "SELECT session_id, hospital, sigla, CAST(effective AS BIGINT) AS effective, CAST(workers AS BIGINT) AS workers FROM (SELECT '2026-04' AS session_id, hospital, sigla, count AS effective, workers FROM {cell_count} UNION ALL SELECT lpad(CAST(year AS STRING), 4, '0') || '-' || lpad(CAST(month AS STRING), 2, '0'), hospital, sigla, count, NULL FROM {history}) AS s",
     "p21_enriched_cells": """
         SELECT n.hospital, n.sigla, CASE WHEN n.count_type = 'documents_workers' THEN n.workers END AS worker_count, CASE WHEN n.count_type = 'checks' THEN n.workers END AS checks_count, COALESCE(o.n, 0) AS open_suspects, COALESCE(o.counted, 0) AS counted_suspects, o.first_id
         FROM {cell_count} AS n LEFT JOIN (SELECT hospital, sigla, count(*) AS n, count_if(counted) AS counted, min(suspect_id) AS first_id FROM {open_suspects} GROUP BY hospital, sigla) AS o ON o.hospital = n.hospital AND o.sigla = n.sigla""",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..plans.anchors import folded
 from ..plans.relations import values
 
 _STRICT = "SELECT pdf, page, CASE WHEN partkey % 13 = 1 THEN replace(replace(text, ' 1 ', ' l '), '2', 'Z') ELSE text END AS text FROM (SELECT t.pdf, t.page, t.text, r.partkey FROM {page_text} AS t JOIN {page_reads} AS r ON t.pdf = r.pdf AND t.page = r.page) AS p"
@@ -34,6 +35,12 @@ def f14_number_words(s) -> DataFrame:
     return fn.number_words(s.sql(_SPOKEN), "id", "text")
 
 
+def f05_normalise_text(s) -> DataFrame:
+    """Texts in small letters without accents (all that Unicode decomposes), separators and white space as single blanks."""
+    rows = fn.normalised(s["documents"].filter("text is not null").select("doc_id", "text"))
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
+
+
 def f15_arithmetic(s) -> DataFrame:
     return s.sql(_SUMS).select("id", "text", fn.arithmetic("text").alias("value"))
 
@@ -60,8 +67,9 @@ def _reply_sql() -> str:
 
 
 SQL: dict[str, str] = {
+    "f05_normalise_text": f"SELECT doc_id, md5(text) AS text_md5, length(text) AS n FROM (SELECT doc_id, {folded('', 'strip_accents(text)')} AS text FROM {{documents}} WHERE text IS NOT NULL) AS d",
     "f03_strict_parse": _strict_sql(),
     "f10_reader_reply": _reply_sql(),
     "f14_number_words": f"SELECT id, CASE WHEN v <= 999 THEN CAST(v AS INT) END AS value FROM (SELECT id, CASE WHEN digits <> '' THEN try_cast(digits AS BIGINT) ELSE n END AS v FROM (SELECT id, digits, sum(w.n) AS n FROM (SELECT id, regexp_extract(norm, '[0-9]+', 0) AS digits, unnest(regexp_split_to_array(norm, '[ -]+')) AS token FROM (SELECT id, trim(strip_accents(lower(text))) AS norm FROM ({_SPOKEN}) AS x) AS y) AS z LEFT JOIN ({values(list(fn.NUMBER_WORDS.items()), 'token, n')}) AS w ON w.token = z.token GROUP BY id, digits) AS q) AS r",
 }
-OPERATORS: dict[str, Callable] = {f.__name__: f for f in (f03_strict_parse, f10_reader_reply, f14_number_words, f15_arithmetic)}
+OPERATORS: dict[str, Callable] = {f.__name__: f for f in (f03_strict_parse, f05_normalise_text, f10_reader_reply, f14_number_words, f15_arithmetic)}

@@ -39,7 +39,6 @@ SEQUENCES = {
             FROM (SELECT *, count(total) OVER (PARTITION BY pdf, total) AS n, min(page) OVER (PARTITION BY pdf, total) AS first_page FROM {page_reads}) AS a) AS w) AS x""",
     "t04_reader_rank": "SELECT sigla, exact, found, row_number() OVER (ORDER BY exact DESC, found DESC, latency, sigla) AS place FROM (SELECT sigla, count_if(per_file = pages) AS exact, count(per_file) AS found, CAST(sum(pages) AS BIGINT) AS latency FROM {file_counts} GROUP BY sigla) AS s",
     "t07_seeded_sample": "SELECT id, name FROM {files} ORDER BY md5(CAST(id AS STRING) || ':42'), id LIMIT 50",
-    "t08_sampled_configs": "SELECT config, (instr('0123456789abcdef', substr(h, 1, 1)) - 1) % 3 AS dpi, (instr('0123456789abcdef', substr(h, 2, 1)) - 1) % 4 AS scale, (instr('0123456789abcdef', substr(h, 3, 1)) - 1) % 2 AS deskew FROM (SELECT p_partkey AS config, md5(CAST(p_partkey AS STRING) || ':42') AS h FROM {part}) AS c",
     "u05_document_pages": "SELECT pdf, doc, count(*) AS found_total, CAST(min(page) AS INT) AS first_page, CAST(max(page) AS INT) AS last_page, count_if(status = 'recovered') AS inferred FROM {segmented} WHERE doc > 0 GROUP BY pdf, doc",
 }
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,6 +88,9 @@ def counts(text: str) -> str:
 _COUNT_OWNS = "x -> x.matched >= x.min_match AND x.anti_hits = 0"
 _COUNT_NEARLY = "x -> x.matched = x.min_match - 1 AND x.min_match > 1 AND x.anti_hits = 0"
 
+#: Techniques of preparing a page, in the order in which they are used.
+TECHNIQUES = ("spaced", "digits", "narrow")
+
 #: Parts of a site, and what a cell's files are named after: the host category of a file, and a foreign one.
 SITE_PARTS = 40
 _HOSTS = ("odi", "irl", "art", "ext", "chps", "maquinaria", "charla", "dif_pts")
@@ -123,6 +127,11 @@ RELATIONS = {
             || '_' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 23 = 0 THEN '.txt' WHEN p_partkey % 5 = 1 THEN '.PDF' ELSE '.pdf' END AS name,
           CASE WHEN p_partkey % 31 = 0 THEN 0 ELSE 1 + p_size % 9 END AS pages, 'sub' || CAST(p_partkey % 6 AS STRING) AS folder
         FROM (SELECT *, CAST(floor(p_partkey / {SITE_PARTS}) AS INT) AS k, {_pick("p_partkey % 8", _HOSTS)} AS host, {_pick("p_partkey % 8", _OTHERS)} AS other FROM {{part}}) AS p""",
+    # how people name a category's folder: with an index, a month's number, in passing, or wrongly
+    "folder_names": """
+        SELECT f.id, f.hospital, d.sigla, CASE f.id % 6 WHEN 0 THEN CAST(1 + d.ord AS STRING) || ' .- ' || d.folder_text WHEN 1 THEN '0' || CAST(1 + d.ord % 9 AS STRING) || '.' || d.folder_text || ' ' || CAST(f.id % 31 AS STRING)
+          WHEN 2 THEN d.folder_text WHEN 3 THEN d.folder_text || 'x' WHEN 4 THEN '  7.-   ' || d.folder_text || '  ' ELSE d.folder_text || ' ' || f.folder END AS name
+        FROM {files} AS f JOIN {dim_sigla} AS d ON d.ord = f.id % 20""",
     "files_dup": "SELECT * FROM {files} UNION ALL SELECT id, host, hospital, name, pages, 'copy' AS folder FROM {files} WHERE id % 29 = 0",
     # a token counts between separators only; the earliest wins, of equals the longest, then the category's order
     "dim_token": values([(s, i, s) for i, (s, *_) in enumerate(SIGLAS)] + [("chps", 19, "cphs"), ("revdocmaq", 12, "revision[_.-]+documentacion")], "sigla, ord, token"),
@@ -233,11 +242,14 @@ RELATIONS = {
     # new counts for a page's mark: none takes the mark away
     "mark_patches": "SELECT DISTINCT hospital, sigla, file, page, CAST((page * 5 + length(file)) % 4 AS INT) AS count FROM {present_marks} WHERE id % 7 = 0",
     # pages' texts after different preparations, read by the plain pattern; and by other patterns, the last by two in turn
+    # every way to prepare a page's text by three techniques: separators mended, digits mended, blanks left out
+    "dim_variant": values([("+".join(n for n, on in zip(TECHNIQUES, x, strict=True) if on) or "raw", *x) for x in product((0, 1), repeat=3)], "variant, spaced, digits, narrow"),
     "variant_reads": f"""
         SELECT pdf, page, variant, true_curr, CASE WHEN curr > 0 AND curr <= total THEN curr END AS curr, CASE WHEN curr > 0 AND curr <= total THEN total END AS total
         FROM (SELECT pdf, page, variant, true_curr, CAST(NULLIF(regexp_extract(x, '{_OF}', 1), '') AS INT) AS curr, CAST(NULLIF(regexp_extract(x, '{_OF}', 2), '') AS INT) AS total
-          FROM (SELECT t.pdf, t.page, v.variant, t.true_curr, CASE v.variant WHEN 'raw' THEN text WHEN 'digits' THEN translate(text, 'OolI|ZSB', '00111258') WHEN 'narrow' THEN replace(text, ' ', '') ELSE replace(translate(text, 'OolI|ZSB', '00111258'), ' ', '') END AS x
-            FROM {{noted_text}} AS t CROSS JOIN (VALUES ('raw'), ('digits'), ('narrow'), ('both')) AS v(variant)) AS y) AS z""",
+          FROM (SELECT pdf, page, variant, true_curr, CASE WHEN narrow = 1 THEN replace(z, ' ', '') ELSE z END AS x
+            FROM (SELECT pdf, page, variant, true_curr, narrow, CASE WHEN digits = 1 THEN translate(w, 'OolI|ZSB', '00111258') ELSE w END AS z
+              FROM (SELECT t.pdf, t.page, t.true_curr, v.variant, v.digits, v.narrow, CASE WHEN v.spaced = 1 THEN replace(t.text, ' d e ', ' de ') ELSE t.text END AS w FROM {{noted_text}} AS t CROSS JOIN {{dim_variant}} AS v) AS a) AS b) AS c) AS d""",
     "noted_text": """
         SELECT t.pdf, t.page, r.true_curr, r.period, CASE r.partkey % 7 WHEN 0 THEN replace(t.text, ' de ', ' d e ') WHEN 1 THEN 'hoja 2 de 9 ' || t.text ELSE t.text END AS text FROM {page_text} AS t JOIN {page_reads} AS r ON r.pdf = t.pdf AND r.page = t.page""",
     "pattern_reads": f"""
@@ -247,11 +259,14 @@ RELATIONS = {
     "variant_gains": """
         SELECT v.variant, count_if(b.curr IS NULL AND v.curr = v.true_curr) - 3 * count_if(b.curr = b.true_curr AND COALESCE(v.curr <> v.true_curr, true)) AS net_gain
         FROM {variant_reads} AS v JOIN (SELECT * FROM {variant_reads} WHERE variant = 'raw') AS b ON b.pdf = v.pdf AND b.page = v.page GROUP BY v.variant""",
-    "technique_gains": "SELECT t.phase, t.label, COALESCE(g.net_gain, 0) AS net_gain FROM (VALUES ('digits', 'off', 'raw'), ('digits', 'on', 'digits'), ('narrow', 'off', 'raw'), ('narrow', 'on', 'narrow')) AS t(phase, label, variant) LEFT JOIN {variant_gains} AS g ON g.variant = t.variant",
-    # combinations of the techniques that gain by themselves, if there are two at least; all off is left out
+    "technique_gains": "SELECT t.phase, t.label, COALESCE(g.net_gain, 0) AS net_gain FROM (" + values([(t, label, t if label == "on" else "raw") for t in TECHNIQUES for label in ("off", "on")], "phase, label, variant") + ") AS t LEFT JOIN {variant_gains} AS g ON g.variant = t.variant",
+    # a grid over the techniques that gain by themselves, if there are two at least; all off is left out
     "combo_gains": """
-        SELECT g.variant AS label, g.net_gain FROM {variant_gains} AS g WHERE g.variant <> 'raw' AND 2 = (SELECT count(*) FROM {technique_gains} WHERE label = 'on' AND net_gain > 0)""",
-    # every hundredth of the pages that the plain preparation fails on, in a fixed order
+        SELECT d.variant AS label, COALESCE(g.net_gain, 0) AS net_gain FROM (SELECT v.variant, v.spaced + v.digits + v.narrow AS used, count(w.phase) AS winning, max(w.all_winners) AS all_winners
+            FROM {dim_variant} AS v CROSS JOIN (SELECT phase, net_gain, count_if(net_gain > 0) OVER (PARTITION BY 1) AS all_winners FROM {technique_gains} WHERE label = 'on') AS g
+            LEFT JOIN (SELECT phase, count(*) OVER (PARTITION BY 1) AS all_winners FROM {technique_gains} WHERE label = 'on' AND net_gain > 0) AS w ON w.phase = g.phase AND contains('+' || v.variant || '+', '+' || w.phase || '+') GROUP BY v.variant, v.spaced, v.digits, v.narrow) AS d
+        LEFT JOIN {variant_gains} AS g ON g.variant = d.variant WHERE d.used > 0 AND d.winning = d.used AND d.all_winners >= 2""",
+    # every tenth of the pages that the plain preparation fails on, in a fixed order
     "screen_pages": "SELECT pdf, page FROM {variant_reads} WHERE variant = 'raw' AND curr IS NULL AND (pdf * 31 + page) % 10 = 0",
     "true_counts": "SELECT pdf, count_if(true_curr = 1) AS documents, count_if(method = 'failed') AS failed, count_if(true_curr = period) AS complete FROM {page_reads} GROUP BY pdf",
     # a file's documents by the reads alone, and after the cycle fill
@@ -278,7 +293,6 @@ RELATIONS = {
           FROM (SELECT pdf, page, sigla, raw, CASE WHEN NOT exists(raw, {_COUNT_OWNS}) THEN {counts("cleaned")} END AS cleaned
             FROM (SELECT t.pdf, t.page, t.sigla, f.flavors, {counts("t.raw")} AS raw, t.cleaned FROM {{folded_covers}} AS t JOIN {{dim_flavors}} AS f ON f.sigla = t.sigla) AS m) AS n) AS c""",
     "raw_flavors": "SELECT pdf, page, sigla, inline(raw) FROM {cover_matches}",
-    "folded_documents": f"SELECT doc_id, {anchors.folded('text')} AS text FROM {{documents}} WHERE text IS NOT NULL",
     "history": f"""
         SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, {site("k")} AS hospital, o_orderpriority AS sigla, count(*) AS count
         FROM (SELECT *, CAST(floor(o_custkey / 300) AS INT) AS k FROM {{orders}}) AS o GROUP BY 1, 2, 3, 4""",
@@ -305,7 +319,6 @@ RELATIONS = {
 
 #: Other texts of relations for the oracle: where a form suits Spark only, or to check it by a plainer one.
 ORACLE = {
-    "folded_documents": f"SELECT doc_id, {anchors.folded('', 'strip_accents(text)')} AS text FROM {{documents}} WHERE text IS NOT NULL",
     # every page with every flavor of its category and every anchor
     "raw_flavors": f"""
         SELECT t.pdf, t.page, t.sigla, a.flavor, a.ord, a.min_match, list(a.anchor ORDER BY a.place) FILTER (a.is_anti = 0 AND contains(t.text, a.anchor)) AS matched, list(a.anchor ORDER BY a.place) FILTER (a.is_anti = 0 AND NOT contains(t.text, a.anchor)) AS missing, count_if(a.is_anti = 1 AND contains(t.text, a.anchor)) AS anti_hits
