@@ -8,10 +8,10 @@ the stack is what a batch leaves open to the next.) Counts of a phrase's parts a
 
 Three things keep the shuffle small and even, and none changes a count:
 
-* Words are counted first, then pairs (as suffixes of two words), then the rest. A word or pair under the least count is
-  in no candidate, so pieces are cut there, and what is counted already is not sent again. Tasks know the frequent words
-  and pairs by one bit each of a map of FILTER_BITS, so what is broadcast has a fixed size; words or pairs that share a
-  bit by chance only send more suffixes.
+* Words are counted first, and the hashes of pairs of frequent words. A word or pair under the least count is in no
+  candidate, so pieces are cut there, and suffixes of one word are not sent. Tasks know the frequent words and pairs by
+  one bit each of a map of FILTER_BITS, so what is broadcast has a fixed size; words or pairs that share a hash or a bit
+  by chance only send more suffixes.
 * Equal suffixes of a task travel once, with their number.
 * A beginning of one to `longest` - 1 words that more suffixes have than a SLICE-th of a partition, judged by every
   SOME-th section of text, is hot; there are at most SLICE a partition of each length. Suffixes are dealt by their
@@ -31,7 +31,6 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +48,15 @@ SLICE = 4
 SOME = 32
 #: Words are counted, and remembered, in a task's memory up to so many before they are passed on; suffixes likewise.
 HELD = 200_000
-HELD_SUFFIXES = 500_000
+HELD_SUFFIXES = 2_000_000
 #: Of a text, cut at the next break.
 AT_ONCE = 1 << 20
 BREAKS = re.compile(rb"[.,;:!?\n-\r]")
+_TO_BREAK = bytes(0 if BREAKS.match(bytes([i])) else i for i in range(256))
+BREAK = b"\0"
 #: n_words 0: a word, counted; 1 and more: a beginning, counted in some sections (the empty one: all words of these).
 COUNTS = schema("lang string, n_words int, word binary, n bigint")
+PAIRS = schema("pair bigint, n bigint")
 SUFFIXES = schema("lang string, dealt bigint, hot int, suffix binary, n bigint")
 PHRASES = schema("lang string, phrase binary, n_words int, n bigint, whole boolean")
 
@@ -89,6 +91,11 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
                 yield words
 
 
+def tokens(section: bytes) -> list[bytes]:
+    """All words of a section, with a BREAK wherever a piece ends."""
+    return _coded(section.lower()).translate(_TO_BREAK).replace(BREAK, b" \0 ").split()
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     for b in batches:
         lang, text = b.columns
@@ -102,6 +109,8 @@ def _words(longest: int, slices: int):
 
     def counted(held: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
         for (lang, n_words), own in held.items():
+            if not n_words:
+                del own[BREAK]
             least = max(2, held[lang, 1][b""] / (4 * slices)) if n_words else 0
             items = [(w, n) for w, n in own.items() if n >= least or not w]
             for s in range(0, len(items), 10_000):
@@ -114,9 +123,9 @@ def _words(longest: int, slices: int):
         sections = 0
         for lang, text in _texts(batches):
             for section in _sections(text):
-                found = list(pieces(section))
-                held[lang, 0].update(chain.from_iterable(found))
+                held[lang, 0].update(tokens(section))
                 if sections % SOME == 0:
+                    found = list(pieces(section))
                     held[lang, 1][b""] += sum(map(len, found))
                     for k in range(1, longest):
                         held[lang, k].update(b"\0".join(words[i : i + k]) for words in found for i in range(len(words) - k + 1))
@@ -137,11 +146,14 @@ def _bit(lang: str, word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word, _seed(lang)) % FILTER_BITS
 
 
-def _pair_bits(seed: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The bits of pairs of words, given by their language's seed and their hashes."""
-    x = first * np.uint64(0x9E3779B97F4A7C15) + second + seed
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(32)).astype(np.int64) % FILTER_BITS
+def _pairs(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of words, given by their own hashes."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second + np.uint64(_seed(lang))
+    return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _pair_bits(pairs: np.ndarray) -> np.ndarray:
+    return (pairs >> np.uint64(32)).astype(np.int64) % FILTER_BITS
 
 
 def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -149,13 +161,13 @@ def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bits of frequent words or pairs, as those 64-bit parts of the map that are not 0: place, bits."""
+    """The bits of frequent words (lang, word) or pairs (hash), as those 64-bit parts of the map that are not 0."""
     own = np.zeros(FILTER_BITS // 64, np.uint64)
     for b in batches:
-        phrases = list(zip(b.column(0).to_pylist(), (p.split(b"\0") for p in b.column(1).to_pylist()), strict=True))
-        at = [_bit(lang, words[0]) for lang, words in phrases if len(words) == 1]
-        seeds, *pair = (np.array(x, np.uint64) for x in zip(*((_seed(lang), *map(xxhash.xxh3_64_intdigest, words)) for lang, words in phrases if len(words) == 2), strict=True)) if len(at) < len(phrases) else ([], [], [])
-        at = np.concatenate([np.array(at, np.int64), _pair_bits(seeds, *pair) if len(seeds) else np.empty(0, np.int64)])
+        if b.num_columns == 1:
+            at = _pair_bits(b.column(0).to_numpy().view(np.uint64))
+        else:
+            at = np.array([_bit(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], np.int64)
         np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
     at = np.flatnonzero(own)
     for s in range(0, len(at), 65536):
@@ -163,7 +175,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bit_map(phrases: DataFrame) -> np.ndarray:
-    """The map of all given words or pairs (lang, phrase)."""
+    """The map of all given words (lang, word) or pairs (hash)."""
     own = np.zeros(FILTER_BITS // 64, np.uint64)
     for r in phrases.mapInArrow(_bits, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # at most FILTER_BITS / 64
         own[r.at] = r.bits & (1 << 64) - 1
@@ -176,11 +188,12 @@ class _Codes(dict):
     def __init__(self, lang: str, frequent: np.ndarray, hot: list[tuple[bytes, ...]]):
         """hot: hot beginnings, by length."""
         self.lang, self.frequent, self.words, self.hashes = lang, frequent, [b""], [0]
+        self[BREAK] = 0
         #: Of each length of hot beginnings: the one without its last word (by its place, from 1) and that word, in order.
         self.levels: list[np.ndarray] = []
         places: dict[tuple[bytes, ...], int] = {(): 0}
         for k in range(1, max(map(len, hot), default=0) + 1):
-            own = sorted((places[h[:-1]] << 32 | self.code(h[-1]), h) for h in hot if len(h) == k and h[:-1] in places)
+            own = sorted((places[h[:-1]] << 32 | (self.get(h[-1]) or self.code(h[-1])), h) for h in hot if len(h) == k and h[:-1] in places)
             places |= {h: i + 1 for i, (_, h) in enumerate(own)}
             self.levels.append(np.array([x for x, _ in own], np.int64))
 
@@ -198,16 +211,27 @@ class _Codes(dict):
         return 0
 
 
-def _sent(codes: _Codes, sections: list[np.ndarray], longest: int, pairs: np.ndarray | None, shape: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The different suffixes of two frequent words of some sections, or, if the frequent pairs are given, of three words
-    and more, all of whose pairs are frequent: with their numbers, and where they go."""
-    x = np.concatenate([*sections, np.zeros(longest, np.int32)])
-    words, hashes = pa.array(codes.words, pa.binary()), np.array(codes.hashes, np.uint64)
-    linked = (x[:-1] > 0) & (x[1:] > 0)
-    if pairs is not None:
-        both = np.flatnonzero(linked)
-        linked[both] = _is_set(pairs, _pair_bits(np.uint64(_seed(codes.lang)), hashes[x[both]], hashes[x[both + 1]]))
-    at = np.flatnonzero(linked if pairs is None else linked[:-1] & linked[1:])
+def _linked(codes: _Codes, sections: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of some sections as numbers, the words' hashes, where two frequent words stand together, and their hashes."""
+    x, hashes = np.concatenate([*sections, np.zeros(longest, np.int32)]), np.array(codes.hashes, np.uint64)
+    at = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
+    return x, hashes, at, _pairs(codes.lang, hashes[x[at]], hashes[x[at + 1]])
+
+
+def _counted_pairs(codes: _Codes, sections: list[np.ndarray], longest: int, shape: pa.Schema, pairs: None) -> Iterator[pa.RecordBatch]:
+    """The different pairs of frequent words of some sections, with their numbers."""
+    found, n = np.unique(_linked(codes, sections, longest)[3], return_counts=True)
+    for s in range(0, len(n), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(found[s : s + 65536].view(np.int64)), pa.array(n[s : s + 65536], pa.int64())], schema=shape)
+
+
+def _sent(codes: _Codes, sections: list[np.ndarray], longest: int, shape: pa.Schema, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The different suffixes of two words and more of some sections, all of whose words and pairs are frequent: with
+    their numbers, and where they go."""
+    x, hashes, both, found = _linked(codes, sections, longest)
+    words, linked = pa.array(codes.words, pa.binary()), np.zeros(len(x), bool)
+    linked[both] = _is_set(pairs, _pair_bits(found))
+    at = np.flatnonzero(linked)
     if not len(at):
         return
     columns = [x[at], x[at + 1]]
@@ -231,16 +255,17 @@ def _sent(codes: _Codes, sections: list[np.ndarray], longest: int, pairs: np.nda
         yield pa.RecordBatch.from_arrays([pa.array([codes.lang] * len(suffix)), pa.array(key[s:end].view(np.int64)), pa.array(hot[s:end], pa.int32()), suffix, pa.array(n[s:end], pa.int64())], schema=shape)
 
 
-def _suffixes(frequent, hot, longest: int, pairs=None):
-    shape = arrow_schema(SUFFIXES)
+def _from_sections(frequent, hot, longest: int, kind: T.StructType, made, pairs=None):
+    """made(codes, sections, longest, shape, pairs) of many sections of a language at once."""
+    shape = arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Codes] = {}
         held: dict[str, list[np.ndarray]] = {}
 
-        def sent() -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
             for lang, sections in held.items():
-                yield from _sent(known[lang], sections, longest, pairs and pairs.value, shape)
+                yield from made(known[lang], sections, longest, shape, pairs and pairs.value)
                 if len(known[lang]) > HELD:
                     del known[lang]
             held.clear()
@@ -249,24 +274,22 @@ def _suffixes(frequent, hot, longest: int, pairs=None):
         for lang, text in _texts(batches):
             for section in _sections(text):
                 if lang not in known:
-                    known[lang] = _Codes(lang, frequent.value, [h for h in hot.value.get(lang, []) if len(h) < longest])
-                of, found = known[lang], []
-                for words in pieces(section):
-                    found += [of[w] for w in words]
-                    found.append(0)
-                held.setdefault(lang, []).append(np.array(found, np.int32))
+                    known[lang] = _Codes(lang, frequent.value, hot.value.get(lang, []))
+                found = tokens(section)
+                held.setdefault(lang, []).append(np.fromiter(map(known[lang].__getitem__, found), np.int32, len(found)))
+                held[lang].append(np.zeros(1, np.int32))
                 size += len(found)
                 if size > HELD_SUFFIXES:
-                    yield from sent()
+                    yield from out()
                     size = 0
-        yield from sent()
+        yield from out()
         release()
 
     return run
 
 
-def _count(least: int, longest: int, shortest: int):
-    """Counts of all prefixes of `shortest` words or more, from suffixes in reverse order within a language."""
+def _count(least: int, longest: int):
+    """Counts of all prefixes of two words or more, from suffixes in reverse order within a language."""
     shape = arrow_schema(PHRASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +302,7 @@ def _count(least: int, longest: int, shortest: int):
 
         def pop(to: int) -> None:
             while len(stack) > to:
-                if len(stack) >= shortest:
+                if len(stack) > 1:
                     closed(stack, len(stack), counts[-1], hot)
                 stack.pop()
                 counts.pop()
@@ -316,7 +339,7 @@ def _count(least: int, longest: int, shortest: int):
                     if k <= len(last):
                         opened.append(int(sums[-1]))
                         starts, sums = starts[:-1], sums[:-1]
-                    if k >= shortest:
+                    if k > 1:
                         for i in np.flatnonzero((sums >= least) | (depth_hot[starts] >= k)).tolist():
                             closed(spelled(starts[i]), k, int(sums[i]), int(depth_hot[starts[i]]))
                 stack, counts, hot = last, opened, int(depth_hot[-1])
@@ -346,22 +369,15 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang: str
     hot: dict[str, list[tuple[bytes, ...]]] = {}
     for r in begun.filter("length(word) > 0 and n >= 32").filter(F.col("n") * slices >= total).select("lang", "word").collect():  # at most `slices` of each length
         hot.setdefault(r.lang, []).append(tuple(bytes(r.word).split(b"\0")))
-    frequent, hot = bound(spark, _bit_map(common.select("lang", F.col("word").alias("phrase")))), bound(spark, hot)
-
-    def counted(most: int, shortest: int, pairs=None) -> DataFrame:
-        suffixes = rows.mapInArrow(_suffixes(frequent, hot, most, pairs), SUFFIXES)
-        dealt = suffixes.repartition(n_parts(spark), "dealt").sortWithinPartitions("lang", F.desc("suffix"))
-        found = staged(dealt.mapInArrow(_count(least, most, shortest), PHRASES), "prefix-counts")
-        summed = found.filter("not whole").groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        return found.filter("whole").drop("whole").unionByName(summed)
-
+    frequent, hot = bound(spark, _bit_map(common.select("lang", "word"))), bound(spark, hot)
+    pairs = rows.mapInArrow(_from_sections(frequent, hot, longest, PAIRS, _counted_pairs), PAIRS).groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = bound(spark, _bit_map(pairs.filter(F.col("n") >= least).select("pair")))
+    suffixes = rows.mapInArrow(_from_sections(frequent, hot, longest, SUFFIXES, _sent, pairs), SUFFIXES)
+    dealt = suffixes.repartition(n_parts(spark), "dealt").sortWithinPartitions("lang", F.desc("suffix"))
+    counted = staged(dealt.mapInArrow(_count(least, longest), PHRASES), "prefix-counts")
+    summed = counted.filter("not whole").groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     phrases = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "n")
-    if longest > 1:
-        pairs = counted(2, 2)
-        phrases = phrases.unionByName(pairs)
-    if longest > 2:
-        phrases = phrases.unionByName(counted(longest, 3, bound(spark, _bit_map(pairs.select("lang", "phrase")))))
-    return staged(phrases, "phrases"), sizes
+    return staged(phrases.unionByName(counted.filter("whole").drop("whole")).unionByName(summed), "phrases"), sizes
 
 
 CUTS = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("first", T.BinaryType()), T.StructField("rest", T.BinaryType())]))
