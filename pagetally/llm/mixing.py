@@ -2,7 +2,7 @@
 
 A document's size is its number of words. Sources, by code point with null last, have weights in turn; they
 share `total` times all words by weight, none beyond `most` times its own size (what is over is shared again
-by weight among the rest: water-filling, solved in closed form over the sources).
+by weight among the rest: water-filling, solved in closed form from prefix sums over the sources, in ranges).
 
 A source's target is met by complete epochs (every document once each) and then a fractional one: documents
 get the key -ln(u) / w, u from a hash of the id and w their quality weight, and are taken in the order of
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import n_parts, staged
 
 BINS = 4096
 WEIGHTS = (5, 2, 1)
@@ -36,21 +36,32 @@ def draw(id: Column, text: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(seed), name)), 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
 
 
+def with_sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with `place` (from 1) in an order that has no ties, and of each given column the sum over all rows before.
+    Ranges of the order are tasks; only a row a range, with its sums, meets in one."""
+    n = n_parts(rows.sparkSession)
+    ranges = staged(rows.withColumns(sums).repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    whole = ranges.groupBy("range").agg(F.count("*").alias("place"), *[F.sum(c).alias(c) for c in sums])
+    lower = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # n rows at most
+    whole = staged(whole.select("range", *[F.coalesce(F.sum(c).over(lower), F.lit(0)).alias(f"lower_{c}") for c in ("place", *sums)]), "range-sums")
+    own = Window.partitionBy("range").orderBy(*order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    place = (F.col("lower_place") + F.row_number().over(own)).alias("place")
+    return ranges.join(whole, "range").select(*rows.columns, place, *[(F.col(f"lower_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(c) for c in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, target from one row per source (source, source_size)."""
-    by_name = Window.partitionBy(F.lit(1)).orderBy(F.col("source").isNull(), "source")
-    turn = (F.row_number().over(by_name) - 1).alias("turn")
-    rows = sizes.select("source", F.col("source_size").cast("double").alias("size"), turn)
+    """source, source_size, target from one row per source (source, source_size). However many sources there are, they
+    are ranked and summed by ranges; the driver sees their sums only."""
+    rows = with_sums_before(sizes, [F.col("source").isNull(), F.col("source")], {})
+    rows = rows.select("source", F.col("source_size").cast("double").alias("size"), (F.col("place") - 1).alias("turn"))
     rows = rows.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int")))
-    rows = rows.withColumn("cap", F.col("size") * most).withColumn("level", F.col("cap") / F.col("w"))
-    rising = Window.partitionBy(F.lit(1)).orderBy("level", "turn")
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(1))
-    left = F.sum("size").over(every) * total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    share = left / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    rows = rows.withColumn("share", share).withColumn("place", F.row_number().over(rising))
-    first = F.min(F.when(F.col("share") <= F.col("level"), F.struct("place", "share"))).over(every)["share"]
-    return rows.select("source", F.col("size").cast("bigint").alias("source_size"), F.coalesce(F.least(F.col("cap"), first * F.col("w")), F.col("cap")).alias("target"))
+    rows = staged(rows.withColumn("cap", F.col("size") * most).withColumn("level", F.col("cap") / F.col("w")), "sources")
+    size, w = rows.agg(F.coalesce(F.sum("size"), F.lit(0.0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    rising = with_sums_before(rows, [F.col("level"), F.col("turn")], {"caps": F.col("cap"), "ws": F.col("w")})
+    share = (F.lit(size) * total - F.col("caps")) / (F.lit(w) - F.col("ws"))
+    first = rising.select("place", "level", share.alias("share")).filter("share <= level").agg(F.min(F.struct("place", "share"))["share"]).first()[0]
+    return rows.select("source", F.col("size").cast("bigint").alias("source_size"), (F.col("cap") if first is None else F.least(F.col("cap"), F.lit(first) * F.col("w"))).alias("target"))
 
 
 def quality_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
@@ -65,7 +76,7 @@ def mix_documents(df: DataFrame, quality: DataFrame, id: str = "doc_id", text: s
     rows = rows.withColumn("key", -F.log("u") / F.coalesce("weight", F.lit(1.0))).drop("u", "weight")
     rows = staged(rows.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(BINS * (1 - F.exp(-F.col("key")))).cast("int"))), "mix-rows")
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most)
+    targets = source_targets(staged(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes"), weights, total, most)
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
     at = bins.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "b.bin", "bin_start", "source_size", "target")
