@@ -196,6 +196,18 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+JOINED = schema("path string, record bigint, bytes binary")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from their sorted pieces; one record is held at a time, and no other form of it than its bytes."""
+    out = arrow_schema(JOINED)
+    for (path, record), own in runs(batches, ["path", "record"]):
+        whole = b"".join(x.as_buffer() for b in own for x in b.column(3))
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([record], pa.int64()), pa.array([whole], pa.binary())], schema=out)
+    release()
+
+
 def read_archives(spark: SparkSession, path: str, most_splits: int = MOST_SPLITS, damaged: str = "error") -> DataFrame:
     """One row per record, with its payload (null for revisits). damaged: "error", or "skip" what follows damage."""
     raw = spark.read.option("lineSep", MAGIC.decode()).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
@@ -207,8 +219,8 @@ def read_archives(spark: SparkSession, path: str, most_splits: int = MOST_SPLITS
         rows = rows.repartition("path", "block").sortWithinPartitions("path", "block", "at")
     taken = rows.mapInArrow(_pieces, PIECES)
     whole = taken.filter("whole").select("path", "record", "bytes")
-    parts = taken.filter("not whole").groupBy("path", "record").agg(F.sort_array(F.collect_list(F.struct("piece", "bytes"))).alias("p"))
-    parts = parts.select("path", "record", F.expr("unhex(array_join(transform(p, x -> hex(x.bytes)), ''))").alias("bytes"))
+    parts = taken.filter("not whole").select("path", "record", "piece", "bytes").repartition("path", "record").sortWithinPartitions("path", "record", "piece")
+    parts = parts.mapInArrow(_joined, JOINED)
     return whole.unionByName(parts).mapInArrow(_parsed, RECORDS)
 
 
