@@ -7,7 +7,9 @@ log P(language | all) = log prior of the host + text likelihood + declared langu
   and text, and LEAST_DRAWN or all it has at least). Every label in the whole input, in small letters, is a language;
   the model takes 8 bytes a language and bigram seen.
   Bigrams are not independent, so the likelihood is tempered to the power TEMPER.
-* Declared language and address suffix: right with probability TRUST and SUFFIX_TRUST, else any other.
+* Declared language and address: right with probability TRUST and SUFFIX_TRUST, else any other. An address names a
+  language by its first path segment of two letters (a language's code), or else by its domain's country, whose
+  languages share what is said by COUNTRIES.
 * Host prior: by grouped aggregation over all rows, counts of (host, language) by text alone, smoothed
   towards the host's parent domain, that towards all hosts (KAPPA pseudo-counts at each level).
 
@@ -45,8 +47,18 @@ MARGIN = 1.5
 AGREED_MARGIN = 4.5
 DEVIATIONS = 3.0
 MIN_POSTERIOR = 0.5
-#: Address suffixes and path segments whose name is not the language's own.
-SUFFIX_LANGUAGE = {"at": "de", "mx": "es", "ar": "es", "uk": "en", "us": "en"}
+#: The languages of countries' address suffixes, with their rough shares. Suffixes that are used all over
+#: the world (io, co, tv, me, ai) and those of countries not named say nothing.
+COUNTRIES = {
+    "ar": {"es": 1.0}, "at": {"de": 1.0}, "au": {"en": 1.0}, "be": {"nl": 0.6, "fr": 0.4}, "bg": {"bg": 1.0}, "bo": {"es": 1.0}, "br": {"pt": 1.0}, "by": {"ru": 0.8, "be": 0.2}, "ca": {"en": 0.75, "fr": 0.25},
+    "ch": {"de": 0.65, "fr": 0.25, "it": 0.1}, "ci": {"fr": 1.0}, "cl": {"es": 1.0}, "cm": {"fr": 0.8, "en": 0.2}, "cn": {"zh": 1.0}, "cr": {"es": 1.0}, "cu": {"es": 1.0}, "cz": {"cs": 1.0}, "de": {"de": 1.0}, "dk": {"da": 1.0},
+    "do": {"es": 1.0}, "dz": {"ar": 0.6, "fr": 0.4}, "ec": {"es": 1.0}, "ee": {"et": 0.85, "ru": 0.15}, "eg": {"ar": 1.0}, "es": {"es": 0.85, "ca": 0.15}, "fi": {"fi": 0.95, "sv": 0.05}, "fr": {"fr": 1.0}, "gr": {"el": 1.0},
+    "gt": {"es": 1.0}, "hk": {"zh": 0.8, "en": 0.2}, "hn": {"es": 1.0}, "hr": {"hr": 1.0}, "hu": {"hu": 1.0}, "id": {"id": 1.0}, "ie": {"en": 1.0}, "il": {"he": 1.0}, "in": {"en": 0.6, "hi": 0.4}, "ir": {"fa": 1.0}, "is": {"is": 1.0},
+    "it": {"it": 1.0}, "jp": {"ja": 1.0}, "ke": {"en": 0.7, "sw": 0.3}, "kr": {"ko": 1.0}, "kz": {"ru": 0.6, "kk": 0.4}, "li": {"de": 1.0}, "lt": {"lt": 1.0}, "lu": {"fr": 0.6, "de": 0.4}, "lv": {"lv": 0.8, "ru": 0.2}, "ma": {"ar": 0.5, "fr": 0.5},
+    "mx": {"es": 1.0}, "my": {"ms": 0.7, "en": 0.3}, "ng": {"en": 1.0}, "ni": {"es": 1.0}, "nl": {"nl": 1.0}, "no": {"no": 1.0}, "nz": {"en": 1.0}, "pa": {"es": 1.0}, "pe": {"es": 1.0}, "ph": {"en": 0.6, "tl": 0.4}, "pk": {"ur": 0.5, "en": 0.5},
+    "pl": {"pl": 1.0}, "pt": {"pt": 1.0}, "py": {"es": 1.0}, "ro": {"ro": 1.0}, "rs": {"sr": 1.0}, "ru": {"ru": 1.0}, "sa": {"ar": 1.0}, "se": {"sv": 1.0}, "sg": {"en": 0.8, "zh": 0.2}, "si": {"sl": 1.0}, "sk": {"sk": 1.0}, "sn": {"fr": 1.0},
+    "sv": {"es": 1.0}, "th": {"th": 1.0}, "tn": {"ar": 0.6, "fr": 0.4}, "tr": {"tr": 1.0}, "tw": {"zh": 1.0}, "ua": {"uk": 0.8, "ru": 0.2}, "uk": {"en": 1.0}, "us": {"en": 0.9, "es": 0.1}, "uy": {"es": 1.0}, "ve": {"es": 1.0}, "vn": {"vi": 1.0}, "za": {"en": 1.0},
+}
 _MAP = np.full(256, 32, np.uint8)
 _MAP[97:123] = np.arange(97, 123)
 _MAP[65:91] = np.arange(97, 123)
@@ -141,14 +153,21 @@ def _at(names: Column, languages: list[str]) -> Column:
     return F.coalesce(F.nullif(F.array_position(known, names), F.lit(0)), F.lit(0)).cast("int") - 1
 
 
-def suffix_language(address: Column) -> Column:
-    """Language named by an address: its first path segment of two letters, or its last domain label."""
+def suffix_code(address: Column) -> Column:
+    """What an address says: its first path segment of two letters, or else a dot and its last domain label of two."""
     host = F.regexp_extract(address, r"^(?:[a-zA-Z]+://)?([^/?#:]*)", 1)
     path = F.regexp_extract(address, r"^(?:[a-zA-Z]+://)?[^/?#]*/([a-zA-Z]{2})(?:[/?#]|$)", 1)
-    name = F.lower(F.when(F.length(path) > 0, path).otherwise(F.regexp_extract(host, r"\.([a-zA-Z]{2})$", 1)))
-    for k, v in SUFFIX_LANGUAGE.items():
-        name = F.when(name == k, v).otherwise(name)
-    return name
+    return F.lower(F.when(F.length(path) > 0, path).otherwise(F.regexp_extract(host, r"(\.[a-zA-Z]{2})$", 1)))
+
+
+def suffix_shares(code: str | None, languages: list[str]) -> np.ndarray | None:
+    """How likely each language is by what an address says (see suffix_code); none if it says nothing about them."""
+    said = {} if not code else COUNTRIES.get(code[1:], {}) if code.startswith(".") else {code: 1.0}
+    own = np.array([said.get(x, 0.0) for x in languages])
+    if not own.any() or len(languages) < 2:
+        return None
+    others = own == 0
+    return SUFFIX_TRUST * own / own.sum() + np.where(others, (1 - SUFFIX_TRUST) / max(1, others.sum()), 0.0)
 
 
 def host_of(address: Column) -> Column:
@@ -168,7 +187,7 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ad
     address: a web address or the name of a source; its host part names the host."""
     spark, L = df.sparkSession, len(model.languages)
     shared = spark.sparkContext.broadcast(model)
-    evidence = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), text.alias("text"), host_of(address).alias("host"), _at(F.lower(declared), model.languages).alias("declared"), _at(suffix_language(address), model.languages).alias("suffix"))
+    evidence = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), text.alias("text"), host_of(address).alias("host"), _at(F.lower(declared), model.languages).alias("declared"), suffix_code(address).alias("suffix"))
 
     @F.arrow_udf("int")
     def by_text(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -201,6 +220,7 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ad
         m = shared.value
         for texts, declared, suffix, prior in arrays:
             said, post, counts, ok = [], [], [], []
+            shares = {code: suffix_shares(code, m.languages) for code in suffix.unique().to_pylist()}
             for t, d, s, p in zip(texts, declared.to_pylist(), suffix.to_pylist(), prior.to_pylist(), strict=True):
                 like, n, differ = m.score(t.as_py())
                 counts.append(n)
@@ -210,11 +230,12 @@ def identify(df: DataFrame, model: TextModel, text: Column, declared: Column, ad
                     ok.append(False)
                     continue
                 log = np.log(np.array(p)) + TEMPER * like
-                for at, trust in ((d, TRUST), (s, SUFFIX_TRUST)):
-                    if at >= 0 and L > 1:
-                        other = np.full(L, np.log((1 - trust) / (L - 1)))
-                        other[at] = np.log(trust)
-                        log += other
+                if d >= 0 and L > 1:
+                    other = np.full(L, np.log((1 - TRUST) / (L - 1)))
+                    other[d] = np.log(TRUST)
+                    log += other
+                if shares[s] is not None:
+                    log += np.log(np.maximum(shares[s], 1e-300))
                 best = int(log.argmax())
                 top = float(1 / np.exp(log - log[best]).sum())
                 said.append(m.languages[best])

@@ -354,3 +354,84 @@ def test_reachable():
     assert warc.reachable(offsets, lengths, 200).tolist() == [True, False, True, False, True]
     assert warc.reachable(offsets, lengths, 100).tolist() == [True, False, True, False, False]
     assert warc.reachable(np.array([3]), np.array([5]), 8).tolist() == [False]
+
+
+def test_warc_pieces_are_joined(spark):
+    """Records whose pieces lie in several splits, out of order and in several batches."""
+    parts = {("a", 0): [b"x" * 10, b"", b"yz"], ("a", 7): [b"\x00\xff" * 70_000, b"q"], ("b", 0): [b""]}
+    rows = [(p, r, k, bytearray(x)) for (p, r), own in parts.items() for k, x in enumerate(own)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "path string, record bigint, piece bigint, bytes binary").repartition(2, "path", "record").sortWithinPartitions("path", "record", "piece")
+    assert {(r.path, r.record): bytes(r.bytes) for r in df.mapInArrow(warc._joined, warc.JOINED).collect()} == {k: b"".join(v) for k, v in parts.items()}
+
+
+def test_sources_are_ranked_by_ranges(spark):
+    """As many sources as there are hosts: turns and prefix sums in ranges give what one loop over all of them gives."""
+    rng = random.Random(8)
+    sizes = [(f"host{rng.randrange(10**6):06d}.example", rng.choice([0, 1, 5, 40, 1000, 70_000])) for _ in range(900)] + [(None, 77), ("", 3), ("é", 12), ("\U0001f600", 9)]
+    sizes = list(dict(sizes).items())
+    got = {r.source: r for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size bigint").repartition(5)).collect()}
+    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, (s, _) in enumerate(order)}
+    left, open_, target = 1.5 * sum(n for _, n in sizes), dict(sizes), {}
+    while True:
+        share = left / sum(weight[s] for s in open_)
+        over = [s for s, n in open_.items() if share * weight[s] > 2 * n]
+        if not over:
+            break
+        for s in over:
+            target[s] = 2 * open_.pop(s)
+            left -= target[s]
+    target |= {s: share * weight[s] for s in open_}
+    assert len(got) == len(sizes) and all(got[s].source_size == n and got[s].target == pytest.approx(target[s], abs=1e-6) for s, n in sizes)
+    assert mixing.source_targets(spark.createDataFrame([], "source string, source_size bigint")).collect() == []
+
+
+def fingerprint_by_hand(spark, texts):
+    """The sum of each text's hashed pieces, component by component, in Python integers."""
+    import re
+
+    pieces = {t: [p.strip(" \t\r") for p in re.split(r"(?<=[.!?;:,|\u3002\uff01\uff1f\uff1b\uff1a\uff0c\u3001\u060c\u061f\u061b\u2026])\n?|\n", t)] for t in texts}
+    every = sorted({p for own in pieces.values() for p in own if p})
+    hashed = spark.createDataFrame([(p,) for p in every] or [("",)], "p string").select("p", *[F.xxhash64(F.lit(k), "p").alias(f"h{k}") for k in range(1, 5)])
+    bits = {r.p: [r[f"h{k}"] & (1 << 64) - 1 for k in range(1, 5)] for r in hashed.collect()}
+    out = {}
+    for t, own in pieces.items():
+        own = [bits[p] for p in own if p]
+        counters = [sum(h[k] >> s & 1 for h in own) + (sum(h[k] >> (s + 30) & 1 for h in own) << 30) for k in (0, 1) for s in range(30)]
+        out[t] = [x % (1 << 60) for x in [len(own), *counters, *(sum(h[k] & fingerprint.MASK for h in own) for k in (2, 3))]]
+    return out
+
+
+def likeness_by_hand(a, b):
+    lanes = lambda v: [2 * (x >> s & fingerprint.LANE) - v[0] for x in v[1:61] for s in (0, 30)]
+    x, y = lanes(a), lanes(b)
+    whole = sum(i * i for i in x) + sum(i * i for i in y)
+    return 1.0 if a == b else 0.0 if not whole else max(0.0, 1 - sum((i - j) ** 2 for i, j in zip(x, y, strict=True)) / whole)
+
+
+def test_fingerprints_equal_a_sum_by_hand(spark):
+    texts = ["", "one", "One. two, three;\nfour\n\n two", "a\n" * 40 + "b.", "x, " * 3000, "Grüße！ 你好。ok\t\r\n ok", "  \n\t", "one. two, three;\nfour\n two \n", "long " * 100_000 + ". end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in fingerprint.fingerprint_documents(df).collect()}
+    follow = lambda i: texts[(i + 1) % len(texts)]
+    edited = [t[: len(t) - len(t) // 4] + follow(i)[: len(t) // 4] for i, t in enumerate(texts)]
+    want = fingerprint_by_hand(spark, {*texts, *edited})
+    spelled = lambda v: "".join(f"{x:015x}" for x in v)
+    for i, t in enumerate(texts):
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (spelled(want[t]), spelled(want[edited[i]]))
+        assert got[i].near_edited == pytest.approx(likeness_by_hand(want[t], want[edited[i]])) and got[i].near_next == pytest.approx(likeness_by_hand(want[t], want[follow(i)]))
+
+
+def test_very_long_texts_are_mixed_and_archived(spark):
+    words = " ".join(f"w{i % 977}" for i in range(400_000))
+    docs = [(1, words, "a"), (2, "short text", "a"), (3, words[::-1], "b")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    plan = mixing.mix_documents(df, spark.createDataFrame([], "doc_id bigint, weight double"))
+    assert {r.doc_id: r["size"] for r in plan.collect()} == {i: len(t.split()) for i, t, _ in docs}
+    mix = [r.text.split() for r in mixing.mixed(df, plan).collect()]
+    assert sum(map(len, mix)) == plan.agg(F.sum("taken")).first()[0]
+    path = scratch(spark, "t8long")
+    warc.write_archives(df.selectExpr("doc_id AS page_id", "'u' AS url", "text AS html"), path)
+    got = {r.page_id: r for r in warc.page_records(warc.read_archives(spark, path)).collect()}
+    assert all((got[i].payload_bytes, got[i].payload_digest) == (len(t), hashlib.sha1(t.encode()).hexdigest()) for i, t, _ in docs)

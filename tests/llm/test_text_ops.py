@@ -239,9 +239,21 @@ def test_more_languages_than_200(spark):
 def test_markup_evidence(spark):
     row = spark.range(1).select(
         langid.markup_language(F.lit('<!DOCTYPE html><html class="x" lang="FR-ca"><p>a')).alias("lang"), langid.markup_text(F.lit("<style>p{}</style><p>Bon <b>jour</b>")).alias("text"),
-        langid.suffix_language(F.lit("https://a.example.org/de/12")).alias("path"), langid.suffix_language(F.lit("http://x.example.at/q/1")).alias("domain"), langid.host_of(F.lit("http://A.b.c:80/x")).alias("host"),
+        langid.suffix_code(F.lit("https://a.example.org/de/12")).alias("path"), langid.suffix_code(F.lit("http://x.example.AT/q/1")).alias("domain"), langid.host_of(F.lit("http://A.b.c:80/x")).alias("host"),
     ).first()
-    assert (row.lang, row.text.split(), row["path"], row.domain, row.host) == ("fr", ["Bon", "jour"], "de", "de", "a.b.c")
+    assert (row.lang, row.text.split(), row["path"], row.domain, row.host) == ("fr", ["Bon", "jour"], "de", ".at", "a.b.c")
+
+
+def test_addresses_name_languages():
+    """A country's suffix stands for its languages, a path segment for one; unknown ones say nothing."""
+    own = ["de", "en", "fr", "sv"]
+    shares = lambda code: langid.suffix_shares(code, own)
+    one = [0.1, 0.1, 0.1, 0.7]
+    assert shares("sv") == pytest.approx(one) and shares(".se") == pytest.approx(one)
+    assert shares(".sv") is None and shares("ar") is None and shares(".io") is None and shares("") is None and shares(None) is None  # Spanish is not among them
+    assert shares(".ca") == pytest.approx([0.15, 0.7 * 0.75, 0.7 * 0.25, 0.15]) and shares(".at") == pytest.approx([0.7, 0.1, 0.1, 0.1])
+    assert shares(".ch") == pytest.approx([0.7 * 0.65 / 0.9, 0.15, 0.7 * 0.25 / 0.9, 0.15])
+    assert langid.suffix_shares(".ca", ["en", "fr"]) == pytest.approx([0.525, 0.175]) and langid.suffix_shares(".de", ["de"]) is None
 
 
 def test_pages_use_all_evidence(spark, tmp_path):
