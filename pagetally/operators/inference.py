@@ -385,36 +385,47 @@ def w13_cross_validation(s) -> DataFrame:
     return s.sql(f"SELECT pdf, page, CASE WHEN method = 'inferred' AND NOT (COALESCE({left}, true) AND COALESCE({right}, true)) THEN least(confidence, 0.5D) ELSE confidence END AS confidence FROM (SELECT *, curr AS own_curr, total AS own_total, {near} FROM {{filled}}) AS f")
 
 
-def w14_fallback_fill(s) -> DataFrame:
-    """Unread pages as starts of a document of the local total, hardly sure."""
-    solve = lambda page, curr, total: _paged(Inference(curr, total, Rules(last_resort=0.15)).last_resort(), page)
-    return per_file(s["page_reads"], ["page", "curr", "total"], solve, _PAGES)
+#: Each page with the totals read around it (a window's worth of pages on either side), and its file's usual total.
+_AROUND = """
+    SELECT *, collect_list(total) OVER (PARTITION BY pdf ORDER BY page ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near,
+      COALESCE(first_value(total) OVER (PARTITION BY pdf ORDER BY CASE WHEN total IS NULL THEN 1 ELSE -times END, seen ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 2) AS usual
+    FROM (SELECT *, count(*) OVER (PARTITION BY pdf, total) AS times, min(page) OVER (PARTITION BY pdf, total) AS seen FROM {page_reads}) AS r"""
+_MODE = "aggregate(array_distinct(near), named_struct('total', CAST(NULL AS INT), 'n', 0), (a, t) -> IF(size(filter(near, x -> x = t)) > a.n, named_struct('total', t, 'n', size(filter(near, x -> x = t))), a))"
 
 
-def w15_period_evidence(s) -> DataFrame:
-    """For every inferred page of a file with a period: the pages at its place in other cycles, and their weights."""
+def w14_fallback_fill(s) -> DataFrame:
+    """Unread pages as starts of a document of the local total, hardly sure: the most frequent total around, if enough of
+    the reads there agree, else the file's."""
+    return s.sql(f"""
+        SELECT pdf, page, COALESCE(curr, 1) AS curr, CASE WHEN curr IS NOT NULL THEN total WHEN m.n >= 0.85D * size(near) AND m.n > 0 THEN m.total ELSE usual END AS total,
+          CASE WHEN curr IS NULL THEN 'inferred' ELSE 'direct' END AS method, CASE WHEN curr IS NULL THEN 0.15D ELSE 1.0D END AS confidence
+        FROM (SELECT *, {_MODE} AS m FROM ({_AROUND}) AS a) AS b""")
 
-    def solve(page, curr, total):
-        x = Inference(curr, total).fill()
-        for i, k in enumerate(x.kinds):
-            if k == "inferred" and x.period:
-                for (number, whole), weight in sorted(x.evidence(i).items(), key=repr):
-                    yield page[i], number, whole, round(weight, 9)
 
-    return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, page int, curr int, total int, weight double")
+def w15_period_evidence(s) -> DataFrame:
+    """For every inferred page of a file with a period: the pages at its place in other cycles, and their weights. Nearer
+    and read ones weigh more; a page's weights sum to 1."""
+    return s.sql("""
+        SELECT pdf, page, curr, total, round(w / sum(w) OVER (PARTITION BY pdf, page), 9) AS weight
+        FROM (SELECT a.pdf, a.page, c.curr, c.total, sum(CASE WHEN c.method = 'direct' THEN 1.0D ELSE 0.5D END / a.k) AS w
+          FROM (SELECT f.pdf, f.page, k, explode(array(CAST(f.page - k * p.period AS INT), CAST(f.page + k * p.period AS INT))) AS at
+            FROM (SELECT *, explode(sequence(1, 7)) AS k FROM {filled} WHERE method = 'inferred') AS f JOIN {file_periods} AS p ON p.pdf = f.pdf WHERE p.period > 0) AS a
+          JOIN {filled} AS c ON c.pdf = a.pdf AND c.page = a.at WHERE c.curr IS NOT NULL GROUP BY a.pdf, a.page, c.curr, c.total) AS e""")
 
 
 def w17_contradictions(s) -> DataFrame:
-    """Pages that are changed because nearly all reads of the file declare another total, and the inferred ones after them."""
+    """Pages that are changed because nearly all reads of the file declare another total, and the inferred ones after them.
 
-    def solve(page, curr, total):
-        x = Inference(curr, total).fill()
-        before = list(x.pages)
-        if x.period is not None and x.period_sure >= x.rules.least_period and x.expected is not None:
-            x._overrule(x.expected)
-        return [(p, *was, *now) for p, was, now in zip(page, before, x.pages, strict=True) if was != now]
-
-    return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, page int, curr int, total int, fixed_curr int, fixed_total int")
+    In a run of inferred and contradicting pages, all from the first contradicting one on count up in documents of the
+    expected total."""
+    return s.sql("""
+        SELECT pdf, page, curr, total, fixed_curr, fixed_total
+        FROM (SELECT pdf, page, curr, total, CAST(CASE WHEN first IS NOT NULL THEN (first.number - 1 + page - first.page) % expected_total + 1 ELSE curr END AS INT) AS fixed_curr, CAST(CASE WHEN first IS NOT NULL THEN expected_total ELSE total END AS INT) AS fixed_total
+          FROM (SELECT *, min(CASE WHEN wrong THEN struct(page, CASE WHEN curr BETWEEN 1 AND expected_total THEN curr ELSE 1 END AS number) END) OVER (PARTITION BY pdf, run ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first
+            FROM (SELECT *, sum(CASE WHEN method = 'inferred' OR wrong THEN 0 ELSE 1 END) OVER (PARTITION BY pdf ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+              FROM (SELECT *, method = 'direct' AND total <> expected_total AS wrong, avg(CASE WHEN method = 'direct' THEN CASE WHEN total = expected_total THEN 1.0D ELSE 0.0D END END) OVER (PARTITION BY pdf) AS agreed
+                FROM (SELECT f.*, p.expected_total FROM {filled} AS f JOIN {file_periods} AS p ON p.pdf = f.pdf WHERE p.period IS NOT NULL AND p.confidence >= 0.5D AND p.expected_total IS NOT NULL) AS a) AS b WHERE agreed >= 0.90D) AS c) AS d) AS e
+        WHERE curr IS DISTINCT FROM fixed_curr OR total IS DISTINCT FROM fixed_total""")
 
 
 def w18_orphan_suppression(s) -> DataFrame:
@@ -468,11 +479,20 @@ def a28_reliability(s) -> DataFrame:
 
 
 def a27_telemetry(s) -> DataFrame:
-    """Each file's pages by how they were found, and inferred ones by how sure they are."""
+    """Each file's pages by how they were found, inferred ones by how sure they are; its documents, complete, out of order
+    or short of pages, by their sizes; its period."""
     return s.sql("""
-        SELECT pdf, count(*) AS pages, count_if(method = 'direct') AS direct, count_if(method = 'inferred') AS inferred, count_if(method = 'excluded') AS excluded, count_if(curr = 1) AS documents,
-          count_if(method = 'inferred' AND confidence < 0.50) AS low, count_if(method = 'inferred' AND confidence BETWEEN 0.50 AND 0.60) AS mid, count_if(method = 'inferred' AND confidence > 0.60) AS high,
-          count_if(method = 'inferred' AND confidence >= 0.90) AS consistent, count_if(method = 'inferred' AND confidence < 0.45) AS conflicting, round(avg(CASE WHEN method = 'inferred' THEN confidence END), 6) AS mean_confidence FROM {inferred} GROUP BY pdf""")
+        SELECT t.*, COALESCE(d.complete, 0) AS complete, COALESCE(d.out_of_order, 0) AS out_of_order, COALESCE(d.undercounted, 0) AS undercounted, COALESCE(d.sizes, '') AS sizes, p.period, p.confidence AS period_confidence, p.expected_total
+        FROM (SELECT pdf, count(*) AS pages, count_if(method = 'direct') AS direct, count_if(method = 'inferred') AS inferred, count_if(method = 'excluded') AS excluded, count_if(method = 'failed') AS failed, count_if(curr = 1) AS documents,
+            count_if(method = 'inferred' AND confidence < 0.50) AS low, count_if(method = 'inferred' AND confidence BETWEEN 0.50 AND 0.60) AS mid, count_if(method = 'inferred' AND confidence > 0.60) AS high,
+            count_if(method = 'inferred' AND confidence >= 0.90) AS consistent, count_if(method = 'inferred' AND confidence < 0.45) AS conflicting, round(avg(CASE WHEN method = 'inferred' THEN confidence END), 6) AS mean_confidence FROM {inferred} GROUP BY pdf) AS t
+        LEFT JOIN (SELECT pdf, sum(whole) AS complete, sum(broken) AS out_of_order, sum(n - whole - broken) AS undercounted,
+            array_join(transform(sort_array(collect_list(struct(declared, n))), x -> concat(x.declared, 'p:', x.n)), ' ') AS sizes
+          FROM (SELECT pdf, declared, count(*) AS n, count_if(in_order AND found = declared) AS whole, count_if(NOT in_order) AS broken
+            FROM (SELECT pdf, doc, count(*) AS found, min(declared) AS declared, bool_and(pos = 1 OR method = 'inferred' OR (curr = pos AND total = declared)) AS in_order
+              FROM (SELECT *, row_number() OVER (PARTITION BY pdf, doc ORDER BY page) AS pos, first_value(total) OVER (PARTITION BY pdf, doc ORDER BY page) AS declared
+                FROM (SELECT *, sum(CASE WHEN curr = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pdf ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS doc FROM {inferred} WHERE curr IS NOT NULL) AS a WHERE doc > 0) AS b GROUP BY pdf, doc) AS c GROUP BY pdf, declared) AS e GROUP BY pdf) AS d ON d.pdf = t.pdf
+        JOIN {file_periods} AS p ON p.pdf = t.pdf""")
 
 
 #: Rules to replay: those a sweep settled on, and each of its other values in their place.
@@ -510,25 +530,63 @@ def w20_undercount_recovery(s) -> DataFrame:
     return per_file(docs, ["doc", "pages", "inferred", "declared_total", "read_start"], _merge, "pdf bigint, doc bigint, found bigint, total int, merged int")
 
 
-def _min_gap(page, dom) -> Iterable[tuple]:
-    """Of two starts closer than the gap, the one that fits the period less well goes."""
-    period, kept = dom[0] or 1, []
-    for at in page:
-        if kept and at - kept[-1] < max(1, period // 2):
-            base = kept[-2] if len(kept) > 1 else None
-            if base is not None and abs(at - base - period) < abs(kept[-1] - base - period):
-                kept[-1] = at
-            continue
-        kept.append(at)
-    return [(at,) for at in kept]
+def _apart(gap: int):
+    """Rows (pdf, page, period) of starts, sorted, with whether each stays; a task holds one undecided start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        off = lambda x, base, period: min((x - base) % period, (base - x) % period)
+        file, last, base, rows = None, None, None, []  # last: the start before, which may still go; base: the last that stays
+        shape = pa.schema([("pdf", pa.int64()), ("page", pa.int32()), ("kept", pa.bool_())])
 
+        def decided(page: int, stays: bool) -> None:
+            rows.append((file, page, stays))
 
-def w21_min_gap(s) -> DataFrame:
-    starts = s["recovered"].filter("curr = 1")
-    return per_file(starts, ["page", "dom"], _min_gap, "pdf bigint, page int")
+        for b in batches:
+            for pdf, page, period in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if pdf != file:
+                    if last is not None:
+                        decided(last, True)
+                    file, last, base = pdf, None, None
+                if period is None:  # no clear period: all stay
+                    decided(page, True)
+                    continue
+                if last is not None and page - last < gap:
+                    if base is not None and off(last, base, period) < off(page, base, period):
+                        decided(page, False)
+                        decided(last, True)
+                        base, last = last, None
+                        continue
+                    decided(last, False)
+                elif last is not None:
+                    decided(last, True)
+                    base = last
+                last = page
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
+                rows = []
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([last], pa.int32()), pa.array([True])], schema=shape)
+
+    return run
+
+
+def w21_min_gap(s, gap: int = PRODUCTION.least_gap) -> DataFrame:
+    """Starts, and whether each stays: in files with a clear period of two gaps at least, of two starts closer than the gap
+    the earlier goes, or the later if it fits the period less well, counted from the start that stays before them."""
+    starts = s.sql(f"SELECT r.pdf, r.page, CASE WHEN p.period >= {2 * gap} AND p.confidence >= 0.4D THEN p.period END AS period FROM {{page_reads}} AS r JOIN {{file_periods}} AS p ON p.pdf = r.pdf WHERE r.curr = 1")
+    return starts.repartition("pdf").sortWithinPartitions("pdf", "page").mapInArrow(_apart(gap), "pdf bigint, page int, kept boolean")
 
 
 #: Relations that SQL may name.
-FRAMES: dict[str, Callable] = {"filled": filled, "inferred": inferred}
+FRAMES: dict[str, Callable] = {"filled": filled, "inferred": inferred, "file_periods": w08_file_period}
 OPERATORS: dict[str, Callable] = {f.__name__: f for f in (w07_autocorrelation, w08_file_period, w11_gap_solver, w12_orphan_candidates, w13_cross_validation, w14_fallback_fill, w15_period_evidence, w16_inference, w17_contradictions, w18_orphan_suppression, w19_anomaly_dropout, w20_undercount_recovery, w21_min_gap, w22_reinference, w27_rule_replay, a27_telemetry, a28_reliability)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # each unread page joined with all reads around it, and with all reads of its file
+    "w14_fallback_fill": """
+        SELECT r.pdf, r.page, COALESCE(r.curr, 1) AS curr, CASE WHEN r.curr IS NOT NULL THEN r.total WHEN l.n >= 0.85::DOUBLE * l.whole THEN l.total ELSE COALESCE(u.total, 2) END AS total,
+          CASE WHEN r.curr IS NULL THEN 'inferred' ELSE 'direct' END AS method, CASE WHEN r.curr IS NULL THEN 0.15::DOUBLE ELSE 1.0::DOUBLE END AS confidence
+        FROM {page_reads} AS r
+        LEFT JOIN (SELECT pdf, page, total, n, whole FROM (SELECT *, sum(n) OVER (PARTITION BY pdf, page) AS whole, row_number() OVER (PARTITION BY pdf, page ORDER BY n DESC, first) AS place
+            FROM (SELECT a.pdf, a.page, b.total, count(*) AS n, min(b.page) AS first FROM {page_reads} AS a JOIN {page_reads} AS b ON b.pdf = a.pdf AND b.page BETWEEN a.page - 5 AND a.page + 5 WHERE a.curr IS NULL AND b.total IS NOT NULL GROUP BY a.pdf, a.page, b.total) AS g) AS h WHERE place = 1) AS l ON l.pdf = r.pdf AND l.page = r.page
+        LEFT JOIN (SELECT pdf, first(total ORDER BY n DESC, first) AS total FROM (SELECT pdf, total, count(*) AS n, min(page) AS first FROM {page_reads} WHERE total IS NOT NULL GROUP BY pdf, total) AS t GROUP BY pdf) AS u ON u.pdf = r.pdf""",
+}
