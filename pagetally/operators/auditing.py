@@ -133,6 +133,7 @@ TEXT = {
     "f11_slash_parse": "SELECT id, CAST(regexp_extract(t, '^([0-9]+)/([0-9]+)$', 1) AS INT) AS curr, CAST(regexp_extract(t, '^([0-9]+)/([0-9]+)$', 2) AS INT) AS total FROM (SELECT id, CAST(pages AS STRING) || '/' || CAST(pages + 2 AS STRING) AS t FROM {files}) AS f",
 }
 
+_PARTS = "SELECT DISTINCT hospital, host, unnest(string_split(translate(substr(lower(name), 1, length(name) - 4), '.-', '__'), '_')) AS token FROM {files} WHERE lower(name) LIKE '%.pdf'"
 #: Texts for the oracle where they are not those of the operators.
 ORACLE = {
     "a20_nearest_rank": "SELECT host, max(CASE WHEN n = 1 + CAST(bround(0.25 * (c - 1), 0) AS BIGINT) THEN pages END) AS p25, max(CASE WHEN n = 1 + CAST(bround(0.5 * (c - 1), 0) AS BIGINT) THEN pages END) AS median, max(CASE WHEN n = 1 + CAST(bround(0.75 * (c - 1), 0) AS BIGINT) THEN pages END) AS p75, min(pages) AS least, max(pages) AS most, count(*) AS n FROM (SELECT host, pages, row_number() OVER (PARTITION BY host ORDER BY pages) AS n, count(*) OVER (PARTITION BY host) AS c FROM {files} WHERE pages > 0) AS r GROUP BY host",
@@ -140,9 +141,7 @@ ORACLE = {
         SELECT host, count_if(curr = true_curr) / CAST(NULLIF(count(true_curr), 0) AS DOUBLE) AS exact, count(curr) / CAST(count(*) AS DOUBLE) AS parse_rate, avg(CASE WHEN ms > 0 THEN ms END) AS mean_ms, max(CASE WHEN n = 1 + CAST(floor(c * 0.95) AS BIGINT) THEN ms END) AS p95_ms
         FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ms, pdf, page) AS n, count(*) OVER (PARTITION BY host) AS c FROM (SELECT pdf % 5 AS host, pdf, page, curr, CASE WHEN partkey % 4 > 0 THEN true_curr END AS true_curr, CAST(partkey % 1000 AS INT) AS ms FROM {page_reads}) AS q) AS r GROUP BY host""",
     "m05_anchors": f"SELECT a.sigla, a.flavor, a.ord, a.min_match, a.place, a.anchor, a.is_anti, count(t.text) AS pages FROM {{dim_anchor}} AS a LEFT JOIN (SELECT sigla, {folded('', 'strip_accents(raw)')} AS text FROM {{cover_text}}) AS t ON t.sigla = a.sigla AND contains(t.text, a.anchor) GROUP BY ALL",
-    "j13_code_collisions": """
-        WITH u AS (SELECT DISTINCT hospital, host, unnest(string_split(translate(substr(lower(name), 1, length(name) - 4), '.-', '__'), '_')) AS token FROM {files} WHERE lower(name) LIKE '%.pdf')
-        SELECT a.hospital, a.token AS code, a.host AS a, b.host AS b FROM u AS a JOIN u AS b ON a.hospital = b.hospital AND a.token = b.token AND a.host < b.host WHERE length(a.token) > 3""",
+    "j13_code_collisions": f"SELECT a.hospital, a.token AS code, a.host AS a, b.host AS b FROM ({_PARTS}) AS a JOIN ({_PARTS}) AS b ON a.hospital = b.hospital AND a.token = b.token AND a.host < b.host WHERE length(a.token) > 3",
     "a19_series": "SELECT hospital || '|' || sigla AS cell, string_agg(year || '-' || month || ':' || count, ' ' ORDER BY year, month, count) AS series FROM {history} GROUP BY hospital, sigla",
     "w25_eta": "SELECT event_id, done, CASE WHEN done = 0 OR done = total THEN NULL ELSE CAST(floor(elapsed / done * (total - done)) AS BIGINT) END AS eta FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS done, count(*) OVER (PARTITION BY user_id) AS total, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1000000.0::DOUBLE AS elapsed FROM {events}) AS p",
     "j08_anchor_hits": "SELECT pdf, page, sigla, flavor, unnest(matched) AS anchor FROM {raw_flavors}",
