@@ -432,14 +432,18 @@ def w18_orphan_suppression(s) -> DataFrame:
     return s.sql("SELECT pdf, page, method FROM {inferred} WHERE method = 'excluded' OR (method = 'inferred' AND curr = 1)")
 
 
-def w19_anomaly_dropout(s) -> DataFrame:
-    """Pages whose read is dropped for declaring one page among longer documents."""
+_NEAR = "filter(transform(sequence(greatest(0, i - 5), least(size(p) - 1, i + 5)), j -> IF(j < i AND d[j].dropped, NULL, p[j].total)), x -> x IS NOT NULL)"
+_DROPPED = f"""
+    aggregate(sequence(0, size(p) - 1), CAST(array() AS ARRAY<STRUCT<dropped: BOOLEAN, sure: DOUBLE>>), (d, i) -> concat(d, transform(array({_NEAR}), near -> transform(array({_MODE}),
+      m -> IF(p[i].total = 1 AND m.total > 1 AND m.n / CAST(greatest(1, size(near)) AS DOUBLE) >= 0.60D, named_struct('dropped', 1.0D - m.n / CAST(greatest(1, size(near)) AS DOUBLE) < 0.30D, 'sure', 1.0D - m.n / CAST(greatest(1, size(near)) AS DOUBLE)), named_struct('dropped', false, 'sure', 1.0D)))[0])))"""
 
-    def solve(page, curr, total):
-        x = Inference(curr, total, Rules(dropout=0.30, agreement=0.60)).drop_odd()
-        return [(p, round(x.sure[i], 9), x.kinds[i]) for i, p in enumerate(page) if total[i] == 1]
 
-    return per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, page int, confidence double, method string")
+def w19_anomaly_dropout(s) -> DataFrame:
+    """Pages whose read is dropped for declaring one page among longer documents. Pages are folded in order in the JVM: a
+    read that was dropped no longer counts around those after it."""
+    return s.sql(f"""
+        SELECT pdf, x.p.page AS page, round(x.d.sure, 9) AS confidence, CASE WHEN x.d.dropped THEN 'failed' ELSE 'direct' END AS method
+        FROM (SELECT pdf, explode(arrays_zip(p, d)) AS x FROM (SELECT pdf, p, {_DROPPED} AS d FROM (SELECT pdf, sort_array(collect_list(struct(page, total))) AS p FROM {{page_reads}} GROUP BY pdf) AS f) AS g) AS h WHERE x.p.total = 1""")
 
 
 def reinferred(page: Sequence[int], x: Inference, corrections: dict[int, Page], exclusions: set[int]) -> Inference:
@@ -581,6 +585,17 @@ def w21_min_gap(s, gap: int = PRODUCTION.least_gap) -> DataFrame:
 FRAMES: dict[str, Callable] = {"filled": filled, "inferred": inferred, "file_periods": w08_file_period}
 OPERATORS: dict[str, Callable] = {f.__name__: f for f in (w07_autocorrelation, w08_file_period, w11_gap_solver, w12_orphan_candidates, w13_cross_validation, w14_fallback_fill, w15_period_evidence, w16_inference, w17_contradictions, w18_orphan_suppression, w19_anomaly_dropout, w20_undercount_recovery, w21_min_gap, w22_reinference, w27_rule_replay, a27_telemetry, a28_reliability)}
 SQL: dict[str, str] = {
+    # one page after the other, with what is left of the five before it
+    "w19_anomaly_dropout": """
+        SELECT pdf, page, round(sure, 9) AS confidence, CASE WHEN dropped THEN 'failed' ELSE 'direct' END AS method FROM (
+          WITH RECURSIVE e AS (SELECT pdf, page, total, list(total) OVER (PARTITION BY pdf ORDER BY page ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS ahead FROM {page_reads}),
+          r AS (SELECT DISTINCT pdf, 0 AS page, CAST(NULL AS INT) AS total, CAST([] AS INT[]) AS prev, false AS dropped, 1.0::DOUBLE AS sure FROM e
+            UNION ALL SELECT e.pdf, e.page, e.total, list_append(r.prev, CASE WHEN z.lost THEN NULL ELSE e.total END)[-5:], z.lost, CASE WHEN y.off THEN 1.0::DOUBLE - m.share ELSE 1.0::DOUBLE END
+            FROM r JOIN e ON e.pdf = r.pdf AND e.page = r.page + 1, LATERAL (SELECT list_filter(list_concat(r.prev, e.ahead), lambda x: x IS NOT NULL) AS near) AS n,
+              LATERAL (SELECT list_max(list_transform(range(1, len(near) + 1), lambda k: row(len(list_filter(near, lambda x: x = near[k])), -k))) AS most) AS b,
+              LATERAL (SELECT near[-most[2]] AS common, most[1] / CAST(len(near) AS DOUBLE) AS share) AS m, LATERAL (SELECT COALESCE(e.total = 1 AND common > 1 AND share >= 0.60::DOUBLE, false) AS off) AS y,
+              LATERAL (SELECT y.off AND 1.0::DOUBLE - m.share < 0.30::DOUBLE AS lost) AS z)
+          SELECT * FROM r) AS q WHERE total = 1""",
     # each unread page joined with all reads around it, and with all reads of its file
     "w14_fallback_fill": """
         SELECT r.pdf, r.page, COALESCE(r.curr, 1) AS curr, CASE WHEN r.curr IS NOT NULL THEN r.total WHEN l.n >= 0.85::DOUBLE * l.whole THEN l.total ELSE COALESCE(u.total, 2) END AS total,

@@ -87,6 +87,15 @@ def test_starts_apart(case):
         assert rows(inference.w21_min_gap(s, gap)) == sorted(want, key=repr)
 
 
+def test_dropped_reads(case):
+    s, files = case
+    want = []
+    for pdf, (page, curr, total) in files.items():
+        x = Inference(curr, total, Rules(dropout=0.30, agreement=0.60)).drop_odd()
+        want += [(pdf, p, round(x.sure[i], 9), x.kinds[i]) for i, p in enumerate(page) if total[i] == 1]
+    assert rows(inference.w19_anomaly_dropout(s)) == sorted(want, key=repr)
+
+
 def test_telemetry(case):
     s, files = case
     got = {r.pdf: r for r in inference.a27_telemetry(s).collect()}
