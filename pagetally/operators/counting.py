@@ -61,7 +61,7 @@ CELLS = {
           WHERE COALESCE(f.scanned, 0) > 0 OR COALESCE(c.user_override, c.ocr_count, c.filename_count, 0) > 0) AS w ON w.hospital = h.hospital GROUP BY h.hospital""",
     "a31_session_dump": "SELECT session_id, hospital, sigla, CAST(effective AS BIGINT) AS effective, CAST(workers AS BIGINT) AS workers FROM (SELECT '2026-04' AS session_id, hospital, sigla, count AS effective, workers FROM {cell_count} UNION ALL SELECT lpad(CAST(year AS STRING), 4, '0') || '-' || lpad(CAST(month AS STRING), 2, '0'), hospital, sigla, count, NULL FROM {history}) AS s",
     "p21_enriched_cells": """
-        SELECT n.hospital, n.sigla, CASE WHEN n.count_type = 'documents_workers' THEN n.workers END AS worker_count, CASE WHEN n.count_type = 'checks' THEN n.workers END AS checks_count, COALESCE(o.n, 0) AS open_suspects, COALESCE(o.counted, 0) AS counted_suspects, o.first_id
+        SELECT n.hospital, n.sigla, CASE WHEN n.count_type IN ('documents_workers', 'checks') THEN n.workers END AS worker_count, CASE WHEN n.count_type = 'checks' THEN n.count END AS checks_count, COALESCE(o.n, 0) AS open_suspects, COALESCE(o.counted, 0) AS counted_suspects, o.first_id
         FROM {cell_count} AS n LEFT JOIN (SELECT hospital, sigla, count(*) AS n, count_if(counted) AS counted, min(suspect_id) AS first_id FROM {open_suspects} GROUP BY hospital, sigla) AS o ON o.hospital = n.hospital AND o.sigla = n.sigla""",
     "p06_has_work": "SELECT hospital, sigla, has_work FROM {worked_cells}",
     "p16_cell_tone": "SELECT h.hospital, s.sigla, CASE WHEN r.errors > 0 THEN 'state-error' WHEN r.sigla IS NULL THEN 'neutral' WHEN r.ready THEN 'confidence-high' ELSE 'confidence-low' END AS tone FROM {dim_hospital} AS h CROSS JOIN {dim_sigla} AS s LEFT JOIN {ready_cells} AS r ON r.hospital = h.hospital AND r.sigla = s.sigla",
