@@ -29,7 +29,7 @@ REORG = {
     "r08_blocked_cells": "SELECT hospital, sigla, bool_or(counted) AS blocked FROM {open_suspects} GROUP BY hospital, sigla",
     "p09_all_reliable": "SELECT hospital, sigla, all_reliable FROM {reliable_cells}",
     "x11_applied_ops": "SELECT id, now AS status FROM {current_ops}",
-    "x15_single_file_rescan": "SELECT f.id, f.hospital, f.sigla, f.file, CASE WHEN r.id IS NOT NULL AND l.sigla IS NULL THEN r.count ELSE f.per_file END AS per_file, CASE WHEN r.id IS NOT NULL AND l.sigla IS NULL THEN 'pagination' ELSE f.method END AS method, CASE WHEN r.id IS NULL THEN 'untouched' WHEN f.pages = 0 THEN 'error' WHEN l.sigla IS NOT NULL THEN 'locked' ELSE 'done' END AS outcome FROM {file_counts} AS f LEFT JOIN {rescans} AS r ON r.id = f.id LEFT JOIN {locked_cells} AS l ON l.hospital = f.hospital AND l.sigla = f.sigla",
+    "x15_single_file_rescan": "SELECT f.id, f.hospital, f.sigla, f.file, CASE WHEN r.id IS NOT NULL AND l.sigla IS NULL AND f.pages > 0 THEN r.count ELSE f.per_file END AS per_file, CASE WHEN r.id IS NOT NULL AND l.sigla IS NULL AND f.pages > 0 THEN 'pagination' ELSE f.method END AS method, CASE WHEN r.id IS NULL THEN 'untouched' WHEN f.pages = 0 THEN 'error' WHEN l.sigla IS NOT NULL THEN 'locked' ELSE 'done' END AS outcome FROM {file_counts} AS f LEFT JOIN {rescans} AS r ON r.id = f.id LEFT JOIN {locked_cells} AS l ON l.hospital = f.hospital AND l.sigla = f.sigla",
     "x10_suspect_lifecycle": """
         SELECT c.hospital, c.sigla, COALESCE(b.n, 0) AS before, COALESCE(a.n, 0) AS after, COALESCE(o.n, 0) AS open, CASE WHEN COALESCE(o.counted, 0) > 0 THEN false WHEN w.has_work THEN r.all_reliable ELSE COALESCE(g.high, false) END AS all_reliable
         FROM {cells} AS c JOIN {worked_cells} AS w ON w.hospital = c.hospital AND w.sigla = c.sigla JOIN {reliable_cells} AS r ON r.hospital = c.hospital AND r.sigla = c.sigla
