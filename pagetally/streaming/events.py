@@ -8,9 +8,12 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import TypeVar
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Seconds between two progress events of a key, and a lease's life; tries after a failure, and the wait.
 PROGRESS_SECONDS = 0.3
@@ -52,6 +55,56 @@ def x05_rate_limit(s, seconds: int = 12 * 3600) -> DataFrame:
     return rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInArrow(_paced(seconds), "user_id bigint, event_id bigint")
 
 
+PACED = "user_id bigint, event_id bigint"
+
+
+class Pacer(StatefulProcessor):
+    """One time a key as state: that of the last event let through. Events wait until the watermark has passed them, so
+    they are taken in order however they come; an event marked final is let through always."""
+
+    def __init__(self, seconds: float):
+        self.step = round(seconds * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kind = lambda *names: T.StructType([T.StructField(n, T.BooleanType() if n == "final" else T.LongType()) for n in names])
+        self.handle, self.last, self.waiting = handle, handle.getValueState("last", kind("t")), handle.getListState("waiting", kind("t", "event_id", "final"))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [(int(t), int(i), bool(f)) for frame in rows for t, i, f in frame[["t", "event_id", "final"]].itertuples(index=False)]
+        self.waiting.appendList(held)
+        for ms in {t // 1000 + 1 for t, _, _ in held}:
+            self.handle.registerTimer(ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, waiting = timerValues.getCurrentWatermarkInMs() * 1000, sorted({tuple(e) for e in self.waiting.get()})
+        due, rest = [e for e in waiting if e[0] < now], [e for e in waiting if e[0] >= now]
+        if not due:
+            return
+        last, out = self.last.get()[0] if self.last.exists() else None, []
+        for t, event, final in due:
+            paced = last is None or t - last >= self.step
+            if paced or final:
+                out.append(event)
+            last = t if paced else last
+        self.last.update((last,))
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if out:
+            yield pd.DataFrame({"user_id": [int(key[0])] * len(out), "event_id": out})
+
+    def close(self) -> None:
+        pass
+
+
+def paced_stream(events: DataFrame, seconds: float = PROGRESS_SECONDS, late: str = "1 minute") -> DataFrame:
+    """Streaming `x05_rate_limit` of user_id, t (microseconds), event_id, final. It needs RocksDB's state store."""
+    timed = events.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", late)
+    return timed.groupBy("user_id").transformWithStateInPandas(Pacer(seconds), PACED, "Append", "EventTime")
+
+
 def deduplicated(stream: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Streaming: the first event of each key while the watermark keeps it."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)

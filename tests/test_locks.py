@@ -136,3 +136,35 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.conf.set(store, before)
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*locks.STEPS.names).collect())
     assert got == plainly(rows, 45 * S)
+
+
+def test_paced_stream_equals_batch(spark, tmp_path):
+    """Events out of order, in several batches, some twice: those let through are those of the batch form."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from pagetally.streaming import events
+
+    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("t"), F.desc("event_id"))) == 1
+    rows = spark.read.parquet(f"{DIR}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id").withColumn("final", last)
+    own = sorted(rows.collect(), key=lambda r: r.t)
+    rng, src = random.Random(2), tmp_path / "in"
+    n = len(own) // 4 + 1
+    for k in range(0, len(own), n):
+        some = [tuple(r) for r in own[k : k + n]]
+        some += rng.sample(some, 5)
+        rng.shuffle(some)
+        spark.createDataFrame(some, rows.schema).coalesce(1).write.mode("append").parquet(str(src))
+    spark.createDataFrame([(-1, 5 * 10**15, -1, False)], rows.schema).coalesce(1).write.mode("append").parquet(str(src))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+        out = events.paced_stream(stream, 12 * 3600, late="1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        out.awaitTermination(240)
+        assert out.exception() is None and not out.isActive
+    finally:
+        spark.conf.set(store, before)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == sorted(map(tuple, catalog.queries()["x05_rate_limit"](spark, DIR).collect()))
