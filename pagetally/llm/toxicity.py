@@ -15,7 +15,7 @@ texts; what is broadcast is BUCKETS weights.
 
 Null and empty texts have no words: their score is the function's constant, and they have no spans. Words are lower-cased runs of
 letters and digits. Rows that repeat an id or text get equal scores. A document is toxic in training if any of its labels
-says so; null labels and ids say nothing. Where either class has no document in the sample, every score is the labelled
+says so; null labels and ids say nothing. Of near copies in the sample one is fitted on. Where either class has no document in the sample, every score is the labelled
 share of toxic ones (0 without labels). An empty table gives an empty one. Only id and text are read, so other columns
 cannot clash.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ PER_CLASS = 1500
 LONGEST = 16_000
 BUCKETS = 1 << 20
 FOLDS = 3
+KEPT, ALIKE = 16, 5
 ROUNDS = 16
 SURE = 0.5
 THRESHOLD = 0.3
@@ -116,18 +118,20 @@ def marginals(forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
 
 
 def summary(p: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A row for each document: what its words' marginals add up to, the largest, the sum over different words, and its
-    length as far as there is anything to weigh it against. words: a number for each word; sizes: words of each document."""
+    """A row for each document: what the clear marginals of its different words add up to (a word that is repeated says
+    nothing new), the largest marginal, what all but the least add up to for its length, and its length as far as there
+    is anything clear to weigh it against. words: a number for each word; sizes: words of each document."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
     out = np.zeros((len(sizes), 5))
     out[:, 0] = 1
-    out[:, 1] = np.log1p(20 * np.bincount(doc, p, len(sizes)))
     np.maximum.at(out[:, 2], doc, p)
-    at = np.flatnonzero(p > 0.02)
+    at = np.flatnonzero(p > 0.001)
     if len(at):
         order = at[np.lexsort((-p[at], words[at], doc[at]))]
-        new = np.append(True, (doc[order][1:] != doc[order][:-1]) | (words[order][1:] != words[order][:-1]))
-        out[:, 3] = np.log1p(5 * np.bincount(doc[order[new]], p[order[new]], len(sizes)))
+        first = order[np.append(True, (doc[order][1:] != doc[order][:-1]) | (words[order][1:] != words[order][:-1]))]
+        clear = first[p[first] > 0.02]
+        out[:, 1] = np.log1p(20 * np.bincount(doc[clear], p[clear], len(sizes)))
+        out[:, 3] = 5 * np.bincount(doc[first], p[first], len(sizes)) / np.sqrt(1 + sizes)
     out[:, 4] = np.log1p(sizes) / 5 * np.minimum(1, out[:, 1])
     return out
 
@@ -253,8 +257,27 @@ def _judge(rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def different(texts: list[str]) -> list[int]:
+    """Places of texts that are no near copies of an earlier one: of the KEPT smallest hashes of their five-word shingles,
+    copies have ALIKE or more in common. (A group of copies would make all of its words look like marks.)"""
+    first: defaultdict[int, list[int]] = defaultdict(list)
+    out = []
+    for i, text in enumerate(texts):
+        words = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in WORD.findall(text.lower())]
+        shingles = {hash(tuple(words[k : k + 5])) for k in range(max(1, len(words) - 4))}
+        kept = sorted(shingles)[:KEPT]
+        seen = Counter(j for h in kept for j in first[h])
+        if not seen or max(seen.values()) < min(ALIKE, len(kept)):
+            out.append(i)
+            for h in kept:
+                first[h].append(i)
+    return out
+
+
 def fitted(texts: list[str], toxic: list[bool], share: float) -> Field:
     """A field from labelled texts; share: of toxic ones among all labelled."""
+    own = different(texts)
+    texts, toxic = [texts[i] for i in own], [toxic[i] for i in own]
     y = np.array(toxic, bool)
     field = Field()
     field.share = share
