@@ -5,7 +5,9 @@ Listings read no content: `binaryFile` prunes it when only path, time and length
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,7 +32,9 @@ def unique() -> str:
 
 @cache
 def _own_folder(application: str) -> str:
-    return "file:" + tempfile.mkdtemp(prefix=f"pagetally-{application}-")
+    path = tempfile.mkdtemp(prefix=f"pagetally-{application}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file:{path}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
