@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from copy import copy
 from dataclasses import dataclass, replace
 from itertools import accumulate, product
 
@@ -71,19 +72,28 @@ SPACE = {
 }
 
 
-def per_file(df: DataFrame, names: list[str], solve: Callable[..., Iterable[tuple]], ddl: str) -> DataFrame:
-    """`solve` takes a file's columns, sorted by the first, and gives rows; the file's id is put before each."""
+def gathered(df: DataFrame, names: list[str], *more) -> DataFrame:
+    """A row per file: its id, its columns as arrays sorted by the first, and more aggregates."""
+    files = df.groupBy("pdf").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("p"), *more)
+    return files.select("pdf", *(F.col(f"p.{n}").alias(n) for n in names), *files.columns[2:])
+
+
+def solved(files: DataFrame, solve: Callable[[Iterable[tuple]], Iterable[tuple]], ddl: str) -> DataFrame:
+    """`solve` takes the rows of some files, a batch at a time, and gives rows."""
     made = T.StructType.fromDDL(ddl)
     out = to_arrow_schema(made)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(pdf, *r) for pdf, *own in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in solve(*own)]
-            if found:
+            if found := list(solve(zip(*(c.to_pylist() for c in b.columns), strict=True))):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
 
-    files = df.groupBy("pdf").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("p"))
-    return files.select("pdf", *(F.col(f"p.{n}").alias(n) for n in names)).mapInArrow(rows, made)
+    return files.mapInArrow(rows, made)
+
+
+def per_file(df: DataFrame, names: list[str], solve: Callable[..., Iterable[tuple]], ddl: str) -> DataFrame:
+    """`solve` takes a file's columns, sorted by the first, and gives rows; the file's id is put before each."""
+    return solved(gathered(df, names), lambda files: ((pdf, *r) for pdf, *own in files for r in solve(*own)), ddl)
 
 
 def autocorrelation_period(curr: np.ndarray) -> tuple[int | None, float]:
@@ -109,8 +119,9 @@ def _mode(values: Sequence) -> tuple[object, float]:
     """The most frequent value, the first seen of equals, and its share."""
     if not values:
         return None, 0.0
-    value, n = Counter(values).most_common(1)[0]
-    return value, n / len(values)
+    times = Counter(values)
+    value = max(times, key=times.get)
+    return value, times[value] / len(values)
 
 
 def _numbers(curr: Sequence[int | None]) -> np.ndarray:
@@ -158,6 +169,43 @@ def _before(page: Page | None, usual: int) -> Page:
 READ = ("direct", "manual")
 
 
+@dataclass
+class Ways:
+    """A run of unread pages filled from the left and from the right. What each costs: weights with the rules that they are
+    multiplied by, and whether it clashes at its border."""
+
+    a: int
+    b: int
+    made: tuple[list[Page], list[Page]]
+    terms: tuple[list[tuple[float, str]], list[tuple[float, str]]]
+    clashes: tuple[bool, bool]
+
+    def __post_init__(self):
+        start = [any(n == 1 for n, _ in made) for made in self.made]
+        self.on_tie = start[1] and not start[0]
+        self.alike = self.terms[0] == self.terms[1] and self.clashes[0] == self.clashes[1]
+
+    def backward(self, rules: Rules) -> bool:
+        """Whether the right one is cheaper; on a tie, the one with a start."""
+        if self.alike:
+            return self.on_tie
+        costs, clash = [], rules.clash * (rules.zone_scale if self.b - self.a >= rules.zone else 1.0)
+        for terms, clashes in zip(self.terms, self.clashes, strict=True):
+            cost = 0.0
+            for weight, rule in terms:
+                cost += weight * getattr(rules, rule)
+            costs.append(cost + clash * clashes)
+        return costs[1] < costs[0] or (costs[1] == costs[0] and self.on_tie)
+
+
+def supported(sure: float, support: float, agree: int, prior: float, rules: Rules) -> float:
+    """How sure an inferred page is with what other cycles, its neighbours and usual totals add."""
+    if support > 0.2 or agree == 2:
+        added = support * rules.by_period + agree * rules.by_neighbour + prior * rules.by_prior
+        return min(sure + min(added, rules.most_added), 0.75)
+    return sure
+
+
 class Inference:
     """One file's pages. `fill` solves runs of unread pages; `settle` weighs and corrects what was inferred."""
 
@@ -171,48 +219,71 @@ class Inference:
         seen = Counter(t for t in total if t is not None)
         self.prior = {t: n / seen.total() for t, n in seen.items()} or {2: 0.85, 3: 0.10, 1: 0.05}
         self.usual = max(self.prior, key=self.prior.get)
-        self._local: dict[int, tuple[int, float]] = {}
+        #: Totals as they are read now, and their modes around pages; all such of this file, by the window and the totals.
+        self._near: tuple[tuple[int | None, ...], dict[int, tuple[int | None, float]]] | None = None
+        self._all_near: dict[tuple, tuple] = {}
+
+    def under(self, rules: Rules) -> Inference:
+        """The same pages under other rules."""
+        x = copy(self)
+        x.rules, x.pages, x.kinds, x.sure, x._near = rules, list(self.pages), list(self.kinds), list(self.sure), None
+        return x
 
     def local(self, i: int) -> tuple[int, float]:
         """The total around a page if enough reads agree, else the file's, and the agreement."""
-        if i not in self._local:
-            near = range(max(0, i - self.rules.window), min(len(self.pages), i + self.rules.window + 1))
-            total, share = _mode([self.pages[j][1] for j in near if self.kinds[j] in READ and self.pages[j][1] is not None])
-            self._local[i] = (total if total is not None and share >= self.rules.agreement else self.usual, share)
-        return self._local[i]
+        if self._near is None:
+            read = self._totals()
+            self._near = self._all_near.setdefault((self.rules.window, read), (read, {}))
+        read, near = self._near
+        if i not in near:
+            own = [t for t in read[max(0, i - self.rules.window) : i + self.rules.window + 1] if t is not None]
+            total = max(dict.fromkeys(own), key=own.count, default=None)  # the first seen of equals
+            near[i] = total, own.count(total) / len(own) if own else 0.0
+        total, share = near[i]
+        return total if total is not None and share >= self.rules.agreement else self.usual, share
+
+    def _totals(self) -> tuple[int | None, ...]:
+        return tuple([t if k in READ else None for (_, t), k in zip(self.pages, self.kinds, strict=True)])
 
     def gaps(self) -> list[tuple[int, int]]:
-        failed = [0, *(int(k == "failed") for k in self.kinds), 0]
-        return list(zip(*(np.flatnonzero(np.diff(failed) == step).tolist() for step in (1, -1)), strict=True))
-
-    def _cost(self, made: list[Page], around: list[tuple[int, float]]) -> float:
-        cost = 0.0
+        found, start = [], None
+        for i, k in enumerate([*self.kinds, None]):
+            if k == "failed":
+                start = i if start is None else start
+            elif start is not None:
+                found.append((start, i))
+                start = None
+        return found
+
+    def _terms(self, made: list[Page], around: list[tuple[int, float]]) -> list[tuple[float, str]]:
+        terms = []
         for (number, total), (usual, share) in zip(made, around, strict=True):
             if total != usual:
-                cost += share * self.rules.off_total
+                terms.append((share, "off_total"))
             if number == 1 and self.period and self.period_sure > 0.3 and total != self.expected:
-                cost += self.period_sure * self.rules.off_period
-        return cost
+                terms.append((self.period_sure, "off_period"))
+        return terms
+
+    def ways(self, a: int, b: int) -> Ways:
+        """A run's two ways. The pages at its borders are not unread, so other runs do not matter."""
+        around = [self.local(i) for i in range(a, b)]
+        usuals = [u for u, _ in around]
+        left, right = self.pages[a - 1] if a else None, self.pages[b] if b < len(self.pages) else None
+        onward = list(accumulate(usuals, _after, initial=left if _known(left) else (None, None)))[1:]
+        if right is not None and right[0] == 1:
+            onward[-1] = (onward[-1][0], onward[-1][0])
+        back = list(accumulate(reversed(usuals), _before, initial=right if _known(right) else (None, None)))[:0:-1]
+        clashes = (_known(right) and not follows(onward[-1], right), _known(left) and not follows(left, back[0]))
+        return Ways(a, b, (onward, back), (self._terms(onward, around), self._terms(back, around)), clashes)
 
     def fill(self) -> Inference:
         """Each run is filled from the left and from the right; the cheaper one stays, on a tie the one with a start."""
         for a, b in self.gaps():
-            around = [self.local(i) for i in range(a, b)]
-            usuals = [u for u, _ in around]
-            left, right = self.pages[a - 1] if a else None, self.pages[b] if b < len(self.pages) else None
-            onward = list(accumulate(usuals, _after, initial=left if _known(left) else (None, None)))[1:]
-            if right is not None and right[0] == 1:
-                onward[-1] = (onward[-1][0], onward[-1][0])
-            back = list(accumulate(reversed(usuals), _before, initial=right if _known(right) else (None, None)))[:0:-1]
-            costs = [self._cost(onward, around), self._cost(back, around)]
-            clash = self.rules.clash * (self.rules.zone_scale if b - a >= self.rules.zone else 1.0)
-            costs[0] += clash * (_known(right) and not follows(onward[-1], right))
-            costs[1] += clash * (_known(left) and not follows(left, back[0]))
-            start = [any(n == 1 for n, _ in made) for made in (onward, back)]
-            backward = costs[1] < costs[0] or (costs[1] == costs[0] and start[1] and not start[0])
-            self.pages[a:b] = back if backward else onward
+            ways = self.ways(a, b)
+            backward = ways.backward(self.rules)
+            self.pages[a:b] = ways.made[backward]
             self.kinds[a:b] = ["inferred"] * (b - a)
-            self.sure[a:b] = [self.rules.backward if backward else self._start(share) if n == 1 else self.rules.forward for (n, _), (_, share) in zip(self.pages[a:b], around, strict=True)]
+            self.sure[a:b] = [self.rules.backward if backward else self._start(self.local(i)[1]) if self.pages[i][0] == 1 else self.rules.forward for i in range(a, b)]
         return self
 
     def _start(self, share: float) -> float:
@@ -228,8 +299,7 @@ class Inference:
                     if share >= self.rules.agreement and usual > 1:
                         self.sure[i] -= share
                         if self.sure[i] < self.rules.dropout:
-                            self.kinds[i], self.pages[i] = "failed", (None, None)
-            self._local.clear()
+                            self.kinds[i], self.pages[i], self._near = "failed", (None, None), None
         return self
 
     def last_resort(self) -> Inference:
@@ -263,7 +333,7 @@ class Inference:
         return self
 
     def _exclude(self, i: int) -> None:
-        self.kinds[i], self.pages[i] = "excluded", (None, None)
+        self.kinds[i], self.pages[i], self._near = "excluded", (None, None), None
 
     def _links(self, i: int) -> list[bool]:
         """Whether a page fits each neighbour that has a number and a total."""
@@ -301,27 +371,35 @@ class Inference:
         inferred = [i for i, k in enumerate(self.kinds) if k == "inferred"]
         if self.period is not None and self.period_sure > 0.3:
             for i in (i for i in inferred if self.sure[i] <= 0.60):
-                support, agree = self.evidence(i).get(self.pages[i], 0.0) * self.period_sure, sum(self._links(i))
-                if support > 0.2 or agree == 2:
-                    added = support * self.rules.by_period + agree * self.rules.by_neighbour + self.prior.get(self.pages[i][1], 0.0) * self.rules.by_prior
-                    self.sure[i] = min(self.sure[i] + min(added, self.rules.most_added), 0.75)
-        if self.period is not None and self.period_sure >= self.rules.least_period and self.expected is not None:
-            self._overrule(self.expected)
+                self.sure[i] = supported(self.sure[i], self.evidence(i).get(self.pages[i], 0.0) * self.period_sure, sum(self._links(i)), self.prior.get(self.pages[i][1], 0.0), self.rules)
+        agreed, wrong = self.contradicting()
+        if self.overruled(agreed, self.rules):
+            self.overrule(wrong)
         for i in doubtful:
             if self.kinds[i] == "inferred" and self.pages[i][0] == 1 and self.sure[i] < self.rules.least_start:
                 self._exclude(i)
         return self
 
-    def _overrule(self, expected: int) -> None:
-        """Where nearly all reads declare one total, the others get it, and the inferred pages after them go on from there."""
+    def contradicting(self) -> tuple[float, list[int]]:
+        """The share of reads that declare the expected total (0 without any), and those that declare another."""
         read = [i for i, k in enumerate(self.kinds) if k in READ and self.pages[i][1] is not None]
-        wrong = [i for i in read if self.pages[i][1] != expected]
-        if not read or (len(read) - len(wrong)) / len(read) < self.rules.least_share:
-            return
+        wrong = [i for i in read if self.pages[i][1] != self.expected]
+        return (len(read) - len(wrong)) / len(read) if read else 0.0, wrong
+
+    def overruled(self, agreed: float, rules: Rules) -> bool:
+        """Whether a file's period is clear enough, and enough reads agree, to overrule the others."""
+        return self.period is not None and self.period_sure >= rules.least_period and self.expected is not None and agreed >= rules.least_share
+
+    def overrule(self, wrong: list[int]) -> None:
+        """Reads that declare another total get the expected one, and the inferred pages after them go on from there."""
+        expected = self.expected
+        inferred = [i for i, k in enumerate(self.kinds) if k == "inferred" and self.local(i)]  # by the totals around as they were read
+        near = {i: self._near[1][i] for i in inferred}
         for i in wrong:
             number = self.pages[i][0]
             self.pages[i] = (number if number is not None and 1 <= number <= expected else 1, expected)
             self.kinds[i], self.sure[i] = "inferred", 0.50
+        self._near = self._totals(), near
         for i in wrong:
             for j in range(i + 1, len(self.pages)):
                 last = self.pages[j - 1]
@@ -332,6 +410,103 @@ class Inference:
                     self.sure[j] = self._start(self.local(j)[1])
 
 
+#: What the steps of a replay depend on, each on its own rules and on those before it; the last step depends on all.
+_STEPS = (("least_gap",), ("window", "agreement", "dropout"), ("off_total", "off_period", "clash", "zone", "zone_scale"), ("least_period", "least_share"))
+
+
+def stepwise(rules: Iterable[tuple[int, Rules]], steps: Sequence[tuple[str, ...]] = _STEPS) -> list:
+    """Numbered rules as a tree: those alike in a step's rules are one branch, with any of them."""
+    if not steps:
+        return list(rules)
+    parts: dict[tuple, list[tuple[int, Rules]]] = {}
+    for k, r in rules:
+        parts.setdefault(tuple(getattr(r, n) for n in steps[0]), []).append((k, r))
+    return [(own[0][1], stepwise(own, steps[1:])) for own in parts.values()]
+
+
+class _Filled:
+    """A file whose unread pages are filled in one way, and what settling it depends on."""
+
+    def __init__(self, before: Inference, ways: list[Ways], backward: Sequence[bool]):
+        self.x = x = before.under(before.rules)
+        self.backward: dict[int, bool] = {}
+        for w, back in zip(ways, backward, strict=True):
+            x.pages[w.a : w.b], x.kinds[w.a : w.b] = w.made[back], ["inferred"] * (w.b - w.a)
+            self.backward |= dict.fromkeys(range(w.a, w.b), back)
+        self.agreed, self.wrong = x.contradicting()
+        self.doubtful = [(i, before.local(i)[1], x._links(i), x.prior.get(x.pages[i][1], 0.0)) for i in x.doubtful()]
+        self._support: dict[int, float] = {}
+        self._over: Inference | None = None
+
+    def overruled(self, rules: Rules) -> bool:
+        return bool(self.wrong) and self.x.overruled(self.agreed, rules)
+
+    def pages(self, overruled: bool) -> Inference:
+        """Overruled or not; where overruling says anew how sure a page is, it is not None."""
+        if not overruled:
+            return self.x
+        if self._over is None:
+            self._over = self.x.under(self.x.rules)
+            self._over.sure = [None] * len(self.x.pages)
+            self._over.overrule(self.wrong)
+        return self._over
+
+    def support(self, i: int) -> float:
+        if i not in self._support:
+            self._support[i] = self.x.evidence(i).get(self.x.pages[i], 0.0) * self.x.period_sure
+        return self._support[i]
+
+    def unsure(self, overruled: bool, rules: Rules) -> tuple[int, ...]:
+        """The doubtful starts that are excluded; no other page's result depends on how sure it is."""
+        x, found = self.pages(overruled), []
+        for i, share, links, prior in self.doubtful:
+            if x.pages[i][0] != 1:
+                continue
+            sure = rules.start + share * rules.start_agreement
+            if not (overruled and x.sure[i] is not None):
+                sure = rules.backward if self.backward[i] else sure
+                if not all(links):
+                    sure = min(sure, rules.unfit)
+                if x.period is not None and x.period_sure > 0.3 and sure <= 0.60:
+                    sure = supported(sure, self.support(i), sum(links), prior, rules)
+            if sure < rules.least_start:
+                found.append(i)
+        return tuple(found)
+
+
+def replayed(curr: Sequence[int | None], total: Sequence[int | None], tree: list) -> Iterator[tuple[list[Page], list[str], list[int]]]:
+    """A file's pages and their kinds after all of inference, with the numbers of the rules that give them: each result once.
+    A step is done once for all rules that are alike in what it depends on, or that come to the same before it."""
+    first, before, results = Inference(curr, total), {}, {}
+    for rules, branches in tree:
+        parted = first.under(rules).part_starts()
+        for rules, branches in branches:  # noqa: B020, PLW2901
+            x = parted.under(rules).drop_odd()
+            gaps = x.gaps()
+            key = (tuple(x.kinds), tuple(x.local(i) for a, b in gaps for i in range(a, b)))
+            if key not in before:
+                before[key] = (x, [x.ways(a, b) for a, b in gaps], {})
+            x, ways, fills = before[key]
+            for rules, branches in branches:  # noqa: B020, PLW2901
+                backward = tuple([w.backward(rules) for w in ways])
+                if backward not in fills:
+                    fills[backward] = _Filled(x, ways, backward)
+                filled = fills[backward]
+                for rules, own in branches:  # noqa: B020, PLW2901
+                    overruled = filled.overruled(rules)
+                    if filled.doubtful:
+                        for k, r in own:
+                            results.setdefault((filled, overruled, filled.unsure(overruled, r)), []).append(k)
+                    else:
+                        results.setdefault((filled, overruled, ()), []).extend([k for k, _ in own])
+    for (filled, overruled, unsure), own in results.items():
+        x = filled.pages(overruled)
+        pages, kinds = list(x.pages), list(x.kinds)
+        for i in unsure:
+            pages[i], kinds[i] = (None, None), "excluded"
+        yield pages, kinds, own
+
+
 def w07_autocorrelation(s) -> DataFrame:
     def solve(page, curr):
         period, strength = autocorrelation_period(_numbers(curr))
@@ -506,14 +681,20 @@ REPLAYED = [PRODUCTION, *(replace(PRODUCTION, **{k: v}) for k, values in SPACE.i
 def w27_rule_replay(s, rules: Sequence[Rules] = tuple(REPLAYED)) -> DataFrame:
     """Documents, inferred and excluded pages of all files under each set of rules, and files whose documents are as many as they truly are."""
 
-    def solve(page, curr, total, true_curr):
-        truth = sum(c == 1 for c in true_curr)
-        for k, own in enumerate(rules):
-            x = Inference(curr, total, own).part_starts().drop_odd().fill().settle()
-            yield k, sum(n == 1 for n, _ in x.pages), x.kinds.count("inferred"), x.kinds.count("excluded"), int(sum(n == 1 for n, _ in x.pages) == truth)
+    tree = stepwise(enumerate(rules))
+
+    def solve(files):
+        sums = np.zeros((len(rules), 5), np.int64)  # of a batch, by rules
+        for _, _, curr, total, true_curr in files:
+            truth = sum(c == 1 for c in true_curr)
+            for pages, kinds, own in replayed(curr, total, tree):
+                n = sum(n == 1 for n, _ in pages)
+                sums[own] += (n, kinds.count("inferred"), kinds.count("excluded"), n == truth, 1)
+        return [(k, *own) for k, own in enumerate(sums.tolist()) if own[-1]]
 
-    found = per_file(s["page_reads"], ["page", "curr", "total", "true_curr"], solve, "pdf bigint, config int, documents int, inferred int, excluded int, exact int")
-    return found.groupBy("config").agg(*(F.sum(c).alias(c) for c in ("documents", "inferred", "excluded", "exact")), F.count("*").alias("files"))
+    names = ("documents", "inferred", "excluded", "exact", "files")
+    found = solved(gathered(s["page_reads"], ["page", "curr", "total", "true_curr"]), solve, "config int, " + ", ".join(f"{n} bigint" for n in names))
+    return found.groupBy("config").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def _merge(doc, pages, inferred, total, read_start) -> Iterable[tuple]:

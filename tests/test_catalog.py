@@ -141,6 +141,28 @@ def test_replayed_rules(spark):
         assert got[k].excluded == sum(x.kinds.count("excluded") for x in runs)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.none() | st.integers(0, 5), st.none() | st.integers(1, 4)), max_size=30), st.integers(1, 4), st.lists(st.fixed_dictionaries({k: st.sampled_from(v) for k, v in SPACE.items()}), max_size=8))
+def test_replays_of_a_file_equal_single_runs(odd, period, drawn):
+    """Odd reads, and odd ones among regular ones; every set that is replayed, and any mixture of values."""
+    regular = [(c, t) if i % 3 == 0 else (i % period + 1, period) for i, (c, t) in enumerate(odd)]
+    rules = [*REPLAYED, *(Rules(**own) for own in drawn)]
+    tree = inference.stepwise(enumerate(rules))
+    for reads in (odd, regular):
+        curr, total = [c for c, _ in reads], [None if c is None else t for c, t in reads]
+        got = {k: (pages, kinds) for pages, kinds, own in inference.replayed(curr, total, tree) for k in own}
+        runs = [Inference(curr, total, r).part_starts().drop_odd().fill().settle() for r in rules]
+        assert got == {k: (x.pages, x.kinds) for k, x in enumerate(runs)}
+
+
+def test_a_replay_passes_on_sums(spark):
+    """One row a set of rules and batch, not one a file."""
+    found = inference.w27_rule_replay(Session(spark, DIR), (PRODUCTION, Rules()))
+    made = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in made and "files#" in made.partition("MapInArrow")[2]
+    assert {r.config: r.files for r in found.collect()} == dict.fromkeys((0, 1), Session(spark, DIR)["true_counts"].count())
+
+
 def test_dropped_reads_last_resorts_and_close_starts():
     curr, total = [1, 2, 3, 1, 2, 3, 1, 1, 2, 3, 1, 2, 3], [3] * 6 + [1] + [3] * 6
     x = Inference(curr, total, Rules(dropout=0.3)).drop_odd()
