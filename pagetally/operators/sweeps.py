@@ -3,7 +3,8 @@
 A configuration is a place in each parameter's list of values. The first round draws them by hash, one value a parameter,
 each value of a parameter as often as any other (so the draws of all cover every value where there are enough). Each later
 round takes those neighbours of the best that are one step away in one parameter and not yet scored. A round scores its
-configurations on every file at once and adds one row each to the written scores, which is all that the next round reads.
+configurations on every file at once, what they share once, and adds one row each to the written scores, which is all
+that the next round reads of it. Files are gathered, with their true counts, once a search.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import scratch
-from .inference import PRODUCTION, SPACE, Inference, Rules, per_file
+from .inference import PRODUCTION, SPACE, Page, Rules, gathered, replayed, solved, stepwise
 
 #: The seed, and what a search keeps after its first and second rounds, and in the end.
 SEED = 42
@@ -51,7 +52,7 @@ def rules(values: dict[str, tuple], config: Config) -> Rules:
     return replace(PRODUCTION, **{name: own[k] for (name, own), k in zip(values.items(), config, strict=True)})
 
 
-def outcome(x: Inference) -> tuple[int, int, int]:
+def outcome(pages: Sequence[Page], kinds: Sequence[str]) -> tuple[int, int, int]:
     """Documents, complete ones and inferred pages of a settled file."""
     documents = complete = place = 0
     declared, whole = None, True
@@ -59,7 +60,7 @@ def outcome(x: Inference) -> tuple[int, int, int]:
     def closed() -> int:
         return int(declared is not None and whole and place == declared)
 
-    for (number, total), kind in zip(x.pages, x.kinds, strict=True):
+    for (number, total), kind in zip(pages, kinds, strict=True):
         if number is None:
             continue
         if number == 1:
@@ -68,7 +69,7 @@ def outcome(x: Inference) -> tuple[int, int, int]:
         elif documents:
             place += 1
             whole &= kind == "inferred" or (number == place and total == declared)
-    return documents, complete + closed(), x.kinds.count("inferred")
+    return documents, complete + closed(), kinds.count("inferred")
 
 
 #: As a sweep weighs files: the real ones (every third) by documents and complete ones, the others by inferred pages too.
@@ -77,31 +78,44 @@ _COMPOSITE = """
         - CASE WHEN real THEN 3 * d ELSE d END - CASE WHEN real THEN greatest(0, true_complete - complete) ELSE abs(n_inferred - true_inferred) END - CASE WHEN passed_before AND NOT passed THEN 5 ELSE 0 END) AS BIGINT) AS composite,
       CAST(sum(d) AS BIGINT) AS delta, count_if(passed_before AND NOT passed) AS regressions
     FROM (SELECT *, d = 0 AND (real OR complete = true_complete) AS passed, b_documents = true_documents AND (real OR b_complete = true_complete) AS passed_before
-      FROM (SELECT c.*, abs(c.documents - t.documents) AS d, c.pdf % 3 = 0 AS real, t.documents AS true_documents, t.complete AS true_complete, t.failed AS true_inferred FROM {c} AS c JOIN {t} AS t ON t.pdf = c.pdf) AS x) AS y
+      FROM (SELECT *, abs(documents - true_documents) AS d, pdf % 3 = 0 AS real FROM {c}) AS x) AS y
     GROUP BY config"""
 
 
-def scored(s, values: dict[str, tuple], configs: Sequence[Config]) -> DataFrame:
+def with_truth(s) -> DataFrame:
+    """A row per file: its reads as arrays and what `true_counts` says of it, written once."""
+    path = scratch(s.spark, "sweep-files")
+    truth = [F.expr(f"{c} AS {n}") for c, n in (("count_if(true_curr = 1)", "true_documents"), ("count_if(true_curr = period)", "true_complete"), ("count_if(method = 'failed')", "true_inferred"))]
+    files = gathered(s["page_reads"], ["page", "curr", "total"], *truth).drop("page")
+    files.write.parquet(path)
+    return s.spark.read.schema(files.schema).parquet(path)
+
+
+_COUNTS = "pdf bigint, config string, documents int, complete int, n_inferred int, b_documents int, b_complete int, true_documents bigint, true_complete bigint, true_inferred bigint"
+
+
+def scored(files: DataFrame, values: dict[str, tuple], configs: Sequence[Config]) -> DataFrame:
     """config (its places, as text), composite, delta, regressions of each configuration over all files, against PRODUCTION."""
-    own = [(",".join(map(str, c)), rules(values, c)) for c in configs]
+    names = [",".join(map(str, c)) for c in configs]
+    tree = stepwise(enumerate([*(rules(values, c) for c in configs), PRODUCTION]))
 
-    def solve(page, curr, total):
-        run = lambda r: outcome(Inference(curr, total, r).part_starts().drop_odd().fill().settle())
-        base = run(PRODUCTION)
-        for name, r in own:
-            yield (name, *run(r), base[0], base[1])
+    def solve(rows):
+        for pdf, curr, total, *truth in rows:
+            found = {k: got for *x, own in replayed(curr, total, tree) for got in [outcome(*x)] for k in own}
+            base = found.pop(len(names))
+            for k, got in found.items():
+                yield (pdf, names[k], *got, *base[:2], *truth)
 
-    counts = per_file(s["page_reads"], ["page", "curr", "total"], solve, "pdf bigint, config string, documents int, complete int, n_inferred int, b_documents int, b_complete int")
-    return s.spark.sql(_COMPOSITE, c=counts, t=s["true_counts"])
+    return files.sparkSession.sql(_COMPOSITE, c=solved(files, solve, _COUNTS))
 
 
 def searched(s, values: dict[str, tuple], n: int, keep: Sequence[int]) -> DataFrame:
     """config, composite, delta, regressions, round of all that a search scores."""
-    path, seen, todo = scratch(s.spark, "sweep"), set(), list(dict.fromkeys(drawn(values, n)))
+    path, seen, todo, files = scratch(s.spark, "sweep"), set(), list(dict.fromkeys(drawn(values, n))), with_truth(s)
     ddl = "config string, composite bigint, delta bigint, regressions bigint, round int"
     for k in range(len(keep) + 1):
         if todo:
-            scored(s, values, todo).withColumn("round", F.lit(k)).write.mode("overwrite").parquet(f"{path}/round={k}.parquet")
+            scored(files, values, todo).withColumn("round", F.lit(k)).write.mode("overwrite").parquet(f"{path}/round={k}.parquet")
             seen |= set(todo)
         rounds = [f"{path}/round={j}.parquet" for j in range(k + 1) if j == 0 or todo or j < k]
         scores = s.spark.read.schema(ddl).parquet(*rounds)

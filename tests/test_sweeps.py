@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pagetally import catalog
 from pagetally.functions import text
-from pagetally.operators import sweeps
+from pagetally.operators import inference, sweeps
 from pagetally.operators.inference import PRODUCTION, Inference
 from pagetally.plans.relations import Session
 
@@ -81,6 +81,27 @@ def test_a_search_equals_a_plain_loop(spark):
     assert [tuple(map(int, r.config.split(","))) for r in sweeps.top(scores, 5).collect()] == best(5)
 
 
+def test_a_search_gathers_files_once(spark, monkeypatch):
+    s, made = Session(spark, DIR), []
+    whole = sweeps.gathered
+    monkeypatch.setattr(sweeps, "gathered", lambda *x: made.append(1) or whole(*x))
+    scores = sweeps.searched(s, sweeps.space(("start", "window")), 3, (1, 1))
+    assert made == [1] and scores.select("round").distinct().count() == 3
+    files = {r.pdf: (r.true_documents, r.true_complete, r.true_inferred) for r in sweeps.with_truth(s).collect()}
+    assert files == {r.pdf: (r.documents, r.complete, r.failed) for r in s["true_counts"].collect()}
+
+
+def test_configurations_of_a_file_share_their_steps(monkeypatch):
+    """Its period is found once a file, not once a configuration."""
+    made, whole = [], inference.file_period
+    monkeypatch.setattr(inference, "file_period", lambda *x: made.append(1) or whole(*x))
+    values = sweeps.space()
+    rules = [sweeps.rules(values, c) for c in sweeps.drawn(values, 20)]
+    curr, total = [1, None, 3, 1, 2, None, None, 2, 3], [3, None, 3, 3, 4, None, None, 3, 3]
+    got = {k: sweeps.outcome(pages, kinds) for pages, kinds, own in inference.replayed(curr, total, inference.stepwise(enumerate(rules))) for k in own}
+    assert made == [1] and set(got) == set(range(20))
+
+
 def test_neighbours_of_the_best(spark):
     values = sweeps.space()
     s = Session(spark, DIR)
