@@ -32,7 +32,7 @@ def _folders(s) -> str:
 
 def s01_list_files(s) -> DataFrame:
     """A folder per cell: every file of one ending, at any depth, with its length."""
-    found = files.list_files(s.spark, _folders(s), "*.{pdf,PDF}")
+    found = files.listed_by_tasks(s.spark, _folders(s)).filter(F.lower("path").endswith(".pdf"))
     part = lambda k: F.element_at(F.split("path", "/"), k)
     return found.select(part(-3).alias("hospital"), part(-2).alias("sigla"), part(-1).alias("file"), (F.col("length") > 20).alias("whole"))
 

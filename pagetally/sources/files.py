@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pdf import opened
 from .replacing import Replacing
 
 FIXTURE = "name string, source string, description string, base_fixture string, degraded_pages array<int>, reads array<struct<pdf_page: int, curr: int, total: int, method: string, confidence: double>>"
@@ -54,6 +56,31 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Data
     return files.select("path", F.col("modificationTime").alias("modified"), "length")
 
 
+def listed_by_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """path and length of every file at any depth, listed in tasks, for trees that a driver cannot hold. Level by level,
+    each folder by one task; what a level has is written before the next is listed. `folder` is where pyarrow can read."""
+    shape = pa.schema([("path", pa.string()), ("length", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = opened(folder)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(path))
+                for s in range(0, len(found), 10_000):
+                    some = found[s : s + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([f.path for f in some], pa.string()), pa.array([f.size if f.is_file else None for f in some], pa.int64())], schema=shape)
+
+    out, levels = scratch(spark, "listing"), []
+    todo = spark.createDataFrame([(opened(folder)[1],)], "path string")
+    while True:
+        levels.append(f"{out}/level={len(levels)}")
+        todo.mapInArrow(run, "path string, length bigint").write.parquet(levels[-1])
+        folders = spark.read.schema("path string, length bigint").parquet(levels[-1]).filter("length is null").select("path")
+        if folders.isEmpty():
+            return spark.read.schema("path string, length bigint").parquet(*levels).filter("length is not null")
+        todo = folders.repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 def stale_files(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Files whose page count isn't cached for their time and length; failures were never cached."""
     return files.join(cache, ["path", "modified", "length"], "left_anti")

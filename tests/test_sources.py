@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from pagetally import catalog
 from pagetally.sources import files, pdf
 from pagetally.sources.replacing import Replacing
 
@@ -65,6 +66,29 @@ def test_files_read_as_a_source(spark, tmp_path):
     assert spark.read.format("pdf_pages").load(f"file:{tmp_path}/empty").collect() == []
 
 
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    """All depths, empty folders and none; every folder is listed in a task."""
+    folder = f"file:{tmp_path}/in"
+    rows = [(f"a/b{i % 3}/{i}.pdf", i % 7) for i in range(40)] + [("c.PDF", 2), ("d.txt", 5), ("e/f/g/h/i é %20.pdf", 3), ("_x/.y.pdf", 1)]
+    pdf.write_pdfs(spark.createDataFrame(rows, "path string, pages int").repartition(3), folder).count()
+    os.makedirs(f"{tmp_path}/in/empty/also")
+    listed = files.listed_by_tasks(spark, folder)
+    got = {os.path.relpath(r.path, f"{tmp_path}/in"): r.length for r in listed.collect()}
+    assert got == {path: os.path.getsize(f"{tmp_path}/in/{path}") for path, _ in rows} and listed.count() == len(rows)
+    assert files.listed_by_tasks(spark, f"file:{tmp_path}/in/empty").collect() == []
+
+
+@pytest.mark.parametrize("name", ["s01_list_files"])
+def test_the_driver_holds_no_listing(spark, monkeypatch, name):
+    def refused(*_, **__):
+        raise AssertionError("a listing of all files on the driver")
+
+    monkeypatch.setattr(files, "list_files", refused)
+    monkeypatch.setattr(pdf.PdfPages, "reader", refused)
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and "pdf_pages" not in plan
+
+
 def test_outputs_are_replaced_as_a_whole(spark, tmp_path):
     spark.dataSource.register(Replacing)
     out = f"{tmp_path}/out"
