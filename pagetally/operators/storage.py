@@ -39,8 +39,8 @@ def s01_list_files(s) -> DataFrame:
 
 def s06_page_counts(s) -> DataFrame:
     """Pages of files by their page trees; none, or 0, where a file cannot be read."""
-    s.spark.dataSource.register(pdf.PdfPages)
-    found = s.spark.read.format("pdf_pages").option("pathGlobFilter", "*").load(_folders(s))
+    folder = _folders(s)
+    found = pdf.pages_of(files.listed_by_tasks(s.spark, folder), folder)
     id = F.split_part(F.element_at(F.split("path", "/"), -1), F.lit("_"), F.lit(1)).cast("bigint")
     return found.select(id.alias("id"), F.col("pages").alias("page_count"), F.coalesce("pages", F.lit(0)).alias("page_count_or_zero"))
 

@@ -75,10 +75,12 @@ def test_trees_are_listed_by_tasks(spark, tmp_path):
     listed = files.listed_by_tasks(spark, folder)
     got = {os.path.relpath(r.path, f"{tmp_path}/in"): r.length for r in listed.collect()}
     assert got == {path: os.path.getsize(f"{tmp_path}/in/{path}") for path, _ in rows} and listed.count() == len(rows)
+    pages = {os.path.relpath(r.path, f"{tmp_path}/in"): (r.pages, r.error is None) for r in pdf.pages_of(listed, folder).collect()}
+    assert pages == {path: (n or None, n > 0) for path, n in rows}
     assert files.listed_by_tasks(spark, f"file:{tmp_path}/in/empty").collect() == []
 
 
-@pytest.mark.parametrize("name", ["s01_list_files"])
+@pytest.mark.parametrize("name", ["s01_list_files", "s06_page_counts"])
 def test_the_driver_holds_no_listing(spark, monkeypatch, name):
     def refused(*_, **__):
         raise AssertionError("a listing of all files on the driver")
