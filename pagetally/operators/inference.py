@@ -209,13 +209,14 @@ def supported(sure: float, support: float, agree: int, prior: float, rules: Rule
 class Inference:
     """One file's pages. `fill` solves runs of unread pages; `settle` weighs and corrects what was inferred."""
 
-    def __init__(self, curr: Sequence[int | None], total: Sequence[int | None], rules: Rules = Rules(), kinds: Sequence[str] | None = None):
-        """kinds: of each page `direct` or `manual` (as sure as can be), `failed` or `excluded`; by default as read or not."""
+    def __init__(self, curr: Sequence[int | None], total: Sequence[int | None], rules: Rules = Rules(), kinds: Sequence[str] | None = None, period: tuple | None = None):
+        """kinds: of each page `direct` or `manual` (as sure as can be), `failed` or `excluded`; by default as read or not.
+        period: `file_period`, where it is known."""
         self.rules = rules
         self.pages: list[Page] = list(zip(curr, total, strict=True))
         self.kinds = list(kinds) if kinds else ["failed" if c is None else "direct" for c in curr]
         self.sure = [0.0 if k == "failed" else 1.0 for k in self.kinds]
-        self.period, self.period_sure, self.expected = file_period(curr, total)
+        self.period, self.period_sure, self.expected = period or file_period(curr, total)
         seen = Counter(t for t in total if t is not None)
         self.prior = {t: n / seen.total() for t, n in seen.items()} or {2: 0.85, 3: 0.10, 1: 0.05}
         self.usual = max(self.prior, key=self.prior.get)
@@ -474,10 +475,10 @@ class _Filled:
         return tuple(found)
 
 
-def replayed(curr: Sequence[int | None], total: Sequence[int | None], tree: list) -> Iterator[tuple[list[Page], list[str], list[int]]]:
+def replayed(curr: Sequence[int | None], total: Sequence[int | None], tree: list, period: tuple | None = None) -> Iterator[tuple[list[Page], list[str], list[int]]]:
     """A file's pages and their kinds after all of inference, with the numbers of the rules that give them: each result once.
     A step is done once for all rules that are alike in what it depends on, or that come to the same before it."""
-    first, before, results = Inference(curr, total), {}, {}
+    first, before, results = Inference(curr, total, period=period), {}, {}
     for rules, branches in tree:
         parted = first.under(rules).part_starts()
         for rules, branches in branches:  # noqa: B020, PLW2901

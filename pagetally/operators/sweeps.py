@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import scratch
-from .inference import PRODUCTION, SPACE, Page, Rules, gathered, replayed, solved, stepwise
+from .inference import PRODUCTION, SPACE, Page, Rules, gathered, file_period, replayed, solved, stepwise
 
 #: The seed, and what a search keeps after its first and second rounds, and in the end.
 SEED = 42
@@ -78,20 +78,31 @@ _COMPOSITE = """
         - CASE WHEN real THEN 3 * d ELSE d END - CASE WHEN real THEN greatest(0, true_complete - complete) ELSE abs(n_inferred - true_inferred) END - CASE WHEN passed_before AND NOT passed THEN 5 ELSE 0 END) AS BIGINT) AS composite,
       CAST(sum(d) AS BIGINT) AS delta, count_if(passed_before AND NOT passed) AS regressions
     FROM (SELECT *, d = 0 AND (real OR complete = true_complete) AS passed, b_documents = true_documents AND (real OR b_complete = true_complete) AS passed_before
-      FROM (SELECT *, abs(documents - true_documents) AS d, pdf % 3 = 0 AS real FROM {c}) AS x) AS y
+      FROM (SELECT *, abs(documents - true_documents) AS d, pdf % 3 = 0 AS real, explode(configs) AS config FROM {c}) AS x) AS y
     GROUP BY config"""
 
 
+_TRUTH = "true_documents bigint, true_complete bigint, true_inferred bigint"
+_FILES = f"pdf bigint, curr array<int>, total array<int>, period int, period_sure double, expected int, {_TRUTH}"
+
+
 def with_truth(s) -> DataFrame:
-    """A row per file: its reads as arrays and what `true_counts` says of it, written once."""
+    """A row per file: its reads as arrays, its period and what `true_counts` says of it, written once."""
     path = scratch(s.spark, "sweep-files")
     truth = [F.expr(f"{c} AS {n}") for c, n in (("count_if(true_curr = 1)", "true_documents"), ("count_if(true_curr = period)", "true_complete"), ("count_if(method = 'failed')", "true_inferred"))]
-    files = gathered(s["page_reads"], ["page", "curr", "total"], *truth).drop("page")
+    read = gathered(s["page_reads"], ["page", "curr", "total"], *truth).drop("page")
+
+    def solve(rows):
+        for pdf, curr, total, *more in rows:
+            yield (pdf, curr, total, *file_period(curr, total), *more)
+
+    files = solved(read, solve, _FILES)
     files.write.parquet(path)
     return s.spark.read.schema(files.schema).parquet(path)
 
 
-_COUNTS = "pdf bigint, config string, documents int, complete int, n_inferred int, b_documents int, b_complete int, true_documents bigint, true_complete bigint, true_inferred bigint"
+#: Of each file, configurations with the same result together.
+_COUNTS = f"pdf bigint, configs array<string>, documents int, complete int, n_inferred int, b_documents int, b_complete int, {_TRUTH}"
 
 
 def scored(files: DataFrame, values: dict[str, tuple], configs: Sequence[Config]) -> DataFrame:
@@ -100,11 +111,11 @@ def scored(files: DataFrame, values: dict[str, tuple], configs: Sequence[Config]
     tree = stepwise(enumerate([*(rules(values, c) for c in configs), PRODUCTION]))
 
     def solve(rows):
-        for pdf, curr, total, *truth in rows:
-            found = {k: got for *x, own in replayed(curr, total, tree) for got in [outcome(*x)] for k in own}
-            base = found.pop(len(names))
-            for k, got in found.items():
-                yield (pdf, names[k], *got, *base[:2], *truth)
+        for pdf, curr, total, period, sure, expected, *truth in rows:
+            found = [(outcome(*x), own) for *x, own in replayed(curr, total, tree, (period, sure, expected))]
+            base = next(got for got, own in found if len(names) in own)
+            for got, own in found:
+                yield (pdf, [names[k] for k in own if k < len(names)], *got, *base[:2], *truth)
 
     return files.sparkSession.sql(_COMPOSITE, c=solved(files, solve, _COUNTS))
 
