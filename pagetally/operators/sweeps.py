@@ -98,7 +98,8 @@ def with_truth(s) -> DataFrame:
 
     files = solved(read, solve, _FILES)
     files.write.parquet(path)
-    return s.spark.read.schema(files.schema).parquet(path)
+    whole = s.spark.read.schema(files.schema).parquet(path)
+    return whole.repartition(4 * s.spark.sparkContext.defaultParallelism, "pdf")  # small files, much work
 
 
 #: Of each file, configurations with the same result together.
