@@ -6,12 +6,17 @@ reverse order, so that all that begin alike are neighbours, longer ones first: o
 then gives the count of every prefix, that is of every phrase. (Counts within a batch are sums over runs of neighbours;
 the stack is what a batch leaves open to the next.) Counts of a phrase's parts are joined afterwards.
 
-Three things keep the shuffle small and even, and none changes a count:
-
-* Words are counted first, and the hashes of pairs of frequent words. A word or pair under the least count is in no
-  candidate, so pieces are cut there, and suffixes of one word are not sent. Tasks know the frequent words and pairs by
-  one bit each of a map of FILTER_BITS, so what is broadcast has a fixed size; words or pairs that share a hash or a bit
-  by chance only send more suffixes.
+Four things keep the shuffle small and even, and none changes a count:
+
+* Words are counted first. A word under the least count is in no candidate, so pieces are cut there. Frequent words are
+  numbered, the most frequent first, as small numbers shuffle best; tasks know them by their 64-bit hashes, 12 bytes a
+  frequent word. The salt of the hashes is one with which no other word of the table has the hash of a frequent one, so
+  numbers are exact.
+* Triples of frequent words, and pairs without a third one, are dealt by their pair as numbers, counted by ordinary
+  aggregations (a pair by all that begins with it) and named by joins. Only
+  suffixes of LEAST_SENT words and more travel as text, and only those all of whose triples are frequent. Tasks know the
+  frequent triples by one bit each of a map of FILTER_BITS, so what is broadcast of them has a fixed size; triples that
+  share a bit by chance only send more suffixes.
 * Equal suffixes of a task travel once, with their number.
 * A beginning of one to `longest` - 1 words that more suffixes have than a SLICE-th of a partition, judged by every
   SOME-th section of text, is hot; there are at most SLICE a partition of each length. Suffixes are dealt by their
@@ -28,7 +33,9 @@ of any length are read in pieces. Only lang and text are read, so other columns
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -44,11 +51,13 @@ from pyspark.sql.window import Window
 from .common import arrow_schema, bound, n_parts, release, schema, segments, staged
 
 FILTER_BITS = 1 << 27
+#: Words of the shortest suffixes that travel as text; shorter phrases are counted as numbers of words.
+LEAST_SENT = 4
 SLICE = 4
 SOME = 32
 #: Words are counted, and remembered, in a task's memory up to so many before they are passed on; suffixes likewise.
 HELD = 200_000
-HELD_SUFFIXES = 2_000_000
+HELD_SUFFIXES = 4_000_000
 #: Of a text, cut at the next break.
 AT_ONCE = 1 << 20
 BREAKS = re.compile(rb"[.,;:!?\n-\r]")
@@ -56,7 +65,9 @@ _TO_BREAK = bytes(0 if BREAKS.match(bytes([i])) else i for i in range(256))
 BREAK = b"\0"
 #: n_words 0: a word, counted; 1 and more: a beginning, counted in some sections (the empty one: all words of these).
 COUNTS = schema("lang string, n_words int, word binary, n bigint")
-PAIRS = schema("pair bigint, n bigint")
+#: pair: the numbers of its first two words, 32 bits each; third: that of its third word, 0 for none.
+GRAMS = schema("pair bigint, third int, n bigint")
+NUMBERED = schema("lang string, word binary, n bigint, id int")
 SUFFIXES = schema("lang string, dealt bigint, hot int, suffix binary, n bigint")
 PHRASES = schema("lang string, phrase binary, n_words int, n bigint, whole boolean")
 
@@ -138,22 +149,71 @@ def _words(longest: int, slices: int):
     return run
 
 
-def _seed(lang: str) -> int:
-    return xxhash.xxh32_intdigest(lang)
+def _hash(salt: int) -> Column:
+    return F.xxhash64(F.lit(str(salt)), "lang", "word")
+
+
+def _seed(salt: int, lang: str) -> int:
+    """xxh64 of a word with this seed is what _hash gives."""
+    return xxhash.xxh64_intdigest(lang, xxhash.xxh64_intdigest(str(salt), 42))
+
+
+class _Numbers:
+    """Frequent words of all languages, known by their hashes, in order: numbers from 1, the most frequent word's."""
+
+    def __init__(self, salt: int, hashes: np.ndarray, n: np.ndarray):
+        order = np.argsort(hashes)
+        self.salt, self.hashes, self.ids = salt, hashes[order], np.empty(len(n), np.int32)
+        self.ids[np.argsort(-n[order], kind="stable")] = np.arange(1, len(n) + 1)
 
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of some hashes; 0 for those of no frequent word."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.ids[at], 0)
 
-def _bit(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, _seed(lang)) % FILTER_BITS
+    def bits(self) -> np.ndarray:
+        """A map that spares most searches for other words."""
+        own, at = np.zeros(FILTER_BITS // 64, np.uint64), self.hashes.view(np.uint64) % np.uint64(FILTER_BITS)
+        np.bitwise_or.at(own, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        return own
 
 
-def _pairs(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of words, given by their own hashes."""
-    x = first * np.uint64(0x9E3779B97F4A7C15) + second + np.uint64(_seed(lang))
-    return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+def _met(numbers):
+    """Of words' hashes, those of frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(numbers.value.of(b.column(0).to_numpy()) > 0))
+
+    return run
+
 
+def _numbers(words: DataFrame, common: DataFrame):
+    """The broadcast numbers of common words, by the first salt with which no other word has the hash of one of them."""
+    for salt in itertools.count():
+        own = _hash(salt).alias("hash")
+        hashes, n = (c.to_numpy() for c in common.select(own, "n").toArrow().columns)
+        numbers = bound(common.sparkSession, _Numbers(salt, hashes, n))
+        if words.select(own).mapInArrow(_met(numbers), "hash bigint").count() == len(n):
+            return numbers
 
-def _pair_bits(pairs: np.ndarray) -> np.ndarray:
-    return (pairs >> np.uint64(32)).astype(np.int64) % FILTER_BITS
+
+def _numbered(numbers):
+    shape = arrow_schema(NUMBERED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(numbers.value.of(b.column(3).to_numpy()))], schema=shape)
+
+    return run
+
+
+def _triple_bits(pair: np.ndarray, third: np.ndarray) -> np.ndarray:
+    x = pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + third.astype(np.uint64)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(32)).astype(np.int64) % FILTER_BITS
 
 
 def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -161,86 +221,91 @@ def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bits of frequent words (lang, word) or pairs (hash), as those 64-bit parts of the map that are not 0."""
+    """The bits of triples (pair, third), as those 64-bit parts of the map that are not 0."""
     own = np.zeros(FILTER_BITS // 64, np.uint64)
     for b in batches:
-        if b.num_columns == 1:
-            at = _pair_bits(b.column(0).to_numpy().view(np.uint64))
-        else:
-            at = np.array([_bit(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], np.int64)
+        at = _triple_bits(b.column(0).to_numpy(), b.column(1).to_numpy())
         np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
     at = np.flatnonzero(own)
     for s in range(0, len(at), 65536):
         yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 65536], pa.int64()), pa.array(own[at[s : s + 65536]].view(np.int64))], names=["at", "bits"])
 
 
-def _bit_map(phrases: DataFrame) -> np.ndarray:
-    """The map of all given words (lang, word) or pairs (hash)."""
+def _bit_map(triples: DataFrame) -> np.ndarray:
+    """The map of all given triples (pair, third)."""
     own = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in phrases.mapInArrow(_bits, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # at most FILTER_BITS / 64
+    for r in triples.mapInArrow(_bits, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # at most FILTER_BITS / 64
         own[r.at] = r.bits & (1 << 64) - 1
     return own
 
 
 class _Codes(dict):
-    """Numbers of a task's frequent words, from 1; 0 for all others."""
+    """A task's own numbers of its frequent words, from 1; 0 for all others."""
 
-    def __init__(self, lang: str, frequent: np.ndarray, hot: list[tuple[bytes, ...]]):
+    def __init__(self, lang: str, numbers: _Numbers, bits: np.ndarray, hot: list[tuple[bytes, ...]]):
         """hot: hot beginnings, by length."""
-        self.lang, self.frequent, self.words, self.hashes = lang, frequent, [b""], [0]
+        self.lang, self.seed, self.numbers, self.bits = lang, _seed(numbers.salt, lang), numbers, bits
+        #: Of each own number: the word, its hash and its number among all frequent words.
+        self.words, self.hashes, self.ids = [b""], [0], [0]
         self[BREAK] = 0
         #: Of each length of hot beginnings: the one without its last word (by its place, from 1) and that word, in order.
         self.levels: list[np.ndarray] = []
         places: dict[tuple[bytes, ...], int] = {(): 0}
         for k in range(1, max(map(len, hot), default=0) + 1):
-            own = sorted((places[h[:-1]] << 32 | (self.get(h[-1]) or self.code(h[-1])), h) for h in hot if len(h) == k and h[:-1] in places)
+            own = sorted((places[h[:-1]] << 32 | self[h[-1]], h) for h in hot if len(h) == k and h[:-1] in places and self[h[-1]])
             places |= {h: i + 1 for i, (_, h) in enumerate(own)}
             self.levels.append(np.array([x for x, _ in own], np.int64))
 
-    def code(self, word: bytes) -> int:
-        self.words.append(word)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self[word] = len(self.words) - 1
-        return self[word]
-
     def __missing__(self, word: bytes) -> int:
-        at = _bit(self.lang, word)
-        if int(self.frequent[at >> 6]) >> (at & 63) & 1:
-            return self.code(word)
-        self[word] = 0
-        return 0
+        own = xxhash.xxh64_intdigest(word, self.seed)
+        at, self[word] = own % FILTER_BITS, 0
+        if int(self.bits[at >> 6]) >> (at & 63) & 1:
+            known, signed = self.numbers.hashes, own - (own >> 63 << 64)
+            place = bisect_left(known, signed)
+            if place < len(known) and known[place] == signed:
+                self[word] = len(self.words)
+                self.words.append(word)
+                self.hashes.append(own)
+                self.ids.append(int(self.numbers.ids[place]))
+        return self[word]
 
 
-def _linked(codes: _Codes, sections: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of some sections as numbers, the words' hashes, where two frequent words stand together, and their hashes."""
-    x, hashes = np.concatenate([*sections, np.zeros(longest, np.int32)]), np.array(codes.hashes, np.uint64)
-    at = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
-    return x, hashes, at, _pairs(codes.lang, hashes[x[at]], hashes[x[at + 1]])
+def _together(codes: _Codes, sections: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of some sections as the task's numbers; where two frequent words stand together, and these, the third word
+    and the third word's presence, as numbers among all frequent words."""
+    x = np.concatenate([*sections, np.zeros(longest, np.int32)])
+    ids = np.array(codes.ids, np.int64)[x]
+    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    third = ids[at + 2]
+    return x, at, ids[at] << 32 | ids[at + 1], third, third > 0
 
 
-def _counted_pairs(codes: _Codes, sections: list[np.ndarray], longest: int, shape: pa.Schema, pairs: None) -> Iterator[pa.RecordBatch]:
-    """The different pairs of frequent words of some sections, with their numbers."""
-    found, n = np.unique(_linked(codes, sections, longest)[3], return_counts=True)
+def _counted_grams(codes: _Codes, sections: list[np.ndarray], longest: int, shape: pa.Schema, triples: None) -> Iterator[pa.RecordBatch]:
+    """The different triples of frequent words of some sections, and pairs without a third one, with their numbers."""
+    _, _, pair, third, _ = _together(codes, sections, longest)
+    pairs, place = np.unique(pair, return_inverse=True)
+    found, n = np.unique(place << 32 | third, return_counts=True)
     for s in range(0, len(n), 65536):
-        yield pa.RecordBatch.from_arrays([pa.array(found[s : s + 65536].view(np.int64)), pa.array(n[s : s + 65536], pa.int64())], schema=shape)
+        some = found[s : s + 65536]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[some >> 32]), pa.array(some.astype(np.int32)), pa.array(n[s : s + 65536], pa.int64())], schema=shape)
 
 
-def _sent(codes: _Codes, sections: list[np.ndarray], longest: int, shape: pa.Schema, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The different suffixes of two words and more of some sections, all of whose words and pairs are frequent: with
-    their numbers, and where they go."""
-    x, hashes, both, found = _linked(codes, sections, longest)
-    words, linked = pa.array(codes.words, pa.binary()), np.zeros(len(x), bool)
-    linked[both] = _is_set(pairs, _pair_bits(found))
-    at = np.flatnonzero(linked)
+def _sent(codes: _Codes, sections: list[np.ndarray], longest: int, shape: pa.Schema, triples: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The different suffixes of LEAST_SENT words and more of some sections, all of whose words and triples are frequent:
+    with their numbers, and where they go."""
+    x, at, pair, third, has = _together(codes, sections, longest)
+    words, hashes, linked = pa.array(codes.words, pa.binary()), np.array(codes.hashes, np.uint64), np.zeros(len(x), bool)
+    linked[at[has]] = _is_set(triples, _triple_bits(pair[has], third[has]))
+    at = np.flatnonzero(linked[:-1] & linked[1:])
     if not len(at):
         return
-    columns = [x[at], x[at + 1]]
-    for k in range(2, longest):
-        columns.append(np.where((columns[-1] > 0) & linked[at + k - 1], x[at + k], 0))
+    columns = [x[at + k] for k in range(LEAST_SENT)]
+    for k in range(LEAST_SENT, longest):
+        columns.append(np.where((columns[-1] > 0) & linked[at + k - 2], x[at + k], 0))
     names = [f"w{k}" for k in range(longest)]
     grouped = pa.table(dict(zip(names, map(pa.array, columns), strict=True))).group_by(names, use_threads=False).aggregate([([], "count_all")])
     columns, n = [grouped[name].to_numpy() for name in names], grouped["count_all"].to_numpy()
-    hot, place, key = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), hashes[columns[0]] + np.uint64(_seed(codes.lang))
+    hot, place, key = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), hashes[columns[0]]
     for k, level in enumerate(codes.levels):
         asked = place << 32 | columns[k]
         found = np.searchsorted(level, asked)
@@ -249,23 +314,24 @@ def _sent(codes: _Codes, sections: list[np.ndarray], longest: int, shape: pa.Sch
         if k + 1 < longest:
             key = np.where(here, key * np.uint64(0x9E3779B97F4A7C15) + hashes[columns[k + 1]], key)
     for s in range(0, len(n), 10_000):
-        taken = [words.take(pa.array(np.where(c[s : s + 10_000] > 0, c[s : s + 10_000], 0))) if k < 2 else words.take(pa.array(c[s : s + 10_000], mask=c[s : s + 10_000] == 0)) for k, c in enumerate(columns)]
+        taken = [words.take(pa.array(np.where(c[s : s + 10_000] > 0, c[s : s + 10_000], 0))) if k < LEAST_SENT else words.take(pa.array(c[s : s + 10_000], mask=c[s : s + 10_000] == 0)) for k, c in enumerate(columns)]
         suffix = pc.binary_join_element_wise(*taken, pa.scalar(b"\0", pa.binary()), null_handling="skip")
         end = s + len(suffix)
         yield pa.RecordBatch.from_arrays([pa.array([codes.lang] * len(suffix)), pa.array(key[s:end].view(np.int64)), pa.array(hot[s:end], pa.int32()), suffix, pa.array(n[s:end], pa.int64())], schema=shape)
 
 
-def _from_sections(frequent, hot, longest: int, kind: T.StructType, made, pairs=None):
-    """made(codes, sections, longest, shape, pairs) of many sections of a language at once."""
+def _from_sections(numbers, hot, longest: int, kind: T.StructType, made, triples=None):
+    """made(codes, sections, longest, shape, triples) of many sections of a language at once."""
     shape = arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Codes] = {}
+        bits = numbers.value.bits()
         held: dict[str, list[np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, sections in held.items():
-                yield from made(known[lang], sections, longest, shape, pairs and pairs.value)
+                yield from made(known[lang], sections, longest, shape, triples and triples.value)
                 if len(known[lang]) > HELD:
                     del known[lang]
             held.clear()
@@ -274,7 +340,7 @@ def _from_sections(frequent, hot, longest: int, kind: T.StructType, made, pairs=
         for lang, text in _texts(batches):
             for section in _sections(text):
                 if lang not in known:
-                    known[lang] = _Codes(lang, frequent.value, hot.value.get(lang, []))
+                    known[lang] = _Codes(lang, numbers.value, bits, hot.value.get(lang, []))
                 found = tokens(section)
                 held.setdefault(lang, []).append(np.fromiter(map(known[lang].__getitem__, found), np.int32, len(found)))
                 held[lang].append(np.zeros(1, np.int32))
@@ -289,7 +355,7 @@ def _from_sections(frequent, hot, longest: int, kind: T.StructType, made, pairs=
 
 
 def _count(least: int, longest: int):
-    """Counts of all prefixes of two words or more, from suffixes in reverse order within a language."""
+    """Counts of all prefixes of LEAST_SENT words or more, from suffixes in reverse order within a language."""
     shape = arrow_schema(PHRASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +368,7 @@ def _count(least: int, longest: int):
 
         def pop(to: int) -> None:
             while len(stack) > to:
-                if len(stack) > 1:
+                if len(stack) >= LEAST_SENT:
                     closed(stack, len(stack), counts[-1], hot)
                 stack.pop()
                 counts.pop()
@@ -339,7 +405,7 @@ def _count(least: int, longest: int):
                     if k <= len(last):
                         opened.append(int(sums[-1]))
                         starts, sums = starts[:-1], sums[:-1]
-                    if k > 1:
+                    if k >= LEAST_SENT:
                         for i in np.flatnonzero((sums >= least) | (depth_hot[starts] >= k)).tolist():
                             closed(spelled(starts[i]), k, int(sums[i]), int(depth_hot[starts[i]]))
                 stack, counts, hot = last, opened, int(depth_hot[-1])
@@ -369,15 +435,32 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang: str
     hot: dict[str, list[tuple[bytes, ...]]] = {}
     for r in begun.filter("length(word) > 0 and n >= 32").filter(F.col("n") * slices >= total).select("lang", "word").collect():  # at most `slices` of each length
         hot.setdefault(r.lang, []).append(tuple(bytes(r.word).split(b"\0")))
-    frequent, hot = bound(spark, _bit_map(common.select("lang", "word"))), bound(spark, hot)
-    pairs = rows.mapInArrow(_from_sections(frequent, hot, longest, PAIRS, _counted_pairs), PAIRS).groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = bound(spark, _bit_map(pairs.filter(F.col("n") >= least).select("pair")))
-    suffixes = rows.mapInArrow(_from_sections(frequent, hot, longest, SUFFIXES, _sent, pairs), SUFFIXES)
-    dealt = suffixes.repartition(n_parts(spark), "dealt").sortWithinPartitions("lang", F.desc("suffix"))
-    counted = staged(dealt.mapInArrow(_count(least, longest), PHRASES), "prefix-counts")
-    summed = counted.filter("not whole").groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    phrases = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "n")
-    return staged(phrases.unionByName(counted.filter("whole").drop("whole")).unionByName(summed), "phrases"), sizes
+    numbers, hot = _numbers(words, common), bound(spark, hot)
+    dealt = rows.mapInArrow(_from_sections(numbers, hot, longest, GRAMS, _counted_grams), GRAMS).repartition(n_parts(spark), "pair")
+    # Both sums read all columns and filter afterwards, so that they share one exchange.
+    pairs = dealt.groupBy("pair").agg(F.sum(F.when(F.col("third") >= 0, F.col("n"))).alias("n")).select("pair", F.lit(0).alias("third"), "n").filter(F.col("n") >= least)
+    triples = dealt.groupBy("pair", "third").agg(F.sum("n").alias("n")).filter(F.when(F.col("third") > 0, F.col("n")) >= least)
+    grams = staged(pairs.unionByName(triples) if longest > 2 else pairs, "grams")
+    numbered = staged(common.select("lang", "word", "n", _hash(numbers.value.salt).alias("hash")).mapInArrow(_numbered(numbers), NUMBERED), "numbered")
+    phrases = numbered.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "n").unionByName(_named(grams, numbered))
+    if longest >= LEAST_SENT:
+        triples = bound(spark, _bit_map(grams.filter("third > 0").select("pair", "third")))
+        suffixes = rows.mapInArrow(_from_sections(numbers, hot, longest, SUFFIXES, _sent, triples), SUFFIXES)
+        dealt = suffixes.repartition(n_parts(spark), "dealt").sortWithinPartitions("lang", F.desc("suffix"))
+        counted = staged(dealt.mapInArrow(_count(least, longest), PHRASES), "prefix-counts")
+        summed = counted.filter("not whole").groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        phrases = phrases.unionByName(counted.filter("whole").drop("whole")).unionByName(summed)
+    return staged(phrases, "phrases"), sizes
+
+
+def _named(grams: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Pairs and triples by their words."""
+    word = lambda k: numbered.select(F.col("id").alias(f"id{k}"), F.col("word").alias(f"word{k}"), *(["lang"] if k == 1 else []))
+    own = grams.select(F.shiftright("pair", 32).cast("int").alias("id1"), F.col("pair").bitwiseAND((1 << 32) - 1).cast("int").alias("id2"), F.col("third").alias("id3"), "n")
+    own = own.join(word(1), "id1").join(word(2), "id2").join(word(3), "id3", "left")
+    apart, three = F.unhex(F.lit("00")), F.col("id3") > 0
+    pair = F.concat("word1", apart, "word2")
+    return own.select("lang", F.when(three, F.concat(pair, apart, "word3")).otherwise(pair).alias("phrase"), F.when(three, 3).otherwise(2).alias("n_words"), "n")
 
 
 CUTS = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("first", T.BinaryType()), T.StructField("rest", T.BinaryType())]))

@@ -128,6 +128,43 @@ def test_hot_beginnings_are_dealt_and_summed(spark):
     assert got == mined_phrases(docs, 30)
 
 
+def test_suffixes_sent_do_not_outgrow_the_text(spark, monkeypatch):
+    """Of five times the text nearly all pairs are frequent, but only the planted phrase is as a triple."""
+    sent, count = [], phrases._count
+
+    def counting(least, longest):
+        sent.append(spark.sparkContext.accumulator(0))
+        run, own = count(least, longest), sent[-1]
+
+        def counted(batches):
+            for b in batches:
+                own.add(len(b))
+                yield b
+
+        return lambda batches: run(counted(batches))
+
+    monkeypatch.setattr(phrases, "_count", counting)
+    rng = random.Random(4)
+    docs = [(" ".join(["p q r s t" if rng.random() < 0.02 else rng.choice("abcdefghijkl") for _ in range(100)]), "en") for _ in range(200)]
+    for some in (docs[:40], docs):
+        got = sorted(tuple(r) for r in phrases.collocations(spark.createDataFrame(some, "text string, lang string").repartition(2), 60).collect())
+        assert got == mined_phrases(some, 60)
+    assert 0 < sent[0].value and sent[1].value <= 12 * sent[0].value
+
+
+def test_numbers_are_of_frequent_words_alone(spark):
+    """A salt with which another word has a frequent word's hash is passed over."""
+    words = spark.createDataFrame([("en", b"a", 9), ("en", b"b", 20), ("fr", b"a", 7), ("en", b"c", 1)], "lang string, word binary, n bigint")
+    with pytest.MonkeyPatch.context() as m:
+        plain = phrases._hash
+        m.setattr(phrases, "_hash", lambda salt: F.when(F.lit(salt == 0) & (F.col("n") < 8), F.lit(5)).otherwise(F.when(F.lit(salt == 0) & (F.col("word") == b"b"), F.lit(5)).otherwise(plain(salt))))
+        numbers = phrases._numbers(words, words.filter("n > 5")).value
+    assert numbers.salt == 1
+    codes = {lang: phrases._Codes(lang, numbers, numbers.bits(), []) for lang in ("en", "fr")}
+    ids = {(lang, w): codes[lang].ids[codes[lang][w]] for lang in codes for w in (b"a", b"b", b"c")}
+    assert ids == {("en", b"b"): 1, ("en", b"a"): 2, ("fr", b"a"): 3, ("en", b"c"): 0, ("fr", b"b"): 0, ("fr", b"c"): 0}
+
+
 def test_phrases_of_nothing(spark):
     for docs in ([], [(None, None)], [("", "en"), (" . ", "en")]):
         assert phrases.collocations(spark.createDataFrame(docs, "text string, lang string")).collect() == []
