@@ -19,17 +19,14 @@ from pyspark.sql import functions as F
 from ..sources.files import scratch
 from .inference import PRODUCTION, SPACE, Page, Rules, gathered, file_period, replayed, solved, stepwise
 
-#: The seed, and what a search keeps after its first and second rounds, and in the end.
+#: The seed, how many a sweep draws, and what it keeps after its first and second rounds, and in the end.
 SEED = 42
-FIRST, SECOND, LAST = 20, 5, 10
-#: The registered search: how many are drawn, how many kept, and the parameters it varies.
-DRAWN, KEPT = 6, (2, 1)
-VARIED = ("start", "unfit", "least_start", "window", "agreement", "off_period")
+DRAWN, FIRST, SECOND, LAST = 500, 20, 5, 10
 
 Config = tuple[int, ...]
 
 
-def space(names: Sequence[str] = VARIED) -> dict[str, tuple]:
+def space(names: Sequence[str] = tuple(SPACE)) -> dict[str, tuple]:
     return {n: SPACE[n] for n in names}
 
 
@@ -102,8 +99,8 @@ def with_truth(s) -> DataFrame:
     return whole.repartition(4 * s.spark.sparkContext.defaultParallelism, "pdf")  # small files, much work
 
 
-#: Of each file, configurations with the same result together.
-_COUNTS = f"pdf bigint, configs array<string>, documents int, complete int, n_inferred int, b_documents int, b_complete int, {_TRUTH}"
+#: Of each file, configurations with the same result together, by number.
+_COUNTS = f"pdf bigint, configs array<int>, documents int, complete int, n_inferred int, b_documents int, b_complete int, {_TRUTH}"
 
 
 def scored(files: DataFrame, values: dict[str, tuple], configs: Sequence[Config]) -> DataFrame:
@@ -116,9 +113,11 @@ def scored(files: DataFrame, values: dict[str, tuple], configs: Sequence[Config]
             found = [(outcome(*x), own) for *x, own in replayed(curr, total, tree, (period, sure, expected))]
             base = next(got for got, own in found if len(names) in own)
             for got, own in found:
-                yield (pdf, [names[k] for k in own if k < len(names)], *got, *base[:2], *truth)
+                yield (pdf, [k for k in own if k < len(names)], *got, *base[:2], *truth)
 
-    return files.sparkSession.sql(_COMPOSITE, c=solved(files, solve, _COUNTS))
+    numbered = files.sparkSession.sql(_COMPOSITE, c=solved(files, solve, _COUNTS))
+    named = files.sparkSession.createDataFrame(list(enumerate(names)), "config int, name string")
+    return numbered.join(F.broadcast(named), "config").select(F.col("name").alias("config"), "composite", "delta", "regressions")
 
 
 def searched(s, values: dict[str, tuple], n: int, keep: Sequence[int]) -> DataFrame:
@@ -144,7 +143,8 @@ def top(scores: DataFrame, n: int) -> DataFrame:
 
 
 def _search(s) -> DataFrame:
-    return searched(s, space(), DRAWN, KEPT)
+    """The whole sweep, over all parameters."""
+    return searched(s, space(), DRAWN, (FIRST, SECOND))
 
 
 def t03_top_configs(s) -> DataFrame:
@@ -152,10 +152,11 @@ def t03_top_configs(s) -> DataFrame:
     return top(_search(s), LAST)
 
 
-#: Primes, so that a parameter's places are each taken once unless there are as many configurations.
+#: The parameters of `t08_sampled_configs`; primes, so that a parameter's places are each taken once unless there are as many configurations.
+VARIED = ("start", "unfit", "least_start", "window", "agreement", "off_period")
 _PRIMES = (1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099)
 _DRAWN = "SELECT b.id AS config, {pick} FROM (SELECT DISTINCT CAST(floor(p_partkey / 20) AS BIGINT) AS id FROM {{part}}) AS b CROSS JOIN (SELECT count(DISTINCT floor(p_partkey / 20)) AS n FROM {{part}}) AS c"
-_PICK = ", ".join(f"CAST(floor((b.id * {prime} + {SEED}) % c.n * {len(v)} / c.n) AS INT) AS {name}" for prime, (name, v) in zip(_PRIMES, space().items(), strict=True))
+_PICK = ", ".join(f"CAST(floor((b.id * {prime} + {SEED}) % c.n * {len(v)} / c.n) AS INT) AS {name}" for prime, (name, v) in zip(_PRIMES, space(VARIED).items(), strict=True))
 
 
 def t08_sampled_configs(s) -> DataFrame:

@@ -102,6 +102,20 @@ def test_configurations_of_a_file_share_their_steps(monkeypatch):
     assert made == [1] and set(got) == set(range(20))
 
 
+def test_the_registered_search_is_a_whole_sweep(spark):
+    """All parameters, 500 configurations, and every step away from the best 20 and then the best 5 of all."""
+    values = dict(inference.SPACE)
+    scores = [(tuple(map(int, r.config.split(","))), r) for r in sweeps._search(Session(spark, DIR)).collect()]
+    rounds, best = defaultdict(list), lambda k, n: [c for c, r in sorted(scores, key=lambda x: (-x[1].composite, x[1].delta, x[1].config)) if r.round <= k][:n]
+    for config, r in scores:
+        rounds[r.round].append(config)
+    assert len(rounds[0]) == 500 and set(rounds[0]) == set(sweeps.drawn(values, 500)) and all(len(c) == 22 for c in rounds[0])
+    assert len(set().union(*rounds.values())) == len(scores)
+    for k, n in ((0, 20), (1, 5)):
+        done = set().union(*(rounds[j] for j in range(k + 1)))
+        assert set(rounds[k + 1]) == {x for c in best(k, n) for x in sweeps.neighbours(values, c)} - done
+
+
 def test_neighbours_of_the_best(spark):
     values = sweeps.space()
     s = Session(spark, DIR)
