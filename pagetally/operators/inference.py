@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from copy import copy
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 from itertools import accumulate, product
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -189,13 +190,24 @@ class Ways:
         """Whether the right one is cheaper; on a tie, the one with a start."""
         if self.alike:
             return self.on_tie
-        costs, clash = [], rules.clash * (rules.zone_scale if self.b - self.a >= rules.zone else 1.0)
+        left, right = self._costs(rules, rules.clash * (rules.zone_scale if self.b - self.a >= rules.zone else 1.0))
+        return right < left or (right == left and self.on_tie)
+
+    def backwards(self, rules: Rules | Columns) -> np.ndarray | bool:
+        """The same under each of many rules, or under all of them."""
+        if self.alike or isinstance(rules, Rules):
+            return self.backward(rules)
+        left, right = self._costs(rules, np.where(self.b - self.a >= rules.zone, rules.clash * rules.zone_scale, rules.clash))
+        return right <= left if self.on_tie else right < left
+
+    def _costs(self, rules: Rules | Columns, clash: float | np.ndarray) -> list:
+        costs = []
         for terms, clashes in zip(self.terms, self.clashes, strict=True):
             cost = 0.0
             for weight, rule in terms:
-                cost += weight * getattr(rules, rule)
+                cost = cost + weight * getattr(rules, rule)
             costs.append(cost + clash * clashes)
-        return costs[1] < costs[0] or (costs[1] == costs[0] and self.on_tie)
+        return costs
 
 
 def supported(sure: float, support: float, agree: int, prior: float, rules: Rules) -> float:
@@ -411,18 +423,56 @@ class Inference:
                     self.sure[j] = self._start(self.local(j)[1])
 
 
-#: What the steps of a replay depend on, each on its own rules and on those before it; the last step depends on all.
-_STEPS = (("least_gap",), ("window", "agreement", "dropout"), ("off_total", "off_period", "clash", "zone", "zone_scale"), ("least_period", "least_share"))
+#: Many rules, an array for each of their names.
+Columns = SimpleNamespace
+_NAMES = tuple(f.name for f in fields(Rules))
+#: What the first steps of a replay depend on, each on its own rules and on those before it; the later ones take rules as columns.
+_STEPS = (("least_gap",), ("window", "agreement"), ("dropout",))
 
 
-def stepwise(rules: Iterable[tuple[int, Rules]], steps: Sequence[tuple[str, ...]] = _STEPS) -> list:
-    """Numbered rules as a tree: those alike in a step's rules are one branch, with any of them."""
-    if not steps:
-        return list(rules)
-    parts: dict[tuple, list[tuple[int, Rules]]] = {}
-    for k, r in rules:
-        parts.setdefault(tuple(getattr(r, n) for n in steps[0]), []).append((k, r))
-    return [(own[0][1], stepwise(own, steps[1:])) for own in parts.values()]
+@dataclass
+class Steps:
+    """Numbered rules: as a tree by the first steps (those alike in a step's rules are one branch, with any of them, and the
+    places of those at its end), and as columns."""
+
+    numbers: list[int]
+    rules: list[Rules]
+    tree: list
+    values: np.ndarray
+
+    def at(self, places: np.ndarray) -> Rules | Columns:
+        if len(places) == 1:
+            return self.rules[places[0]]
+        return Columns(**dict(zip(_NAMES, self.values[:, places], strict=True)))
+
+
+def stepwise(rules: Iterable[tuple[int, Rules]]) -> Steps:
+    numbers, rules = map(list, zip(*rules, strict=True))
+
+    def branches(own: list[int], steps: Sequence[tuple[str, ...]]) -> list | np.ndarray:
+        if not steps:
+            return np.array(own)
+        parts: dict[tuple, list[int]] = {}
+        for k in own:
+            parts.setdefault(tuple(getattr(rules[k], n) for n in steps[0]), []).append(k)
+        return [(rules[own[0]], branches(own, steps[1:])) for _, own in sorted(parts.items(), reverse=True)]
+
+    return Steps(numbers, rules, branches(list(range(len(rules))), _STEPS), np.array([[getattr(r, n) for r in rules] for n in _NAMES], float))
+
+
+def _parted(groups: list[tuple[tuple[bool, ...], np.ndarray]], marks: np.ndarray | bool) -> list[tuple[tuple[bool, ...], np.ndarray]]:
+    """Groups of places, with the marks they have in common, by one mark more."""
+    if isinstance(marks, bool):
+        return [((*own, marks), at) for own, at in groups]
+    found = []
+    for own, at in groups:
+        marked = marks[at]
+        n = int(np.count_nonzero(marked))
+        if 0 < n < len(at):
+            found += [((*own, True), at[marked]), ((*own, False), at[~marked])]
+        else:
+            found.append(((*own, n > 0), at))
+    return found
 
 
 class _Filled:
@@ -439,8 +489,11 @@ class _Filled:
         self._support: dict[int, float] = {}
         self._over: Inference | None = None
 
-    def overruled(self, rules: Rules) -> bool:
-        return bool(self.wrong) and self.x.overruled(self.agreed, rules)
+    def overruled(self, rules: Rules | Columns) -> np.ndarray | bool:
+        x = self.x
+        if not self.wrong or x.period is None or x.expected is None:
+            return False
+        return (x.period_sure >= rules.least_period) & (self.agreed >= rules.least_share)
 
     def pages(self, overruled: bool) -> Inference:
         """Overruled or not; where overruling says anew how sure a page is, it is not None."""
@@ -457,9 +510,10 @@ class _Filled:
             self._support[i] = self.x.evidence(i).get(self.x.pages[i], 0.0) * self.x.period_sure
         return self._support[i]
 
-    def unsure(self, overruled: bool, rules: Rules) -> tuple[int, ...]:
-        """The doubtful starts that are excluded; no other page's result depends on how sure it is."""
-        x, found = self.pages(overruled), []
+    def unsure(self, overruled: bool, rules: Rules | Columns) -> Iterator[tuple[int, np.ndarray | bool]]:
+        """The doubtful starts, and under which rules they are excluded; no other page's result depends on how sure it is."""
+        x = self.pages(overruled)
+        least, where = (min, lambda is_so, a, b: a if is_so else b) if isinstance(rules, Rules) else (np.minimum, np.where)
         for i, share, links, prior in self.doubtful:
             if x.pages[i][0] != 1:
                 continue
@@ -467,45 +521,52 @@ class _Filled:
             if not (overruled and x.sure[i] is not None):
                 sure = rules.backward if self.backward[i] else sure
                 if not all(links):
-                    sure = min(sure, rules.unfit)
-                if x.period is not None and x.period_sure > 0.3 and sure <= 0.60:
-                    sure = supported(sure, self.support(i), sum(links), prior, rules)
-            if sure < rules.least_start:
-                found.append(i)
-        return tuple(found)
+                    sure = least(sure, rules.unfit)
+                support, agree = self.support(i) if x.period is not None else 0.0, sum(links)
+                if x.period is not None and x.period_sure > 0.3 and (support > 0.2 or agree == 2):
+                    added = support * rules.by_period + agree * rules.by_neighbour + prior * rules.by_prior
+                    sure = where(sure <= 0.60, least(sure + least(added, rules.most_added), 0.75), sure)
+            yield i, sure < rules.least_start
 
 
-def replayed(curr: Sequence[int | None], total: Sequence[int | None], tree: list, period: tuple | None = None) -> Iterator[tuple[list[Page], list[str], list[int]]]:
-    """A file's pages and their kinds after all of inference, with the numbers of the rules that give them: each result once.
+def replayed(curr: Sequence[int | None], total: Sequence[int | None], steps: Steps, period: tuple | None = None) -> Iterator[tuple[list[Page], list[str], list[int]]]:
+    """A file's pages and their kinds after all of inference, with the numbers of the rules that give them.
     A step is done once for all rules that are alike in what it depends on, or that come to the same before it."""
-    first, before, results = Inference(curr, total, period=period), {}, {}
-    for rules, branches in tree:
+    first, seen, before = Inference(curr, total, period=period), {}, {}
+    for rules, branches in steps.tree:
         parted = first.under(rules).part_starts()
-        for rules, branches in branches:  # noqa: B020, PLW2901
-            x = parted.under(rules).drop_odd()
-            gaps = x.gaps()
-            key = (tuple(x.kinds), tuple(x.local(i) for a, b in gaps for i in range(a, b)))
-            if key not in before:
-                before[key] = (x, [x.ways(a, b) for a, b in gaps], {})
-            x, ways, fills = before[key]
-            for rules, branches in branches:  # noqa: B020, PLW2901
-                backward = tuple([w.backward(rules) for w in ways])
-                if backward not in fills:
-                    fills[backward] = _Filled(x, ways, backward)
-                filled = fills[backward]
-                for rules, own in branches:  # noqa: B020, PLW2901
-                    overruled = filled.overruled(rules)
-                    if filled.doubtful:
-                        for k, r in own:
-                            results.setdefault((filled, overruled, filled.unsure(overruled, r)), []).append(k)
-                    else:
-                        results.setdefault((filled, overruled, ()), []).extend([k for k, _ in own])
-    for (filled, overruled, unsure), own in results.items():
-        x = filled.pages(overruled)
-        pages, kinds = list(x.pages), list(x.kinds)
-        for i in unsure:
-            pages[i], kinds[i] = (None, None), "excluded"
-        yield pages, kinds, own
+        kinds = tuple(parted.kinds)
+        for _, branches in branches:  # noqa: B020, PLW2901
+            dropped = True
+            for rules, own in branches:  # noqa: PLW2901 - the largest dropout first: where it drops nothing, no other does
+                if dropped:
+                    at = (kinds, rules.window, rules.agreement, rules.dropout)
+                    if at not in seen:
+                        x = parted.under(rules).drop_odd()
+                        gaps = x.gaps()
+                        key = (tuple(x.kinds), tuple([x.local(i) for a, b in gaps for i in range(a, b)]))
+                        seen[at] = key[0] != kinds, before.setdefault(key, (x, gaps, []))[2]
+                    dropped, alike = seen[at]
+                alike.append(own)
+    for x, gaps, alike in before.values():
+        places = np.concatenate(alike)
+        rules, ways = steps.at(places), [x.ways(a, b) for a, b in gaps]
+        groups = [((), np.arange(len(places)))]
+        for w in ways:
+            groups = _parted(groups, w.backwards(rules))
+        for backward, at in groups:
+            filled = _Filled(x, ways, backward)
+            for (overruled,), at in _parted([((), at)], filled.overruled(rules)):  # noqa: B020, PLW2901
+                settled, doubtful = [((), at)], []
+                for i, unsure in filled.unsure(overruled, rules):
+                    settled = _parted(settled, unsure)
+                    doubtful.append(i)
+                done = filled.pages(overruled)
+                for unsure, at in settled:  # noqa: PLW2901
+                    pages, kinds = list(done.pages), list(done.kinds)
+                    for i in (i for i, out in zip(doubtful, unsure, strict=True) if out):
+                        pages[i], kinds[i] = (None, None), "excluded"
+                    yield pages, kinds, [steps.numbers[k] for k in places[at].tolist()]
 
 
 def w07_autocorrelation(s) -> DataFrame:
